@@ -50,3 +50,236 @@ def q_composition_by_hour_long(spark, d):
 def q_composition_by_brand_long(spark, d):
     wide = comp.composition(prepare(dt.items(spark, d)), "brand", order=False)
     return comp.composition_long(wide, ["brand", "total_count"])
+
+
+# ---- scalar operators on the item table ------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from binsight.functions import columns as fc  # noqa: E402
+from binsight.operators import classify as cl  # noqa: E402
+from binsight.operators import enrich as en  # noqa: E402
+from binsight.operators import ingest as ing  # noqa: E402
+from binsight.operators import merge as mg  # noqa: E402
+from binsight.operators import prepare as pr  # noqa: E402
+from binsight.operators import ranking as rk  # noqa: E402
+from binsight.operators import synth as sy  # noqa: E402
+
+MODEL = "trash1"
+
+
+@register("ingest_shape")
+def q_ingest_shape(spark, d):
+    return ing.with_ingest_defaults(dt.items(spark, d).select("filename", "time"))
+
+
+@register("path_basename")
+def q_path_basename(spark, d):
+    return dt.paths(spark, d).select("path", fc.basename("path").alias("filename"))
+
+
+@register("parse_timestamp")
+def q_parse_timestamp(spark, d):
+    return dt.iso_times(spark, d).select("event_id", fc.parse_time("time_text", zoned=False).alias("time"),
+                                         "time_text")
+
+
+@register("append_merge_schema")
+def q_append_merge_schema(spark, d):
+    existing, incoming = dt.item_cuts(spark, d)
+    incoming = incoming.drop("city").withColumn("source", F.lit("feed"))
+    return ing.union_by_name(existing, incoming)
+
+
+@register("new_items_anti")
+def q_new_items_anti(spark, d):
+    existing, incoming = dt.item_cuts(spark, d)
+    return ing.new_only(incoming, existing)
+
+
+@register("dedupe_by_key")
+def q_dedupe_by_key(spark, d):
+    existing, incoming = dt.item_cuts(spark, d)
+    return ing.dedupe_by_key(existing.select("filename").unionByName(incoming.select("filename")))
+
+
+@register("pending_items")
+def q_pending_items(spark, d):
+    return en.pending(dt.items(spark, d)).select("filename", "time")
+
+
+@register("pending_count")
+def q_pending_count(spark, d):
+    return en.pending(dt.items(spark, d)).agg(F.count(F.lit(1)).alias("pending_count"))
+
+
+@register("null_fill_flags")
+def q_null_fill_flags(spark, d):
+    return pr.fill_flags(dt.items(spark, d)).select("filename", "is_compostable", "is_recyclable")
+
+
+@register("brand_normalize")
+def q_brand_normalize(spark, d):
+    return pr.normalize_brand(dt.items(spark, d)).select("filename", "brand")
+
+
+@register("exclusive_flags")
+def q_exclusive_flags(spark, d):
+    return (pr.exclusive_flags(pr.fill_flags(dt.items(spark, d)))
+            .select("filename", "is_compostable", "is_recyclable", "is_trash"))
+
+
+@register("hour_of_day")
+def q_hour_of_day(spark, d):
+    return pr.with_hour(dt.items(spark, d)).select("filename", "hour")
+
+
+@register("brand_total_label")
+def q_brand_total_label(spark, d):
+    return comp.brand_total_label(comp.composition(prepare(dt.items(spark, d)), "brand", order=False))
+
+
+@register("waste_by_brand")
+def q_waste_by_brand(spark, d):
+    return rk.waste_by_brand(prepare(dt.items(spark, d)))
+
+
+@register("top_brands")
+def q_top_brands(spark, d):
+    return rk.top_brands(prepare(dt.items(spark, d)), 10)
+
+
+@register("sql_count_by")
+def q_sql_count_by(spark, d):
+    dt.items(spark, d).createOrReplaceTempView("items")
+    return spark.sql("SELECT brand, COUNT(*) AS count FROM items GROUP BY brand")
+
+
+@register("sql_filter_eq")
+def q_sql_filter_eq(spark, d):
+    dt.items(spark, d).createOrReplaceTempView("items")
+    return spark.sql("SELECT * FROM items WHERE brand = 'Brand#19'")
+
+
+@register("capture_name")
+def q_capture_name(spark, d):
+    return dt.items(spark, d).select("filename", fc.capture_name("time").alias("image_path"))
+
+
+@register("keyword_flag")
+def q_keyword_flag(spark, d):
+    from binsight import constants as C
+    part = dt.table(spark, d, "part").select("p_partkey", "p_name")
+    adj = F.element_at(F.array(*[F.lit(a) for a in C.ADJECTIVES]),
+                       (F.pmod(F.col("p_partkey"), F.lit(len(C.ADJECTIVES))) + 1).cast("int"))
+    desc = F.concat_ws(" ", adj, F.col("p_name"))
+    return part.select("p_partkey", desc.alias("description"),
+                       desc.contains(dt.METAL_PART_WORD).alias("is_metal"))
+
+
+# ---- classification ---------------------------------------------------------
+
+@register("label_lookup")
+def q_label_lookup(spark, d):
+    return cl.label_lookup(dt.scores(spark, d), MODEL)
+
+
+@register("ranked_labels")
+def q_ranked_labels(spark, d):
+    return cl.ranked_labels(dt.scores(spark, d), MODEL)
+
+
+@register("top_label")
+def q_top_label(spark, d):
+    return cl.top_label(dt.scores(spark, d), MODEL)
+
+
+@register("top_label_raw")
+def q_top_label_raw(spark, d):
+    return cl.top_label_raw(dt.scores(spark, d), MODEL)
+
+
+@register("classification_report")
+def q_classification_report(spark, d):
+    return cl.classification_report(dt.scores(spark, d), dt.items(spark, d), MODEL)
+
+
+@register("confidence_text")
+def q_confidence_text(spark, d):
+    return dt.scores(spark, d).select("key", "label", fc.percent_text("score").alias("confidence_text"))
+
+
+def _scorer_factory():
+    return cl.ComponentScorer(dt.SCORE_LABELS)
+
+
+@register("classify_batch")
+def q_classify_batch(spark, d):
+    return cl.classify_images(dt.embedding_images(spark, d), MODEL, _scorer_factory)
+
+
+# ---- enrichment -------------------------------------------------------------
+
+@register("base64_payload")
+def q_base64_payload(spark, d):
+    df = dt.payload(spark, d).select("doc_id", fc.base64_text("content").alias("b64"),
+                                     fc.request_document("content").alias("request"))
+    return df.select("doc_id", F.length("b64").alias("payload_length"), F.md5("b64").alias("payload_md5"),
+                     F.length("request").alias("request_length"), F.md5("request").alias("request_md5"))
+
+
+@register("parse_metadata")
+def q_parse_metadata(spark, d):
+    return en.parse_answers(dt.answers(spark, d))
+
+
+def _provider_factory():
+    return en.NumberedProvider()
+
+
+@register("enrich_batch")
+def q_enrich_batch(spark, d):
+    rows = en.pending(dt.items(spark, d)).select("filename", F.col("filename").cast("binary").alias("content"))
+    ok, _rejected = en.enrich(rows, _provider_factory, backoff_s=0.0)
+    return ok
+
+
+@register("merge_update")
+def q_merge_update(spark, d):
+    ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, d)))
+    return mg.merge_update(dt.items(spark, d), ok)
+
+
+# ---- synthetic data ---------------------------------------------------------
+
+def _end_hour(spark, d):
+    return F.date_trunc("hour", dt.table(spark, d, "events").agg(F.max("ts")).scalar())
+
+
+@register("hour_spine")
+def q_hour_spine(spark, d):
+    return sy.hour_spine(spark, _end_hour(spark, d))
+
+
+@register("weighted_pick")
+def q_weighted_pick(spark, d):
+    ev = dt.table(spark, d, "events").select("event_id")
+    u = F.pmod(F.col("event_id"), F.lit(1000)) / F.lit(1000.0)
+    return sy.weighted_pick(ev, u).select("event_id", "brand")
+
+
+@register("rate_lookup")
+def q_rate_lookup(spark, d):
+    ep = dt.events_parts(spark, d)
+    u = F.pmod(F.col("event_id"), F.lit(1000)) / F.lit(1000.0)
+    df = sy.weighted_pick(ep, u).select(
+        fc.indexed_name("event_id").alias("filename"),
+        F.when(F.pmod(F.col("k"), F.lit(10)) == 1, F.lit(None).cast("string")).otherwise(F.col("brand")).alias("brand"),
+        F.hour("ts").alias("hour"))
+    return sy.rate_lookup(df).select("filename", "recycling_prob", "compost_prob")
+
+
+@register("synth_items")
+def q_synth_items(spark, d):
+    ids = dt.table(spark, d, "events").select(F.col("event_id").alias("id"))
+    return sy.synth_items(ids, _end_hour(spark, d), "python", seed=0)

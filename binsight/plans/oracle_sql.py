@@ -85,3 +85,306 @@ SQL["composition_by_hour_long"] = f"""WITH {PREPARED}, {composition('hour')}
 
 SQL["composition_by_brand_long"] = f"""WITH {PREPARED}, {composition('brand')}
 {long_form('brand', 'brand, total_count')}"""
+
+# ---- scalar operators ---------------------------------------------------------
+
+CUTS = f"""{EP},
+existing AS ({items_from("ep WHERE event_id < (SELECT max(event_id) FROM events) * 0.6")}),
+incoming AS ({items_from("ep WHERE event_id >= (SELECT max(event_id) FROM events) * 0.4")})"""
+
+SQL["ingest_shape"] = f"""WITH {ITEMS}
+SELECT filename, time, 'NJ' AS state, 'Princeton' AS city, '' AS description,
+       CAST(NULL AS BOOLEAN) AS is_recyclable, CAST(NULL AS BOOLEAN) AS is_compostable,
+       CAST(NULL AS BOOLEAN) AS is_metal, '' AS brand
+FROM items"""
+
+SQL["path_basename"] = """WITH paths AS (
+  SELECT 'file:/data/images/' || CAST(event_id AS VARCHAR) || '.jpg' AS path FROM events
+  UNION ALL SELECT url FROM pages
+)
+SELECT path, string_split(path, '/')[-1] AS filename FROM paths"""
+
+SQL["parse_timestamp"] = """WITH t AS (
+  SELECT event_id,
+         CASE WHEN event_id % 50 = 0 THEN 'not a time'
+              WHEN event_id % 50 = 25 THEN '2024-13-45T25:61:00'
+              WHEN event_id % 50 = 10 THEN ''
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS time_text
+  FROM events
+)
+SELECT event_id, TRY_CAST(time_text AS TIMESTAMP) AS time, time_text FROM t"""
+
+SQL["append_merge_schema"] = f"""WITH {CUTS}
+SELECT *, CAST(NULL AS VARCHAR) AS source FROM existing
+UNION ALL
+SELECT filename, time, state, CAST(NULL AS VARCHAR) AS city, description, is_recyclable,
+       is_compostable, is_metal, brand, 'feed' AS source FROM incoming"""
+
+SQL["new_items_anti"] = f"""WITH {CUTS}
+SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.filename = i.filename)"""
+
+SQL["dedupe_by_key"] = f"""WITH {CUTS}
+SELECT DISTINCT filename FROM (SELECT filename FROM existing UNION ALL SELECT filename FROM incoming)"""
+
+SQL["pending_items"] = f"WITH {ITEMS} SELECT filename, time FROM items WHERE description = ''"
+
+SQL["pending_count"] = f"WITH {ITEMS} SELECT count(*) AS pending_count FROM items WHERE description = ''"
+
+SQL["null_fill_flags"] = f"""WITH {ITEMS}
+SELECT filename, coalesce(is_compostable, false) AS is_compostable,
+       coalesce(is_recyclable, false) AS is_recyclable FROM items"""
+
+SQL["brand_normalize"] = f"""WITH {ITEMS}
+SELECT filename, CASE WHEN brand = '' THEN 'Other' ELSE brand END AS brand FROM items"""
+
+SQL["exclusive_flags"] = f"""WITH {PREPARED}
+SELECT filename, is_compostable, is_recyclable, is_trash FROM prepared"""
+
+SQL["hour_of_day"] = f"WITH {ITEMS} SELECT filename, CAST(hour(time) AS INTEGER) AS hour FROM items"
+
+SQL["brand_total_label"] = f"""WITH {PREPARED}, {composition('brand')}
+SELECT brand, total_count, 'Total: ' || CAST(total_count AS VARCHAR) AS label FROM share_brand"""
+
+SQL["waste_by_brand"] = f"WITH {PREPARED} SELECT brand, count(*) AS total_waste_count FROM prepared GROUP BY brand"
+
+SQL["top_brands"] = f"""WITH {PREPARED}
+SELECT brand, count(*) AS total_waste_count FROM prepared GROUP BY brand
+ORDER BY total_waste_count DESC, brand ASC NULLS FIRST LIMIT 10"""
+
+SQL["sql_count_by"] = f"WITH {ITEMS} SELECT brand, COUNT(*) AS count FROM items GROUP BY brand"
+
+SQL["sql_filter_eq"] = f"WITH {ITEMS} SELECT * FROM items WHERE brand = 'Brand#19'"
+
+SQL["capture_name"] = f"""WITH {ITEMS}
+SELECT filename, 'images/capture_' || strftime(time, '%Y%m%d-%H%M%S') || '.jpg' AS image_path FROM items"""
+
+SQL["keyword_flag"] = """WITH d AS (
+  SELECT p_partkey,
+         ['tiny', 'small', 'medium', 'large', 'ultra large', 'gigantic'][p_partkey % 6 + 1] || ' ' || p_name AS description
+  FROM part
+)
+SELECT p_partkey, description, contains(description, 'anvil') AS is_metal FROM d"""
+
+# ---- classification -----------------------------------------------------------
+
+TAXONOMY_TRASH1 = """tax AS (
+  SELECT * FROM (VALUES ('Paper', 'RECYCLE', 0), ('Other', 'TRASH', 2), ('Plastic', 'RECYCLE', 0),
+                        ('G_M', 'RECYCLE', 0), ('Organic', 'COMPOST', 1)) t(label, category, ordinal)
+)"""
+
+SCORES = f"""scores AS (
+  SELECT CAST(vec_id AS VARCHAR) || '.jpg' AS key, l.label, abs(CAST(embedding[l.i] AS DOUBLE)) AS score
+  FROM embeddings,
+       (VALUES (1, 'Paper'), (2, 'Other'), (3, 'Plastic'), (4, 'G_M'), (5, 'Organic'), (6, 'Unmapped')) l(i, label)
+),
+{TAXONOMY_TRASH1},
+mapped AS (
+  SELECT s.key, s.label, t.category, CAST(t.ordinal AS INTEGER) AS ordinal, s.score
+  FROM scores s JOIN tax t ON s.label = t.label
+),
+ranked AS (
+  SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, label ASC) AS INTEGER) AS rank,
+         category, label, score
+  FROM mapped
+)"""
+
+SQL["label_lookup"] = f"WITH {SCORES} SELECT * FROM mapped"
+
+SQL["ranked_labels"] = f"WITH {SCORES} SELECT * FROM ranked"
+
+SQL["top_label"] = f"WITH {SCORES} SELECT * FROM ranked WHERE rank = 1"
+
+SQL["top_label_raw"] = f"""WITH {SCORES},
+raw AS (
+  SELECT key, label, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, label ASC) AS rn
+  FROM scores
+)
+SELECT r.key, t.category, r.label, r.score FROM raw r LEFT JOIN tax t ON r.label = t.label WHERE r.rn = 1"""
+
+SQL["classification_report"] = f"""WITH {SCORES}, {ITEMS},
+best AS (SELECT key, category, label, score AS confidence FROM ranked WHERE rank = 1),
+images AS (SELECT DISTINCT key FROM scores)
+SELECT i.key, b.category, b.label, b.confidence,
+       CASE WHEN b.confidence IS NULL THEN NULL ELSE printf('%.2f%%', b.confidence * 100) END AS confidence_text,
+       'images/capture_' || strftime(it.time, '%Y%m%d-%H%M%S') || '.jpg' AS image_saved
+FROM images i LEFT JOIN best b ON i.key = b.key LEFT JOIN items it ON it.filename = i.key"""
+
+SQL["confidence_text"] = f"WITH {SCORES} SELECT key, label, printf('%.2f%%', score * 100) AS confidence_text FROM scores"
+
+SQL["classify_batch"] = f"""WITH {SCORES},
+images AS (SELECT DISTINCT key FROM scores)
+SELECT i.key, r.category, r.label, r.score AS confidence
+FROM images i LEFT JOIN ranked r ON i.key = r.key AND r.rank = 1"""
+
+# ---- enrichment ---------------------------------------------------------------
+
+PROMPT_JSON_HEAD = (
+    '{"model":"gpt-4o-mini","messages":[{"role":"user","content":[{"type":"text","text":"'
+    "Provide JSON-formatted metadata about the following image. Include 'is_recyclable', "
+    "'is_compostable', and 'is_metal' as booleans; 'brand' as a string if applicable, but "
+    "otherwise the empty string; and a 'description' field with a 3-8 word description of "
+    "the item. Include just the JSON as a single string without extra formatting or explanation."
+    '"},{"type":"image_url","image_url":{"url":"data:image/jpeg;base64,'
+)
+PROMPT_JSON_TAIL = '"}}]}]}'
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL["base64_payload"] = f"""WITH b AS (SELECT doc_id, to_base64(encode(text)) AS b64 FROM documents),
+r AS (SELECT doc_id, b64, {_q(PROMPT_JSON_HEAD)} || b64 || {_q(PROMPT_JSON_TAIL)} AS request FROM b)
+SELECT doc_id, length(b64) AS payload_length, md5(b64) AS payload_md5,
+       length(request) AS request_length, md5(request) AS request_md5 FROM r"""
+
+ANSWERS = f"""{EP},
+ans_src AS (
+  SELECT event_id, CAST(event_id AS VARCHAR) || '.jpg' AS filename,
+         '{{"is_recyclable": ' || CAST(k % 2 = 0 AS VARCHAR) ||
+         ', "is_compostable": ' || CAST(k % 3 = 0 AS VARCHAR) ||
+         ', "is_metal": ' || CAST(contains(p_name, 'anvil') AS VARCHAR) ||
+         ', "brand": "' || CASE WHEN k % 10 = 0 THEN '' ELSE p_brand END ||
+         '", "description": "' || p_name || '"}}' AS good,
+         p_name
+  FROM ep WHERE event_type = 'error'
+),
+answers AS (
+  SELECT filename,
+         CASE WHEN event_id % 150 = 0 THEN 'Sorry, I cannot describe this image.'
+              WHEN event_id % 150 = 50 THEN '```json' || chr(10) || good || chr(10) || '```'
+              WHEN event_id % 150 = 100 THEN '{{"is_recyclable": "yes", "is_compostable": false, "is_metal": false, "brand": "", "description": "' || p_name || '"}}'
+              WHEN event_id % 7 = 0 THEN '  ' || good || chr(10)
+              ELSE good END AS answer
+  FROM ans_src
+),
+parsed AS (
+  SELECT filename, trim(answer, ' ' || chr(9) || chr(10) || chr(13)) AS a FROM answers
+),
+checked AS (
+  SELECT filename, a,
+         coalesce(CASE WHEN json_valid(a) THEN
+           json_type(CASE WHEN json_valid(a) THEN a END) = 'OBJECT'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_recyclable') = 'BOOLEAN'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_compostable') = 'BOOLEAN'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_metal') = 'BOOLEAN'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.brand') = 'VARCHAR'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.description') = 'VARCHAR'
+         END, false) AS is_valid
+  FROM parsed
+),
+metadata AS (
+  SELECT filename,
+         CASE WHEN is_valid THEN CAST(json_extract_string(CASE WHEN is_valid THEN a END, '$.is_recyclable') AS BOOLEAN) END AS is_recyclable,
+         CASE WHEN is_valid THEN CAST(json_extract_string(CASE WHEN is_valid THEN a END, '$.is_compostable') AS BOOLEAN) END AS is_compostable,
+         CASE WHEN is_valid THEN CAST(json_extract_string(CASE WHEN is_valid THEN a END, '$.is_metal') AS BOOLEAN) END AS is_metal,
+         CASE WHEN is_valid THEN json_extract_string(CASE WHEN is_valid THEN a END, '$.brand') END AS brand,
+         CASE WHEN is_valid THEN json_extract_string(CASE WHEN is_valid THEN a END, '$.description') END AS description,
+         is_valid
+  FROM checked
+)"""
+
+SQL["parse_metadata"] = f"WITH {ANSWERS} SELECT * FROM metadata"
+
+SQL["enrich_batch"] = f"""WITH {ITEMS},
+p AS (SELECT filename, CAST(split_part(filename, '.', 1) AS BIGINT) AS n FROM items WHERE description = '')
+SELECT filename, n % 2 = 0 AS is_recyclable, n % 3 = 0 AS is_compostable, n % 5 = 0 AS is_metal,
+       CASE WHEN n % 4 = 0 THEN '' ELSE 'Brand#' || CAST(n % 25 + 1 AS VARCHAR) END AS brand,
+       'item ' || CAST(n AS VARCHAR) AS description
+FROM p WHERE n % 50 <> 0"""
+
+SQL["merge_update"] = f"""WITH {ANSWERS}, items AS ({items_from('ep')}),
+ok AS (SELECT * FROM metadata WHERE is_valid)
+SELECT i.filename, i.time, i.state, i.city,
+       CASE WHEN o.filename IS NOT NULL THEN o.description ELSE i.description END AS description,
+       CASE WHEN o.filename IS NOT NULL THEN o.is_recyclable ELSE i.is_recyclable END AS is_recyclable,
+       CASE WHEN o.filename IS NOT NULL THEN o.is_compostable ELSE i.is_compostable END AS is_compostable,
+       CASE WHEN o.filename IS NOT NULL THEN o.is_metal ELSE i.is_metal END AS is_metal,
+       CASE WHEN o.filename IS NOT NULL THEN o.brand ELSE i.brand END AS brand
+FROM items i LEFT JOIN ok o ON i.filename = o.filename"""
+
+# ---- synthetic data -------------------------------------------------------------
+
+from binsight import constants as _C  # noqa: E402
+from binsight.functions.random import cumulative_bounds as _bounds  # noqa: E402
+
+
+def _d(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _mix(idx: str, salt: int, seed: int = 0) -> str:
+    """Same integer mix as ``binsight.functions.random`` (all terms stay below 2**63)."""
+    m = 2147483648
+    h = f"(({idx}) % {m} + (({idx}) >> 31) % {m} * 40503 + {salt * 7919 + seed}) % {m}"
+    h = f"(({h}) * 1103515245 + 12345) % {m}"
+    h = f"(({h}) * 1664525 + 1013904223) % {m}"
+    h = f"(({h}) * 1103515245 + {12345 + salt}) % {m}"
+    return h
+
+
+def _u(idx: str, salt: int, seed: int = 0) -> str:
+    return f"(CAST({_mix(idx, salt, seed)} AS DOUBLE) / {_d(2147483648.0)})"
+
+
+def _weighted(u: str, values, weights) -> str:
+    whens = " ".join(f"WHEN {u} < {_d(b)} THEN '{v}'" for v, b in zip(values, _bounds(weights)))
+    return f"CASE {whens} ELSE '{values[-1]}' END"
+
+
+def _choice(values_sql: list[str], idx: str, salt: int) -> str:
+    return f"[{', '.join(values_sql)}][{_mix(idx, salt)} % {len(values_sql)} + 1]"
+
+
+_P = _C.PROFILES["python"]
+_U1000 = f"(CAST(event_id % 1000 AS DOUBLE) / {_d(1000.0)})"
+_END = "date_trunc('hour', (SELECT max(ts) FROM events))"
+
+SQL["hour_spine"] = f"""SELECT unnest(range({_END} - INTERVAL 7 DAY, {_END}, INTERVAL 1 HOUR)) AS hour_start"""
+
+SQL["weighted_pick"] = f"""SELECT event_id, {_weighted(_U1000, _P['brands'], _P['brand_weights'])} AS brand FROM events"""
+
+
+def _rate_case(rates: dict, key: str, default: float) -> str:
+    whens = " ".join(f"WHEN {key} = '{b}' THEN {_d(r)}" for b, r in rates.items())
+    return f"coalesce(CASE {whens} END, {_d(default)})"
+
+
+def _hour_case(key: str) -> str:
+    whens = " ".join(f"WHEN {key} = {i} THEN {_d(w)}" for i, w in enumerate(_P['hour_weights']))
+    return f"coalesce(CASE {whens} END, {_d(_C.DEFAULT_HOUR_RATE)})"
+
+
+_MAXH = _d(max(_P["hour_weights"]))
+
+SQL["rate_lookup"] = f"""WITH {EP},
+b AS (
+  SELECT CAST(event_id AS VARCHAR) || '.jpg' AS filename,
+         CASE WHEN k % 10 = 1 THEN NULL ELSE {_weighted(_U1000, _P['brands'], _P['brand_weights'])} END AS brand,
+         CAST(hour(ts) AS INTEGER) AS hour
+  FROM ep
+)
+SELECT filename,
+       {_rate_case(_P['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS recycling_prob,
+       {_rate_case(_P['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)} * ({_hour_case('hour')} / {_MAXH}) * 3 AS compost_prob
+FROM b"""
+
+_CITY = [f"{{'city': '{c}', 'state': '{s}'}}" for c, s in _C.CITIES]
+_ADJ = [f"'{a}'" for a in _C.ADJECTIVES]
+_DESC = [f"'{x}'" for x in _C.DESCRIPTIONS]
+
+SQL["synth_items"] = f"""WITH base AS (
+  SELECT event_id AS id,
+         {_END} - INTERVAL 7 DAY + to_hours(CAST({_mix('event_id', 1)} % 168 AS BIGINT)) AS time,
+         {_choice(_CITY, 'event_id', 2)} AS cs,
+         {_weighted(_u('event_id', 3), _P['brands'], _P['brand_weights'])} AS brand,
+         {_choice(_ADJ, 'event_id', 5)} || ' ' || {_choice(_DESC, 'event_id', 4)} AS description
+  FROM events
+)
+SELECT CAST(id AS VARCHAR) || '.jpg' AS filename, time, cs.state AS state, cs.city AS city, description,
+       {_u('id', 6)} < {_rate_case(_P['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS is_recyclable,
+       {_u('id', 7)} < {_rate_case(_P['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)}
+           * ({_hour_case('CAST(hour(time) AS INTEGER)')} / {_MAXH}) * 3 AS is_compostable,
+       contains(description, 'aluminum can') AS is_metal,
+       brand
+FROM base"""
