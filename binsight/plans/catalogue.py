@@ -283,3 +283,33 @@ def q_rate_lookup(spark, d):
 def q_synth_items(spark, d):
     ids = dt.table(spark, d, "events").select(F.col("event_id").alias("id"))
     return sy.synth_items(ids, _end_hour(spark, d), "python", seed=0)
+
+
+# ---- streaming ----------------------------------------------------------------
+
+@register("stream_composition")
+def q_stream_composition(spark, d):
+    from binsight.session import scratch_path
+    from binsight.streaming.composition_stream import start_composition
+    out, ckpt = scratch_path(spark, "composition"), scratch_path(spark, "composition-ckpt")
+    q = start_composition(dt.items_from(dt.stream_events_parts(spark, d)), "hour", out, ckpt)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out)
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, d):
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    from binsight.streaming.ingest_stream import start_ingest
+    arrivals = dt.stream_events_parts(spark, d).select(
+        fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
+    table_path = scratch_path(spark, "items")
+    q = start_ingest(arrivals, table_path, scratch_path(spark, "ingest-ckpt"), scratch_path(spark, "ingest-work"),
+                     provider_factory=_provider_factory, backoff_s=0.0)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return tb.read_table(spark, table_path)

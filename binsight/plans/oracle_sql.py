@@ -388,3 +388,19 @@ SELECT CAST(id AS VARCHAR) || '.jpg' AS filename, time, cs.state AS state, cs.ci
        contains(description, 'aluminum can') AS is_metal,
        brand
 FROM base"""
+
+# ---- streaming ------------------------------------------------------------------
+
+SQL["stream_composition"] = f"""WITH {PREPARED}, {composition('hour')}
+SELECT * FROM share_hour"""
+
+SQL["stream_ingest"] = """SELECT CAST(event_id AS VARCHAR) || '.jpg' AS filename, e.ts AS time,
+       'NJ' AS state, 'Princeton' AS city,
+       CASE WHEN event_id % 50 = 0 THEN '' ELSE 'item ' || CAST(event_id AS VARCHAR) END AS description,
+       CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id % 2 = 0 END AS is_recyclable,
+       CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id % 3 = 0 END AS is_compostable,
+       CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id % 5 = 0 END AS is_metal,
+       CASE WHEN event_id % 50 = 0 OR event_id % 4 = 0 THEN ''
+            ELSE 'Brand#' || CAST(event_id % 25 + 1 AS VARCHAR) END AS brand
+FROM events e
+JOIN part p ON CAST(json_extract_string(e.props, '$.k') AS INTEGER) = p.p_partkey"""

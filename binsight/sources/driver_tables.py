@@ -147,3 +147,18 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (embedding_images(spark, sf_dir)
             .select("key", F.inline(F.array(*parts)))
             .select("key", "label", "score"))
+
+
+def stream_events_parts(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """``events`` as an unbounded file source joined to the static ``part``
+    (stream-static join; the part side is size-checked for broadcast)."""
+    schema = table(spark, sf_dir, "events").schema
+    reader = (spark.readStream.format("parquet").schema(schema)
+              .option("pathGlobFilter", "events.parquet"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    ev = reader.load(sf_dir).select(
+        "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    joined = ev.join(broadcast_if_small(part), ev.k == part.p_partkey, "inner")
+    return joined.select("event_id", "ts", "event_type", "k", "p_name", "p_brand")
