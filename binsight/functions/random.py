@@ -2,8 +2,8 @@
 
 Draws depend only on ``(id, salt, seed)``, never on partitioning or task
 order, so a job gives the same rows on 1 or 1000 executors and after a retry.
-The mix uses only integer ``*``, ``+`` and ``pmod`` below 2**63, so any SQL
-engine can reproduce it bit for bit.
+The mix uses only integer ``*``, ``+``, ``xor``, ``>>`` and ``pmod`` below 2**63,
+so any SQL engine can reproduce it bit for bit.
 """
 
 from __future__ import annotations
@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 
 _M = 2147483648          # 2**31
 _A1, _C1 = 1103515245, 12345
-_A2, _C2 = 1664525, 1013904223
+_B = 73244475            # odd 27-bit multiplier of the xor-shift rounds
 _HI = 40503              # folds the high bits of ids >= 2**31
 
 
+def _xs(h: Column, k: int) -> Column:
+    return h.bitwiseXOR(F.shiftright(h, k))
+
+
 def _mix(idc: Column, salt: int, seed: int) -> Column:
+    """31-bit integer hash: affine seed step, then xor-shift / multiply rounds."""
     lo = F.pmod(idc, F.lit(_M))
     hi = F.pmod(F.shiftright(idc, 31), F.lit(_M))
     h = F.pmod(lo + hi * F.lit(_HI) + F.lit(salt * 7919 + seed), F.lit(_M))
     h = F.pmod(h * F.lit(_A1) + F.lit(_C1), F.lit(_M))
-    h = F.pmod(h * F.lit(_A2) + F.lit(_C2), F.lit(_M))
-    h = F.pmod(h * F.lit(_A1) + F.lit(_C1 + salt), F.lit(_M))
-    return h
+    h = F.pmod(_xs(h, 16) * F.lit(_B), F.lit(_M))
+    h = F.pmod(_xs(h, 13) * F.lit(_B), F.lit(_M))
+    return _xs(h, 16)
 
 
 def uniform(idc, salt: int, seed: int = 0) -> Column:

@@ -314,12 +314,13 @@ def _d(x: float) -> str:
 
 
 def _mix(idx: str, salt: int, seed: int = 0) -> str:
-    """Same integer mix as ``binsight.functions.random`` (all terms stay below 2**63)."""
+    """Same integer hash as ``binsight.functions.random`` (all terms stay below 2**63)."""
     m = 2147483648
     h = f"(({idx}) % {m} + (({idx}) >> 31) % {m} * 40503 + {salt * 7919 + seed}) % {m}"
     h = f"(({h}) * 1103515245 + 12345) % {m}"
-    h = f"(({h}) * 1664525 + 1013904223) % {m}"
-    h = f"(({h}) * 1103515245 + {12345 + salt}) % {m}"
+    h = f"(xor(({h}), ({h}) >> 16) * 73244475) % {m}"
+    h = f"(xor(({h}), ({h}) >> 13) * 73244475) % {m}"
+    h = f"xor(({h}), ({h}) >> 16)"
     return h
 
 
