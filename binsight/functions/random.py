@@ -40,11 +40,17 @@ def uniform(idc, salt: int, seed: int = 0) -> Column:
     return _mix(idc.cast("long"), salt, seed) / F.lit(float(_M))
 
 
+def uniform_int(n: int, idc, salt: int, seed: int = 0) -> Column:
+    """Integer in [0, n) (``n`` far below 2**31)."""
+    idc = F.col(idc) if isinstance(idc, str) else idc
+    return F.pmod(_mix(idc.cast("long"), salt, seed), F.lit(n))
+
+
 def uniform_choice(values: list, idc, salt: int, seed: int = 0) -> Column:
     """Uniform pick from a fixed list (strings, numbers or structs)."""
     idc = F.col(idc) if isinstance(idc, str) else idc
     arr = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
-    return F.element_at(arr, (F.pmod(_mix(idc.cast("long"), salt, seed), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(arr, (uniform_int(len(values), idc, salt, seed) + 1).cast("int"))
 
 
 def cumulative_bounds(weights: list[float]) -> list[float]:

@@ -18,8 +18,8 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (upper bound for file scans)."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes().toString()))
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size))  # py4j hands back a Python int (or a BigInteger proxy)
     except Exception:  # connect sessions / no JVM access: be conservative
         return 1 << 62
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 from binsight import constants as C
-from binsight.functions.random import uniform, uniform_choice, weighted_choice
+from binsight.functions.random import uniform, uniform_choice, uniform_int, weighted_choice
 from binsight.operators.joins import fixed_dimension
 
 HOURS_PER_SPINE = C.SPINE_DAYS * 24
@@ -102,7 +102,7 @@ def synth_items(ids: DataFrame, end: Column, profile_name: str = "python", seed:
     """
     p = profile(profile_name)
     i = F.col(id_col)
-    step = uniform_choice(list(range(HOURS_PER_SPINE)), i, salt=1, seed=seed)
+    step = uniform_int(HOURS_PER_SPINE, i, salt=1, seed=seed).cast("int")
     t = spine_start(end) + F.make_dt_interval(F.lit(0), step)
     city = uniform_choice([F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in C.CITIES],
                           i, salt=2, seed=seed)

@@ -27,8 +27,18 @@ IMAGE_ROOT = "file:/data/images/"
 METAL_PART_WORD = "anvil"
 
 
+_READERS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy reader of one test table. The reader frame (schema + file listing,
+    no data) is reused per session: the tables are read-only."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _READERS.get(key)
+    if df is None:
+        df = _READERS[key] = spark.read.parquet(path)
+    return df
 
 
 def events_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
