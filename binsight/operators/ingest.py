@@ -73,7 +73,7 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
     keys = incoming.select(key)
-    if estimated_bytes(keys) <= broadcast_limit(incoming):
+    if 0 <= estimated_bytes(keys) <= broadcast_limit(incoming):
         seen = (existing.select(key)
                 .join(F.broadcast(keys.filter(F.col(key).isNotNull())), key, "left_semi")
                 .dropDuplicates([key]))

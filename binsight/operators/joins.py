@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -24,18 +24,28 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def _bytes(text: str) -> int:
+    text = text.strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    text = text[:-1] if text.endswith("b") else text
+    if text and text[-1] in units:
+        return int(float(text[:-1]) * units[text[-1]])
+    return int(text)
+
+
 def broadcast_limit(df: DataFrame) -> int:
+    """The session's ``spark.sql.autoBroadcastJoinThreshold`` (10 MB by default);
+    a negative value disables broadcasting altogether."""
     conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
     try:
-        value = int(str(conf).rstrip("bB")) if conf is not None else -1
+        return _bytes(str(conf)) if conf is not None else DEFAULT_BROADCAST_BYTES
     except ValueError:
-        value = -1
-    return max(value, DEFAULT_BROADCAST_BYTES)
+        return DEFAULT_BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     limit = broadcast_limit(df) if max_bytes is None else max_bytes
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if 0 <= estimated_bytes(df) <= limit else df
 
 
 def fixed_dimension(df: DataFrame) -> DataFrame:

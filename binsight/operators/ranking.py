@@ -20,3 +20,11 @@ def top_brands(prepared: DataFrame, n: int = 10) -> DataFrame:
     return (waste_by_brand(prepared)
             .orderBy(F.desc("total_waste_count"), F.asc_nulls_first("brand"))
             .limit(n))
+
+
+def top_from_counts(by_brand: DataFrame, n: int = 10, count_col: str = "total_count") -> DataFrame:
+    """Top ``n`` from an existing per-brand aggregate (e.g. the brand composition),
+    so a dashboard refresh scans and aggregates the table once, not twice."""
+    return (by_brand.select("brand", F.col(count_col).alias("total_waste_count"))
+            .orderBy(F.desc("total_waste_count"), F.asc_nulls_first("brand"))
+            .limit(n))

@@ -14,7 +14,7 @@ from binsight.operators import ingest as ing
 from binsight.operators.composition import composition, composition_long
 from binsight.operators.merge import merge_update
 from binsight.operators.prepare import prepare
-from binsight.operators.ranking import top_brands
+from binsight.operators.ranking import top_from_counts
 from binsight.sources import table as tb
 from binsight.sources.images import read_images
 from binsight.sources.json_items import read_json_items
@@ -65,11 +65,15 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     answers_path = scratch_path(spark, "answers")
     ok.write.parquet(answers_path)
     ok = spark.read.parquet(answers_path)
-    return tb.replace(spark, merge_update(items, ok), table_path), bad
+    return tb.replace(spark, merge_update(items, ok, check_unique=False), table_path), bad
 
 
 def dashboard(items: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
-    """The three result tables (and long forms) of the composition dashboard."""
+    """The three result tables (and long forms) of the composition dashboard.
+
+    The top brands reuse the brand composition's counts. Persist ``items``
+    first when all five tables are computed from one snapshot.
+    """
     prepared = prepare(items)
     by_hour = composition(prepared, "hour")
     by_brand = composition(prepared, "brand", order=False)
@@ -78,6 +82,6 @@ def dashboard(items: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
         "composition_by_hour_long": composition_long(by_hour, ["hour"]),
         "composition_by_brand": by_brand,
         "composition_by_brand_long": composition_long(by_brand, ["brand", "total_count"]),
-        "top_brands": top_brands(prepared, top_n),
+        "top_brands": top_from_counts(by_brand, top_n),
     }
 

@@ -53,7 +53,8 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, table_pat
         ok, _bad = en.enrich(new.select("filename", content.alias("content")), provider_factory, **provider_kw)
         ans_path = f"{work_dir}/answers/epoch={epoch_id}"
         ok.write.mode("overwrite").parquet(ans_path)
-        items = merge_update(items, spark.read.parquet(ans_path))
+        # answers are unique per file name by construction (``enrich`` de-duplicates)
+        items = merge_update(items, spark.read.parquet(ans_path), check_unique=False)
     tb.append(spark, items, table_path)
 
 

@@ -75,3 +75,13 @@ def test_property_partition_of_rows(spark, rows):
     for r in res:
         assert r.compostable_count + r.recyclable_count + r.trash_count == r.total_count
         assert abs(r.compostable_pct + r.recyclable_pct + r.trash_pct - 100) < 1e-9
+
+
+def test_dashboard_top_brands_equal_direct(spark):
+    from binsight.plans.jobs import dashboard
+    from binsight.sources.driver_tables import items
+    it = items(spark, "/root/testdata/sf0.001")
+    d = dashboard(it)
+    assert set(d) == {"composition_by_hour", "composition_by_hour_long", "composition_by_brand",
+                      "composition_by_brand_long", "top_brands"}
+    assert [tuple(r) for r in d["top_brands"].collect()] == [tuple(r) for r in top_brands(prepare(it)).collect()]
