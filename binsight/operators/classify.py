@@ -132,6 +132,8 @@ def score_images(images: DataFrame, scorer_factory: Callable, columns: list[str]
     maps a pandas batch of image rows to a long pandas frame. Lower
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` when rows carry image bytes.
     """
+    from binsight.session import ship_package
+    ship_package(images.sparkSession)
     if columns:
         images = images.select(*columns)
 

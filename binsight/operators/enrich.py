@@ -40,6 +40,8 @@ def call_provider(requests: DataFrame, provider_factory: Callable, retries: int
                   backoff_s: float = 0.5, strict: bool = False, partitions: int | None = None) -> DataFrame:
     """(filename, request) -> (filename, answer). A call failing ``retries``
     times gives a NULL answer (rejected later), or raises when ``strict``."""
+    from binsight.session import ship_package
+    ship_package(requests.sparkSession)
     if partitions:
         requests = requests.repartition(partitions)
     requests = requests.select("filename", "request")

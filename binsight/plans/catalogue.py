@@ -285,18 +285,24 @@ def q_synth_items(spark, d):
     return sy.synth_items(ids, _end_hour(spark, d), "python", seed=0)
 
 
+@register("synth_items_matlab")
+def q_synth_items_matlab(spark, d):
+    ids = dt.table(spark, d, "events").select(F.col("event_id").alias("id"))
+    return sy.synth_items(ids, _end_hour(spark, d), "matlab", seed=11)
+
+
 # ---- streaming ----------------------------------------------------------------
 
 @register("stream_composition")
 def q_stream_composition(spark, d):
     from binsight.session import scratch_path
-    from binsight.streaming.composition_stream import start_composition
+    from binsight.streaming.composition_stream import read_composition, start_composition
     out, ckpt = scratch_path(spark, "composition"), scratch_path(spark, "composition-ckpt")
     q = start_composition(dt.items_from(dt.stream_events_parts(spark, d)), "hour", out, ckpt)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    return read_composition(spark, out)
 
 
 @register("stream_ingest")

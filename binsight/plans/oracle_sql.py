@@ -333,8 +333,8 @@ def _weighted(u: str, values, weights) -> str:
     return f"CASE {whens} ELSE '{values[-1]}' END"
 
 
-def _choice(values_sql: list[str], idx: str, salt: int) -> str:
-    return f"[{', '.join(values_sql)}][{_mix(idx, salt)} % {len(values_sql)} + 1]"
+def _choice(values_sql: list[str], idx: str, salt: int, seed: int = 0) -> str:
+    return f"[{', '.join(values_sql)}][{_mix(idx, salt, seed)} % {len(values_sql)} + 1]"
 
 
 _P = _C.PROFILES["python"]
@@ -374,22 +374,30 @@ _CITY = [f"{{'city': '{c}', 'state': '{s}'}}" for c, s in _C.CITIES]
 _ADJ = [f"'{a}'" for a in _C.ADJECTIVES]
 _DESC = [f"'{x}'" for x in _C.DESCRIPTIONS]
 
-SQL["synth_items"] = f"""WITH base AS (
+def synth_sql(profile: str, seed: int = 0) -> str:
+    p = _C.PROFILES[profile]
+    hour_whens = " ".join(f"WHEN CAST(hour(time) AS INTEGER) = {i} THEN {_d(w)}" for i, w in enumerate(p["hour_weights"]))
+    hour_rate = f"coalesce(CASE {hour_whens} END, {_d(_C.DEFAULT_HOUR_RATE)})"
+    return f"""WITH base AS (
   SELECT event_id AS id,
-         {_END} - INTERVAL 7 DAY + to_hours(CAST({_mix('event_id', 1)} % 168 AS BIGINT)) AS time,
-         {_choice(_CITY, 'event_id', 2)} AS cs,
-         {_weighted(_u('event_id', 3), _P['brands'], _P['brand_weights'])} AS brand,
-         {_choice(_ADJ, 'event_id', 5)} || ' ' || {_choice(_DESC, 'event_id', 4)} AS description
+         {_END} - INTERVAL 7 DAY + to_hours(CAST({_mix('event_id', 1, seed)} % 168 AS BIGINT)) AS time,
+         {_choice(_CITY, 'event_id', 2, seed)} AS cs,
+         {_weighted(_u('event_id', 3, seed), p['brands'], p['brand_weights'])} AS brand,
+         {_choice(_ADJ, 'event_id', 5, seed)} || ' ' || {_choice(_DESC, 'event_id', 4, seed)} AS description
   FROM events
 )
 SELECT CAST(id AS VARCHAR) || '.jpg' AS filename, time, cs.state AS state, cs.city AS city, description,
-       {_u('id', 6)} < {_rate_case(_P['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS is_recyclable,
-       {_u('id', 7)} < {_rate_case(_P['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)}
-           * ({_hour_case('CAST(hour(time) AS INTEGER)')} / {_MAXH}) * 3 AS is_compostable,
+       {_u('id', 6, seed)} < {_rate_case(p['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS is_recyclable,
+       {_u('id', 7, seed)} < {_rate_case(p['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)}
+           * ({hour_rate} / {_d(max(p['hour_weights']))}) * 3 AS is_compostable,
        contains(description, 'aluminum can') AS is_metal,
        brand
 FROM base"""
 
+
+SQL["synth_items"] = synth_sql("python")
+SQL["synth_items_matlab"] = synth_sql("matlab", seed=11)
+
 # ---- streaming ------------------------------------------------------------------
 
 SQL["stream_composition"] = f"""WITH {PREPARED}, {composition('hour')}

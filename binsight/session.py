@@ -71,3 +71,47 @@ def local_fs_path(path: str) -> str:
 def ensure_local_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_fs_path(path), exist_ok=True)
+
+
+_SHIPPED: set = set()
+
+
+def _zip_package() -> bytes:
+    import io
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for fn in filenames:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    zf.write(full, os.path.relpath(full, root))
+    return buf.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``binsight`` importable by the Python workers (like ``--py-files``).
+
+    The zip is written once per application to the shared folder and added
+    with ``addPyFile``; harmless when the package is installed on the workers.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    target = f"{scratch_path(spark, 'pyfiles')}/binsight.zip"
+    data = _zip_package()
+    if is_local_path(target):
+        os.makedirs(os.path.dirname(local_fs_path(target)), exist_ok=True)
+        with open(local_fs_path(target), "wb") as f:
+            f.write(data)
+    else:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(target)
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -1,8 +1,9 @@
 """Live composition: the dashboard aggregates kept up to date over the item stream.
 
 Complete-mode aggregation: the state is one row per key (24 hours, or the
-number of brands), independent of the data volume. Each trigger writes the
-full, small result to a parquet folder that readers pick up.
+number of brands), independent of the data volume. Each trigger publishes the
+full, small result as a new committed snapshot (``sources.table``), so a
+reader (``read_composition``) never sees a half-written result.
 """
 
 from __future__ import annotations
@@ -11,18 +12,43 @@ from pyspark.sql import DataFrame
 
 from binsight.operators.composition import composition
 from binsight.operators.prepare import prepare
+from binsight.sources import table as tb
+
+
+# Upper bound of distinct keys per grouping (hour of day: 0-23 and NULL).
+KEY_CARDINALITY = {"hour": 25}
 
 
 def start_composition(items_stream: DataFrame, key: str, out_path: str, checkpoint: str,
-                      trigger: dict | None = None):
+                      trigger: dict | None = None, state_partitions: int | None = None):
     """``trigger`` defaults to availableNow; the dashboard cadence is
-    ``{"processingTime": "30 seconds"}``."""
+    ``{"processingTime": "30 seconds"}``.
+
+    The number of state-store partitions is fixed at the first start (it is
+    recorded in the checkpoint). For a key with a known small domain it is
+    capped at that domain; otherwise ``spark.sql.shuffle.partitions`` applies.
+    """
+    spark = items_stream.sparkSession
+    if state_partitions is None and key in KEY_CARDINALITY:
+        state_partitions = min(KEY_CARDINALITY[key], spark.sparkContext.defaultParallelism)
     agg = composition(prepare(items_stream), key, order=False)
 
     def publish(batch, epoch_id):
-        batch.write.mode("overwrite").parquet(out_path)
+        tb.replace(spark, batch, out_path)
 
     writer = (agg.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return writer.start()  # the query keeps a copy of the session conf taken here
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+
+
+def read_composition(spark, out_path: str) -> DataFrame:
+    """Newest published composition."""
+    return tb.read_table(spark, out_path)
