@@ -105,11 +105,13 @@ def classification_report(scores: DataFrame, images: DataFrame, model: str,
                           key: str = "filename", time_col: str = "time") -> DataFrame:
     """key, category, label, confidence, confidence_text, image_saved.
 
-    ``images`` supplies the capture time per key (item table). AQE turns the
-    join into a broadcast of the per-image result when that side is small.
+    ``images`` supplies the capture time per key (item table), collapsed to one
+    row per key first (partial aggregate: a repeated key cannot multiply report
+    rows or overload one task). The join then reuses that hash partitioning,
+    and AQE broadcasts the per-image side when it is small.
     """
     best = best_per_image(scores, model)
-    times = images.select(F.col(key).alias("key"), F.col(time_col).alias("__t"))
+    times = images.groupBy(F.col(key).alias("key")).agg(F.max(time_col).alias("__t"))
     return (best.join(times, "key", "left")
             .select("key", "category", "label", "confidence",
                     percent_text("confidence").alias("confidence_text"),

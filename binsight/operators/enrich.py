@@ -91,9 +91,14 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def enrich(pending_rows: DataFrame, provider_factory: Callable, content: str = "content",
-           **kw) -> tuple[DataFrame, DataFrame]:
-    """(valid metadata, rejected filenames) for pending rows carrying ``content`` bytes."""
-    req = with_request(dedupe_by_key(pending_rows.select("filename", content)), content)
+           dedupe: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
+    """(valid metadata, rejected filenames) for pending rows carrying ``content`` bytes.
+
+    One provider call per file name (``dedupe``; pass False when the rows are
+    unique by construction, which avoids shuffling the bytes).
+    """
+    rows = pending_rows.select("filename", content)
+    req = with_request(dedupe_by_key(rows) if dedupe else rows, content)
     return split_valid(parse_answers(call_provider(req, provider_factory, **kw)))
 
 

@@ -11,8 +11,10 @@ from binsight.operators.joins import broadcast_limit, estimated_bytes
 from binsight.schema import ITEM, ITEM_COLUMNS
 
 
-def with_ingest_defaults(df: DataFrame, state: str = C.DEFAULT_STATE, city: str = C.DEFAULT_CITY) -> DataFrame:
-    """``(filename, time)`` -> the nine item columns with ingest defaults.
+def with_ingest_defaults(df: DataFrame, state: str = C.DEFAULT_STATE, city: str = C.DEFAULT_CITY,
+                         keep: list[str] | None = None) -> DataFrame:
+    """``(filename, time)`` -> the nine item columns with ingest defaults
+    (plus the ``keep`` columns, e.g. image bytes, after them).
 
     A blank description marks a row as not enriched yet; the three flags are
     typed NULLs and the brand is blank (unknown).
@@ -25,6 +27,7 @@ def with_ingest_defaults(df: DataFrame, state: str = C.DEFAULT_STATE, city: str
         F.lit(None).cast("boolean").alias("is_compostable"),
         F.lit(None).cast("boolean").alias("is_metal"),
         F.lit(C.UNKNOWN_BRAND).alias("brand"),
+        *(keep or []),
     )
 
 
@@ -63,22 +66,26 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
              dedupe: bool = False) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing`` (left anti join).
 
-    NULL keys never match, so they are always kept; duplicates inside the
-    batch are kept unless ``dedupe``. When the batch is small (size-checked)
-    the existing table is never shuffled: its keys are semi-joined against the
-    broadcast batch keys, de-duplicated (bounded by the batch), and that small
+    NULL keys never match, so those rows are kept without entering the join
+    (they would all hash to one partition). Duplicates inside the batch are
+    kept unless ``dedupe``. When the batch keys are small (size-checked) the
+    existing table is never shuffled: its keys are semi-joined against the
+    broadcast batch keys, de-duplicated (bounded by the batch) and that small
     set is broadcast into the anti join. Otherwise a shuffled anti join runs,
     with AQE splitting skewed partitions.
     """
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
-    keys = incoming.select(key)
+    has_key = F.col(key).isNotNull()
+    keyed, unkeyed = incoming.filter(has_key), incoming.filter(F.col(key).isNull())
+    table_keys = existing.select(key).filter(F.col(key).isNotNull())
+    keys = keyed.select(key)
     if 0 <= estimated_bytes(keys) <= broadcast_limit(incoming):
-        seen = (existing.select(key)
-                .join(F.broadcast(keys.filter(F.col(key).isNotNull())), key, "left_semi")
-                .dropDuplicates([key]))
-        return incoming.join(F.broadcast(seen), key, "left_anti")
-    return incoming.join(existing.select(key), key, "left_anti")
+        seen = table_keys.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
+        fresh = keyed.join(F.broadcast(seen), key, "left_anti")
+    else:
+        fresh = keyed.join(table_keys, key, "left_anti")
+    return fresh.unionByName(unkeyed)
 
 
 def union_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:

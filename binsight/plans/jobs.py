@@ -12,6 +12,7 @@ from binsight.functions.columns import basename
 from binsight.operators import enrich as en
 from binsight.operators import ingest as ing
 from binsight.operators.composition import composition, composition_long
+from binsight.operators.joins import broadcast_if_small
 from binsight.operators.merge import merge_update
 from binsight.operators.prepare import prepare
 from binsight.operators.ranking import top_from_counts
@@ -43,10 +44,14 @@ def load_json_items(spark: SparkSession, path: str, table_path: str, multiline:
     return append_new(spark, rows, table_path)
 
 
-def attach_content(spark: SparkSession, rows: DataFrame, image_dir: str) -> DataFrame:
-    """Pending rows joined to their image bytes by file name (pruned to matching files)."""
+def attach_content(spark: SparkSession, names: DataFrame, image_dir: str) -> DataFrame:
+    """(filename, content) of the image files named in ``names`` (unique names).
+
+    A semi join against the (size-checked, broadcast) name set: the image
+    bytes are never shuffled. File names are unique in a non-recursive folder.
+    """
     files = read_images(spark, image_dir).select(basename("path").alias("filename"), "content")
-    return rows.join(files, "filename", "inner")
+    return files.join(broadcast_if_small(names.select("filename")), "filename", "left_semi")
 
 
 def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provider_factory: Callable,
@@ -58,10 +63,10 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     """
     from binsight.session import scratch_path
     items = tb.read_table(spark, table_path)
-    todo = en.pending(items).select("filename")
+    todo = ing.dedupe_by_key(en.pending(items).select("filename"))
     if todo.isEmpty():
         return -1, spark.createDataFrame([], "filename string")
-    ok, bad = en.enrich(attach_content(spark, todo, image_dir), provider_factory, **kw)
+    ok, bad = en.enrich(attach_content(spark, todo, image_dir), provider_factory, dedupe=False, **kw)
     answers_path = scratch_path(spark, "answers")
     ok.write.parquet(answers_path)
     ok = spark.read.parquet(answers_path)

@@ -5,10 +5,10 @@ Per micro-batch (``foreachBatch``):
 
 1. keep rows whose file name is not in the table yet (left anti join): a
    replayed batch appends nothing twice;
-2. materialise them in the shared folder (cuts lineage, one scan of the batch);
-3. ask the provider about them (``mapInPandas`` on the executors) and store
-   the answers before using them, so a retry never calls again;
-4. apply valid answers to the new rows (matched update) and append.
+2. ask the provider about them (``mapInPandas`` on the executors) and store
+   the answers in the shared folder before using them, so a retry of the
+   merge/append never calls again;
+3. apply valid answers to the new rows (matched update) and append.
 
 Rows with invalid answers are appended pending; ``plans.jobs.enrich_pending``
 retries them later. The file source records processed files in the query
@@ -40,22 +40,23 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, table_pat
                  provider_factory: Callable | None, state: str = C.DEFAULT_STATE,
                  city: str = C.DEFAULT_CITY, **provider_kw) -> None:
     has_content = "content" in batch.columns
-    shaped = ing.with_ingest_defaults(batch.select("filename", "time"), state, city)
-    if has_content:
-        shaped = shaped.join(batch.select("filename", "content"), "filename", "left")
+    shaped = ing.with_ingest_defaults(batch, state, city, keep=["content"] if has_content else None)
     new = ing.new_only(shaped, tb.read_table(spark, table_path)) if tb.exists(spark, table_path) else shaped
-    new_path = f"{work_dir}/new/epoch={epoch_id}"
-    new.write.mode("overwrite").parquet(new_path)
-    new = spark.read.parquet(new_path)
-    items = new.drop("content") if has_content else new
-    if provider_factory is not None:
-        content = F.col("content") if has_content else F.col("filename").cast("binary")
-        ok, _bad = en.enrich(new.select("filename", content.alias("content")), provider_factory, **provider_kw)
-        ans_path = f"{work_dir}/answers/epoch={epoch_id}"
-        ok.write.mode("overwrite").parquet(ans_path)
-        # answers are unique per file name by construction (``enrich`` de-duplicates)
-        items = merge_update(items, spark.read.parquet(ans_path), check_unique=False)
-    tb.append(spark, items, table_path)
+    # used twice below; recomputing it after a lost executor gives the same rows,
+    # because the table only changes at the final append
+    new = new.persist()
+    try:
+        items = new.drop("content") if has_content else new
+        if provider_factory is not None:
+            content = F.col("content") if has_content else F.col("filename").cast("binary")
+            ok, _bad = en.enrich(new.select("filename", content.alias("content")), provider_factory, **provider_kw)
+            ans_path = f"{work_dir}/answers/epoch={epoch_id}"
+            ok.write.mode("overwrite").parquet(ans_path)
+            # answers are unique per file name by construction (``enrich`` de-duplicates)
+            items = merge_update(items, spark.read.parquet(ans_path), check_unique=False)
+        tb.append(spark, items, table_path)
+    finally:
+        new.unpersist()
 
 
 def start_ingest(arrivals: DataFrame, table_path: str, checkpoint: str, work_dir: str,

@@ -91,3 +91,14 @@ def test_enrich_pending_end_to_end(spark, tmp_dir):
     rows = tb.read_table(spark, table).collect()
     assert len(rows) == 3 and all(r.brand == "Kirkland" and r.is_metal for r in rows)
     assert jobs.enrich_pending(spark, table, img, Flaky)[0] == -1  # nothing pending
+
+
+def test_report_repeated_item_key_does_not_multiply(spark):
+    scores = spark.createDataFrame([("k.jpg", "Paper", 0.4), ("k.jpg", "Organic", 0.6)], S)
+    items = spark.createDataFrame([("k.jpg", "2024-01-01 10:00:00"), ("k.jpg", "2024-01-01 11:00:00")],
+                                  "filename string, time string").withColumn("time", F.col("time").cast("timestamp"))
+    rows = cl.classification_report(scores, items, "trash1").collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.category, r.label, r.confidence_text, r.image_saved) == (
+        "COMPOST", "Organic", "60.00%", "images/capture_20240101-110000.jpg")

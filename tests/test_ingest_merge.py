@@ -117,3 +117,11 @@ def test_load_json_items_anti_join_and_schema_conflict(spark, tmp_dir):
     bad = spark.createDataFrame([("9.jpg", 1)], "filename string, brand int")
     with pytest.raises(tb.SchemaConflictError):
         tb.append(spark, bad, table)
+
+
+def test_merge_null_target_keys_untouched(spark):
+    target = spark.createDataFrame([(None, "x"), (None, "y"), ("a", "")], "filename string, description string")
+    source = spark.createDataFrame([("a", "cup"), (None, "ghost")], "filename string, description string")
+    out = sorted((r.filename or "", r.description) for r in
+                 merge_update(target, source, columns=["description"], check_unique=False).collect())
+    assert out == [("", "x"), ("", "y"), ("a", "cup")]
