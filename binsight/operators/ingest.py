@@ -66,26 +66,23 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
              dedupe: bool = False) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing`` (left anti join).
 
-    NULL keys never match, so those rows are kept without entering the join
-    (they would all hash to one partition). Duplicates inside the batch are
-    kept unless ``dedupe``. When the batch keys are small (size-checked) the
-    existing table is never shuffled: its keys are semi-joined against the
-    broadcast batch keys, de-duplicated (bounded by the batch) and that small
-    set is broadcast into the anti join. Otherwise a shuffled anti join runs,
-    with AQE splitting skewed partitions.
+    NULL keys never match, so they are always kept; duplicates inside the
+    batch are kept unless ``dedupe``. When the batch keys are small
+    (size-checked) the existing table is never shuffled: its keys are
+    semi-joined against the broadcast batch keys, de-duplicated (bounded by the
+    batch) and that small set is broadcast into the anti join. Otherwise a
+    shuffled anti join runs; AQE's skew-join rule splits an oversized
+    partition of the batch side (a hot key, or all NULL keys) into several
+    tasks.
     """
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
-    has_key = F.col(key).isNotNull()
-    keyed, unkeyed = incoming.filter(has_key), incoming.filter(F.col(key).isNull())
     table_keys = existing.select(key).filter(F.col(key).isNotNull())
-    keys = keyed.select(key)
+    keys = incoming.select(key).filter(F.col(key).isNotNull())
     if 0 <= estimated_bytes(keys) <= broadcast_limit(incoming):
         seen = table_keys.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
-        fresh = keyed.join(F.broadcast(seen), key, "left_anti")
-    else:
-        fresh = keyed.join(table_keys, key, "left_anti")
-    return fresh.unionByName(unkeyed)
+        return incoming.join(F.broadcast(seen), key, "left_anti")
+    return incoming.join(table_keys, key, "left_anti")
 
 
 def union_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -38,10 +38,10 @@ def merge_update(target: DataFrame, source: DataFrame, key: str = "filename",
         assert_unique_keys(source, key)
     src = source.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), F.lit(True).alias("__matched"), *[F.col(c).alias(f"__new_{c}") for c in columns])
-    # NULL target keys never match: keep them out of the join (one hot partition otherwise)
-    keyed, unkeyed = target.filter(F.col(key).isNotNull()), target.filter(F.col(key).isNull())
-    joined = keyed.join(broadcast_if_small(src), F.col(key) == F.col("__key"), "left")
+    # A shuffled left join puts a hot target key (or all NULL keys) in one
+    # partition; AQE's skew-join rule splits that left-side partition.
+    joined = target.join(broadcast_if_small(src), F.col(key) == F.col("__key"), "left")
     matched = F.col("__matched").isNotNull()
     out = [F.when(matched, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
            for c in target.columns]
-    return joined.select(*out).unionByName(unkeyed)
+    return joined.select(*out)
