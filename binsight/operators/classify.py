@@ -2,8 +2,10 @@
 
 The scorer runs in ``mapInPandas`` (Arrow batches, one instance per Python
 worker); everything after it is JVM-side: a broadcast join to the fixed-size
-taxonomy and a per-image ``min_by`` aggregate, which is combined map-side and
-needs no sort.
+taxonomy and a per-image ``min_by`` aggregate. That aggregate is combined
+map-side before the shuffle (one row per image and partition), so a repeated
+image key cannot overload a task; it plans as a sort-based aggregate because
+its buffer holds a struct.
 """
 
 from __future__ import annotations

@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from binsight import constants as C
 from binsight.functions.columns import request_document
 from binsight.operators.classify import _instance
-from binsight.operators.ingest import dedupe_by_key
 from binsight.schema import ANSWER, METADATA_FIELDS
 
 ANSWERS = T.StructType([T.StructField("filename", T.StringType()), T.StructField("answer", T.StringType())])
@@ -90,16 +89,29 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
+def one_answer_per_file(ok: DataFrame) -> DataFrame:
+    """One valid answer per file name (deterministic pick: the smallest answer).
+
+    Runs on the small parsed answers, combined map-side, so the image bytes
+    are never shuffled to remove duplicate requests.
+    """
+    best = F.min(F.struct(*METADATA_FIELDS)).alias("m")
+    return ok.groupBy("filename").agg(best).select("filename", *[F.col(f"m.{f}").alias(f) for f in METADATA_FIELDS])
+
+
 def enrich(pending_rows: DataFrame, provider_factory: Callable, content: str = "content",
            dedupe: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
-    """(valid metadata, rejected filenames) for pending rows carrying ``content`` bytes.
+    """(valid metadata, rejected file names) for pending rows carrying ``content`` bytes.
 
-    One provider call per file name (``dedupe``; pass False when the rows are
-    unique by construction, which avoids shuffling the bytes).
+    The provider is asked once per row, on the partitions where the rows
+    already are; with ``dedupe`` the answers are reduced to one per file name
+    (pass False when the rows are unique by construction).
     """
-    rows = pending_rows.select("filename", content)
-    req = with_request(dedupe_by_key(rows) if dedupe else rows, content)
-    return split_valid(parse_answers(call_provider(req, provider_factory, **kw)))
+    req = with_request(pending_rows.select("filename", content), content)
+    ok, bad = split_valid(parse_answers(call_provider(req, provider_factory, **kw)))
+    if dedupe:
+        ok, bad = one_answer_per_file(ok), bad.dropDuplicates(["filename"])
+    return ok, bad
 
 
 class NumberedProvider:

@@ -102,3 +102,12 @@ def test_report_repeated_item_key_does_not_multiply(spark):
     r = rows[0]
     assert (r.category, r.label, r.confidence_text, r.image_saved) == (
         "COMPOST", "Organic", "60.00%", "images/capture_20240101-110000.jpg")
+
+
+def test_enrich_duplicate_rows_give_one_answer(spark):
+    rows = spark.createDataFrame([("7.jpg", bytearray(b"a")), ("7.jpg", bytearray(b"b")), ("50.jpg", bytearray(b"c"))],
+                                 "filename string, content binary")
+    ok, bad = en.enrich(rows, en.NumberedProvider, backoff_s=0.0)
+    got = ok.collect()
+    assert [(r.filename, r.description) for r in got] == [("7.jpg", "item 7")]
+    assert [r.filename for r in bad.collect()] == ["50.jpg"]
