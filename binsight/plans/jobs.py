@@ -16,6 +16,7 @@ from binsight.operators.joins import broadcast_if_small
 from binsight.operators.merge import merge_update
 from binsight.operators.prepare import prepare
 from binsight.operators.ranking import top_from_counts
+from binsight.schema import METADATA_FIELDS
 from binsight.sources import table as tb
 from binsight.sources.images import read_images
 from binsight.sources.json_items import read_json_items
@@ -55,8 +56,9 @@ def attach_content(spark: SparkSession, names: DataFrame, image_dir: str) -> Dat
 
 
 def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provider_factory: Callable,
-                   **kw) -> tuple[int, DataFrame]:
-    """Describe pending images and merge valid answers into a new table snapshot.
+                   use_delta: bool = False, **kw) -> tuple[int, DataFrame]:
+    """Describe pending images and merge valid answers into a new table snapshot
+    (or, with ``use_delta`` and Delta Lake installed, through a Delta MERGE).
 
     Answers are written to the shared folder before the merge, so a retried
     merge never calls the provider again. Returns (snapshot number or -1, rejects).
@@ -70,6 +72,9 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     answers_path = scratch_path(spark, "answers")
     ok.write.parquet(answers_path)
     ok = spark.read.parquet(answers_path)
+    if use_delta and tb.delta_available(spark):
+        tb.delta_merge_update(spark, table_path, ok, "filename", list(METADATA_FIELDS))
+        return 0, bad
     return tb.replace(spark, merge_update(items, ok, check_unique=False), table_path), bad
 
 

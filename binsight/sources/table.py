@@ -87,3 +87,22 @@ def replace(spark: SparkSession, df: DataFrame, base: str) -> int:
     n = snaps[-1] + 1 if snaps else 0
     df.write.mode("overwrite").parquet(snapshot_path(base, n))
     return n
+
+
+def delta_available(spark: SparkSession) -> bool:
+    """True when the Delta Lake Python package and its jars are usable."""
+    try:
+        import delta.tables  # noqa: F401
+        spark._jvm.io.delta.tables.DeltaTable  # noqa: B018  (raises when the jar is absent)
+        return True
+    except Exception:
+        return False
+
+
+def delta_merge_update(spark: SparkSession, path: str, source: DataFrame, key: str, columns: list[str]) -> None:
+    """Matched-update merge through Delta Lake (only when ``delta_available``)."""
+    from delta.tables import DeltaTable
+    (DeltaTable.forPath(spark, path).alias("old")
+     .merge(source.alias("new"), f"old.{key} = new.{key}")
+     .whenMatchedUpdate(set={c: f"new.{c}" for c in columns})
+     .execute())
