@@ -253,7 +253,9 @@ def q_merge_update(spark, d):
 # ---- synthetic data ---------------------------------------------------------
 
 def _end_hour(spark, d):
-    return F.date_trunc("hour", dt.table(spark, d, "events").agg(F.max("ts")).scalar())
+    """Last event hour as TIMESTAMP_NTZ (``date_trunc`` returns a zoned timestamp;
+    casting back keeps the wall clock independent of the session time zone)."""
+    return F.date_trunc("hour", dt.table(spark, d, "events").agg(F.max("ts")).scalar()).cast("timestamp_ntz")
 
 
 @register("hour_spine")

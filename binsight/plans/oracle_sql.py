@@ -235,8 +235,8 @@ def _q(s: str) -> str:
 
 SQL["base64_payload"] = f"""WITH b AS (SELECT doc_id, to_base64(encode(text)) AS b64 FROM documents),
 r AS (SELECT doc_id, b64, {_q(PROMPT_JSON_HEAD)} || b64 || {_q(PROMPT_JSON_TAIL)} AS request FROM b)
-SELECT doc_id, length(b64) AS payload_length, md5(b64) AS payload_md5,
-       length(request) AS request_length, md5(request) AS request_md5 FROM r"""
+SELECT doc_id, CAST(length(b64) AS INTEGER) AS payload_length, md5(b64) AS payload_md5,
+       CAST(length(request) AS INTEGER) AS request_length, md5(request) AS request_md5 FROM r"""
 
 ANSWERS = f"""{EP},
 ans_src AS (

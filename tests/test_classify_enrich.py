@@ -111,3 +111,22 @@ def test_enrich_duplicate_rows_give_one_answer(spark):
     got = ok.collect()
     assert [(r.filename, r.description) for r in got] == [("7.jpg", "item 7")]
     assert [r.filename for r in bad.collect()] == ["50.jpg"]
+
+
+def test_small_column_functions(spark):
+    from binsight.functions.columns import indexed_name, iso_text, last_dotted, recode, total_label
+    row = spark.createDataFrame([("Disposable.RECYCLE", "compostable_pct", 7, "2024-11-09 07:19:50")],
+                                "e string, c string, i long, t string").select(
+        last_dotted("e").alias("cat"), recode("c", {"compostable_pct": "Compostable"}).alias("name"),
+        recode(F.lit("other"), {"compostable_pct": "Compostable"}).alias("missing"),
+        indexed_name("i").alias("fn"), iso_text(F.col("t").cast("timestamp")).alias("iso"),
+        total_label("i").alias("lbl"),
+        capture_name(F.col("t").cast("timestamp"), suffix=F.col("i")).alias("cap")).first()
+    assert (row.cat, row.name, row.missing, row.fn, row.iso, row.lbl) == (
+        "RECYCLE", "Compostable", None, "7.jpg", "2024-11-09T07:19:50", "Total: 7")
+    assert row.cap == "images/capture_20241109-071950-7.jpg"
+
+
+def test_percent_text_edges(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (0.00005,)], "s double").select(percent_text("s").alias("p")).collect()
+    assert [r.p for r in rows] == ["0.00%", "100.00%", "0.01%"]
