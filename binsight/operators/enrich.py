@@ -99,21 +99,36 @@ def one_answer_per_file(ok: DataFrame) -> DataFrame:
     return ok.groupBy("filename").agg(best).select("filename", *[F.col(f"m.{f}").alias(f) for f in METADATA_FIELDS])
 
 
-def enrich(pending_rows: DataFrame, provider_factory: Callable, content: str = "content",
-           dedupe: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
-    """(valid metadata, rejected file names) for pending rows carrying ``content`` bytes.
+def ask(pending_rows: DataFrame, provider_factory: Callable, content: str = "content", **kw) -> DataFrame:
+    """Parsed answers (filename, five fields, is_valid), one per row, asked on the
+    partitions where the rows already are (no shuffle of the bytes).
 
-    The provider is asked once per row, on the partitions where the rows
-    already are; with ``dedupe`` the answers are reduced to one per file name
-    (pass False when the rows are unique by construction).
+    Lazy: every action on the result calls the provider again, so jobs store
+    it in the shared folder first and work from the stored copy.
     """
     req = with_request(pending_rows.select("filename", content), content)
-    ok, bad = split_valid(parse_answers(call_provider(req, provider_factory, **kw)))
+    return parse_answers(call_provider(req, provider_factory, **kw))
+
+
+def split_answers(parsed: DataFrame, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(valid metadata, rejected file names); ``dedupe`` keeps one answer per file."""
+    ok, bad = split_valid(parsed)
     if dedupe:
         ok, bad = one_answer_per_file(ok), bad.dropDuplicates(["filename"])
     return ok, bad
 
 
+def enrich(pending_rows: DataFrame, provider_factory: Callable, content: str = "content",
+           dedupe: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
+    """(valid metadata, rejected file names) for pending rows carrying ``content`` bytes.
+
+    The provider is asked once per row; with ``dedupe`` the answers are
+    reduced to one per file name (pass False when the rows are unique by
+    construction). Both frames are lazy (see ``ask``).
+    """
+    return split_answers(ask(pending_rows, provider_factory, content, **kw), dedupe)
+
+
 class NumberedProvider:
     """Deterministic stand-in provider: answers from the number in the file name,
     malformed for one file in fifty."""

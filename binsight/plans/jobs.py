@@ -22,27 +22,29 @@ from binsight.sources.images import read_images
 from binsight.sources.json_items import read_json_items
 
 
-def append_new(spark: SparkSession, rows: DataFrame, table_path: str, dedupe: bool = False) -> DataFrame:
+def append_new(spark: SparkSession, rows: DataFrame, table_path: str, dedupe: bool = False,
+               partitioned: bool = False) -> DataFrame:
     """Append the rows whose key is not in the table yet; returns what was appended (lazy)."""
     if tb.exists(spark, table_path):
         rows = ing.new_only(rows, tb.read_table(spark, table_path), dedupe=dedupe)
     elif dedupe:
         rows = ing.dedupe_by_key(rows)
-    tb.append(spark, rows, table_path)
+    tb.append(spark, rows, table_path, partitioned=partitioned)
     return rows
 
 
 def ingest_images(spark: SparkSession, image_dir: str, table_path: str,
-                  state: str = C.DEFAULT_STATE, city: str = C.DEFAULT_CITY, dedupe: bool = False) -> DataFrame:
+                  state: str = C.DEFAULT_STATE, city: str = C.DEFAULT_CITY, dedupe: bool = False,
+                  partitioned: bool = False) -> DataFrame:
     """Discover image files, shape them into pending items, append the unseen ones."""
     rows = ing.shape_files(read_images(spark, image_dir), state, city)
-    return append_new(spark, rows, table_path, dedupe)
+    return append_new(spark, rows, table_path, dedupe, partitioned)
 
 
 def load_json_items(spark: SparkSession, path: str, table_path: str, multiline: bool = True,
-                    strict_time: bool = False) -> DataFrame:
+                    strict_time: bool = False, partitioned: bool = False) -> DataFrame:
     rows = ing.shape_feed(read_json_items(spark, path, multiline), strict_time=strict_time)
-    return append_new(spark, rows, table_path)
+    return append_new(spark, rows, table_path, partitioned=partitioned)
 
 
 def attach_content(spark: SparkSession, names: DataFrame, image_dir: str) -> DataFrame:
@@ -57,24 +59,34 @@ def attach_content(spark: SparkSession, names: DataFrame, image_dir: str) -> Dat
 
 def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provider_factory: Callable,
                    use_delta: bool = False, **kw) -> tuple[int, DataFrame]:
-    """Describe pending images and merge valid answers into a new table snapshot
-    (or, with ``use_delta`` and Delta Lake installed, through a Delta MERGE).
+    """Describe pending images and merge the valid answers into the table.
 
-    Answers are written to the shared folder before the merge, so a retried
-    merge never calls the provider again. Returns (snapshot number or -1, rejects).
+    Partitioned tables get a partition-scoped merge (only the capture dates
+    holding answered rows are rewritten); unpartitioned ones a new snapshot;
+    with ``use_delta`` and Delta Lake installed, a Delta MERGE. Answers are
+    written to the shared folder before the merge, so a retried merge never
+    calls the provider again. Returns (snapshot number or -1, rejects).
     """
     from binsight.session import scratch_path
-    items = tb.read_table(spark, table_path)
-    todo = ing.dedupe_by_key(en.pending(items).select("filename"))
+    partitioned = tb.is_partitioned(spark, table_path)
+    items = tb.read_table(spark, table_path, keep_partition=partitioned)
+    cols = ["filename", tb.PARTITION_COL] if partitioned else ["filename"]
+    todo = ing.dedupe_by_key(en.pending(items).select(*cols))
     if todo.isEmpty():
         return -1, spark.createDataFrame([], "filename string")
-    ok, bad = en.enrich(attach_content(spark, todo, image_dir), provider_factory, dedupe=False, **kw)
     answers_path = scratch_path(spark, "answers")
-    ok.write.parquet(answers_path)
-    ok = spark.read.parquet(answers_path)
+    en.ask(attach_content(spark, todo, image_dir), provider_factory, **kw).write.parquet(answers_path)
+    ok, bad = en.split_answers(spark.read.parquet(answers_path), dedupe=False)
+    fields = list(METADATA_FIELDS)
     if use_delta and tb.delta_available(spark):
-        tb.delta_merge_update(spark, table_path, ok, "filename", list(METADATA_FIELDS))
+        tb.delta_merge_update(spark, table_path, ok, "filename", fields)
         return 0, bad
+    if partitioned:
+        # distinct touched dates: at most the table's partition count
+        touched = todo.join(ok.select("filename"), "filename", "left_semi").select(tb.PARTITION_COL).distinct()
+        dates = [r[0] for r in touched.collect()]
+        return tb.merge_partitions(spark, table_path, ok, "filename", fields, dates), bad
+    items = items.drop(tb.PARTITION_COL) if tb.PARTITION_COL in items.columns else items
     return tb.replace(spark, merge_update(items, ok, check_unique=False), table_path), bad
 
 

@@ -1,20 +1,32 @@
 """The item table on plain parquet: append with additive schema evolution,
-and replace-by-snapshot for merges.
-
-Layout: ``<base>/snapshot=<n>/part-*.parquet``. Appends add files to the
-newest snapshot; a merge writes the whole result to snapshot ``n+1`` and
-readers take the newest snapshot that has a ``_SUCCESS`` marker, so a reader
-never sees a half-written table and the merge never overwrites the files its
-own plan is reading. With Delta Lake on the classpath, use it instead.
+replace-by-snapshot, and partition-scoped merges.
+
+Layout: ``<base>/snapshot=<n>/[capture_date=<d>/]part-*.parquet``. Appends add
+files to the newest snapshot. Readers take the newest snapshot that has a
+``_SUCCESS`` marker.
+
+* ``replace`` writes a whole new snapshot ``n+1`` (small tables, or a full
+  rewrite): a reader never sees a half-written table and the write never
+  deletes files its own plan reads.
+* ``merge_partitions`` (tables partitioned by capture date) rewrites only the
+  date partitions an enrichment touched: the merged rows of those partitions
+  are staged in the shared folder, then swapped in with dynamic partition
+  overwrite. Re-running after a failure replays from the staged copy.
+
+There is no transaction log: concurrent writers are not isolated. With Delta
+Lake installed, use ``delta_merge_update`` instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binsight.schema import ITEM
 
+PARTITION_COL = "capture_date"
+
 
 class SchemaConflictError(ValueError):
     pass
@@ -40,6 +52,12 @@ def snapshots(spark: SparkSession, base: str) -> list[int]:
     return sorted(out)
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when a Spark write to ``path`` finished (``_SUCCESS`` present)."""
+    fs, p, jvm = _fs(spark, path)
+    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def exists(spark: SparkSession, base: str) -> bool:
     return bool(snapshots(spark, base))
 
@@ -48,14 +66,30 @@ def snapshot_path(base: str, n: int) -> str:
     return f"{base.rstrip('/')}/snapshot={n:08d}"
 
 
-def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame:
-    """Newest committed snapshot; columns added by later appends read as NULL."""
+def is_partitioned(spark: SparkSession, base: str) -> bool:
+    snaps = snapshots(spark, base)
+    if not snaps:
+        return False
+    fs, p, _ = _fs(spark, snapshot_path(base, snaps[-1]))
+    return any(st.isDirectory() and st.getPath().getName().startswith(PARTITION_COL + "=")
+               for st in fs.listStatus(p))
+
+
+def with_partition(df: DataFrame, time_col: str = "time") -> DataFrame:
+    return df if PARTITION_COL in df.columns else df.withColumn(PARTITION_COL, F.to_date(time_col))
+
+
+def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None,
+               keep_partition: bool = False) -> DataFrame:
+    """Newest committed snapshot; columns added by later appends read as NULL.
+    The partition column is dropped unless ``keep_partition``."""
     snaps = snapshots(spark, base)
     if not snaps:
         if schema is None:
             schema = ITEM
         return spark.createDataFrame([], schema)
-    return spark.read.option("mergeSchema", "true").parquet(snapshot_path(base, snaps[-1]))
+    df = spark.read.option("mergeSchema", "true").parquet(snapshot_path(base, snaps[-1]))
+    return df.drop(PARTITION_COL) if PARTITION_COL in df.columns and not keep_partition else df
 
 
 def check_appendable(existing: T.StructType, incoming: T.StructType) -> None:
@@ -67,28 +101,62 @@ def check_appendable(existing: T.StructType, incoming: T.StructType) -> None:
                                       f"incoming has {f.dataType.simpleString()}")
 
 
-def append(spark: SparkSession, df: DataFrame, base: str) -> None:
-    """Append by column name; creates snapshot 0 when the table does not exist.
+def _write(df: DataFrame, partitioned: bool):
+    return with_partition(df).write.partitionBy(PARTITION_COL) if partitioned else df.write
+
+
+def append(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False) -> None:
+    """Append by column name; creates snapshot 0 when the table does not exist
+    (partitioned by capture date when ``partitioned``; an existing table keeps
+    its own layout).
 
     Unlike a catch-all fallback, a failing append raises and never replaces
     the table with just the new rows.
     """
     snaps = snapshots(spark, base)
     if not snaps:
-        df.write.mode("overwrite").parquet(snapshot_path(base, 0))
+        _write(df, partitioned).mode("overwrite").parquet(snapshot_path(base, 0))
         return
     check_appendable(read_table(spark, base).schema, df.schema)
-    df.write.mode("append").parquet(snapshot_path(base, snaps[-1]))
+    _write(df, is_partitioned(spark, base)).mode("append").parquet(snapshot_path(base, snaps[-1]))
 
 
-def replace(spark: SparkSession, df: DataFrame, base: str) -> int:
+def replace(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False) -> int:
     """Write ``df`` as the next snapshot (create-or-replace); returns its number."""
     snaps = snapshots(spark, base)
     n = snaps[-1] + 1 if snaps else 0
-    df.write.mode("overwrite").parquet(snapshot_path(base, n))
+    _write(df, partitioned).mode("overwrite").parquet(snapshot_path(base, n))
     return n
 
 
+def merge_partitions(spark: SparkSession, base: str, source: DataFrame, key: str, columns: list[str],
+                     dates: list) -> int:
+    """Matched-update merge that rewrites only the ``dates`` partitions.
+
+    ``dates`` (touched capture dates) is bounded by the table's partition
+    count. The filter on the partition column prunes every other partition
+    from the scan (``PartitionFilters``), so the work is proportional to the
+    touched partitions, not to the table. Returns the snapshot number.
+    """
+    from binsight.operators.merge import merge_update
+    from binsight.session import scratch_path
+    snaps = snapshots(spark, base)
+    path = snapshot_path(base, snaps[-1])
+    if not dates:
+        return snaps[-1]
+    known = [d for d in dates if d is not None]
+    cond = F.col(PARTITION_COL).isin(known) if known else F.lit(False)
+    if len(known) < len(dates):
+        cond = cond | F.col(PARTITION_COL).isNull()
+    target = spark.read.option("mergeSchema", "true").parquet(path).filter(cond)
+    merged = merge_update(target, source, key, columns, check_unique=False)
+    staging = scratch_path(spark, "merge-staging")
+    merged.write.partitionBy(PARTITION_COL).parquet(staging)
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(PARTITION_COL).parquet(path))
+    return snaps[-1]
+
+
 def delta_available(spark: SparkSession) -> bool:
     """True when the Delta Lake Python package and its jars are usable."""
     try:

@@ -143,3 +143,45 @@ def test_json_export_round_trip(spark, tmp_dir):
 
 def test_delta_gate_is_false_without_jars(spark):
     assert tb.delta_available(spark) in (True, False)
+
+
+def test_partition_scoped_merge_rewrites_touched_dates_only(spark, tmp_dir):
+    import glob
+    import json as _json
+    img, table = os.path.join(tmp_dir, "images"), os.path.join(tmp_dir, "items")
+    os.makedirs(img)
+    for name, ts in [("old1.jpg", 1_600_000_000), ("old2.jpg", 1_600_000_100), ("new.jpg", 1_700_000_000)]:
+        path = os.path.join(img, name)
+        with open(path, "wb") as f:
+            f.write(b"x" + name.encode())
+        os.utime(path, (ts, ts))
+    jobs.ingest_images(spark, img, table, partitioned=True)
+    assert tb.is_partitioned(spark, table)
+    snap = tb.snapshot_path(table, 0)
+    dirs = sorted(os.path.basename(d) for d in glob.glob(f"{snap}/capture_date=*"))
+    assert dirs == ["capture_date=2020-09-13", "capture_date=2023-11-14"]
+    # enrich the old day first, by hand: mark the new image as already described
+    old_files = sorted(glob.glob(f"{snap}/capture_date=2020-09-13/*.parquet"))
+
+    class Answer:
+        def __call__(self, filename, request):
+            return _json.dumps({"is_recyclable": True, "is_compostable": False, "is_metal": False,
+                                "brand": "B", "description": f"d {filename}"})
+
+    n, bad = jobs.enrich_pending(spark, table, img, Answer, backoff_s=0.0)
+    assert n == 0 and bad.count() == 0
+    rows = {r.filename: r for r in tb.read_table(spark, table).collect()}
+    assert len(rows) == 3 and all(r.brand == "B" for r in rows.values())
+    assert "capture_date" not in tb.read_table(spark, table).columns
+    # nothing pending any more; a new image on a new day touches only its own partition
+    assert jobs.enrich_pending(spark, table, img, Answer)[0] == -1
+    path = os.path.join(img, "later.jpg")
+    with open(path, "wb") as f:
+        f.write(b"later")
+    os.utime(path, (1_700_500_000, 1_700_500_000))
+    jobs.ingest_images(spark, img, table)
+    before_old = sorted(glob.glob(f"{snap}/capture_date=2020-09-13/*.parquet"))
+    jobs.enrich_pending(spark, table, img, Answer, backoff_s=0.0)
+    assert sorted(glob.glob(f"{snap}/capture_date=2020-09-13/*.parquet")) == before_old
+    assert before_old != old_files  # the first merge did rewrite that day
+    assert tb.read_table(spark, table).filter("brand = 'B'").count() == 4
