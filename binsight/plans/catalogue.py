@@ -316,7 +316,7 @@ def q_stream_ingest(spark, d):
         fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
     table_path = scratch_path(spark, "items")
     q = start_ingest(arrivals, table_path, scratch_path(spark, "ingest-ckpt"), scratch_path(spark, "ingest-work"),
-                     provider_factory=_provider_factory, backoff_s=0.0)
+                     provider_factory=_provider_factory, backoff_s=0.0, partitioned=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
