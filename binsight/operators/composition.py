@@ -21,17 +21,16 @@ def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
     ``prepared`` is the output of ``prepare``. Only keys that occur appear.
     """
     agg = prepared.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total_count"),
-        F.sum(F.col("is_compostable").cast("int")).cast("long").alias("compostable_count"),
-        F.sum(F.col("is_recyclable").cast("int")).cast("long").alias("recyclable_count"),
-        F.sum(F.col("is_trash").cast("int")).cast("long").alias("trash_count"),
+        F.expr("count(1)").alias("total_count"),
+        F.expr("CAST(sum(CAST(is_compostable AS INT)) AS BIGINT)").alias("compostable_count"),
+        F.expr("CAST(sum(CAST(is_recyclable AS INT)) AS BIGINT)").alias("recyclable_count"),
+        F.expr("CAST(sum(CAST(is_trash AS INT)) AS BIGINT)").alias("trash_count"),
     )
-    total = F.col("total_count")
-    out = agg.select(
-        key, "total_count", "compostable_count", "recyclable_count", "trash_count",
-        (F.col("compostable_count") / total * 100).alias("compostable_pct"),
-        (F.col("recyclable_count") / total * 100).alias("recyclable_pct"),
-        (F.col("trash_count") / total * 100).alias("trash_pct"),
+    out = agg.selectExpr(
+        f"`{key}`", "total_count", "compostable_count", "recyclable_count", "trash_count",
+        "compostable_count / total_count * 100 AS compostable_pct",
+        "recyclable_count / total_count * 100 AS recyclable_pct",
+        "trash_count / total_count * 100 AS trash_pct",
     )
     return out.orderBy(key) if order else out
 

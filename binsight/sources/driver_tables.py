@@ -43,32 +43,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events joined to the part chosen by ``props.k``: event_id, ts, event_type, k, p_name, p_brand."""
-    ev = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ev = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "event_type", "CAST(get_json_object(props, '$.k') AS INT) AS k")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     joined = ev.join(broadcast_if_small(part), ev.k == part.p_partkey, "inner")
     return joined.select("event_id", "ts", "event_type", "k", "p_name", "p_brand")
 
 
+# SQL expressions of the nine item columns over an ``events_parts`` row.
+ITEM_EXPRS = [
+    "concat(CAST(event_id AS STRING), '.jpg') AS filename",
+    "ts AS time",
+    f"'{C.DEFAULT_STATE}' AS state",
+    f"'{C.DEFAULT_CITY}' AS city",
+    "CASE WHEN event_type = 'error' THEN '' ELSE p_name END AS description",
+    "CASE WHEN event_type = 'error' THEN CAST(NULL AS BOOLEAN)"
+    " ELSE event_type IN ('purchase', 'view') END AS is_recyclable",
+    "CASE WHEN event_type = 'error' THEN CAST(NULL AS BOOLEAN)"
+    " ELSE event_type IN ('signup', 'view') END AS is_compostable",
+    f"CASE WHEN event_type = 'error' THEN CAST(NULL AS BOOLEAN) ELSE contains(p_name, '{METAL_PART_WORD}') END"
+    " AS is_metal",
+    "CASE WHEN event_type = 'error' OR pmod(k, 10) = 0 THEN ''"
+    " WHEN pmod(k, 10) = 1 THEN CAST(NULL AS STRING) ELSE p_brand END AS brand",
+]
+
+
 def items_from(ep: DataFrame) -> DataFrame:
-    err = F.col("event_type") == "error"
-    k10 = F.pmod(F.col("k"), F.lit(10))
-    return ep.select(
-        F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("filename"),
-        F.col("ts").alias("time"),
-        F.lit(C.DEFAULT_STATE).alias("state"),
-        F.lit(C.DEFAULT_CITY).alias("city"),
-        F.when(err, F.lit("")).otherwise(F.col("p_name")).alias("description"),
-        F.when(err, F.lit(None).cast("boolean"))
-         .otherwise(F.col("event_type").isin("purchase", "view")).alias("is_recyclable"),
-        F.when(err, F.lit(None).cast("boolean"))
-         .otherwise(F.col("event_type").isin("signup", "view")).alias("is_compostable"),
-        F.when(err, F.lit(None).cast("boolean"))
-         .otherwise(F.col("p_name").contains(METAL_PART_WORD)).alias("is_metal"),
-        F.when(err | (k10 == 0), F.lit("")).when(k10 == 1, F.lit(None).cast("string"))
-         .otherwise(F.col("p_brand")).alias("brand"),
-    )
+    return ep.selectExpr(*ITEM_EXPRS)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

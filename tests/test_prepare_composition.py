@@ -85,3 +85,12 @@ def test_dashboard_top_brands_equal_direct(spark):
     assert set(d) == {"composition_by_hour", "composition_by_hour_long", "composition_by_brand",
                       "composition_by_brand_long", "top_brands"}
     assert [tuple(r) for r in d["top_brands"].collect()] == [tuple(r) for r in top_brands(prepare(it)).collect()]
+
+
+def test_prepare_equals_chained_steps(spark):
+    from binsight.operators.prepare import with_hour
+    df = flags_frame(spark).withColumn("time", F.lit("2024-01-01 05:30:00").cast("timestamp"))
+    chained = with_hour(exclusive_flags(normalize_brand(fill_flags(df))))
+    one = prepare(df)
+    assert one.columns == chained.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, chained.collect()))
