@@ -34,21 +34,34 @@ def _mix(idc: Column, salt: int, seed: int) -> Column:
     return _xs(h, 16)
 
 
+def _mix_sql(name: str, salt: int, seed: int) -> str:
+    """The same hash as ``_mix`` as one SQL expression (one plan call instead of dozens)."""
+    i = f"CAST(`{name}` AS BIGINT)"
+    h = f"pmod(pmod({i}, {_M}) + pmod(shiftright({i}, 31), {_M}) * {_HI} + {salt * 7919 + seed}, {_M})"
+    h = f"pmod({h} * {_A1} + {_C1}, {_M})"
+    for k in (16, 13):
+        h = f"pmod(((h) ^ shiftright((h), {k})) * {_B}, {_M})".replace("(h)", f"({h})")
+    return f"(({h}) ^ shiftright(({h}), 16))"
+
+
+def _hash(idc, salt: int, seed: int) -> Column:
+    if isinstance(idc, str):
+        return F.expr(_mix_sql(idc, salt, seed))
+    return _mix(idc.cast("long"), salt, seed)
+
+
 def uniform(idc, salt: int, seed: int = 0) -> Column:
-    """u in [0, 1) from an integer id column."""
-    idc = F.col(idc) if isinstance(idc, str) else idc
-    return _mix(idc.cast("long"), salt, seed) / F.lit(float(_M))
+    """u in [0, 1) from an integer id column (a name or a Column)."""
+    return _hash(idc, salt, seed) / F.lit(float(_M))
 
 
 def uniform_int(n: int, idc, salt: int, seed: int = 0) -> Column:
     """Integer in [0, n) (``n`` far below 2**31)."""
-    idc = F.col(idc) if isinstance(idc, str) else idc
-    return F.pmod(_mix(idc.cast("long"), salt, seed), F.lit(n))
+    return F.pmod(_hash(idc, salt, seed), F.lit(n))
 
 
 def uniform_choice(values: list, idc, salt: int, seed: int = 0) -> Column:
     """Uniform pick from a fixed list (strings, numbers or structs)."""
-    idc = F.col(idc) if isinstance(idc, str) else idc
     arr = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
     return F.element_at(arr, (uniform_int(len(values), idc, salt, seed) + 1).cast("int"))
 

@@ -101,7 +101,7 @@ def synth_items(ids: DataFrame, end: Column, profile_name: str = "python", seed:
     is_recyclable / is_compostable: Bernoulli draws at the looked-up rates.
     """
     p = profile(profile_name)
-    i = F.col(id_col)
+    i = id_col
     step = uniform_int(HOURS_PER_SPINE, i, salt=1, seed=seed).cast("int")
     t = spine_start(end) + F.make_dt_interval(F.lit(0), step)
     city = uniform_choice([F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in C.CITIES],
@@ -109,7 +109,8 @@ def synth_items(ids: DataFrame, end: Column, profile_name: str = "python", seed:
     brand = weighted_choice(p["brands"], p["brand_weights"], uniform(i, salt=3, seed=seed))
     desc = F.concat_ws(" ", uniform_choice(C.ADJECTIVES, i, salt=5, seed=seed),
                        uniform_choice(C.DESCRIPTIONS, i, salt=4, seed=seed))
-    base = ids.select(i.alias("__id"), t.alias("time"), city.alias("__cs"), brand.alias("brand"), desc.alias("description"))
+    base = ids.select(F.col(i).alias("__id"), t.alias("time"), city.alias("__cs"), brand.alias("brand"),
+                      desc.alias("description"))
     b, h = F.col("brand"), F.hour("time")
     return base.select(
         F.concat(F.col("__id").cast("string"), F.lit(".jpg")).alias("filename"),
@@ -117,8 +118,8 @@ def synth_items(ids: DataFrame, end: Column, profile_name: str = "python", seed:
         F.col("__cs.state").alias("state"),
         F.col("__cs.city").alias("city"),
         "description",
-        (uniform(F.col("__id"), salt=6, seed=seed) < recycle_rate(b, p)).alias("is_recyclable"),
-        (uniform(F.col("__id"), salt=7, seed=seed) < compost_rate(b, h, p)).alias("is_compostable"),
+        (uniform("__id", salt=6, seed=seed) < recycle_rate(b, p)).alias("is_recyclable"),
+        (uniform("__id", salt=7, seed=seed) < compost_rate(b, h, p)).alias("is_compostable"),
         F.col("description").contains(C.METAL_KEYWORD).alias("is_metal"),
         "brand",
     )

@@ -63,3 +63,11 @@ def test_ingest_stream_restart_adds_nothing(spark):
     start_ingest(arrivals, table, ckpt, work).awaitTermination()  # restart from checkpoint
     start_ingest(arrivals, table, scratch_path(spark, "c2"), work).awaitTermination()  # full replay
     assert tb.read_table(spark, table).count() == n == dt.table(spark, d, "events").count()
+
+
+def test_hash_sql_path_equals_column_path(spark):
+    from binsight.functions.random import uniform
+    df = spark.range(0, 5000).union(spark.range(2**31 - 3, 2**31 + 3)).union(spark.range(2**40, 2**40 + 3))
+    a = df.select(uniform("id", 3, 5).alias("u")).collect()
+    b = df.select(uniform(F.col("id"), 3, 5).alias("u")).collect()
+    assert a == b
