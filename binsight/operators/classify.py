@@ -122,10 +122,23 @@ def classification_report(scores: DataFrame, images: DataFrame, model: str,
 
 # ---- pluggable scorer -------------------------------------------------------
 
+def _factory_key(factory: Callable):
+    """Importable factories (module-level functions / classes) are keyed by name,
+    so every task in a reused Python worker shares one instance; closures and
+    local classes arrive as fresh objects per task and get their own."""
+    qual = getattr(factory, "__qualname__", "")
+    if qual and "<" not in qual:
+        return f"{getattr(factory, '__module__', '')}.{qual}"
+    return id(factory)
+
+
 def _instance(factory: Callable):
-    inst = _INSTANCES.get(id(factory))
+    key = _factory_key(factory)
+    inst = _INSTANCES.get(key)
     if inst is None:
-        inst = _INSTANCES[id(factory)] = factory()
+        if len(_INSTANCES) > 32:  # per-task closures: keep the cache bounded
+            _INSTANCES.clear()
+        inst = _INSTANCES[key] = factory()
     return inst
 
 

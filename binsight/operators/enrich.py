@@ -57,9 +57,11 @@ def call_provider(requests: DataFrame, provider_factory: Callable, retries: int
                         ans = provider(fn, req)
                         break
                     except Exception:
-                        if attempt == retries - 1 and strict:
-                            raise
-                        _time.sleep(backoff_s * (2 ** attempt))
+                        if attempt == retries - 1:
+                            if strict:
+                                raise
+                        else:
+                            _time.sleep(backoff_s * (2 ** attempt))
                 out.append(ans)
             yield pd.DataFrame({"filename": pdf["filename"].to_numpy(), "answer": out})
 
