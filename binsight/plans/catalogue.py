@@ -9,8 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from binsight.functions import columns as fc
+from binsight.operators import classify as cl
 from binsight.operators import composition as comp
+from binsight.operators import enrich as en
+from binsight.operators import ingest as ing
+from binsight.operators import merge as mg
+from binsight.operators import prepare as pr
+from binsight.operators import ranking as rk
+from binsight.operators import synth as sy
 from binsight.operators.prepare import prepare
 from binsight.sources import driver_tables as dt
 
@@ -54,17 +63,6 @@ def q_composition_by_brand_long(spark, d):
 
 # ---- scalar operators on the item table ------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from binsight.functions import columns as fc  # noqa: E402
-from binsight.operators import classify as cl  # noqa: E402
-from binsight.operators import enrich as en  # noqa: E402
-from binsight.operators import ingest as ing  # noqa: E402
-from binsight.operators import merge as mg  # noqa: E402
-from binsight.operators import prepare as pr  # noqa: E402
-from binsight.operators import ranking as rk  # noqa: E402
-from binsight.operators import synth as sy  # noqa: E402
-
 MODEL = "trash1"
 
 
