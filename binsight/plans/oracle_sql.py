@@ -6,6 +6,9 @@ Each statement is written independently of the Spark code: same inputs
 
 from __future__ import annotations
 
+from binsight import constants as _C
+from binsight.functions.random import cumulative_bounds as _bounds
+
 EP = """ep AS (
   SELECT e.event_id, e.ts, e.event_type,
          CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k, p.p_name, p.p_brand
@@ -305,8 +308,6 @@ FROM items i LEFT JOIN ok o ON i.filename = o.filename"""
 
 # ---- synthetic data -------------------------------------------------------------
 
-from binsight import constants as _C  # noqa: E402
-from binsight.functions.random import cumulative_bounds as _bounds  # noqa: E402
 
 
 def _d(x: float) -> str:
