@@ -71,3 +71,43 @@ def test_hash_sql_path_equals_column_path(spark):
     a = df.select(uniform("id", 3, 5).alias("u")).collect()
     b = df.select(uniform(F.col("id"), 3, 5).alias("u")).collect()
     assert a == b
+
+
+def test_image_stream_ingest_enrich_restart_and_retry(spark, tmp_dir):
+    import json
+    from binsight.plans import jobs
+    from binsight.sources import table as tb
+    from binsight.streaming.ingest_stream import arrivals_from_images, start_ingest
+
+    img = os.path.join(tmp_dir, "images")
+    os.makedirs(img)
+
+    def put(name):
+        with open(os.path.join(img, name), "wb") as f:
+            f.write(b"jpeg-bytes-" + name.encode())
+
+    class Picky:
+        """Answers every image except 'bad.jpg' (malformed text)."""
+
+        def __call__(self, filename, request):
+            assert json.loads(request)["messages"][0]["content"][1]["image_url"]["url"].startswith(
+                "data:image/jpeg;base64,")
+            if filename == "bad.jpg":
+                return "not json"
+            return json.dumps({"is_recyclable": True, "is_compostable": False, "is_metal": False,
+                               "brand": "", "description": f"thing {filename}"})
+
+    table, ckpt, work = (scratch_path(spark, x) for x in ("imgt", "imgc", "imgw"))
+    for n in ("a.jpg", "bad.jpg"):
+        put(n)
+    start_ingest(arrivals_from_images(spark, img), table, ckpt, work, Picky, backoff_s=0.0).awaitTermination()
+    rows = {r.filename: r for r in tb.read_table(spark, table).collect()}
+    assert rows["a.jpg"].description == "thing a.jpg" and rows["bad.jpg"].description == ""
+    put("c.jpg")
+    start_ingest(arrivals_from_images(spark, img), table, ckpt, work, Picky, backoff_s=0.0).awaitTermination()
+    rows = {r.filename: r for r in tb.read_table(spark, table).collect()}
+    assert sorted(rows) == ["a.jpg", "bad.jpg", "c.jpg"] and rows["c.jpg"].is_recyclable is True
+    # the batch job retries what is still pending; the answer stays invalid -> rejected, row kept pending
+    n, bad = jobs.enrich_pending(spark, table, img, Picky, backoff_s=0.0)
+    assert [r.filename for r in bad.collect()] == ["bad.jpg"]
+    assert tb.read_table(spark, table).filter("description = ''").count() == 1
