@@ -101,8 +101,15 @@ def check_appendable(existing: T.StructType, incoming: T.StructType) -> None:
                                       f"incoming has {f.dataType.simpleString()}")
 
 
+def _clustered(df: DataFrame) -> DataFrame:
+    """Cluster rows by capture date before a partitioned write: about one file
+    per date instead of one per task and date; AQE splits a hot date
+    (``REBALANCE`` hint, skew-aware) instead of sending it to one task."""
+    return df.hint("rebalance", PARTITION_COL)
+
+
 def _write(df: DataFrame, partitioned: bool):
-    return with_partition(df).write.partitionBy(PARTITION_COL) if partitioned else df.write
+    return _clustered(with_partition(df)).write.partitionBy(PARTITION_COL) if partitioned else df.write
 
 
 def append(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False) -> None:
@@ -151,7 +158,7 @@ def merge_partitions(spark: SparkSession, base: str, source: DataFrame, key: str
     target = spark.read.option("mergeSchema", "true").parquet(path).filter(cond)
     merged = merge_update(target, source, key, columns, check_unique=False)
     staging = scratch_path(spark, "merge-staging")
-    merged.write.partitionBy(PARTITION_COL).parquet(staging)
+    _clustered(merged).write.partitionBy(PARTITION_COL).parquet(staging)
     (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION_COL).parquet(path))
     return snaps[-1]
