@@ -17,23 +17,30 @@ SHARES = list(C.CATEGORY_NAMES)
 SMALL_DOMAIN = {"hour": 25}
 
 
-def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
-    """Row count, three conditional counts and their shares in percent per ``key``.
-
-    ``prepared`` is the output of ``prepare``. Only keys that occur appear.
-    """
-    agg = prepared.groupBy(key).agg(
+def _measures():
+    return [
         F.expr("count(1)").alias("total_count"),
         F.expr("CAST(sum(CAST(is_compostable AS INT)) AS BIGINT)").alias("compostable_count"),
         F.expr("CAST(sum(CAST(is_recyclable AS INT)) AS BIGINT)").alias("recyclable_count"),
         F.expr("CAST(sum(CAST(is_trash AS INT)) AS BIGINT)").alias("trash_count"),
-    )
-    out = agg.selectExpr(
+    ]
+
+
+def _shares(agg: DataFrame, key: str) -> DataFrame:
+    return agg.selectExpr(
         f"`{key}`", "total_count", "compostable_count", "recyclable_count", "trash_count",
         "compostable_count / total_count * 100 AS compostable_pct",
         "recyclable_count / total_count * 100 AS recyclable_pct",
         "trash_count / total_count * 100 AS trash_pct",
     )
+
+
+def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
+    """Row count, three conditional counts and their shares in percent per ``key``.
+
+    ``prepared`` is the output of ``prepare``. Only keys that occur appear.
+    """
+    out = _shares(prepared.groupBy(key).agg(*_measures()), key)
     if not order:
         return out
     if key in SMALL_DOMAIN:
@@ -43,6 +50,25 @@ def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
     return out.orderBy(key)
 
 
+def compositions(prepared: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The composition for several keys from ONE scan and ONE shuffle.
+
+    A grouping-sets aggregate (``Expand`` + partial/final hash aggregate)
+    replaces one full pass over the table per key. The grouped result holds
+    one row per key value (24 hours + the brands), so it is materialised
+    once (``persist``) and split by ``grouping_id`` without re-reading the table.
+    """
+    sets = [[k] for k in keys]
+    grouped = (prepared.groupingSets(sets, *keys)
+               .agg(*_measures(), F.grouping_id().alias("__gid")).persist())
+    out = {}
+    n = len(keys)
+    for i, k in enumerate(keys):
+        gid = ((1 << n) - 1) ^ (1 << (n - 1 - i))  # every key but k aggregated away
+        out[k] = _shares(grouped.filter(F.col("__gid") == gid), k)
+    return out
+
+
 def composition_long(wide: DataFrame, ids: list[str]) -> DataFrame:
     """Unpivot the three shares to ``(ids..., Category, Percentage)`` with display names.
 

@@ -10,7 +10,7 @@ from binsight import constants as C
 from binsight.functions.columns import basename
 from binsight.operators import enrich as en
 from binsight.operators import ingest as ing
-from binsight.operators.composition import composition, composition_long
+from binsight.operators.composition import composition_long, compositions
 from binsight.operators.joins import broadcast_if_small
 from binsight.operators.merge import merge_update
 from binsight.operators.prepare import prepare
@@ -90,14 +90,12 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
 
 
 def dashboard(items: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
-    """The three result tables (and long forms) of the composition dashboard.
-
-    The top brands reuse the brand composition's counts. Persist ``items``
-    first when all five tables are computed from one snapshot.
+    """The three result tables (and long forms) of the composition dashboard,
+    from one pass over the table: both compositions come from one
+    grouping-sets aggregate and the top brands reuse the brand counts.
     """
-    prepared = prepare(items)
-    by_hour = composition(prepared, "hour")
-    by_brand = composition(prepared, "brand", order=False)
+    parts = compositions(prepare(items), ["hour", "brand"])
+    by_hour, by_brand = parts["hour"].orderBy("hour"), parts["brand"]
     return {
         "composition_by_hour": by_hour,
         "composition_by_hour_long": composition_long(by_hour, ["hour"]),
@@ -106,3 +104,12 @@ def dashboard(items: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
         "top_brands": top_from_counts(by_brand, top_n),
     }
 
+
+def publish_dashboard(spark: SparkSession, table_path: str, out_base: str, top_n: int = 10) -> None:
+    """Recompute the dashboard from the newest table snapshot and publish each
+    result as a committed snapshot under ``out_base/<name>`` (readers use
+    ``sources.table.read_table``). Run it on a timer (the dashboard refreshed
+    every 30 s): enrichment merges change flags of existing rows, which only a
+    re-read of the table sees."""
+    for name, df in dashboard(tb.read_table(spark, table_path), top_n).items():
+        tb.replace(spark, df, f"{out_base.rstrip('/')}/{name}")

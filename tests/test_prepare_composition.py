@@ -85,6 +85,8 @@ def test_dashboard_top_brands_equal_direct(spark):
     assert set(d) == {"composition_by_hour", "composition_by_hour_long", "composition_by_brand",
                       "composition_by_brand_long", "top_brands"}
     assert [tuple(r) for r in d["top_brands"].collect()] == [tuple(r) for r in top_brands(prepare(it)).collect()]
+    direct = sorted(map(tuple, composition(prepare(it), "brand", order=False).collect()), key=str)
+    assert sorted(map(tuple, d["composition_by_brand"].collect()), key=str) == direct
 
 
 def test_prepare_equals_chained_steps(spark):
@@ -94,3 +96,27 @@ def test_prepare_equals_chained_steps(spark):
     one = prepare(df)
     assert one.columns == chained.columns
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, chained.collect()))
+
+
+def test_one_pass_compositions_equal_separate(spark):
+    from binsight.operators.composition import compositions
+    from binsight.sources.driver_tables import items
+    prepared = prepare(items(spark, "/root/testdata/sf0.001"))
+    both = compositions(prepared, ["hour", "brand"])
+    for k in ("hour", "brand"):
+        a = sorted(map(tuple, both[k].collect()), key=str)
+        b = sorted(map(tuple, composition(prepared, k, order=False).collect()), key=str)
+        assert a == b
+    assert any(r.brand is None for r in both["brand"].collect())  # NULL brand is its own group
+
+
+def test_publish_dashboard(spark, tmp_dir):
+    import os
+    from binsight.plans.jobs import publish_dashboard
+    from binsight.sources import table as tb
+    from binsight.sources.driver_tables import items
+    src, out = os.path.join(tmp_dir, "items"), os.path.join(tmp_dir, "dash")
+    tb.append(spark, items(spark, "/root/testdata/sf0.001"), src)
+    publish_dashboard(spark, src, out)
+    assert tb.read_table(spark, f"{out}/composition_by_hour").count() == 24
+    assert tb.read_table(spark, f"{out}/top_brands").count() == 10
