@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight import constants as C
+from binsight.functions.columns import basename
 from binsight.operators import enrich as en
 from binsight.operators import ingest as ing
 from binsight.operators.merge import merge_update
@@ -32,7 +33,7 @@ from binsight.sources.images import stream_images
 
 def arrivals_from_images(spark: SparkSession, image_dir: str, **kw) -> DataFrame:
     files = stream_images(spark, image_dir, **kw)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"),
+    return files.select(basename("path").alias("filename"),
                         F.col("modificationTime").alias("time"), "content")
 
 
