@@ -1,7 +1,7 @@
 """Image directory source (``binaryFile``), batch and streaming.
 
-The scan is non-recursive; files whose names start with ``.`` or ``_`` and
-sub-directories are skipped by the file source. Ingest selects only ``path``
+The scan is non-recursive; files whose names start with ``.`` or ``_``,
+zero-length files and sub-directories are skipped by the file source. Ingest selects only ``path``
 and ``modificationTime``, so the image bytes are pruned from the scan.
 """
 
