@@ -248,6 +248,22 @@ def q_merge_update(spark, d):
     return mg.merge_update(dt.items(spark, d), ok)
 
 
+@register("merge_in_place")
+def q_merge_in_place(spark, d):
+    """merge_update through the table: date-partitioned write, answers stored,
+    only the touched capture dates rewritten, table read back."""
+    from binsight.plans.jobs import merge_answers
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    table, ans = scratch_path(spark, "merge-table"), scratch_path(spark, "merge-answers")
+    tb.append(spark, dt.items(spark, d), table, partitioned=True)
+    ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, d)))
+    mg.assert_unique_keys(ok, "filename")
+    ok.write.parquet(ans)
+    merge_answers(spark, table, spark.read.parquet(ans))
+    return tb.read_table(spark, table)
+
+
 # ---- synthetic data ---------------------------------------------------------
 
 def _end_hour(spark, d):

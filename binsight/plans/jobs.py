@@ -69,24 +69,40 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     from binsight.session import scratch_path
     partitioned = tb.is_partitioned(spark, table_path)
     items = tb.read_table(spark, table_path, keep_partition=partitioned)
-    cols = ["filename", tb.PARTITION_COL] if partitioned else ["filename"]
-    todo = ing.dedupe_by_key(en.pending(items).select(*cols))
+    todo = ing.dedupe_by_key(en.pending(items).select("filename"))
     if todo.isEmpty():
         return -1, spark.createDataFrame([], "filename string")
     answers_path = scratch_path(spark, "answers")
     en.ask(attach_content(spark, todo, image_dir), provider_factory, **kw).write.parquet(answers_path)
     ok, bad = en.split_answers(spark.read.parquet(answers_path), dedupe=False)
-    fields = list(METADATA_FIELDS)
+    return merge_answers(spark, table_path, ok, use_delta=use_delta, items=items), bad
+
+
+def merge_answers(spark: SparkSession, table_path: str, answers: DataFrame, key: str = "filename",
+                  use_delta: bool = False, items: DataFrame | None = None) -> int:
+    """Merge stored, one-per-key answers into the item table; returns the snapshot.
+
+    Partitioned tables: only the capture dates holding answered rows are
+    rewritten (their list is bounded by the table's partition count).
+    Otherwise the merged table is written as a new snapshot.
+    """
+    fields = [c for c in METADATA_FIELDS if c in answers.columns]
     if use_delta and tb.delta_available(spark):
-        tb.delta_merge_update(spark, table_path, ok, "filename", fields)
-        return 0, bad
+        tb.delta_merge_update(spark, table_path, answers, key, fields)
+        return 0
+    partitioned = tb.is_partitioned(spark, table_path)
+    if items is None:
+        items = tb.read_table(spark, table_path, keep_partition=partitioned)
     if partitioned:
-        # distinct touched dates: at most the table's partition count
-        touched = todo.join(ok.select("filename"), "filename", "left_semi").select(tb.PARTITION_COL).distinct()
+        # stored answers have a known size: broadcast their keys, scan (never
+        # shuffle) the table's key column; the date is a partition column
+        touched = (items.select(key, tb.PARTITION_COL)
+                   .join(broadcast_if_small(answers.select(key)), key, "left_semi")
+                   .select(tb.PARTITION_COL).distinct())
         dates = [r[0] for r in touched.collect()]
-        return tb.merge_partitions(spark, table_path, ok, "filename", fields, dates), bad
+        return tb.merge_partitions(spark, table_path, answers, key, fields, dates)
     items = items.drop(tb.PARTITION_COL) if tb.PARTITION_COL in items.columns else items
-    return tb.replace(spark, merge_update(items, ok, check_unique=False), table_path), bad
+    return tb.replace(spark, merge_update(items, answers, key, fields, check_unique=False), table_path)
 
 
 def dashboard(items: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:

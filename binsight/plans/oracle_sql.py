@@ -414,3 +414,5 @@ SQL["stream_ingest"] = """SELECT CAST(event_id AS VARCHAR) || '.jpg' AS filename
             ELSE 'Brand#' || CAST(event_id % 25 + 1 AS VARCHAR) END AS brand
 FROM events e
 JOIN part p ON CAST(json_extract_string(e.props, '$.k') AS INTEGER) = p.p_partkey"""
+
+SQL["merge_in_place"] = SQL["merge_update"]
