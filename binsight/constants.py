@@ -40,25 +40,42 @@ TAXONOMY = {
     "fruits": (
         ["QUICK_COMPOST", "SLOW_COMPOST", "REUSEABLE"],
         {
-            **{
-                label: "QUICK_COMPOST"
-                for label in [
-                    "banana", "spinach", "lettuce", "cabbage", "peas", "cucumber", "tomato",
-                    "bellpepper", "chilipepper", "jalepeno", "capsicum", "paprika",
-                    "radish", "turnip", "grapes", "kiwi", "apple", "pear", "watermelon", "soybean",
-                ]
-            },
-            **{
-                label: "SLOW_COMPOST"
-                for label in [
-                    "corn", "sweetcorn", "cauliflower", "eggplant", "potato", "sweetpotato",
-                    "onion", "garlic", "beetroot", "carrot",
-                ]
-            },
-            **{
-                label: "REUSEABLE"
-                for label in ["pineapple", "mango", "ginger", "lemon", "orange", "pomegranate"]
-            },
+            "banana": "QUICK_COMPOST",
+            "spinach": "QUICK_COMPOST",
+            "lettuce": "QUICK_COMPOST",
+            "cabbage": "QUICK_COMPOST",
+            "peas": "QUICK_COMPOST",
+            "cucumber": "QUICK_COMPOST",
+            "tomato": "QUICK_COMPOST",
+            "bellpepper": "QUICK_COMPOST",
+            "chilipepper": "QUICK_COMPOST",
+            "jalepeno": "QUICK_COMPOST",
+            "capsicum": "QUICK_COMPOST",
+            "paprika": "QUICK_COMPOST",
+            "radish": "QUICK_COMPOST",
+            "turnip": "QUICK_COMPOST",
+            "grapes": "QUICK_COMPOST",
+            "kiwi": "QUICK_COMPOST",
+            "apple": "QUICK_COMPOST",
+            "pear": "QUICK_COMPOST",
+            "watermelon": "QUICK_COMPOST",
+            "soybean": "QUICK_COMPOST",
+            "corn": "SLOW_COMPOST",
+            "sweetcorn": "SLOW_COMPOST",
+            "cauliflower": "SLOW_COMPOST",
+            "eggplant": "SLOW_COMPOST",
+            "potato": "SLOW_COMPOST",
+            "sweetpotato": "SLOW_COMPOST",
+            "onion": "SLOW_COMPOST",
+            "garlic": "SLOW_COMPOST",
+            "beetroot": "SLOW_COMPOST",
+            "carrot": "SLOW_COMPOST",
+            "pineapple": "REUSEABLE",
+            "mango": "REUSEABLE",
+            "ginger": "REUSEABLE",
+            "lemon": "REUSEABLE",
+            "orange": "REUSEABLE",
+            "pomegranate": "REUSEABLE",
         },
     ),
 }
