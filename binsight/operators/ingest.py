@@ -71,9 +71,9 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
     (size-checked) the existing table is never shuffled: its keys are
     semi-joined against the broadcast batch keys, de-duplicated (bounded by the
     batch) and that small set is broadcast into the anti join. Otherwise a
-    shuffled anti join runs; AQE's skew-join rule splits an oversized
-    partition of the batch side (a hot key, or all NULL keys) into several
-    tasks.
+    shuffled anti join runs against the de-duplicated table keys; AQE's
+    skew-join rule splits an oversized partition of the batch side (a hot
+    key, or all NULL keys) into several tasks.
     """
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
@@ -82,7 +82,9 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
     if 0 <= estimated_bytes(keys) <= broadcast_limit(incoming):
         seen = table_keys.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
         return incoming.join(F.broadcast(seen), key, "left_anti")
-    return incoming.join(table_keys, key, "left_anti")
+    # AQE can split a hot key only on the batch side; a key repeated across the
+    # table is collapsed map-side here, and the join reuses this partitioning
+    return incoming.join(table_keys.dropDuplicates([key]), key, "left_anti")
 
 
 def union_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:
