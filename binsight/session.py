@@ -19,6 +19,11 @@ SESSION_DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # long-running drivers (streams, timer refreshes): bound the execution
+    # metadata the status store keeps even with the UI off
+    "spark.sql.ui.retainedExecutions": "100",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "400",
 }
 
 
