@@ -45,35 +45,50 @@ def taxonomy(spark: SparkSession, model: str | None = None) -> DataFrame:
     return spark.createDataFrame(taxonomy_rows(models), TAXONOMY)
 
 
-def label_lookup(scores: DataFrame, model: str) -> DataFrame:
-    """Mapped labels only (inner join; unmapped labels are dropped)."""
+def _image_keys(scores: DataFrame, model: str | None) -> list[str]:
+    return ["key"] if model is not None else ["key", "model"]
+
+
+def label_lookup(scores: DataFrame, model: str | None) -> DataFrame:
+    """Mapped labels only (inner join; unmapped labels are dropped).
+
+    ``model=None``: the scores carry a ``model`` column (several models in one
+    run) and are joined to the whole 46-row taxonomy on ``(model, label)``;
+    unknown model names then match nothing.
+    """
+    if model is None:
+        tax = taxonomy(scores.sparkSession)
+        return (scores.join(fixed_dimension(tax), ["model", "label"], "inner")
+                .select("key", "model", "label", "category", "ordinal", "score"))
     tax = taxonomy(scores.sparkSession, model).drop("model")
     return (scores.join(fixed_dimension(tax), "label", "inner")
             .select("key", "label", "category", "ordinal", "score"))
 
 
-def ranked_labels(scores: DataFrame, model: str) -> DataFrame:
-    """All mapped labels per image with their rank (score desc, then label).
+def ranked_labels(scores: DataFrame, model: str | None) -> DataFrame:
+    """All mapped labels per image (and model) with their rank (score desc, then label).
 
     A window per image: (key, label) is unique, so a group never holds more
     rows than the model has labels, whatever the data size.
     """
-    w = Window.partitionBy("key").orderBy(F.desc("score"), F.asc("label"))
+    keys = _image_keys(scores, model)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("label"))
     return (label_lookup(scores, model)
-            .select("key", F.row_number().over(w).alias("rank"), "category", "label", "score"))
+            .select(*keys, F.row_number().over(w).alias("rank"), "category", "label", "score"))
 
 
-def _best(df: DataFrame, order: list) -> DataFrame:
-    payload = F.struct(*[c for c in df.columns if c != "key"])
+def _best(df: DataFrame, order: list, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or ["key"]
+    payload = F.struct(*[c for c in df.columns if c not in keys])
     best = F.min_by(payload, F.struct(*order))
-    return df.groupBy("key").agg(best.alias("b")).select("key", "b.*")
+    return df.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def top_label(scores: DataFrame, model: str) -> DataFrame:
-    """Best mapped label per image (rank 1 of ``ranked_labels``)."""
-    mapped = label_lookup(scores, model)
-    best = _best(mapped, [-F.col("score"), F.col("label")])
-    return best.select("key", F.lit(1).alias("rank"), "category", "label", "score")
+def top_label(scores: DataFrame, model: str | None) -> DataFrame:
+    """Best mapped label per image (and model): rank 1 of ``ranked_labels``."""
+    keys = _image_keys(scores, model)
+    best = _best(label_lookup(scores, model), [-F.col("score"), F.col("label")], keys)
+    return best.select(*keys, F.lit(1).alias("rank"), "category", "label", "score")
 
 
 def top_label_raw(scores: DataFrame, model: str, strict: bool = False) -> DataFrame:

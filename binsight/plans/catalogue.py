@@ -197,6 +197,11 @@ def q_top_label_raw(spark, d):
     return cl.top_label_raw(dt.scores(spark, d), MODEL)
 
 
+@register("top_label_models")
+def q_top_label_models(spark, d):
+    return cl.top_label(dt.model_scores(spark, d), None)
+
+
 @register("classification_report")
 def q_classification_report(spark, d):
     return cl.classification_report(dt.scores(spark, d), dt.items(spark, d), MODEL)

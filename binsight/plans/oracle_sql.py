@@ -416,3 +416,26 @@ FROM events e
 JOIN part p ON CAST(json_extract_string(e.props, '$.k') AS INTEGER) = p.p_partkey"""
 
 SQL["merge_in_place"] = SQL["merge_update"]
+
+
+def _model_slots() -> str:
+    slots = [(m, lbl) for m, (_c, mapping) in _C.TAXONOMY.items() for lbl in mapping] + [("trash1", "Unmapped")]
+    return ", ".join(f"({i + 1}, '{m}', '{lbl}')" for i, (m, lbl) in enumerate(slots))
+
+
+def _taxonomy_all() -> str:
+    rows = [(m, lbl, cat, cats.index(cat)) for m, (cats, mapping) in _C.TAXONOMY.items() for lbl, cat in mapping.items()]
+    return ", ".join(f"('{m}', '{lbl}', '{c}', {o})" for m, lbl, c, o in rows)
+
+
+SQL["top_label_models"] = f"""WITH s AS (
+  SELECT CAST(vec_id AS VARCHAR) || '.jpg' AS key, l.model, l.label, abs(CAST(embedding[l.i] AS DOUBLE)) AS score
+  FROM embeddings, (VALUES {_model_slots()}) l(i, model, label)
+),
+t AS (SELECT * FROM (VALUES {_taxonomy_all()}) t(model, label, category, ordinal)),
+r AS (
+  SELECT s.key, s.model, t.category, s.label, s.score,
+         row_number() OVER (PARTITION BY s.key, s.model ORDER BY s.score DESC, s.label ASC) AS rn
+  FROM s JOIN t ON s.model = t.model AND s.label = t.label
+)
+SELECT key, model, CAST(1 AS INTEGER) AS rank, category, label, score FROM r WHERE rn = 1"""

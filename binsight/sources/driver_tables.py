@@ -173,3 +173,20 @@ def stream_events_parts(spark: SparkSession, sf_dir: str, max_files_per_trigger:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     joined = ev.join(broadcast_if_small(part), ev.k == part.p_partkey, "inner")
     return joined.select("event_id", "ts", "event_type", "k", "p_name", "p_brand")
+
+
+def model_label_slots() -> list[tuple[str, str]]:
+    """(model, label) per embedding component: every taxonomy label in model
+    order, then one label no taxonomy maps."""
+    slots = [(m, lbl) for m, (_cats, mapping) in C.TAXONOMY.items() for lbl in mapping]
+    return slots + [("trash1", "Unmapped")]
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, model, label, score``: several models scored in one run (component i -> slot i)."""
+    parts = [F.struct(F.lit(m).alias("model"), F.lit(lbl).alias("label"),
+                      F.abs(F.element_at("embedding", i + 1).cast("double")).alias("score"))
+             for i, (m, lbl) in enumerate(model_label_slots())]
+    return (embedding_images(spark, sf_dir)
+            .select("key", F.inline(F.array(*parts)))
+            .select("key", "model", "label", "score"))

@@ -130,3 +130,15 @@ def test_small_column_functions(spark):
 def test_percent_text_edges(spark):
     rows = spark.createDataFrame([(0.0,), (1.0,), (0.00005,)], "s double").select(percent_text("s").alias("p")).collect()
     assert [r.p for r in rows] == ["0.00%", "100.00%", "0.01%"]
+
+
+def test_several_models_in_one_run(spark):
+    rows = [("k", "trash1", "Paper", 0.2), ("k", "trash1", "Organic", 0.7), ("k", "trash2", "metal", 0.9),
+            ("k", "trash2", "paper", 0.1), ("k", "fruits", "jalepeno", 0.5), ("k", "nope", "Paper", 1.0)]
+    scores = spark.createDataFrame(rows, "key string, model string, label string, score double")
+    top = {r.model: (r.category, r.label) for r in cl.top_label(scores, None).collect()}
+    assert top == {"trash1": ("COMPOST", "Organic"), "trash2": ("METAL", "metal"),
+                   "fruits": ("QUICK_COMPOST", "jalepeno")}
+    ranks = [(r.model, r.rank, r.label) for r in cl.ranked_labels(scores, None).orderBy("model", "rank").collect()]
+    assert ranks == [("fruits", 1, "jalepeno"), ("trash1", 1, "Organic"), ("trash1", 2, "Paper"),
+                     ("trash2", 1, "metal"), ("trash2", 2, "paper")]
