@@ -1 +1,13 @@
 """Structured Streaming jobs: continuous ingest (+ enrich) and live composition."""
+
+
+def drain_and_stop(query, timeout_s: float | None = None) -> None:
+    """Graceful stop of a continuously triggered query: process everything that
+    has arrived, then stop (the checkpoint records the last committed batch)."""
+    if timeout_s is None:
+        query.processAllAvailable()
+    else:
+        query.awaitTermination(timeout_s)
+    query.stop()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))

@@ -111,3 +111,19 @@ def test_image_stream_ingest_enrich_restart_and_retry(spark, tmp_dir):
     n, bad = jobs.enrich_pending(spark, table, img, Picky, backoff_s=0.0)
     assert [r.filename for r in bad.collect()] == ["bad.jpg"]
     assert tb.read_table(spark, table).filter("description = ''").count() == 1
+
+
+def test_processing_time_trigger_drain_and_stop(spark):
+    from binsight.sources import driver_tables as dt
+    from binsight.sources import table as tb
+    from binsight.streaming import drain_and_stop
+    from binsight.streaming.ingest_stream import start_ingest
+    d = "/root/testdata/sf0.001"
+    table = scratch_path(spark, "pt")
+    arrivals = dt.stream_events_parts(spark, d, max_files_per_trigger=1).select(
+        F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("filename"), F.col("ts").alias("time"))
+    q = start_ingest(arrivals, table, scratch_path(spark, "ptc"), scratch_path(spark, "ptw"),
+                     trigger={"processingTime": "1 second"})
+    drain_and_stop(q)
+    assert not q.isActive
+    assert tb.read_table(spark, table).count() == dt.table(spark, d, "events").count()
