@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from binsight import constants as C
 from binsight.functions.columns import capture_name, percent_text
-from binsight.operators.joins import fixed_dimension
+from binsight.operators.joins import broadcast_limit, estimated_bytes, fixed_dimension
 from binsight.schema import SCORES, TAXONOMY
 
 _INSTANCES: dict = {}
@@ -124,11 +124,18 @@ def classification_report(scores: DataFrame, images: DataFrame, model: str,
 
     ``images`` supplies the capture time per key (item table), collapsed to one
     row per key first (partial aggregate: a repeated key cannot multiply report
-    rows or overload one task). The join then reuses that hash partitioning,
-    and AQE broadcasts the per-image side when it is small.
+    rows or overload one task). When the scored keys are small (size-checked)
+    the item table is first semi-joined to them through a broadcast, so a big
+    table is scanned but not shuffled. The join then reuses the aggregate's
+    hash partitioning, and AQE broadcasts the per-image side when it is small.
     """
     best = best_per_image(scores, model)
-    times = images.groupBy(F.col(key).alias("key")).agg(F.max(time_col).alias("__t"))
+    src = images.select(F.col(key).alias("key"), F.col(time_col).alias("__t"))
+    keys = best.select("key")  # one row per image; shares best's shuffle (reused exchange)
+    if 0 <= estimated_bytes(keys) <= broadcast_limit(keys):
+        # a small batch of images: only its items are read past the scan
+        src = src.join(F.broadcast(keys), "key", "left_semi")
+    times = src.groupBy("key").agg(F.max("__t").alias("__t"))
     return (best.join(times, "key", "left")
             .select("key", "category", "label", "confidence",
                     percent_text("confidence").alias("confidence_text"),
