@@ -27,6 +27,31 @@ SESSION_DEFAULTS = {
 }
 
 
+# Suggested settings for a large cluster (hundreds of TB, ~1000 executors).
+# Shuffles start wide and AQE coalesces them to ~256 MB partitions; skewed
+# partitions (a key holding a third of the rows) are split at run time.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # rows carrying image bytes: keep Arrow batches to the scorer/provider small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 200) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for an input size: about one
+    ``target_bytes`` partition per slice of input (AQE coalesces down later)."""
+    return max(minimum, -(-int(input_bytes) // target_bytes))
+
+
 def get_session(master: str | None = None, app_name: str = "binsight",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

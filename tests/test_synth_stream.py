@@ -127,3 +127,16 @@ def test_processing_time_trigger_drain_and_stop(spark):
     drain_and_stop(q)
     assert not q.isActive
     assert tb.read_table(spark, table).count() == dt.table(spark, d, "events").count()
+
+
+def test_cluster_settings_apply(spark):
+    from binsight.session import CLUSTER_SETTINGS, shuffle_partitions_for
+    assert shuffle_partitions_for(100 * 2**40) == 409600 and shuffle_partitions_for(1) == 200
+    for k, v in CLUSTER_SETTINGS.items():  # every key is a valid SQL conf of this Spark
+        if k.startswith("spark.sql."):
+            old = spark.conf.get(k, None)
+            spark.conf.set(k, v)
+            if old is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, old)
