@@ -103,16 +103,23 @@ def top_label_raw(scores: DataFrame, model: str, strict: bool = False) -> DataFr
     return out.select("key", cat.alias("category"), "label", "score")
 
 
-def best_per_image(scores: DataFrame, model: str) -> DataFrame:
-    """Best mapped label per image; images with no mapped label keep a row with
-    NULL category/label/confidence (left join to the taxonomy, one aggregate)."""
-    tax = taxonomy(scores.sparkSession, model).select("label", "category")
-    joined = scores.join(fixed_dimension(tax), "label", "left")
+def best_per_image(scores: DataFrame, model: str | None) -> DataFrame:
+    """Best mapped label per image (per image and model when ``model=None`` and
+    the scores carry a ``model`` column); images with no mapped label keep a
+    row with NULL category/label/confidence (left join to the taxonomy, one
+    aggregate)."""
+    keys = _image_keys(scores, model)
+    if model is None:
+        tax = taxonomy(scores.sparkSession).select("model", "label", "category")
+        joined = scores.join(fixed_dimension(tax), ["model", "label"], "left")
+    else:
+        tax = taxonomy(scores.sparkSession, model).select("label", "category")
+        joined = scores.join(fixed_dimension(tax), "label", "left")
     unmapped = F.col("category").isNull()
-    best = _best(joined.select("key", "label", "category", "score", unmapped.alias("unmapped")),
-                 [F.col("unmapped"), -F.col("score"), F.col("label")])
+    best = _best(joined.select(*keys, "label", "category", "score", unmapped.alias("unmapped")),
+                 [F.col("unmapped"), -F.col("score"), F.col("label")], keys)
     keep = ~F.col("unmapped")
-    return best.select("key",
+    return best.select(*keys,
                        F.when(keep, F.col("category")).alias("category"),
                        F.when(keep, F.col("label")).alias("label"),
                        F.when(keep, F.col("score")).alias("confidence"))
@@ -164,7 +171,11 @@ def _instance(factory: Callable):
     return inst
 
 
-def score_images(images: DataFrame, scorer_factory: Callable, columns: list[str] | None = None) -> DataFrame:
+SCORES_BY_MODEL = "key string, model string, label string, score double"
+
+
+def score_images(images: DataFrame, scorer_factory: Callable, columns: list[str] | None = None,
+                 several_models: bool = False) -> DataFrame:
     """Run a scorer over image rows -> (key, label, score), one row per label.
 
     ``scorer_factory()`` builds the model once per Python worker; the scorer
@@ -181,14 +192,18 @@ def score_images(images: DataFrame, scorer_factory: Callable, columns: list[str]
         for pdf in batches:
             yield scorer(pdf)
 
-    return images.mapInPandas(run, SCORES)
+    return images.mapInPandas(run, SCORES_BY_MODEL if several_models else SCORES)
 
 
-def classify_images(images: DataFrame, model: str, scorer_factory: Callable,
+def classify_images(images: DataFrame, model: str | None, scorer_factory: Callable,
                     columns: list[str] | None = None) -> DataFrame:
-    """key, category, label, confidence for every image."""
-    check_model(model)
-    return best_per_image(score_images(images, scorer_factory, columns), model)
+    """key, category, label, confidence for every image; with ``model=None`` the
+    scorer runs several models and returns a ``model`` column (one row per
+    image and model)."""
+    if model is not None:
+        check_model(model)
+    scores = score_images(images, scorer_factory, columns, several_models=model is None)
+    return best_per_image(scores, model)
 
 
 class ComponentScorer:

@@ -142,3 +142,20 @@ def test_several_models_in_one_run(spark):
     ranks = [(r.model, r.rank, r.label) for r in cl.ranked_labels(scores, None).orderBy("model", "rank").collect()]
     assert ranks == [("fruits", 1, "jalepeno"), ("trash1", 1, "Organic"), ("trash1", 2, "Paper"),
                      ("trash2", 1, "metal"), ("trash2", 2, "paper")]
+
+
+def test_classify_images_several_models(spark):
+    import pandas as pd
+
+    def factory():
+        def score(pdf):
+            rows = []
+            for k in pdf["key"]:
+                rows += [(k, "trash1", "Organic", 0.6), (k, "trash1", "Paper", 0.3),
+                         (k, "trash2", "Unknown", 0.9), (k, "fruits", "mango", 0.4)]
+            return pd.DataFrame(rows, columns=["key", "model", "label", "score"])
+        return score
+
+    imgs = spark.createDataFrame([("a.jpg", b"x")], "key string, content binary")
+    out = {r.model: (r.category, r.label) for r in cl.classify_images(imgs, None, factory).collect()}
+    assert out == {"trash1": ("COMPOST", "Organic"), "trash2": (None, None), "fruits": ("REUSEABLE", "mango")}
