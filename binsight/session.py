@@ -72,17 +72,19 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Only when the setting is absent (tests, a laptop) a local folder is made
-    and registered; on a cluster the configured shared folder is always used.
+    and registered with ``SparkContext.setCheckpointDir`` (the core setting
+    itself cannot change at run time); on a cluster the configured shared
+    folder is always used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="binsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="binsight-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

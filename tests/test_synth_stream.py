@@ -140,3 +140,22 @@ def test_cluster_settings_apply(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, old)
+
+
+def test_shared_dir_when_checkpoint_dir_is_unset(tmp_dir):
+    """A session without spark.checkpoint.dir: a local folder is registered
+    through the SparkContext (the core setting cannot be changed at run time)."""
+    import subprocess
+    import sys
+    conf_dir = os.path.join(tmp_dir, "conf")
+    os.makedirs(conf_dir)
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "from binsight.session import shared_dir\n"
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "d = shared_dir(s); assert d == s.sparkContext.getCheckpointDir().rstrip('/'); print('SHARED', d)\n" % repo)
+    env = dict(os.environ, SPARK_CONF_DIR=conf_dir)
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=240)
+    assert "SHARED file:" in out.stdout, out.stderr[-2000:]
