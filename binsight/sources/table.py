@@ -80,15 +80,20 @@ def with_partition(df: DataFrame, time_col: str = "time") -> DataFrame:
 
 
 def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None,
-               keep_partition: bool = False) -> DataFrame:
+               keep_partition: bool = False, merge_schema: bool = True) -> DataFrame:
     """Newest committed snapshot; columns added by later appends read as NULL.
-    The partition column is dropped unless ``keep_partition``."""
+    The partition column is dropped unless ``keep_partition``.
+
+    ``merge_schema`` reads every file footer (a distributed job) so that
+    appended columns appear; on a huge table whose schema has not evolved,
+    pass False, or pass the known ``schema`` (no footer pass at all)."""
     snaps = snapshots(spark, base)
     if not snaps:
         if schema is None:
             schema = ITEM
         return spark.createDataFrame([], schema)
-    df = spark.read.option("mergeSchema", "true").parquet(snapshot_path(base, snaps[-1]))
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", str(merge_schema).lower())
+    df = reader.parquet(snapshot_path(base, snaps[-1]))
     return df.drop(PARTITION_COL) if PARTITION_COL in df.columns and not keep_partition else df
 
 

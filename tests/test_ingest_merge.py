@@ -185,3 +185,14 @@ def test_partition_scoped_merge_rewrites_touched_dates_only(spark, tmp_dir):
     assert sorted(glob.glob(f"{snap}/capture_date=2020-09-13/*.parquet")) == before_old
     assert before_old != old_files  # the first merge did rewrite that day
     assert tb.read_table(spark, table).filter("brand = 'B'").count() == 4
+
+
+def test_read_table_with_known_schema(spark, tmp_dir):
+    from pyspark.sql import types as T
+    table = os.path.join(tmp_dir, "t")
+    tb.append(spark, spark.createDataFrame([("a", 1)], "filename string, v int"), table)
+    tb.append(spark, spark.createDataFrame([("b", 2, "new")], "filename string, v int, extra string"), table)
+    assert tb.read_table(spark, table).columns == ["filename", "v", "extra"]
+    known = T.StructType([T.StructField("filename", T.StringType()), T.StructField("v", T.IntegerType())])
+    got = sorted(tuple(r) for r in tb.read_table(spark, table, schema=known).collect())
+    assert got == [("a", 1), ("b", 2)]
