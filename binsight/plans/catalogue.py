@@ -50,6 +50,13 @@ def q_composition_by_brand(spark, d):
     return comp.composition(prepare(dt.items(spark, d)), "brand", order=False)
 
 
+@register("composition_one_pass")
+def q_composition_one_pass(spark, d):
+    """Brand composition taken from the dashboard's single grouping-sets pass
+    (hour and brand aggregated together)."""
+    return comp.compositions(prepare(dt.items(spark, d)), ["hour", "brand"])["brand"]
+
+
 @register("composition_by_hour_long")
 def q_composition_by_hour_long(spark, d):
     wide = comp.composition(prepare(dt.items(spark, d)), "hour", order=False)

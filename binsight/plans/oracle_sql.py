@@ -439,3 +439,5 @@ r AS (
   FROM s JOIN t ON s.model = t.model AND s.label = t.label
 )
 SELECT key, model, CAST(1 AS INTEGER) AS rank, category, label, score FROM r WHERE rn = 1"""
+
+SQL["composition_one_pass"] = SQL["composition_by_brand"]
