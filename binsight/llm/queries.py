@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash
 from .common import read
 
 
@@ -14,5 +14,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of at most 1024 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_best_fit_packing)}
 SQL: dict[str, str] = {}
