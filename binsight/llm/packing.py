@@ -73,24 +73,22 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
                    epsilon: float = EPSILON) -> dict[tuple[tuple[int, int], ...], float]:
     """Fractional cover of ``demand`` by configurations ((index, count), ...).
 
-    Multiplicative weights: a length's price falls exponentially with how much
-    of its demand is covered. Each round solves the knapsack over all capacities
+    Multiplicative weights: a length's price starts at its share of a sequence and
+    falls exponentially with how much of its demand is covered. Each round solves the knapsack over all capacities
     once and applies the configurations, one for each length, whose value is
     within ``SLACK`` of the best; each covers ``epsilon / 2`` of the demand of
     the length it exhausts first. Lengths leave once covered.
     """
     m = len(lengths)
     covered = np.zeros(m)
-    rate = np.log(m + 1) / epsilon / 4
+    rate = np.log(m + 1) / epsilon / 16
     found: dict[tuple[tuple[int, int], ...], float] = {}
     while True:
         live = np.flatnonzero(covered < 1 - 1e-9)
         if not len(live):
             return found
         size = lengths[live]
-        price = np.exp(-rate * (covered[live] - covered[live].min())) / demand[live] * demand[live].min()
-        # a length is worth at least its tokens' share, so that full sequences win among equals
-        price = price / price.max() + 1e-6 * size / capacity
+        price = np.exp(-rate * (covered[live] - covered[live].min())) * size / capacity
         best = np.zeros(capacity + 1)
         take = np.full(capacity + 1, -1)
         fits = np.searchsorted(size, np.arange(capacity + 1), "right")
@@ -134,37 +132,40 @@ def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY,
     rows: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
 
-    def place(config: list[tuple[int, int]], times: int) -> None:
+    # equal sequences are kept together: free room -> (items, number of such sequences)
+    groups: dict[int, list[tuple[tuple, int]]] = {}
+    free = 0
+
+    def put(items: tuple, room: int, times: int) -> None:
+        nonlocal free
+        if times > 0:
+            groups.setdefault(room, []).append((items, times))
+            free |= 1 << room
+
+    def place(config: tuple, times: int) -> None:
         nonlocal sequences
         offset = 0
         for j, c in config:
             rows.append((int(size[j]), int(used[j]), int(used[j] + c * times), c, sequences, offset))
             used[j] += c * times
-            left[j] -= c * times
             offset += c * int(size[j])
         sequences += times
 
-    full = size >= capacity
-    for j in np.flatnonzero(full & (left > 0)):
-        place([(int(j), 1)], int(left[j]))
+    for j in np.flatnonzero(size >= capacity):
+        place(((int(j), 1),), int(left[j]))
+        left[j] = 0
     rest = np.flatnonzero(left > 0)
     if len(rest):
         chosen = configurations(size[rest], left[rest].astype(float), capacity, epsilon)
         for config, x in sorted(chosen.items(), key=lambda kv: (-kv[1], kv[0])):
             items = [(int(rest[j]), c) for j, c in config]
             times = min(int(x * (1 - RESERVE)), *(int(left[j]) // c for j, c in items))
-            if times > 0 and sum(c * size[j] for j, c in items) == capacity:
-                place(items, times)
-    # best fit, longest first, of what is left: equal sequences are filled together
-    groups: dict[int, list[list]] = {}  # free room -> [items, number of such sequences]
-    free = 0
-
-    def put(items: tuple, room: int, times: int) -> None:
-        nonlocal free
-        if times:
-            groups.setdefault(room, []).append([items, times])
-            free |= 1 << room
-
+            # a configuration with room to spare would waste it in each of its sequences
+            if times > 0 and sum(c * int(size[j]) for j, c in items) == capacity:
+                place(tuple(items), times)
+                for j, c in items:
+                    left[j] -= c * times
+    # best fit, longest first, of what rounding left
     for j in np.flatnonzero(left > 0)[::-1]:
         s, n = int(size[j]), int(left[j])
         while n:
