@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import decontaminate, packing, simhash
 from .common import read
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item it holds), by BM25 and question and answer overlap."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (3-word shingles, at most 2 differing bits)."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
@@ -19,5 +24,5 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_simhash_near_dedup, op4_best_fit_packing)}
 SQL: dict[str, str] = {}
