@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binsight.session import scratch_path
+from binsight.session import scratch_path, ship_package
 
 #: Words of the contracts: runs of bytes that are neither a space nor \x09-\x0D.
 #: ``bytes.split()`` without an argument cuts at exactly these six bytes.
@@ -17,6 +17,8 @@ _NORMAL_WORD = re.compile(r"[^\W_]+")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, after making sure that the Python workers can import the package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

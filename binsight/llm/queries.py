@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash
-from .common import read
+from . import decontaminate, langid, packing, simhash
+from .common import id_split, read
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the three quarters that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    held = id_split("doc_id", 4) == 2
+    found = langid.identify(docs, docs.filter(~held))
+    return found.select("doc_id", (id_split("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (3-word shingles, at most 2 differing bits)."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select(
@@ -24,5 +32,5 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_simhash_near_dedup, op4_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing)}
 SQL: dict[str, str] = {}
