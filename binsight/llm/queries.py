@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, simhash
+from . import decontaminate, langid, packing, pii, simhash
 from .common import id_split, read
 
 
@@ -32,5 +33,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    found = found.withColumn("base", base)
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *(count(k) for k in pii.BASE),
+                        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing,
+                                op7_pii)}
 SQL: dict[str, str] = {}
