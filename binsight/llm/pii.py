@@ -105,7 +105,7 @@ def _described(name: str, x: Column) -> Column:
     ok = _ok(name, hit)
     yes = lambda c, other: F.when(c, F.lit(1)).otherwise(F.lit(other))
     if kind == "email":
-        gaz = yes(F.lower(F.regexp_extract(hit, r"([A-Za-z]+)[)\]]?$", 1)).isin(TOP_DOMAINS), 2)
+        gaz = yes(F.lower(F.regexp_extract(F.right(hit, F.lit(16)), r"([A-Za-z]++)[)\]]?$", 1)).isin(TOP_DOMAINS), 2)
     elif name == "ip":
         gaz = F.when(hit.rlike(r"^(?:0|127|255)\."), F.lit(0)).otherwise(F.lit(2))
     elif kind == "card":
