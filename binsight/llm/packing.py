@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -195,10 +195,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(pdf["text"]):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 got = np.append(token_ids(text, tokenizer), np.uint32(end_id)).astype("<u4")
                 for p, (s, n) in enumerate(cut(len(got), capacity)):
                     at.append(i)
@@ -208,14 +208,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     crc.append(zlib.crc32(got[s:s + n].tobytes()))
                     if with_ids:
                         ids.append(got[s:s + n].astype(np.int32))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "piece": np.array(piece, np.int32),
-                                "start": np.array(start, np.int64), "length": np.array(length, np.int64),
-                                "ids_crc32": np.array(crc, np.int64)})
+            columns = {"doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "piece": pa.array(piece, pa.int32()),
+                       "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+                       "ids_crc32": pa.array(crc, pa.int64())}
             if with_ids:
-                out["ids"] = ids
-            yield out
+                columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
@@ -241,22 +241,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ranked = (ranked.join(before, ["length", "bucket"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nr") + F.col("before")).alias("rank")))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments.value
         step = int(seg[:, 1].max(initial=0)) + 1  # (length, first rank) as one ascending number
         first = seg[:, 0] * step + seg[:, 1]
-        for pdf in batches:
-            rank = pdf["rank"].to_numpy(np.int64)
-            at = np.searchsorted(first, pdf["length"].to_numpy(np.int64) * step + np.minimum(rank, step - 1), "right") - 1
-            s = seg[at]
+        for batch in batches:
+            rank, length = (batch.column(c).to_numpy() for c in ("rank", "length"))
+            s = seg[np.searchsorted(first, length * step + np.minimum(rank, step - 1), "right") - 1]
             nth = rank - s[:, 1]
-            out = pdf.drop(columns="rank")
-            out["sequence_id"] = s[:, 4] + nth // s[:, 3]
-            out["offset"] = s[:, 5] + nth % s[:, 3] * s[:, 0]
-            yield out
+            columns = {c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            columns["sequence_id"] = pa.array(s[:, 4] + nth // s[:, 3])
+            columns["offset"] = pa.array(s[:, 5] + nth % s[:, 3] * s[:, 0])
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInPandas(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
                                      "sequence_id long, offset long")
 
 
