@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, pii, simhash, topk
+from . import chat, decontaminate, langid, packing, pii, quality, simhash, topk
 from .common import id_split, read
 
 
@@ -61,8 +61,16 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the two thirds that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    seen = id_split("doc_id", 3) != 1
+    found = quality.quality(docs, docs.filter(seen), labels.filter(seen))
+    return found.select("doc_id", (id_split("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op6_exact_topk,
-                                op7_pii, op8_chat_formatting)}
+                                op7_pii, op8_chat_formatting, op10_quality_classifier)}
 SQL: dict[str, str] = {
     "op6_exact_topk": """
 WITH v AS (
