@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, pii, quality, simhash, topk
+from . import chat, decontaminate, langid, packing, pii, quality, simhash, substrings, topk
 from .common import id_split, read
 
 
@@ -33,6 +33,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 35 words that repeat."""
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of every hundredth embedding, by integer inner product."""
     rows = read(spark, sf_dir, "embeddings")
@@ -69,7 +75,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_split("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op6_exact_topk,
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk,
                                 op7_pii, op8_chat_formatting, op10_quality_classifier)}
 SQL: dict[str, str] = {
     "op6_exact_topk": """
