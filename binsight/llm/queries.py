@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, pii, quality, simhash, substrings, topk
+from . import chat, decontaminate, hpylm, langid, packing, pii, quality, simhash, substrings, topk
 from .common import id_split, read
 
 
@@ -67,6 +67,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the nine tenths that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    held = id_split("doc_id", 10) == 0
+    found = hpylm.score(docs, docs.filter(~held))
+    return found.withColumn("held_out", held)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of the two thirds that are not held out."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -76,7 +84,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk,
-                                op7_pii, op8_chat_formatting, op10_quality_classifier)}
+                                op7_pii, op8_chat_formatting, op9_lm_scoring, op10_quality_classifier)}
 SQL: dict[str, str] = {
     "op6_exact_topk": """
 WITH v AS (
