@@ -43,6 +43,7 @@ def counts(text: str | None) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     if not text:
         return out
+    tail, inside = np.zeros(0, np.uint64), True
     for at in range(0, len(text), _PIECE):
         low = text[at:at + _PIECE].lower()
         code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -50,11 +51,10 @@ def counts(text: str | None) -> np.ndarray:
         code = np.where(letter, code, 32)
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        keep[0] = True
-        c = code[keep].astype(np.uint64)
-        if at:
-            c = np.concatenate([tail, c])
-        new = len(tail) if at else 0
+        keep[0] |= inside  # a boundary of two pieces is one boundary
+        inside = bool(letter[-1])
+        c = np.concatenate([tail, code[keep].astype(np.uint64)])
+        new = len(tail)
         mix = c * np.uint64(0x9E3779B97F4A7C15)
         one = mix >> np.uint64(52)
         grams = [one[new:]]
