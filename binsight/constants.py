@@ -117,6 +117,7 @@ SPINE_DAYS = 7
 
 PROFILES = {
     "python": {
+        "end_included": False,
         "brands": ["Amazon", "Walmart", "Apple", "Nike", "Starbucks", "Other"],
         "brand_weights": [0.5, 0.2, 0.1, 0.05, 0.1, 0.05],
         "recycle_rates": {"Amazon": 0.9, "Walmart": 0.25, "Apple": 0.15, "Nike": 0.1, "Starbucks": 0.7, "Other": 0.3},
@@ -124,6 +125,7 @@ PROFILES = {
         "hour_weights": HOUR_COMPOST_WEIGHTS,
     },
     "matlab": {
+        "end_included": True,
         "brands": ["Amazon", "Walmart", "Coca-Cola", "Nestle", "Starbucks", "Other"],
         "brand_weights": [0.1, 0.2, 0.4, 0.25, 0.1, 0.05],
         "recycle_rates": {"Amazon": 0.9, "Walmart": 0.25, "Coca-Cola": 0.95, "Nestle": 0.95, "Starbucks": 0.7, "Other": 0.3},

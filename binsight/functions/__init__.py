@@ -5,5 +5,5 @@ from binsight.functions.columns import (  # noqa: F401
     percent_text, recode, base64_text, request_document, total_label, last_dotted,
 )
 from binsight.functions.random import (  # noqa: F401
-    uniform, uniform_int, uniform_choice, weighted_choice, bernoulli, cumulative_bounds,
+    uniform, uniform_int, uniform_choice, weighted_choice, cumulative_bounds,
 )

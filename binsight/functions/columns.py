@@ -81,7 +81,7 @@ def last_dotted(name) -> Column:
 
 def base64_text(content) -> Column:
     """Unbroken base64 of a binary column (Spark may insert CRLF every 76 chars)."""
-    return F.regexp_replace(F.base64(_c(content)), "[\r\n]", "")
+    return F.replace(F.base64(_c(content)), F.lit("\r\n"), F.lit(""))
 
 
 def request_document(content, prompt: str = C.METADATA_PROMPT, model: str = C.METADATA_MODEL,

@@ -1,9 +1,10 @@
 """Partition-independent pseudo-random columns.
 
-Draws depend only on ``(id, salt, seed)``, never on partitioning or task
-order, so a job gives the same rows on 1 or 1000 executors and after a retry.
-The mix uses only integer ``*``, ``+``, ``xor``, ``>>`` and ``pmod`` below 2**63,
-so any SQL engine can reproduce it bit for bit.
+A draw is a function of ``(id, salt, seed)`` alone, never of partitioning or
+task order, so a job gives the same rows on 1 or 1000 executors and after a
+retry. The three numbers are written out as text and hashed with MD5; the first
+13 hex digits are the draw. Another seed or salt is therefore an unrelated
+sequence, ids of all 64 bits differ, and any engine with MD5 gives the same.
 """
 
 from __future__ import annotations
@@ -13,51 +14,23 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_M = 2147483648          # 2**31
-_A1, _C1 = 1103515245, 12345
-_B = 73244475            # odd 27-bit multiplier of the xor-shift rounds
-_HI = 40503              # folds the high bits of ids >= 2**31
+_RANGE = 1 << 52  # 13 hex digits: exact as a double
 
 
-def _xs(h: Column, k: int) -> Column:
-    return h.bitwiseXOR(F.shiftright(h, k))
-
-
-def _mix(idc: Column, salt: int, seed: int) -> Column:
-    """31-bit integer hash: affine seed step, then xor-shift / multiply rounds."""
-    lo = F.pmod(idc, F.lit(_M))
-    hi = F.pmod(F.shiftright(idc, 31), F.lit(_M))
-    h = F.pmod(lo + hi * F.lit(_HI) + F.lit(salt * 7919 + seed), F.lit(_M))
-    h = F.pmod(h * F.lit(_A1) + F.lit(_C1), F.lit(_M))
-    h = F.pmod(_xs(h, 16) * F.lit(_B), F.lit(_M))
-    h = F.pmod(_xs(h, 13) * F.lit(_B), F.lit(_M))
-    return _xs(h, 16)
-
-
-def _mix_sql(name: str, salt: int, seed: int) -> str:
-    """The same hash as ``_mix`` as one SQL expression (one plan call instead of dozens)."""
-    i = f"CAST(`{name}` AS BIGINT)"
-    h = f"pmod(pmod({i}, {_M}) + pmod(shiftright({i}, 31), {_M}) * {_HI} + {salt * 7919 + seed}, {_M})"
-    h = f"pmod({h} * {_A1} + {_C1}, {_M})"
-    for k in (16, 13):
-        h = f"pmod(((h) ^ shiftright((h), {k})) * {_B}, {_M})".replace("(h)", f"({h})")
-    return f"(({h}) ^ shiftright(({h}), 16))"
-
-
-def _hash(idc, salt: int, seed: int) -> Column:
-    if isinstance(idc, str):
-        return F.expr(_mix_sql(idc, salt, seed))
-    return _mix(idc.cast("long"), salt, seed)
+def _draw(idc, salt: int, seed: int) -> Column:
+    idc = F.col(idc) if isinstance(idc, str) else idc
+    text = F.concat_ws(":", idc.cast("long").cast("string"), F.lit(str(salt)), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def uniform(idc, salt: int, seed: int = 0) -> Column:
     """u in [0, 1) from an integer id column (a name or a Column)."""
-    return _hash(idc, salt, seed) / F.lit(float(_M))
+    return _draw(idc, salt, seed) / F.lit(float(_RANGE))
 
 
 def uniform_int(n: int, idc, salt: int, seed: int = 0) -> Column:
-    """Integer in [0, n) (``n`` far below 2**31)."""
-    return F.pmod(_hash(idc, salt, seed), F.lit(n))
+    """Integer in [0, n) (``n`` far below 2**52)."""
+    return F.pmod(_draw(idc, salt, seed), F.lit(n))
 
 
 def uniform_choice(values: list, idc, salt: int, seed: int = 0) -> Column:
@@ -85,8 +58,3 @@ def weighted_choice(values: list[str], weights: list[float], u) -> Column:
     for v, b in zip(values, bounds):
         expr = F.when(u < F.lit(b), F.lit(v)) if expr is None else expr.when(u < F.lit(b), F.lit(v))
     return expr.otherwise(F.lit(values[-1]))
-
-
-def bernoulli(p, idc, salt: int, seed: int = 0) -> Column:
-    p = F.col(p) if isinstance(p, str) else p
-    return uniform(idc, salt, seed) < p

@@ -1,26 +1,26 @@
 """Image classification: pluggable scorer, label taxonomy, best label per image.
 
-The scorer runs in ``mapInPandas`` (Arrow batches, one instance per Python
-worker); everything after it is JVM-side: a broadcast join to the fixed-size
-taxonomy and a per-image ``min_by`` aggregate. That aggregate is combined
-map-side before the shuffle (one row per image and partition), so a repeated
-image key cannot overload a task; it plans as a sort-based aggregate because
-its buffer holds a struct.
+The scorer runs in ``mapInPandas`` and returns all labels of an image together,
+so an image stays one row, ``key, [model,] scores array<struct<label, score>>``,
+from the scorer to the report. Looking labels up in the fixed 46-row taxonomy
+(a map literal), ranking and picking are array functions: no shuffle, no
+window, and an image without any score keeps its row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight import constants as C
 from binsight.functions.columns import capture_name, percent_text
-from binsight.operators.joins import broadcast_limit, estimated_bytes, fixed_dimension
-from binsight.schema import SCORES, TAXONOMY
+from binsight.schema import SCORES, SCORES_BY_MODEL, TAXONOMY
 
 _INSTANCES: dict = {}
+_KNOWN = "array<struct<label:string,category:string,ordinal:int,score:double>>"
 
 
 def taxonomy_rows(models: list[str] | None = None) -> list[tuple]:
@@ -45,84 +45,79 @@ def taxonomy(spark: SparkSession, model: str | None = None) -> DataFrame:
     return spark.createDataFrame(taxonomy_rows(models), TAXONOMY)
 
 
-def _image_keys(scores: DataFrame, model: str | None) -> list[str]:
+def _lookup(model: str | None) -> Callable[[Column], Column]:
+    """label -> struct(category, ordinal) or NULL; with ``model=None`` by the row's
+    ``model`` column, where a model that the taxonomy does not know fails the job."""
+    def of(name: str) -> Column:
+        return F.create_map(*(x for _, label, cat, n in taxonomy_rows([name])
+                              for x in (F.lit(label), F.struct(F.lit(cat).alias("category"), F.lit(n).alias("ordinal")))))
+
+    if model is not None:
+        table = of(check_model(model))
+    else:
+        unknown = F.raise_error(F.concat(F.lit("unknown model "), F.coalesce(F.col("model"), F.lit("NULL"))))
+        table = F.coalesce(*(F.when(F.col("model") == m, of(m)) for m in C.TAXONOMY),
+                           unknown.cast("map<string,struct<category:string,ordinal:int>>"))
+    return lambda label: F.element_at(table, label)
+
+
+def _keys(model: str | None) -> list[str]:
     return ["key"] if model is not None else ["key", "model"]
 
 
-def label_lookup(scores: DataFrame, model: str | None) -> DataFrame:
-    """Mapped labels only (inner join; unmapped labels are dropped).
+def mapped(scores: DataFrame, model: str | None) -> DataFrame:
+    """``scores`` with ``known``: the labels that the taxonomy maps, best first
+    (score descending, then label)."""
+    look = _lookup(model)
+    all_ = F.transform("scores", lambda s: F.struct(
+        s["label"].alias("label"), look(s["label"])["category"].alias("category"),
+        look(s["label"])["ordinal"].alias("ordinal"), s["score"].alias("score")))
+    known = F.filter(all_, lambda s: s["category"].isNotNull())
+    return scores.withColumn("known", F.coalesce(F.array_sort(known, _better), F.array().cast(_KNOWN)))
 
-    ``model=None``: the scores carry a ``model`` column (several models in one
-    run) and are joined to the whole 46-row taxonomy on ``(model, label)``;
-    unknown model names then match nothing.
-    """
-    if model is None:
-        tax = taxonomy(scores.sparkSession)
-        return (scores.join(fixed_dimension(tax), ["model", "label"], "inner")
-                .select("key", "model", "label", "category", "ordinal", "score"))
-    tax = taxonomy(scores.sparkSession, model).drop("model")
-    return (scores.join(fixed_dimension(tax), "label", "inner")
-            .select("key", "label", "category", "ordinal", "score"))
 
+def _better(a: Column, b: Column) -> Column:
+    """Descending score (NULL last), then ascending label."""
+    x, y = F.coalesce(a["score"], F.lit(float("-inf"))), F.coalesce(b["score"], F.lit(float("-inf")))
+    return (F.when(x > y, F.lit(-1)).when(x < y, F.lit(1)).when(a["label"] < b["label"], F.lit(-1))
+            .when(a["label"] > b["label"], F.lit(1)).otherwise(F.lit(0)))
 
-def ranked_labels(scores: DataFrame, model: str | None) -> DataFrame:
-    """All mapped labels per image (and model) with their rank (score desc, then label).
 
-    A window per image: (key, label) is unique, so a group never holds more
-    rows than the model has labels, whatever the data size.
-    """
-    keys = _image_keys(scores, model)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("label"))
-    return (label_lookup(scores, model)
-            .select(*keys, F.row_number().over(w).alias("rank"), "category", "label", "score"))
+def label_lookup(scores: DataFrame, model: str | None) -> DataFrame:
+    """Mapped labels only, a row each. ``model=None``: rows carry a ``model``
+    column (several models in one run)."""
+    return mapped(scores, model).select(*_keys(model), F.inline("known")).select(
+        *_keys(model), "label", "category", "ordinal", "score")
 
 
-def _best(df: DataFrame, order: list, keys: list[str] | None = None) -> DataFrame:
-    keys = keys or ["key"]
-    payload = F.struct(*[c for c in df.columns if c not in keys])
-    best = F.min_by(payload, F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+def ranked_labels(scores: DataFrame, model: str | None) -> DataFrame:
+    """All mapped labels per image (and model) with their rank (score desc, then label)."""
+    return (mapped(scores, model).select(*_keys(model), F.posexplode("known").alias("pos", "k"))
+            .select(*_keys(model), (F.col("pos") + 1).alias("rank"), "k.category", "k.label", "k.score"))
 
 
 def top_label(scores: DataFrame, model: str | None) -> DataFrame:
     """Best mapped label per image (and model): rank 1 of ``ranked_labels``."""
-    keys = _image_keys(scores, model)
-    best = _best(label_lookup(scores, model), [-F.col("score"), F.col("label")], keys)
-    return best.select(*keys, F.lit(1).alias("rank"), "category", "label", "score")
+    best = mapped(scores, model).filter(F.size("known") > 0).withColumn("b", F.get("known", F.lit(0)))
+    return best.select(*_keys(model), F.lit(1).alias("rank"), "b.category", "b.label", "b.score")
 
 
 def top_label_raw(scores: DataFrame, model: str, strict: bool = False) -> DataFrame:
     """Best raw label per image, then mapped; NULL category when unmapped
     (``strict`` raises instead, as a lookup of an unknown label would)."""
-    best = _best(scores.select("key", "label", "score"), [-F.col("score"), F.col("label")])
-    tax = taxonomy(scores.sparkSession, model).select("label", "category")
-    out = best.join(fixed_dimension(tax), "label", "left")
-    cat = F.col("category")
+    best = F.get(F.array_sort("scores", _better), F.lit(0))
+    out = scores.withColumn("b", best).filter(F.col("b").isNotNull()).select("key", "b.label", "b.score")
+    cat = _lookup(model)(F.col("label"))["category"]
     if strict:
-        cat = F.when(cat.isNull(), F.raise_error(F.concat(F.lit("unmapped label: "), F.col("label")))).otherwise(cat)
+        cat = F.when(cat.isNull(), F.raise_error(F.concat(F.lit("unmapped label: "), F.col("label"))).cast("string")).otherwise(cat)
     return out.select("key", cat.alias("category"), "label", "score")
 
 
 def best_per_image(scores: DataFrame, model: str | None) -> DataFrame:
-    """Best mapped label per image (per image and model when ``model=None`` and
-    the scores carry a ``model`` column); images with no mapped label keep a
-    row with NULL category/label/confidence (left join to the taxonomy, one
-    aggregate)."""
-    keys = _image_keys(scores, model)
-    if model is None:
-        tax = taxonomy(scores.sparkSession).select("model", "label", "category")
-        joined = scores.join(fixed_dimension(tax), ["model", "label"], "left")
-    else:
-        tax = taxonomy(scores.sparkSession, model).select("label", "category")
-        joined = scores.join(fixed_dimension(tax), "label", "left")
-    unmapped = F.col("category").isNull()
-    best = _best(joined.select(*keys, "label", "category", "score", unmapped.alias("unmapped")),
-                 [F.col("unmapped"), -F.col("score"), F.col("label")], keys)
-    keep = ~F.col("unmapped")
-    return best.select(*keys,
-                       F.when(keep, F.col("category")).alias("category"),
-                       F.when(keep, F.col("label")).alias("label"),
-                       F.when(keep, F.col("score")).alias("confidence"))
+    """Best mapped label of every image (and model); an image without a score or
+    a mapped label keeps a row with NULL category, label and confidence."""
+    best = mapped(scores, model).withColumn("b", F.get("known", F.lit(0)))
+    return best.select(*_keys(model), "b.category", "b.label", F.col("b.score").alias("confidence"))
 
 
 def classification_report(scores: DataFrame, images: DataFrame, model: str,
@@ -131,19 +126,10 @@ def classification_report(scores: DataFrame, images: DataFrame, model: str,
 
     ``images`` supplies the capture time per key (item table), collapsed to one
     row per key first (partial aggregate: a repeated key cannot multiply report
-    rows or overload one task). When the scored keys are small (size-checked)
-    the item table is first semi-joined to them through a broadcast, so a big
-    table is scanned but not shuffled. The join then reuses the aggregate's
-    hash partitioning, and AQE broadcasts the per-image side when it is small.
+    rows or overload one task).
     """
-    best = best_per_image(scores, model)
-    src = images.select(F.col(key).alias("key"), F.col(time_col).alias("__t"))
-    keys = best.select("key")  # one row per image; shares best's shuffle (reused exchange)
-    if 0 <= estimated_bytes(keys) <= broadcast_limit(keys):
-        # a small batch of images: only its items are read past the scan
-        src = src.join(F.broadcast(keys), "key", "left_semi")
-    times = src.groupBy("key").agg(F.max("__t").alias("__t"))
-    return (best.join(times, "key", "left")
+    times = images.groupBy(F.col(key).alias("key")).agg(F.max(time_col).alias("__t"))
+    return (best_per_image(scores, model).join(times, "key", "left")
             .select("key", "category", "label", "confidence",
                     percent_text("confidence").alias("confidence_text"),
                     capture_name("__t").alias("image_saved")))
@@ -151,46 +137,54 @@ def classification_report(scores: DataFrame, images: DataFrame, model: str,
 
 # ---- pluggable scorer -------------------------------------------------------
 
-def _factory_key(factory: Callable):
-    """Importable factories (module-level functions / classes) are keyed by name,
-    so every task in a reused Python worker shares one instance; closures and
-    local classes arrive as fresh objects per task and get their own."""
-    qual = getattr(factory, "__qualname__", "")
-    if qual and "<" not in qual:
-        return f"{getattr(factory, '__module__', '')}.{qual}"
-    return id(factory)
+def job_factory(factory: Callable) -> Callable:
+    """Function that returns the job's one instance in each Python worker.
 
+    Instances are kept under a token made here, on the driver, so another job's
+    instance of the same class, function or name is never taken for this one's.
+    """
+    token = uuid.uuid4().hex
 
-def _instance(factory: Callable):
-    key = _factory_key(factory)
-    inst = _INSTANCES.get(key)
-    if inst is None:
-        if len(_INSTANCES) > 32:  # per-task closures: keep the cache bounded
-            _INSTANCES.clear()
-        inst = _INSTANCES[key] = factory()
-    return inst
-
+    def instance():
+        if token not in _INSTANCES:
+            _INSTANCES[token] = factory()
+        return _INSTANCES[token]
 
-SCORES_BY_MODEL = "key string, model string, label string, score double"
+    return instance
 
 
 def score_images(images: DataFrame, scorer_factory: Callable, columns: list[str] | None = None,
-                 several_models: bool = False) -> DataFrame:
-    """Run a scorer over image rows -> (key, label, score), one row per label.
-
-    ``scorer_factory()`` builds the model once per Python worker; the scorer
-    maps a pandas batch of image rows to a long pandas frame. Lower
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` when rows carry image bytes.
+                 several_models: bool = False, batch_rows: int = 256) -> DataFrame:
+    """Run a scorer over image rows -> (key, [model,] scores): a row for every image.
+
+    ``scorer_factory()`` builds the model once per Python worker and job; the
+    scorer maps a pandas frame of at most ``batch_rows`` image rows (their bytes
+    bound the call's memory) to a long frame ``key, [model,] label, score``.
+    With ``several_models`` an image has a row for each model of the taxonomy,
+    and one for any other model that the scorer names.
     """
     from binsight.session import ship_package
     ship_package(images.sparkSession)
     if columns:
         images = images.select(*columns)
+    instance = job_factory(scorer_factory)
+    models = list(C.TAXONOMY) if several_models else [None]
 
     def run(batches):
-        scorer = _instance(scorer_factory)
-        for pdf in batches:
-            yield scorer(pdf)
+        import pandas as pd
+        scorer = instance()
+        for whole in batches:
+            for at in range(0, len(whole), batch_rows):
+                pdf = whole.iloc[at:at + batch_rows]
+                long = scorer(pdf)
+                found: dict = {}
+                model = long["model"] if several_models else [None] * len(long)
+                for k, m, label, s in zip(long["key"], model, long["label"], long["score"]):
+                    found.setdefault(k, {}).setdefault(m, []).append({"label": label, "score": float(s)})
+                rows = [(k, m, found.get(k, {}).get(m, [])) for k in pdf["key"]
+                        for m in dict.fromkeys([*models, *found.get(k, {})])]
+                out = pd.DataFrame(rows, columns=["key", "model", "scores"])
+                yield out if several_models else out.drop(columns="model")
 
     return images.mapInPandas(run, SCORES_BY_MODEL if several_models else SCORES)
 
@@ -207,7 +201,8 @@ def classify_images(images: DataFrame, model: str | None, scorer_factory: Callab
 
 
 class ComponentScorer:
-    """Deterministic stand-in model: label i scores |embedding[i]|."""
+    """Deterministic stand-in model: label i scores the largest |component| of the
+    embedding whose index is i modulo the number of labels."""
 
     def __init__(self, labels: list[str]):
         self.labels = list(labels)
@@ -215,12 +210,9 @@ class ComponentScorer:
     def __call__(self, pdf):
         import numpy as np
         import pandas as pd
-        n, m = len(pdf), len(self.labels)
-        if n == 0:
-            return pd.DataFrame({"key": [], "label": [], "score": []})
-        mat = np.abs(np.stack([np.asarray(v[:m], dtype=np.float32) for v in pdf["embedding"]]).astype(np.float64))
-        return pd.DataFrame({
-            "key": np.repeat(pdf["key"].to_numpy(), m),
-            "label": np.tile(np.array(self.labels, dtype=object), n),
-            "score": mat.reshape(-1),
-        })
+        m = len(self.labels)
+        rows = []
+        for key, vector in zip(pdf["key"], pdf["embedding"]):
+            v = np.abs(np.asarray(vector, dtype=np.float32).astype(np.float64))
+            rows += [(key, label, v[i::m].max()) for i, label in enumerate(self.labels) if i < len(v)]
+        return pd.DataFrame(rows, columns=["key", "label", "score"])

@@ -13,8 +13,6 @@ from binsight import constants as C
 from binsight.functions.columns import total_label
 
 SHARES = list(C.CATEGORY_NAMES)
-# Keys with a small fixed domain (hour of day: 0-23 and NULL).
-SMALL_DOMAIN = {"hour": 25}
 
 
 def _measures():
@@ -41,26 +39,28 @@ def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
     ``prepared`` is the output of ``prepare``. Only keys that occur appear.
     """
     out = _shares(prepared.groupBy(key).agg(*_measures()), key)
-    if not order:
-        return out
-    if key in SMALL_DOMAIN:
-        # at most 25 rows after the partial aggregates: one task sorts them, no
-        # range-partition sampling job as a global sort would need
-        return out.coalesce(1).sortWithinPartitions(key)
-    return out.orderBy(key)
+    return out.orderBy(key) if order else out
 
 
 def compositions(prepared: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     """The composition for several keys from ONE scan and ONE shuffle.
 
     A grouping-sets aggregate (``Expand`` + partial/final hash aggregate)
-    replaces one full pass over the table per key. The grouped result holds
-    one row per key value (24 hours + the brands), so it is materialised
-    once (``persist``) and split by ``grouping_id`` without re-reading the table.
+    replaces one full pass over the table per key. Nothing is cached here: a
+    caller that uses several of the frames stores ``grouped`` first (see
+    ``split_compositions``).
     """
-    sets = [[k] for k in keys]
-    grouped = (prepared.groupingSets(sets, *keys)
-               .agg(*_measures(), F.grouping_id().alias("__gid")).persist())
+    return split_compositions(grouped_compositions(prepared, keys), keys)
+
+
+def grouped_compositions(prepared: DataFrame, keys: list[str]) -> DataFrame:
+    """The grouping-sets aggregate: a row for each value of each key, told apart by ``__gid``."""
+    return (prepared.groupingSets([[k] for k in keys], *keys)
+            .agg(*_measures(), F.grouping_id().alias("__gid")))
+
+
+def split_compositions(grouped: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The composition of each key out of ``grouped_compositions`` rows."""
     out = {}
     n = len(keys)
     for i, k in enumerate(keys):

@@ -1,10 +1,9 @@
 """Enrichment: ask a metadata provider about each pending image, parse the
-answers, keep invalid ones aside, merge valid ones into the item table.
+answers, keep invalid ones aside with a reason, merge valid ones into the item table.
 
 The provider is a pluggable callable run inside ``mapInPandas`` on the
-executors (bounded retries, one instance per Python worker); concurrency is
-the number of partitions of the pending set. Parsing is JVM-side
-(``from_json`` with a corrupt-record column).
+executors (bounded retries, one instance per Python worker and job);
+concurrency is the number of partitions of the pending set. Parsing is JVM-side.
 """
 
 from __future__ import annotations
@@ -14,16 +13,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from binsight import constants as C
 from binsight.functions.columns import request_document
-from binsight.operators.classify import _instance
+from binsight.operators.classify import job_factory
 from binsight.schema import ANSWER, METADATA_FIELDS
 
-ANSWERS = T.StructType([T.StructField("filename", T.StringType()), T.StructField("answer", T.StringType())])
-_CORRUPT = "_corrupt"
+ANSWERS = "filename string, answer string, error string"
 _WS = " \t\n\r"
+_END = "end of the answer"  # written behind an answer, so that nothing may follow its object
+
+
+class InvalidAnswerError(ValueError):
+    pass
 
 
 def pending(items: DataFrame) -> DataFrame:
@@ -35,59 +37,83 @@ def with_request(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("request", request_document(content))
 
 
-def call_provider(requests: DataFrame, provider_factory: Callable, retries: int = 3,
-                  backoff_s: float = 0.5, strict: bool = False, partitions: int | None = None) -> DataFrame:
-    """(filename, request) -> (filename, answer). A call failing ``retries``
-    times gives a NULL answer (rejected later), or raises when ``strict``."""
+def call_provider(requests: DataFrame, provider_factory: Callable, retries: int = 3, backoff_s: float = 0.5,
+                  strict: bool = False, batch_rows: int = 64) -> DataFrame:
+    """(filename, request) -> (filename, answer, error), where the rows are: the
+    requests, which hold whole images, are never shuffled.
+
+    A call that fails ``retries`` times gives a NULL answer and the last error's
+    text (rejected later), or raises when ``strict``. ``batch_rows`` bounds how
+    many answers are held at a time.
+    """
     from binsight.session import ship_package
     ship_package(requests.sparkSession)
-    if partitions:
-        requests = requests.repartition(partitions)
-    requests = requests.select("filename", "request")
+    instance = job_factory(provider_factory)
 
     def run(batches):
         import pandas as pd
-        provider = _instance(provider_factory)
+        provider = instance()
         for pdf in batches:
             out = []
             for fn, req in zip(pdf["filename"], pdf["request"]):
-                ans = None
+                answer = error = None
                 for attempt in range(retries):
                     try:
-                        ans = provider(fn, req)
+                        answer, error = provider(fn, req), None
                         break
-                    except Exception:
-                        if attempt == retries - 1:
-                            if strict:
-                                raise
-                        else:
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt < retries - 1:
                             _time.sleep(backoff_s * (2 ** attempt))
-                out.append(ans)
-            yield pd.DataFrame({"filename": pdf["filename"].to_numpy(), "answer": out})
+                        elif strict:
+                            raise
+                out.append((fn, answer, error))
+                if len(out) >= batch_rows:
+                    yield pd.DataFrame(out, columns=["filename", "answer", "error"])
+                    out = []
+            yield pd.DataFrame(out, columns=["filename", "answer", "error"])
 
-    return requests.mapInPandas(run, ANSWERS)
+    return requests.select("filename", "request").mapInPandas(run, ANSWERS)
 
 
 def parse_answers(answers: DataFrame, col: str = "answer") -> DataFrame:
-    """filename, five metadata fields, is_valid.
+    """filename, five metadata fields, is_valid, reason.
 
-    Valid = the trimmed text is one JSON object whose five keys are present
-    with the right types. Invalid rows get NULL fields.
+    Valid = the trimmed text is exactly one JSON object (nothing before or after
+    it, strict quoting, no repeated key) that holds all five keys, each of its
+    own type or null. A null is a value: it is merged like any other. Invalid
+    rows get NULL fields and the first ``reason`` that applies.
     """
-    schema = T.StructType(ANSWER.fields + [T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(F.btrim(F.col(col), F.lit(_WS)), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    df = answers.select("filename", parsed.alias("m"))
-    valid = F.col(f"m.{_CORRUPT}").isNull() & F.col("m").isNotNull()
-    for f in METADATA_FIELDS:
-        valid = valid & F.col(f"m.{f}").isNotNull()
-    valid = F.coalesce(valid, F.lit(False))
-    return df.select("filename", *[F.when(valid, F.col(f"m.{f}")).alias(f) for f in METADATA_FIELDS],
-                     valid.alias("is_valid"))
+    text = F.btrim(F.col(col), F.lit(_WS))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    at = lambda path, kind="variant": F.try_variant_get("__v", path, kind)
+    whole = (F.coalesce(at("$[1]", "string") == _END, F.lit(False)) & at("$[2]").isNull()
+             & F.schema_of_variant(at("$[0]")).startswith("OBJECT"))
+    found = [whole.alias("__whole")]
+    for f in ANSWER.fields:
+        found += [F.schema_of_variant(at(f"$[0].{f.name}")).alias(f"__is_{f.name}"),
+                  at(f"$[0].{f.name}", f.dataType.simpleString()).alias(f"__new_{f.name}")]
+    # generated columns: a later filter on the outcome is not rewritten into a second parse
+    df = answers.withColumn("__v", wrapped).select("*", F.inline(F.array(F.struct(*found))))
+    reason = (F.when(F.col(col).isNull(), F.lit("no answer")).when(F.col("__v").isNull(), F.lit("not JSON"))
+              .when(~F.col("__whole"), F.lit("not one object")))
+    for f in ANSWER.fields:
+        kind = F.col(f"__is_{f.name}")
+        wanted = "BOOLEAN" if f.dataType.simpleString() == "boolean" else "STRING"
+        reason = (reason.when(kind.isNull(), F.lit(f"no {f.name}"))
+                  .when(~kind.isin(wanted, "VOID"), F.lit(f"{f.name} is not {wanted.lower()}")))
+    valid = F.col("reason").isNull()
+    error = ["error"] if "error" in answers.columns else []
+    return df.withColumn("reason", reason).select(
+        "filename", *(F.when(valid, F.col(f"__new_{f.name}")).alias(f.name) for f in ANSWER.fields),
+        valid.alias("is_valid"), "reason", F.when(~valid, F.col(col)).alias("rejected_text"), *error)
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ok = parsed.filter("is_valid").drop("is_valid")
-    bad = parsed.filter(~F.col("is_valid")).select("filename")
+    """(valid metadata, rejects: filename, reason, text and, if asked, the call's error)."""
+    ok = parsed.filter("is_valid").select("filename", *METADATA_FIELDS)
+    error = [F.col("error")] if "error" in parsed.columns else []
+    bad = parsed.filter(~F.col("is_valid")).select("filename", "reason", F.col("rejected_text").alias("answer"), *error)
     return ok, bad
 
 
@@ -102,7 +128,7 @@ def one_answer_per_file(ok: DataFrame) -> DataFrame:
 
 
 def ask(pending_rows: DataFrame, provider_factory: Callable, content: str = "content", **kw) -> DataFrame:
-    """Parsed answers (filename, five fields, is_valid), one per row, asked on the
+    """Parsed answers (see ``parse_answers``), one per row, asked on the
     partitions where the rows already are (no shuffle of the bytes).
 
     Lazy: every action on the result calls the provider again, so jobs store
@@ -113,16 +139,23 @@ def ask(pending_rows: DataFrame, provider_factory: Callable, content: str = "con
 
 
 def split_answers(parsed: DataFrame, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(valid metadata, rejected file names); ``dedupe`` keeps one answer per file."""
+    """(valid metadata, rejects); ``dedupe`` keeps one answer and one reject per file."""
     ok, bad = split_valid(parsed)
     if dedupe:
         ok, bad = one_answer_per_file(ok), bad.dropDuplicates(["filename"])
     return ok, bad
 
 
+def raise_if_any(rejects: DataFrame) -> None:
+    """``InvalidAnswerError`` for the first reject of a stored answer frame."""
+    first = rejects.limit(1).collect()
+    if first:
+        raise InvalidAnswerError(f"{first[0]['filename']}: {first[0]['reason']}: {first[0]['answer']!r}")
+
+
 def enrich(pending_rows: DataFrame, provider_factory: Callable, content: str = "content",
            dedupe: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
-    """(valid metadata, rejected file names) for pending rows carrying ``content`` bytes.
+    """(valid metadata, rejects) for pending rows carrying ``content`` bytes.
 
     The provider is asked once per row; with ``dedupe`` the answers are
     reduced to one per file name (pass False when the rows are unique by

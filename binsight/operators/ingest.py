@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from binsight import constants as C
 from binsight.functions.columns import basename, parse_time
-from binsight.operators.joins import broadcast_limit, estimated_bytes
 from binsight.schema import ITEM, ITEM_COLUMNS
 
 
@@ -58,33 +57,26 @@ def shape_feed(feed: DataFrame, strict_time: bool = False) -> DataFrame:
 
 
 def dedupe_by_key(df: DataFrame, key: str = "filename") -> DataFrame:
-    """One row per key (an aggregate: partial per partition, so hot keys collapse early)."""
-    return df.dropDuplicates([key])
+    """One row per key (an aggregate: partial per partition, so hot keys collapse
+    early). A NULL key tells nothing apart, so rows without a key all stay."""
+    return df.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()))
 
 
 def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
              dedupe: bool = False) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing`` (left anti join).
 
-    NULL keys never match, so they are always kept; duplicates inside the
-    batch are kept unless ``dedupe``. When the batch keys are small
-    (size-checked) the existing table is never shuffled: its keys are
-    semi-joined against the broadcast batch keys, de-duplicated (bounded by the
-    batch) and that small set is broadcast into the anti join. Otherwise a
-    shuffled anti join runs against the de-duplicated table keys; AQE's
-    skew-join rule splits an oversized partition of the batch side (a hot
-    key, or all NULL keys) into several tasks.
+    NULL keys never match, so they are set aside before the join and always
+    kept: however many there are, they meet in no task. Duplicates inside the
+    batch are kept unless ``dedupe``. The join's sides are plain columns; Spark
+    broadcasts the table's keys if they turn out small, and else splits a hot
+    key of the batch (AQE skew join).
     """
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
+    keyed = incoming.filter(F.col(key).isNotNull())
     table_keys = existing.select(key).filter(F.col(key).isNotNull())
-    keys = incoming.select(key).filter(F.col(key).isNotNull())
-    if 0 <= estimated_bytes(keys) <= broadcast_limit(incoming):
-        seen = table_keys.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
-        return incoming.join(F.broadcast(seen), key, "left_anti")
-    # AQE can split a hot key only on the batch side; a key repeated across the
-    # table is collapsed map-side here, and the join reuses this partitioning
-    return incoming.join(table_keys.dropDuplicates([key]), key, "left_anti")
+    return keyed.join(table_keys, key, "left_anti").unionByName(incoming.filter(F.col(key).isNull()))
 
 
 def union_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:

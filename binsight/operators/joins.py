@@ -1,10 +1,7 @@
-"""Join helpers: broadcast only behind a size check.
+"""Join helper: only dimensions of a fixed size are forced into a broadcast.
 
-``broadcast_if_small`` asks Catalyst for the optimised-plan size estimate of
-the (already projected and filtered) side. Under the limit the side is
-hinted for broadcast; above it the join stays a shuffle join, where AQE
-(``spark.sql.adaptive.skewJoin.enabled``) splits oversized partitions of a hot
-key at run time and may still switch to broadcast if the side turns out small.
+Everything else is left to Spark: adaptive execution broadcasts a side whose
+measured size is small and splits partitions of a hot key otherwise.
 """
 
 from __future__ import annotations
@@ -12,42 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (upper bound for file scans)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size))  # py4j hands back a Python int (or a BigInteger proxy)
-    except Exception:  # connect sessions / no JVM access: be conservative
-        return 1 << 62
-
-
-def _bytes(text: str) -> int:
-    text = text.strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    text = text[:-1] if text.endswith("b") else text
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's ``spark.sql.autoBroadcastJoinThreshold`` (10 MB by default);
-    a negative value disables broadcasting altogether."""
-    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
-    try:
-        return _bytes(str(conf)) if conf is not None else DEFAULT_BROADCAST_BYTES
-    except ValueError:
-        return DEFAULT_BROADCAST_BYTES
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    limit = broadcast_limit(df) if max_bytes is None else max_bytes
-    return F.broadcast(df) if 0 <= estimated_bytes(df) <= limit else df
-
 
 def fixed_dimension(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose row count is fixed by constants (taxonomy, rate tables)."""
+    """Broadcast a dimension whose row count is fixed by constants (rate tables)."""
     return F.broadcast(df)

@@ -5,43 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.operators.joins import broadcast_if_small
 from binsight.schema import METADATA_FIELDS
 
 
+DUPLICATE = "merge source has duplicate"
+
+
 class DuplicateKeyError(ValueError):
     pass
 
 
 def assert_unique_keys(source: DataFrame, key: str) -> None:
-    """Raise if a key occurs twice in the merge source (a join would multiply rows).
-
-    A partial + final aggregate, so a hot key is combined map-side; only the
-    first offending key ever reaches the driver.
-    """
+    """Raise if a key occurs twice in the merge source. Runs the source as a job:
+    call it on stored frames."""
     dup = source.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).collect()
     if dup:
         raise DuplicateKeyError(f"merge source has duplicate {key}: {dup[0][0]!r}")
 
 
 def merge_update(target: DataFrame, source: DataFrame, key: str = "filename",
-                 columns: list[str] | None = None, check_unique: bool = True) -> DataFrame:
+                 columns: list[str] | None = None) -> DataFrame:
     """Target rows with ``columns`` replaced by the source's values on a key match.
 
     Never inserts or deletes; unmatched target rows and all other columns are
     untouched. A NULL source value overwrites (``when(matched)``, not
-    ``coalesce``). The source is broadcast when its size estimate allows it,
-    so the (large) target is streamed without a shuffle.
+    ``coalesce``). The source is grouped by key inside the plan, and a key with
+    two rows fails the job (``raise_error``), so it can never multiply rows and
+    nothing runs while the plan is built. Target rows without a key skip the join.
     """
     columns = list(columns or METADATA_FIELDS)
-    if check_unique:
-        assert_unique_keys(source, key)
-    src = source.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("__key"), F.lit(True).alias("__matched"), *[F.col(c).alias(f"__new_{c}") for c in columns])
-    # A shuffled left join puts a hot target key (or all NULL keys) in one
-    # partition; AQE's skew-join rule splits that left-side partition.
-    joined = target.join(broadcast_if_small(src), F.col(key) == F.col("__key"), "left")
-    matched = F.col("__matched").isNotNull()
-    out = [F.when(matched, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+    message = F.concat(F.lit(f"{DUPLICATE} {key}: "), F.col(key).cast("string"))
+    src = (source.filter(F.col(key).isNotNull()).groupBy(key)
+           .agg(F.count("*").alias("__n"), F.first(F.struct(*columns)).alias("__new"))
+           .select(F.col(key).alias("__key"),
+                   F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("__matched"),
+                   "__new"))
+    keyed = target.filter(F.col(key).isNotNull())
+    joined = keyed.join(src, F.col(key) == F.col("__key"), "left")
+    out = [F.when(F.col("__matched"), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
            for c in target.columns]
-    return joined.select(*out)
+    return joined.select(*out).unionByName(target.filter(F.col(key).isNull()))

@@ -36,14 +36,5 @@ def with_hour(df: DataFrame, ts: str = "time", out: str = "hour") -> DataFrame:
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """All five steps as one projection (same semantics as chaining the
-    functions above; one analysis pass instead of five)."""
-    recyclable = "coalesce(is_recyclable, false)"
-    compostable = f"CASE WHEN {recyclable} THEN false ELSE coalesce(is_compostable, false) END"
-    derived = {
-        "is_recyclable": recyclable,
-        "is_compostable": compostable,
-        "brand": f"CASE WHEN brand = '{C.UNKNOWN_BRAND}' THEN '{C.OTHER_BRAND}' ELSE brand END",
-    }
-    cols = [f"{derived[c]} AS {c}" if c in derived else f"`{c}`" for c in df.columns]
-    return df.selectExpr(*cols, f"NOT ({compostable} OR {recyclable}) AS is_trash", "hour(time) AS hour")
+    """All five steps in their order."""
+    return with_hour(exclusive_flags(normalize_brand(fill_flags(df))))

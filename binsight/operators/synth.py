@@ -15,9 +15,6 @@ from binsight import constants as C
 from binsight.functions.random import uniform, uniform_choice, uniform_int, weighted_choice
 from binsight.operators.joins import fixed_dimension
 
-HOURS_PER_SPINE = C.SPINE_DAYS * 24
-
-
 def profile(name: str) -> dict:
     if name not in C.PROFILES:
         raise ValueError(f"unknown profile {name!r}; known: {sorted(C.PROFILES)}")
@@ -28,13 +25,19 @@ def spine_start(end: Column) -> Column:
     return end - F.make_dt_interval(F.lit(C.SPINE_DAYS))
 
 
-def hour_spine(spark: SparkSession, end: Column) -> DataFrame:
-    """Hourly points from ``end - 7 days`` (included) to ``end`` (excluded): 168 rows.
+def spine_points(p: dict) -> int:
+    """Hourly points of a profile: seven days, with or without the end itself."""
+    return C.SPINE_DAYS * 24 + int(p["end_included"])
+
+
+def hour_spine(spark: SparkSession, end: Column, profile_name: str = "python") -> DataFrame:
+    """Hourly points from ``end - 7 days`` (included) to ``end``: 168 rows without
+    the end, 169 in the profile that includes it.
 
     ``end`` is a column expression (a literal or a scalar subquery), never now().
     """
     start = spine_start(end)
-    last = end - F.make_dt_interval(F.lit(0), F.lit(1))
+    last = end if profile(profile_name)["end_included"] else end - F.make_dt_interval(F.lit(0), F.lit(1))
     return (spark.range(1)
             .select(F.explode(F.sequence(start, last, F.make_dt_interval(F.lit(0), F.lit(1)))).alias("hour_start")))
 
@@ -96,13 +99,13 @@ def synth_items(ids: DataFrame, end: Column, profile_name: str = "python", seed:
                 id_col: str = "id") -> DataFrame:
     """Nine item columns per id.
 
-    time: one of the 168 hourly points before ``end``; city/state: a pair;
+    time: one of the profile's hourly points (``spine_points``); city/state: a pair;
     brand: weighted; description: adjective + noun; is_metal: keyword test;
     is_recyclable / is_compostable: Bernoulli draws at the looked-up rates.
     """
     p = profile(profile_name)
     i = id_col
-    step = uniform_int(HOURS_PER_SPINE, i, salt=1, seed=seed).cast("int")
+    step = uniform_int(spine_points(p), i, salt=1, seed=seed).cast("int")
     t = spine_start(end) + F.make_dt_interval(F.lit(0), step)
     city = uniform_choice([F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in C.CITIES],
                           i, salt=2, seed=seed)

@@ -22,6 +22,7 @@ from binsight.operators import prepare as pr
 from binsight.operators import ranking as rk
 from binsight.operators import synth as sy
 from binsight.operators.prepare import prepare
+from binsight.schema import ITEM_COLUMNS, METADATA_FIELDS
 from binsight.sources import driver_tables as dt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,20 +93,20 @@ def q_parse_timestamp(spark, d):
 
 @register("append_merge_schema")
 def q_append_merge_schema(spark, d):
-    existing, incoming = dt.item_cuts(spark, d)
+    existing, incoming = dt.known_and_listed(spark, d)
     incoming = incoming.drop("city").withColumn("source", F.lit("feed"))
     return ing.union_by_name(existing, incoming)
 
 
 @register("new_items_anti")
 def q_new_items_anti(spark, d):
-    existing, incoming = dt.item_cuts(spark, d)
+    existing, incoming = dt.known_and_listed(spark, d)
     return ing.new_only(incoming, existing)
 
 
 @register("dedupe_by_key")
 def q_dedupe_by_key(spark, d):
-    existing, incoming = dt.item_cuts(spark, d)
+    existing, incoming = dt.known_and_listed(spark, d)
     return ing.dedupe_by_key(existing.select("filename").unionByName(incoming.select("filename")))
 
 
@@ -216,7 +217,8 @@ def q_classification_report(spark, d):
 
 @register("confidence_text")
 def q_confidence_text(spark, d):
-    return dt.scores(spark, d).select("key", "label", fc.percent_text("score").alias("confidence_text"))
+    labels = dt.scores(spark, d).select("key", F.inline("scores"))
+    return labels.select("key", "label", fc.percent_text("score").alias("confidence_text"))
 
 
 def _scorer_factory():
@@ -240,7 +242,12 @@ def q_base64_payload(spark, d):
 
 @register("parse_metadata")
 def q_parse_metadata(spark, d):
-    return en.parse_answers(dt.answers(spark, d))
+    return en.parse_answers(dt.answers(spark, d)).select("filename", *METADATA_FIELDS, "is_valid")
+
+
+@register("answer_rejects")
+def q_answer_rejects(spark, d):
+    return en.split_answers(en.parse_answers(dt.answers(spark, d)), dedupe=False)[1]
 
 
 def _provider_factory():
@@ -270,7 +277,6 @@ def q_merge_in_place(spark, d):
     table, ans = scratch_path(spark, "merge-table"), scratch_path(spark, "merge-answers")
     tb.append(spark, dt.items(spark, d), table, partitioned=True)
     ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, d)))
-    mg.assert_unique_keys(ok, "filename")
     ok.write.parquet(ans)
     merge_answers(spark, table, spark.read.parquet(ans))
     return tb.read_table(spark, table)
@@ -319,6 +325,106 @@ def q_synth_items_matlab(spark, d):
     return sy.synth_items(ids, _end_hour(spark, d), "matlab", seed=11)
 
 
+# ---- sources and sinks: given tables written out and read back ----------------
+
+@register("replace_snapshot")
+def q_replace_snapshot(spark, d):
+    """Create-or-replace: the pending items, then all items as the next snapshot."""
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    path, items = scratch_path(spark, "replaced"), dt.items(spark, d)
+    tb.replace(spark, en.pending(items), path)
+    tb.replace(spark, items, path, keep=1)
+    return tb.read_table(spark, path)
+
+
+@register("json_round_trip")
+def q_json_round_trip(spark, d):
+    """All items exported as JSON lines and read as a feed."""
+    from binsight.session import scratch_path
+    from binsight.sources.json_items import read_json_items, write_json_items
+    path = scratch_path(spark, "feed")
+    write_json_items(dt.items(spark, d), path)
+    feed = read_json_items(spark, path, multiline=False)
+    wall = feed.withColumn("wall", fc.parse_time("time", zoned=False))
+    return ing.shape_feed(wall).drop("time").withColumnRenamed("wall", "time").select(*ITEM_COLUMNS)
+
+
+@register("feed_schema_evolution")
+def q_feed_schema_evolution(spark, d):
+    """Described items in the table, then a feed of all items with one more column."""
+    from binsight.plans.jobs import load_json_items
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    from binsight.sources.json_items import write_json_items
+    path, feed = scratch_path(spark, "evolved"), scratch_path(spark, "feed")
+    items = dt.items(spark, d).withColumn("time", F.col("time").cast("timestamp"))
+    tb.append(spark, items.filter("description <> ''"), path)
+    number = F.regexp_extract("filename", r"^(\d+)", 1).cast("long")
+    write_json_items(items.withColumn("weight", number / 2), feed)
+    load_json_items(spark, feed, path, multiline=False)
+    return tb.read_table(spark, path).select("filename", "description", "brand", "weight")
+
+
+@register("feed_rejects")
+def q_feed_rejects(spark, d):
+    """Feed lines of which one in fifty is no JSON and one in fifty has no file name."""
+    from binsight.session import scratch_path
+    from binsight.sources.json_items import read_feed
+    path = scratch_path(spark, "feed")
+    number = F.col("event_id").cast("string")
+    m = F.pmod(F.col("event_id"), F.lit(50))
+    line = (F.when(m == 0, F.concat(F.lit("not json {"), number))
+            .when(m == 25, F.concat(F.lit('{"brand": "b'), number, F.lit('"}')))
+            .otherwise(F.concat(F.lit('{"filename": "'), number, F.lit('.jpg"}'))))
+    dt.table(spark, d, "events").select(line.alias("value")).write.text(path)
+    return read_feed(spark, path, multiline=False)[1]
+
+
+def _rendered_documents(spark, d) -> str:
+    """The documents' texts written as files, a folder for each source."""
+    from binsight.session import scratch_path
+    path = scratch_path(spark, "files")
+    dt.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy(
+        "source").text(path)
+    return f"{path}/*"
+
+
+def _bytes_by_source(files):
+    source = F.regexp_extract("path", "source=([^/]+)/", 1)
+    return files.groupBy(source.alias("source")).agg(F.sum(F.length("content")).cast("long").alias("total_bytes"))
+
+
+@register("binary_scan")
+def q_binary_scan(spark, d):
+    from binsight.sources.images import read_images
+    return _bytes_by_source(read_images(spark, _rendered_documents(spark, d)))
+
+
+@register("stream_files")
+def q_stream_files(spark, d):
+    """The new-file source over the same files, drained once."""
+    from binsight.session import scratch_path
+    from binsight.sources.images import stream_images
+    out = scratch_path(spark, "seen")
+    q = (stream_images(spark, _rendered_documents(spark, d)).select("path", "content").writeStream.format("parquet")
+         .option("checkpointLocation", scratch_path(spark, "seen-ckpt")).trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return _bytes_by_source(spark.read.schema("path string, content binary").parquet(out))
+
+
+@register("iso_text")
+def q_iso_text(spark, d):
+    return dt.table(spark, d, "events").select("event_id", fc.iso_text("ts").alias("time_text"))
+
+
+@register("last_dotted")
+def q_last_dotted(spark, d):
+    return dt.paths(spark, d).select("path", fc.last_dotted("path").alias("suffix"))
+
+
 # ---- streaming ----------------------------------------------------------------
 
 @register("stream_composition")

@@ -1,13 +1,13 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
-Each statement is written independently of the Spark code: same inputs
-(the pre-registered test tables), same definitions, plain SQL.
+Each statement is written independently of the Spark code: same inputs (the
+pre-registered test tables), same definitions, plain SQL. No value is imported
+from the library, so a wrong constant there shows as a mismatch.
 """
 
 from __future__ import annotations
 
-from binsight import constants as _C
-from binsight.functions.random import cumulative_bounds as _bounds
+from fractions import Fraction
 
 EP = """ep AS (
   SELECT e.event_id, e.ts, e.event_type,
@@ -92,8 +92,8 @@ SQL["composition_by_brand_long"] = f"""WITH {PREPARED}, {composition('brand')}
 # ---- scalar operators ---------------------------------------------------------
 
 CUTS = f"""{EP},
-existing AS ({items_from("ep WHERE event_id < (SELECT max(event_id) FROM events) * 0.6")}),
-incoming AS ({items_from("ep WHERE event_id >= (SELECT max(event_id) FROM events) * 0.4")})"""
+existing AS ({items_from("ep WHERE event_type <> 'error'")}),
+incoming AS ({items_from("ep")})"""
 
 SQL["ingest_shape"] = f"""WITH {ITEMS}
 SELECT filename, time, 'NJ' AS state, 'Princeton' AS city, '' AS description,
@@ -175,10 +175,15 @@ TAXONOMY_TRASH1 = """tax AS (
                         ('G_M', 'RECYCLE', 0), ('Organic', 'COMPOST', 1)) t(label, category, ordinal)
 )"""
 
-SCORES = f"""scores AS (
-  SELECT CAST(vec_id AS VARCHAR) || '.jpg' AS key, l.label, abs(CAST(embedding[l.i] AS DOUBLE)) AS score
-  FROM embeddings,
-       (VALUES (1, 'Paper'), (2, 'Other'), (3, 'Plastic'), (4, 'G_M'), (5, 'Organic'), (6, 'Unmapped')) l(i, label)
+SCORES = f"""components AS (
+  SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS at FROM embeddings
+),
+scores AS (
+  SELECT CAST(c.vec_id AS VARCHAR) || '.jpg' AS key, l.label, max(abs(CAST(c.x AS DOUBLE))) AS score
+  FROM components c
+  JOIN (VALUES (0, 'Paper'), (1, 'Other'), (2, 'Plastic'), (3, 'G_M'), (4, 'Organic'), (5, 'Unmapped')) l(i, label)
+    ON c.at % 6 = l.i
+  GROUP BY c.vec_id, l.label
 ),
 {TAXONOMY_TRASH1},
 mapped AS (
@@ -241,38 +246,53 @@ r AS (SELECT doc_id, b64, {_q(PROMPT_JSON_HEAD)} || b64 || {_q(PROMPT_JSON_TAIL)
 SELECT doc_id, CAST(length(b64) AS INTEGER) AS payload_length, md5(b64) AS payload_md5,
        CAST(length(request) AS INTEGER) AS request_length, md5(request) AS request_md5 FROM r"""
 
-ANSWERS = f"""{EP},
-ans_src AS (
-  SELECT event_id, CAST(event_id AS VARCHAR) || '.jpg' AS filename,
-         '{{"is_recyclable": ' || CAST(k % 2 = 0 AS VARCHAR) ||
+def _answer(brand_field: str) -> str:
+    return f"""'{{"is_recyclable": ' || CAST(k % 2 = 0 AS VARCHAR) ||
          ', "is_compostable": ' || CAST(k % 3 = 0 AS VARCHAR) ||
          ', "is_metal": ' || CAST(contains(p_name, 'anvil') AS VARCHAR) ||
-         ', "brand": "' || CASE WHEN k % 10 = 0 THEN '' ELSE p_brand END ||
-         '", "description": "' || p_name || '"}}' AS good,
-         p_name
+         {brand_field} || ', "description": "' || p_name || '"}}'"""
+
+
+_GOOD_BRAND = """', "brand": "' || CASE WHEN k % 10 = 0 THEN '' ELSE p_brand END || '"'"""
+_BRAND_5, _BRAND_X, _BRAND_NULL = """', "brand": 5'""", """', "brand": {"x": 1}'""", """', "brand": null'"""
+_FLAG = "IN ('BOOLEAN', 'NULL')"
+_TEXT = "IN ('VARCHAR', 'NULL')"
+
+ANSWERS = f"""{EP},
+ans_src AS (
+  SELECT event_id, CAST(event_id AS VARCHAR) || '.jpg' AS filename, k, p_name, {_answer(_GOOD_BRAND)} AS good
   FROM ep WHERE event_type = 'error'
 ),
 answers AS (
-  SELECT filename,
-         CASE WHEN event_id % 150 = 0 THEN 'Sorry, I cannot describe this image.'
-              WHEN event_id % 150 = 50 THEN '```json' || chr(10) || good || chr(10) || '```'
-              WHEN event_id % 150 = 100 THEN '{{"is_recyclable": "yes", "is_compostable": false, "is_metal": false, "brand": "", "description": "' || p_name || '"}}'
-              WHEN event_id % 7 = 0 THEN '  ' || good || chr(10)
-              ELSE good END AS answer
+  SELECT event_id, filename,
+         CASE event_id % 150
+              WHEN 0 THEN 'Sorry, I cannot describe this image.'
+              WHEN 10 THEN good || ' Let me know if you need more.'
+              WHEN 20 THEN good || good
+              WHEN 30 THEN good || ', ' || good
+              WHEN 40 THEN replace(good, chr(34), chr(39))
+              WHEN 50 THEN '```json' || chr(10) || good || chr(10) || '```'
+              WHEN 60 THEN {_answer(_BRAND_5)}
+              WHEN 70 THEN {_answer(_BRAND_X)}
+              WHEN 80 THEN {_answer(_BRAND_NULL)}
+              WHEN 90 THEN {_answer("''")}
+              WHEN 100 THEN '{{"is_recyclable": "yes", "is_compostable": false, "is_metal": false, "brand": "", "description": "' || p_name || '"}}'
+              WHEN 110 THEN '[' || good || ']'
+              ELSE CASE WHEN event_id % 7 = 0 THEN '  ' || good || chr(10) ELSE good END END AS answer
   FROM ans_src
 ),
 parsed AS (
-  SELECT filename, trim(answer, ' ' || chr(9) || chr(10) || chr(13)) AS a FROM answers
+  SELECT event_id, filename, answer, trim(answer, ' ' || chr(9) || chr(10) || chr(13)) AS a FROM answers
 ),
 checked AS (
-  SELECT filename, a,
+  SELECT event_id, filename, answer, a,
          coalesce(CASE WHEN json_valid(a) THEN
            json_type(CASE WHEN json_valid(a) THEN a END) = 'OBJECT'
-           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_recyclable') = 'BOOLEAN'
-           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_compostable') = 'BOOLEAN'
-           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_metal') = 'BOOLEAN'
-           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.brand') = 'VARCHAR'
-           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.description') = 'VARCHAR'
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_recyclable') {_FLAG}
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_compostable') {_FLAG}
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.is_metal') {_FLAG}
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.brand') {_TEXT}
+           AND json_type(CASE WHEN json_valid(a) THEN a END, '$.description') {_TEXT}
          END, false) AS is_valid
   FROM parsed
 ),
@@ -289,6 +309,15 @@ metadata AS (
 
 SQL["parse_metadata"] = f"WITH {ANSWERS} SELECT * FROM metadata"
 
+SQL["answer_rejects"] = f"""WITH {ANSWERS}
+SELECT filename, answer,
+       CASE WHEN event_id % 150 IN (30, 110) THEN 'not one object'
+            WHEN event_id % 150 IN (60, 70) THEN 'brand is not string'
+            WHEN event_id % 150 = 90 THEN 'no brand'
+            WHEN event_id % 150 = 100 THEN 'is_recyclable is not boolean'
+            ELSE 'not JSON' END AS reason
+FROM checked WHERE NOT is_valid"""
+
 SQL["enrich_batch"] = f"""WITH {ITEMS},
 p AS (SELECT filename, CAST(split_part(filename, '.', 1) AS BIGINT) AS n FROM items WHERE description = '')
 SELECT filename, n % 2 = 0 AS is_recyclable, n % 3 = 0 AS is_compostable, n % 5 = 0 AS is_metal,
@@ -314,19 +343,21 @@ def _d(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def _mix(idx: str, salt: int, seed: int = 0) -> str:
-    """Same integer hash as ``binsight.functions.random`` (all terms stay below 2**63)."""
-    m = 2147483648
-    h = f"(({idx}) % {m} + (({idx}) >> 31) % {m} * 40503 + {salt * 7919 + seed}) % {m}"
-    h = f"(({h}) * 1103515245 + 12345) % {m}"
-    h = f"(xor(({h}), ({h}) >> 16) * 73244475) % {m}"
-    h = f"(xor(({h}), ({h}) >> 13) * 73244475) % {m}"
-    h = f"xor(({h}), ({h}) >> 16)"
-    return h
+def _draw(idx: str, salt: int, seed: int = 0) -> str:
+    """First 13 hex digits of MD5 over 'id:salt:seed', as an integer."""
+    return f"CAST('0x' || substr(md5(CAST({idx} AS VARCHAR) || ':{salt}:{seed}'), 1, 13) AS BIGINT)"
 
 
 def _u(idx: str, salt: int, seed: int = 0) -> str:
-    return f"(CAST({_mix(idx, salt, seed)} AS DOUBLE) / {_d(2147483648.0)})"
+    return f"(CAST({_draw(idx, salt, seed)} AS DOUBLE) / {_d(4503599627370496.0)})"
+
+
+def _bounds(weights: list[float]) -> list[float]:
+    total, acc, out = sum(map(Fraction, weights)), Fraction(0), []
+    for w in weights:
+        acc += Fraction(w)
+        out.append(float(acc / total))
+    return [*out[:-1], 1.0]
 
 
 def _weighted(u: str, values, weights) -> str:
@@ -335,10 +366,29 @@ def _weighted(u: str, values, weights) -> str:
 
 
 def _choice(values_sql: list[str], idx: str, salt: int, seed: int = 0) -> str:
-    return f"[{', '.join(values_sql)}][{_mix(idx, salt, seed)} % {len(values_sql)} + 1]"
-
-
-_P = _C.PROFILES["python"]
+    return f"[{', '.join(values_sql)}][{_draw(idx, salt, seed)} % {len(values_sql)} + 1]"
+
+
+# FIXED VALUES of the two generator profiles
+_HOURS = [0.05, 0.05, 0.05, 0.05, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 0.5, 0.6,
+          0.7, 0.6, 0.3, 0.2, 0.2, 0.4, 0.6, 0.6, 0.5, 0.4, 0.3, 0.1]
+_PROFILES = {
+    "python": {
+        "points": 168,
+        "brands": ["Amazon", "Walmart", "Apple", "Nike", "Starbucks", "Other"],
+        "brand_weights": [0.5, 0.2, 0.1, 0.05, 0.1, 0.05],
+        "recycle_rates": {"Amazon": 0.9, "Walmart": 0.25, "Apple": 0.15, "Nike": 0.1, "Starbucks": 0.7, "Other": 0.3},
+        "compost_rates": {"Amazon": 0.1, "Walmart": 0.5, "Apple": 0, "Nike": 0.02, "Starbucks": 0.3, "Other": 0.2},
+    },
+    "matlab": {
+        "points": 169,
+        "brands": ["Amazon", "Walmart", "Coca-Cola", "Nestle", "Starbucks", "Other"],
+        "brand_weights": [0.1, 0.2, 0.4, 0.25, 0.1, 0.05],
+        "recycle_rates": {"Amazon": 0.9, "Walmart": 0.25, "Coca-Cola": 0.95, "Nestle": 0.95, "Starbucks": 0.7, "Other": 0.3},
+        "compost_rates": {"Amazon": 0.1, "Walmart": 0.5, "Coca-Cola": 0, "Nestle": 0.02, "Starbucks": 0.3, "Other": 0.2},
+    },
+}
+_P = _PROFILES["python"]
 _U1000 = f"(CAST(event_id % 1000 AS DOUBLE) / {_d(1000.0)})"
 _END = "date_trunc('hour', (SELECT max(ts) FROM events))"
 
@@ -353,11 +403,11 @@ def _rate_case(rates: dict, key: str, default: float) -> str:
 
 
 def _hour_case(key: str) -> str:
-    whens = " ".join(f"WHEN {key} = {i} THEN {_d(w)}" for i, w in enumerate(_P['hour_weights']))
-    return f"coalesce(CASE {whens} END, {_d(_C.DEFAULT_HOUR_RATE)})"
+    whens = " ".join(f"WHEN {key} = {i} THEN {_d(w)}" for i, w in enumerate(_HOURS))
+    return f"coalesce(CASE {whens} END, {_d(0.1)})"
 
 
-_MAXH = _d(max(_P["hour_weights"]))
+_MAXH = _d(max(_HOURS))
 
 SQL["rate_lookup"] = f"""WITH {EP},
 b AS (
@@ -367,30 +417,31 @@ b AS (
   FROM ep
 )
 SELECT filename,
-       {_rate_case(_P['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS recycling_prob,
-       {_rate_case(_P['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)} * ({_hour_case('hour')} / {_MAXH}) * 3 AS compost_prob
+       {_rate_case(_P['recycle_rates'], 'brand', 0.5)} AS recycling_prob,
+       {_rate_case(_P['compost_rates'], 'brand', 0.1)} * ({_hour_case('hour')} / {_MAXH}) * 3 AS compost_prob
 FROM b"""
 
-_CITY = [f"{{'city': '{c}', 'state': '{s}'}}" for c, s in _C.CITIES]
-_ADJ = [f"'{a}'" for a in _C.ADJECTIVES]
-_DESC = [f"'{x}'" for x in _C.DESCRIPTIONS]
+_CITY = [f"{{'city': '{c}', 'state': '{s}'}}" for c, s in (
+    ("San Francisco", "CA"), ("New York", "NY"), ("Los Angeles", "CA"), ("Austin", "TX"), ("Chicago", "IL"), ("Princeton", "NJ"))]
+_ADJ = ["'tiny'", "'small'", "'medium'", "'large'", "'ultra large'", "'gigantic'"]
+_DESC = ["'cardboard box'", "'plastic cup'", "'aluminum can'", "'paper bag'", "'plastic bottle'"]
 
 def synth_sql(profile: str, seed: int = 0) -> str:
-    p = _C.PROFILES[profile]
-    hour_whens = " ".join(f"WHEN CAST(hour(time) AS INTEGER) = {i} THEN {_d(w)}" for i, w in enumerate(p["hour_weights"]))
-    hour_rate = f"coalesce(CASE {hour_whens} END, {_d(_C.DEFAULT_HOUR_RATE)})"
+    p = _PROFILES[profile]
+    hour_whens = " ".join(f"WHEN CAST(hour(time) AS INTEGER) = {i} THEN {_d(w)}" for i, w in enumerate(_HOURS))
+    hour_rate = f"coalesce(CASE {hour_whens} END, {_d(0.1)})"
     return f"""WITH base AS (
   SELECT event_id AS id,
-         {_END} - INTERVAL 7 DAY + to_hours(CAST({_mix('event_id', 1, seed)} % 168 AS BIGINT)) AS time,
+         {_END} - INTERVAL 7 DAY + to_hours(CAST({_draw('event_id', 1, seed)} % {p['points']} AS BIGINT)) AS time,
          {_choice(_CITY, 'event_id', 2, seed)} AS cs,
          {_weighted(_u('event_id', 3, seed), p['brands'], p['brand_weights'])} AS brand,
          {_choice(_ADJ, 'event_id', 5, seed)} || ' ' || {_choice(_DESC, 'event_id', 4, seed)} AS description
   FROM events
 )
 SELECT CAST(id AS VARCHAR) || '.jpg' AS filename, time, cs.state AS state, cs.city AS city, description,
-       {_u('id', 6, seed)} < {_rate_case(p['recycle_rates'], 'brand', _C.DEFAULT_RECYCLE_RATE)} AS is_recyclable,
-       {_u('id', 7, seed)} < {_rate_case(p['compost_rates'], 'brand', _C.DEFAULT_COMPOST_RATE)}
-           * ({hour_rate} / {_d(max(p['hour_weights']))}) * 3 AS is_compostable,
+       {_u('id', 6, seed)} < {_rate_case(p['recycle_rates'], 'brand', 0.5)} AS is_recyclable,
+       {_u('id', 7, seed)} < {_rate_case(p['compost_rates'], 'brand', 0.1)}
+           * ({hour_rate} / {_d(max(_HOURS))}) * 3 AS is_compostable,
        contains(description, 'aluminum can') AS is_metal,
        brand
 FROM base"""
@@ -418,21 +469,29 @@ JOIN part p ON CAST(json_extract_string(e.props, '$.k') AS INTEGER) = p.p_partke
 SQL["merge_in_place"] = SQL["merge_update"]
 
 
-def _model_slots() -> str:
-    slots = [(m, lbl) for m, (_c, mapping) in _C.TAXONOMY.items() for lbl in mapping] + [("trash1", "Unmapped")]
-    return ", ".join(f"({i + 1}, '{m}', '{lbl}')" for i, (m, lbl) in enumerate(slots))
-
-
-def _taxonomy_all() -> str:
-    rows = [(m, lbl, cat, cats.index(cat)) for m, (cats, mapping) in _C.TAXONOMY.items() for lbl, cat in mapping.items()]
-    return ", ".join(f"('{m}', '{lbl}', '{c}', {o})" for m, lbl, c, o in rows)
-
-
-SQL["top_label_models"] = f"""WITH s AS (
-  SELECT CAST(vec_id AS VARCHAR) || '.jpg' AS key, l.model, l.label, abs(CAST(embedding[l.i] AS DOUBLE)) AS score
-  FROM embeddings, (VALUES {_model_slots()}) l(i, model, label)
+# FIXED VALUES: the taxonomies' labels in the order of their slots
+_TRASH1 = "Paper RECYCLE 0,Other TRASH 2,Plastic RECYCLE 0,G_M RECYCLE 0,Organic COMPOST 1"
+_TRASH2 = "paper RECYCLE 0,cardboard RECYCLE 0,plastic RECYCLE 0,trash TRASH 2,metal METAL 1"
+_QUICK = ("banana spinach lettuce cabbage peas cucumber tomato bellpepper chilipepper jalepeno capsicum paprika radish "
+          "turnip grapes kiwi apple pear watermelon soybean").split()
+_SLOW = "corn sweetcorn cauliflower eggplant potato sweetpotato onion garlic beetroot carrot".split()
+_REUSE = "pineapple mango ginger lemon orange pomegranate".split()
+_LABELS = ([("trash1", *x.split()) for x in _TRASH1.split(",")] + [("trash2", *x.split()) for x in _TRASH2.split(",")]
+           + [("fruits", x, "QUICK_COMPOST", "0") for x in _QUICK] + [("fruits", x, "SLOW_COMPOST", "1") for x in _SLOW]
+           + [("fruits", x, "REUSEABLE", "2") for x in _REUSE])
+_SLOTS = ", ".join(f"({i}, '{m}', '{x}')" for i, (m, x) in enumerate(
+    [(m, x) for m, x, _, _ in _LABELS] + [("trash1", "Unmapped")]))
+_MAPPED = ", ".join(f"('{m}', '{x}', '{c}', {n})" for m, x, c, n in _LABELS)
+
+SQL["top_label_models"] = f"""WITH components AS (
+  SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS at FROM embeddings
+),
+s AS (
+  SELECT CAST(c.vec_id AS VARCHAR) || '.jpg' AS key, l.model, l.label, max(abs(CAST(c.x AS DOUBLE))) AS score
+  FROM components c JOIN (VALUES {_SLOTS}) l(i, model, label) ON c.at % 47 = l.i
+  GROUP BY c.vec_id, l.model, l.label
 ),
-t AS (SELECT * FROM (VALUES {_taxonomy_all()}) t(model, label, category, ordinal)),
+t AS (SELECT * FROM (VALUES {_MAPPED}) t(model, label, category, ordinal)),
 r AS (
   SELECT s.key, s.model, t.category, s.label, s.score,
          row_number() OVER (PARTITION BY s.key, s.model ORDER BY s.score DESC, s.label ASC) AS rn
@@ -441,3 +500,33 @@ r AS (
 SELECT key, model, CAST(1 AS INTEGER) AS rank, category, label, score FROM r WHERE rn = 1"""
 
 SQL["composition_one_pass"] = SQL["composition_by_brand"]
+
+# ---- sources and sinks ------------------------------------------------------------
+
+SQL["replace_snapshot"] = SQL["scan_items"]
+
+SQL["json_round_trip"] = f"""WITH {ITEMS}
+SELECT filename, date_trunc('second', time) AS time, state, city, description, is_recyclable, is_compostable, is_metal, brand
+FROM items"""
+
+SQL["feed_schema_evolution"] = f"""WITH {ITEMS}
+SELECT filename, description, brand,
+       CASE WHEN description = '' THEN CAST(split_part(filename, '.', 1) AS BIGINT) / 2 END AS weight
+FROM items"""
+
+SQL["feed_rejects"] = """SELECT 'not json {' || CAST(event_id AS VARCHAR) AS record, 'malformed' AS reason
+FROM events WHERE event_id % 50 = 0
+UNION ALL SELECT '{"brand":"b' || CAST(event_id AS VARCHAR) || '"}', 'no filename' FROM events WHERE event_id % 50 = 25"""
+
+SQL["binary_scan"] = """SELECT source, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS total_bytes
+FROM documents GROUP BY source"""
+
+SQL["stream_files"] = SQL["binary_scan"]
+
+SQL["iso_text"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time_text FROM events"
+
+SQL["last_dotted"] = """WITH paths AS (
+  SELECT 'file:/data/images/' || CAST(event_id AS VARCHAR) || '.jpg' AS path FROM events
+  UNION ALL SELECT url FROM pages
+)
+SELECT path, string_split(path, '.')[-1] AS suffix FROM paths"""

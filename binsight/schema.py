@@ -46,11 +46,9 @@ ANSWER = T.StructType([
 
 METADATA = T.StructType([T.StructField("filename", T.StringType())] + ANSWER.fields)
 
-SCORES = T.StructType([
-    T.StructField("key", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-])
+# One row per image (and model): all labels with their scores.
+SCORES = "key string, scores array<struct<label:string,score:double>>"
+SCORES_BY_MODEL = "key string, model string, scores array<struct<label:string,score:double>>"
 
 TAXONOMY = T.StructType([
     T.StructField("model", T.StringType(), False),

@@ -46,12 +46,6 @@ CLUSTER_SETTINGS = {
 }
 
 
-def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, minimum: int = 200) -> int:
-    """Initial ``spark.sql.shuffle.partitions`` for an input size: about one
-    ``target_bytes`` partition per slice of input (AQE coalesces down later)."""
-    return max(minimum, -(-int(input_bytes) // target_bytes))
-
-
 def get_session(master: str | None = None, app_name: str = "binsight",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -71,10 +65,10 @@ def get_session(master: str | None = None, app_name: str = "binsight",
 def shared_dir(spark: SparkSession) -> str:
     """Root of the cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, a laptop) a local folder is made
-    and registered with ``SparkContext.setCheckpointDir`` (the core setting
-    itself cannot change at run time); on a cluster the configured shared
-    folder is always used.
+    Where the setting is absent a local folder is made and registered with
+    ``SparkContext.setCheckpointDir`` (the core setting itself cannot change at
+    run time), but only under a ``local`` master: on a cluster the executors
+    could not see it, so this raises.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -83,6 +77,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="binsight-ckpt-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -92,19 +88,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/binsight/{name}-{uuid.uuid4().hex}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or "://" not in path
-
-
-def local_fs_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_fs_path(path), exist_ok=True)
-
-
 _SHIPPED: set = set()
 
 
@@ -134,16 +117,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     target = f"{scratch_path(spark, 'pyfiles')}/binsight.zip"
-    data = _zip_package()
-    if is_local_path(target):
-        os.makedirs(os.path.dirname(local_fs_path(target)), exist_ok=True)
-        with open(local_fs_path(target), "wb") as f:
-            f.write(data)
-    else:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(target)
-        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-        out.write(bytearray(data))
-        out.close()
+    p = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(_zip_package()))
+    out.close()
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)

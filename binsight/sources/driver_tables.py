@@ -5,11 +5,12 @@ The test tables (``events``, ``part``, ``embeddings``, ``documents``,
 
 * ``items``: one item per event; ``k`` (JSON path ``$.k`` of ``props``) picks
   the part that supplies description, brand and the metal keyword.
-* ``scores``: six model outputs per embedding, the first six components.
+* ``scores``: six model outputs per embedding; label i scores the largest
+  absolute component whose index is i modulo six, so all components count.
 * ``answers`` / ``metadata``: provider answers for the pending items.
 * ``paths``, ``iso_times``, ``payload``: inputs of the scalar operators.
 
-Only ``column pruning`` subsets of the tables are read; every adapter is lazy.
+Every adapter is lazy and covers its whole tables.
 """
 
 from __future__ import annotations
@@ -18,27 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight import constants as C
-from binsight.operators.joins import broadcast_if_small
 
-# FIXED VALUES: labels of the first six embedding components (``Unmapped`` is
+# FIXED VALUES: labels of the six score slots (``Unmapped`` is
 # deliberately absent from every taxonomy).
 SCORE_LABELS = ["Paper", "Other", "Plastic", "G_M", "Organic", "Unmapped"]
 IMAGE_ROOT = "file:/data/images/"
 METAL_PART_WORD = "anvil"
 
 
-_READERS: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy reader of one test table. The reader frame (schema + file listing,
-    no data) is reused per session: the tables are read-only."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _READERS.get(key)
-    if df is None:
-        df = _READERS[key] = spark.read.parquet(path)
-    return df
+    """Lazy reader of one test table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def events_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +37,7 @@ def events_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").selectExpr(
         "event_id", "ts", "event_type", "CAST(get_json_object(props, '$.k') AS INT) AS k")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    joined = ev.join(broadcast_if_small(part), ev.k == part.p_partkey, "inner")
+    joined = ev.join(part, ev.k == part.p_partkey, "inner")
     return joined.select("event_id", "ts", "event_type", "k", "p_name", "p_brand")
 
 
@@ -77,47 +68,47 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_from(events_parts(spark, sf_dir))
 
 
-def _event_id(filename_col="filename"):
-    return F.regexp_extract(F.col(filename_col), r"^(\d+)", 1).cast("long")
-
-
-def item_cuts(spark: SparkSession, sf_dir: str, low: float = 0.4, high: float = 0.6):
-    """(existing, incoming): items below ``high`` x max id and at-or-above ``low`` x max id.
-
-    The cut is a scalar subquery, evaluated once and inlined as a literal.
-    """
-    max_id = table(spark, sf_dir, "events").agg(F.max("event_id")).scalar()
+def known_and_listed(spark: SparkSession, sf_dir: str):
+    """(existing, incoming): the items already described, and the whole folder as
+    an ingest run lists it again."""
     ep = events_parts(spark, sf_dir)
-    existing = items_from(ep.filter(F.col("event_id") < max_id * F.lit(high)))
-    incoming = items_from(ep.filter(F.col("event_id") >= max_id * F.lit(low)))
-    return existing, incoming
+    return items_from(ep.filter("event_type <> 'error'")), items_from(ep)
 
 
-def answer_text() -> "F.Column":
-    """Provider answer for an event row, malformed for one row in fifty."""
-    k = F.col("k")
-    brand = F.when(F.pmod(k, F.lit(10)) == 0, F.lit("")).otherwise(F.col("p_brand"))
-    good = F.concat(
+def _plain_answer() -> "F.Column":
+    """A valid answer for an event row, but for a brand of the wrong form in some rows."""
+    k, m = F.col("k"), F.pmod(F.col("event_id"), F.lit(150))
+    text = F.when(F.pmod(k, F.lit(10)) == 0, F.lit("")).otherwise(F.col("p_brand"))
+    brand = (F.when(m == 60, F.lit(', "brand": 5')).when(m == 70, F.lit(', "brand": {"x": 1}'))
+             .when(m == 80, F.lit(', "brand": null')).when(m == 90, F.lit(""))
+             .otherwise(F.concat(F.lit(', "brand": "'), text, F.lit('"'))))
+    return F.concat(
         F.lit('{"is_recyclable": '), (F.pmod(k, F.lit(2)) == 0).cast("string"),
         F.lit(', "is_compostable": '), (F.pmod(k, F.lit(3)) == 0).cast("string"),
         F.lit(', "is_metal": '), F.col("p_name").contains(METAL_PART_WORD).cast("string"),
-        F.lit(', "brand": "'), brand,
-        F.lit('", "description": "'), F.col("p_name"), F.lit('"}'))
-    wrong_type = F.concat(F.lit('{"is_recyclable": "yes", "is_compostable": false, "is_metal": false, '
-                                '"brand": "", "description": "'), F.col("p_name"), F.lit('"}'))
-    m = F.pmod(F.col("event_id"), F.lit(150))
-    return (F.when(m == 0, F.lit("Sorry, I cannot describe this image."))
-             .when(m == 50, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-             .when(m == 100, wrong_type)
-             .when(F.pmod(F.col("event_id"), F.lit(7)) == 0, F.concat(F.lit("  "), good, F.lit("\n")))
-             .otherwise(good))
+        brand, F.lit(', "description": "'), F.col("p_name"), F.lit('"}'))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``filename, answer`` for every pending item (``description = ''``)."""
+    """``filename, answer`` for every pending item (``description = ''``): valid ones,
+    and by event_id modulo 150 each form that a provider gets wrong."""
     ep = events_parts(spark, sf_dir).filter(F.col("event_type") == "error")
-    return ep.select(F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("filename"),
-                     answer_text().alias("answer"))
+    rows = ep.select("event_id", "p_name", _plain_answer().alias("good"))
+    good, m = F.col("good"), F.pmod(F.col("event_id"), F.lit(150))
+    wrong_type = F.concat(F.lit('{"is_recyclable": "yes", "is_compostable": false, "is_metal": false, '
+                                '"brand": "", "description": "'), F.col("p_name"), F.lit('"}'))
+    text = (F.when(m == 0, F.lit("Sorry, I cannot describe this image."))
+            .when(m == 10, F.concat(good, F.lit(" Let me know if you need more.")))
+            .when(m == 20, F.concat(good, good))
+            .when(m == 30, F.concat(good, F.lit(", "), good))
+            .when(m == 40, F.replace(good, F.lit('"'), F.lit("'")))
+            .when(m == 50, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+            .when(m == 100, wrong_type)
+            .when(m == 110, F.concat(F.lit("["), good, F.lit("]")))
+            .when(m.isin(60, 70, 80, 90), good)
+            .when(F.pmod(F.col("event_id"), F.lit(7)) == 0, F.concat(F.lit("  "), good, F.lit("\n")))
+            .otherwise(good))
+    return rows.select(F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("filename"), text.alias("answer"))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,19 +141,22 @@ def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("vec_id").cast("string"), F.lit(".jpg")).alias("key"), "embedding")
 
 
+def _slot(i: int, n: int) -> "F.Column":
+    """Largest absolute component whose index is ``i`` modulo ``n``; NULL if there is none."""
+    own = F.filter("embedding", lambda x, at: at % n == i)
+    return F.array_max(F.transform(own, lambda x: F.abs(x.cast("double"))))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key, label, score``: |component i| as double for the six labels."""
-    parts = [F.struct(F.lit(lbl).alias("label"),
-                      F.abs(F.element_at("embedding", i + 1).cast("double")).alias("score"))
-             for i, lbl in enumerate(SCORE_LABELS)]
-    return (embedding_images(spark, sf_dir)
-            .select("key", F.inline(F.array(*parts)))
-            .select("key", "label", "score"))
+    """``key, scores``: the six labels with their slots' scores."""
+    n = len(SCORE_LABELS)
+    slots = [F.struct(F.lit(label).alias("label"), _slot(i, n).alias("score")) for i, label in enumerate(SCORE_LABELS)]
+    return embedding_images(spark, sf_dir).select("key", F.array(*slots).alias("scores"))
 
 
 def stream_events_parts(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """``events`` as an unbounded file source joined to the static ``part``
-    (stream-static join; the part side is size-checked for broadcast)."""
+    (stream-static join)."""
     schema = table(spark, sf_dir, "events").schema
     reader = (spark.readStream.format("parquet").schema(schema)
               .option("pathGlobFilter", "events.parquet"))
@@ -171,22 +165,22 @@ def stream_events_parts(spark: SparkSession, sf_dir: str, max_files_per_trigger:
     ev = reader.load(sf_dir).select(
         "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    joined = ev.join(broadcast_if_small(part), ev.k == part.p_partkey, "inner")
+    joined = ev.join(part, ev.k == part.p_partkey, "inner")
     return joined.select("event_id", "ts", "event_type", "k", "p_name", "p_brand")
 
 
 def model_label_slots() -> list[tuple[str, str]]:
-    """(model, label) per embedding component: every taxonomy label in model
-    order, then one label no taxonomy maps."""
+    """(model, label) per slot: every taxonomy label in model order, then one
+    label no taxonomy maps."""
     slots = [(m, lbl) for m, (_cats, mapping) in C.TAXONOMY.items() for lbl in mapping]
     return slots + [("trash1", "Unmapped")]
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key, model, label, score``: several models scored in one run (component i -> slot i)."""
-    parts = [F.struct(F.lit(m).alias("model"), F.lit(lbl).alias("label"),
-                      F.abs(F.element_at("embedding", i + 1).cast("double")).alias("score"))
-             for i, (m, lbl) in enumerate(model_label_slots())]
-    return (embedding_images(spark, sf_dir)
-            .select("key", F.inline(F.array(*parts)))
-            .select("key", "model", "label", "score"))
+    """``key, model, scores``: several models scored in one run, a row for each."""
+    slots = model_label_slots()
+    of = {}
+    for i, (m, label) in enumerate(slots):
+        of.setdefault(m, []).append(F.struct(F.lit(label).alias("label"), _slot(i, len(slots)).alias("score")))
+    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.array(*s).alias("scores")) for m, s in of.items()))
+    return embedding_images(spark, sf_dir).select("key", F.inline(rows))

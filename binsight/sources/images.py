@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from binsight.schema import BINARY_FILE
 
 
-def read_images(spark: SparkSession, directory: str, glob: str | None = None) -> DataFrame:
+def read_images(spark: SparkSession, directory: str | list[str], glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -1,61 +1,118 @@
 """The item table on plain parquet: append with additive schema evolution,
 replace-by-snapshot, and partition-scoped merges.
 
-Layout: ``<base>/snapshot=<n>/[capture_date=<d>/]part-*.parquet``. Appends add
-files to the newest snapshot. Readers take the newest snapshot that has a
-``_SUCCESS`` marker.
-
-* ``replace`` writes a whole new snapshot ``n+1`` (small tables, or a full
-  rewrite): a reader never sees a half-written table and the write never
-  deletes files its own plan reads.
-* ``merge_partitions`` (tables partitioned by capture date) rewrites only the
-  date partitions an enrichment touched: the merged rows of those partitions
-  are staged in the shared folder, then swapped in with dynamic partition
-  overwrite. Re-running after a failure replays from the staged copy.
-
-There is no transaction log: concurrent writers are not isolated. With Delta
-Lake installed, use ``delta_merge_update`` instead.
+Layout: ``<base>/snapshot=<n>/[capture_date=<d>/]part-*.parquet``, with the
+table's schema in ``<snapshot>/_columns.json`` so that no operation reads file
+footers to learn it. Readers take the newest snapshot with a ``_SUCCESS``
+marker.
+
+* A folder that holds files but no committed snapshot is never written to
+  (``UnmarkedTableError``), and a missing table is never read as an empty one
+  (``TableMissingError``).
+* ``replace`` writes a whole new snapshot beside the old one and renames it
+  into place; ``keep`` bounds how many snapshots stay.
+* ``merge_partitions`` rewrites only the date partitions that received answers.
+  The merged rows are staged in ``<base>/_merge``. Just before the swap the
+  files of the touched partitions are listed again; any change raises
+  ``MergeConflictError`` and leaves the table as it was. Once the swap has
+  begun, readers and appends raise ``MergePendingError`` until
+  ``finish_merge`` has completed it from the staged copy, so a crash inside
+  the swap loses nothing.
+
+This is no transaction log: two merges must not run at the same time.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binsight.schema import ITEM
-
 PARTITION_COL = "capture_date"
+_COLUMNS = "_columns.json"
+_STAGING = "_merge"
 
 
 class SchemaConflictError(ValueError):
     pass
 
 
+class TableMissingError(FileNotFoundError):
+    pass
+
+
+class UnmarkedTableError(RuntimeError):
+    pass
+
+
+class MergeConflictError(RuntimeError):
+    pass
+
+
+class MergePendingError(RuntimeError):
+    pass
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p, _ = _fs(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def snapshots(spark: SparkSession, base: str) -> list[int]:
-    """Committed snapshot numbers, oldest first."""
-    fs, p, jvm = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("snapshot="):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+    """Committed snapshot numbers, oldest first; none for a missing or empty folder.
+
+    A folder with content but no committed snapshot raises: it may be a table
+    whose writer left no marker, and treating it as absent would overwrite it.
+    """
+    names = _names(spark, base)
+    out = sorted(int(n.split("=", 1)[1]) for n in names
+                 if n.startswith("snapshot=") and _exists(spark, f"{base}/{n}/_SUCCESS"))
+    if not out and any(not n.startswith(("_", ".")) for n in names):
+        raise UnmarkedTableError(f"{base} holds files but no committed snapshot; refusing to use it")
+    return out
 
 
 def committed(spark: SparkSession, path: str) -> bool:
     """True when a Spark write to ``path`` finished (``_SUCCESS`` present)."""
-    fs, p, jvm = _fs(spark, path)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def exists(spark: SparkSession, base: str) -> bool:
@@ -66,34 +123,53 @@ def snapshot_path(base: str, n: int) -> str:
     return f"{base.rstrip('/')}/snapshot={n:08d}"
 
 
-def is_partitioned(spark: SparkSession, base: str) -> bool:
+def _newest(spark: SparkSession, base: str, wait_s: float = 60.0) -> str:
+    """Path of the newest snapshot; waits a while for a swap that is going on."""
     snaps = snapshots(spark, base)
     if not snaps:
-        return False
-    fs, p, _ = _fs(spark, snapshot_path(base, snaps[-1]))
-    return any(st.isDirectory() and st.getPath().getName().startswith(PARTITION_COL + "=")
-               for st in fs.listStatus(p))
+        raise TableMissingError(f"no table at {base}")
+    until = time.monotonic() + wait_s
+    while _exists(spark, f"{base}/{_STAGING}/swapping"):
+        if time.monotonic() > until:
+            raise MergePendingError(f"a merge of {base} stopped inside its swap; call finish_merge")
+        time.sleep(0.5)
+    return snapshot_path(base, snaps[-1])
+
+
+def is_partitioned(spark: SparkSession, base: str) -> bool:
+    snaps = snapshots(spark, base)
+    return bool(snaps) and any(n.startswith(PARTITION_COL + "=") for n in _names(spark, snapshot_path(base, snaps[-1])))
 
 
 def with_partition(df: DataFrame, time_col: str = "time") -> DataFrame:
     return df if PARTITION_COL in df.columns else df.withColumn(PARTITION_COL, F.to_date(time_col))
 
 
+def schema_of(spark: SparkSession, base: str) -> T.StructType:
+    """Schema recorded beside the newest snapshot, without the partition column.
+    A table written elsewhere, without the record, is learned from its footers."""
+    path = snapshot_path(base, snapshots(spark, base)[-1])
+    if _exists(spark, f"{path}/{_COLUMNS}"):
+        return T.StructType.fromJson(json.loads(_read_text(spark, f"{path}/{_COLUMNS}")))
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    return T.StructType([f for f in df.schema.fields if f.name != PARTITION_COL])
+
+
+def _record(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    fields = [T.StructField(f.name, f.dataType) for f in schema.fields if f.name != PARTITION_COL]
+    _write_text(spark, f"{path}/{_COLUMNS}", T.StructType(fields).json())
+
+
 def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None,
-               keep_partition: bool = False, merge_schema: bool = True) -> DataFrame:
+               keep_partition: bool = False, wait_s: float = 60.0) -> DataFrame:
     """Newest committed snapshot; columns added by later appends read as NULL.
-    The partition column is dropped unless ``keep_partition``.
-
-    ``merge_schema`` reads every file footer (a distributed job) so that
-    appended columns appear; on a huge table whose schema has not evolved,
-    pass False, or pass the known ``schema`` (no footer pass at all)."""
-    snaps = snapshots(spark, base)
-    if not snaps:
-        if schema is None:
-            schema = ITEM
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", str(merge_schema).lower())
-    df = reader.parquet(snapshot_path(base, snaps[-1]))
+    The partition column is dropped unless ``keep_partition``. A missing table
+    raises ``TableMissingError``."""
+    path = _newest(spark, base, wait_s)
+    schema = schema or schema_of(spark, base)
+    if is_partitioned(spark, base):
+        schema = T.StructType([*schema.fields, T.StructField(PARTITION_COL, T.DateType())])
+    df = spark.read.schema(schema).parquet(path)
     return df.drop(PARTITION_COL) if PARTITION_COL in df.columns and not keep_partition else df
 
 
@@ -117,72 +193,124 @@ def _write(df: DataFrame, partitioned: bool):
     return _clustered(with_partition(df)).write.partitionBy(PARTITION_COL) if partitioned else df.write
 
 
-def append(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False) -> None:
-    """Append by column name; creates snapshot 0 when the table does not exist
+def append(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False, wait_s: float = 60.0) -> None:
+    """Append by column name; creates snapshot 0 when there is no table yet
     (partitioned by capture date when ``partitioned``; an existing table keeps
-    its own layout).
+    its own layout). Columns that are new become part of the table's schema.
 
-    Unlike a catch-all fallback, a failing append raises and never replaces
-    the table with just the new rows.
+    A failing append raises and never replaces the table with just the new
+    rows; a non-empty folder without a committed snapshot is refused.
     """
-    snaps = snapshots(spark, base)
-    if not snaps:
-        _write(df, partitioned).mode("overwrite").parquet(snapshot_path(base, 0))
+    base = base.rstrip("/")
+    if not snapshots(spark, base):
+        replace(spark, df, base, partitioned)
         return
-    check_appendable(read_table(spark, base).schema, df.schema)
-    _write(df, is_partitioned(spark, base)).mode("append").parquet(snapshot_path(base, snaps[-1]))
+    path = _newest(spark, base, wait_s)
+    known = schema_of(spark, base)
+    check_appendable(known, df.schema)
+    names = {f.name for f in known.fields}
+    more = [f for f in df.schema.fields if f.name not in names and f.name != PARTITION_COL]
+    if more or not _exists(spark, f"{path}/{_COLUMNS}"):
+        _record(spark, path, T.StructType([*known.fields, *more]))
+    _write(df, is_partitioned(spark, base)).mode("append").parquet(path)
+
+
+def _files(spark: SparkSession, path: str, partitions: list[str] | None = None) -> list[str]:
+    """Data files below a snapshot, or below the named partitions of it."""
+    fs, _, jvm = _fs(spark, path)
+    out = []
+    for at in [path] if partitions is None else [f"{path}/{p}" for p in partitions]:
+        p = jvm.org.apache.hadoop.fs.Path(at)
+        if not fs.exists(p):
+            continue
+        it = fs.listFiles(p, True)
+        while it.hasNext():
+            st = it.next()
+            if not st.getPath().getName().startswith(("_", ".")):
+                out.append(f"{st.getPath().toString()}:{st.getLen()}")
+    return sorted(out)
+
 
+def files(spark: SparkSession, base: str) -> list[str]:
+    """Data files of the newest snapshot, with their sizes."""
+    return _files(spark, _newest(spark, base.rstrip("/")))
 
-def replace(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False) -> int:
-    """Write ``df`` as the next snapshot (create-or-replace); returns its number."""
+
+def replace(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False, keep: int | None = None,
+            unchanged: list[str] | None = None) -> int:
+    """Write ``df`` as the next snapshot (create-or-replace); returns its number.
+
+    The snapshot is written under a hidden name and renamed when complete.
+    ``unchanged`` is a listing (``files``) of the snapshot ``df`` was computed
+    from: if it differs before the rename, rows would get lost, and
+    ``MergeConflictError`` is raised instead. ``keep`` removes all but so many
+    of the newest snapshots.
+    """
+    base = base.rstrip("/")
     snaps = snapshots(spark, base)
     n = snaps[-1] + 1 if snaps else 0
-    _write(df, partitioned).mode("overwrite").parquet(snapshot_path(base, n))
+    hidden = f"{base}/_next-{uuid.uuid4().hex}"
+    _write(df, partitioned).parquet(hidden)
+    _record(spark, hidden, df.schema)
+    if unchanged is not None and _files(spark, snapshot_path(base, snaps[-1])) != unchanged:
+        delete(spark, hidden)
+        raise MergeConflictError(f"{base} changed while its next snapshot was written")
+    fs, src, jvm = _fs(spark, hidden)
+    if not fs.rename(src, jvm.org.apache.hadoop.fs.Path(snapshot_path(base, n))):
+        raise MergeConflictError(f"another writer made snapshot {n} of {base}")
+    for old in (snaps if keep is None else (snaps + [n])[:-keep]):
+        if keep is not None:
+            delete(spark, snapshot_path(base, old))
     return n
 
 
+def finish_merge(spark: SparkSession, base: str) -> bool:
+    """Complete a merge that stopped inside its swap from its staged copy; one
+    that stopped before the swap is forgotten. True if there was one to complete."""
+    base = base.rstrip("/")
+    staging = f"{base}/{_STAGING}"
+    if not _exists(spark, f"{staging}/swapping"):
+        if _exists(spark, staging):
+            delete(spark, staging)
+        return False
+    _swap(spark, staging, _read_text(spark, f"{staging}/swapping"))
+    delete(spark, staging)
+    return True
+
+
+def _swap(spark: SparkSession, staging: str, path: str) -> None:
+    (spark.read.parquet(f"{staging}/rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(PARTITION_COL).parquet(path))
+
+
 def merge_partitions(spark: SparkSession, base: str, source: DataFrame, key: str, columns: list[str],
                      dates: list) -> int:
     """Matched-update merge that rewrites only the ``dates`` partitions.
 
     ``dates`` (touched capture dates) is bounded by the table's partition
-    count. The filter on the partition column prunes every other partition
-    from the scan (``PartitionFilters``), so the work is proportional to the
-    touched partitions, not to the table. Returns the snapshot number.
+    count. Only these partitions are listed and scanned (``PartitionFilters``).
+    Finishes an interrupted merge first. Returns the snapshot number.
     """
     from binsight.operators.merge import merge_update
-    from binsight.session import scratch_path
+    base = base.rstrip("/")
+    finish_merge(spark, base)
     snaps = snapshots(spark, base)
-    path = snapshot_path(base, snaps[-1])
+    path = _newest(spark, base)
     if not dates:
         return snaps[-1]
     known = [d for d in dates if d is not None]
     cond = F.col(PARTITION_COL).isin(known) if known else F.lit(False)
     if len(known) < len(dates):
         cond = cond | F.col(PARTITION_COL).isNull()
-    target = spark.read.option("mergeSchema", "true").parquet(path).filter(cond)
-    merged = merge_update(target, source, key, columns, check_unique=False)
-    staging = scratch_path(spark, "merge-staging")
-    _clustered(merged).write.partitionBy(PARTITION_COL).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(PARTITION_COL).parquet(path))
+    folders = [f"{PARTITION_COL}={'__HIVE_DEFAULT_PARTITION__' if d is None else d}" for d in dates]
+    before = _files(spark, path, folders)
+    target = read_table(spark, base, keep_partition=True).filter(cond)
+    staging = f"{base}/{_STAGING}"
+    _clustered(merge_update(target, source, key, columns)).write.partitionBy(PARTITION_COL).parquet(f"{staging}/rows")
+    if _files(spark, path, folders) != before:
+        delete(spark, staging)
+        raise MergeConflictError(f"partitions of {base} changed while they were merged")
+    _write_text(spark, f"{staging}/swapping", path)  # from here on readers and appends wait
+    _swap(spark, staging, path)
+    delete(spark, staging)
     return snaps[-1]
-
-
-def delta_available(spark: SparkSession) -> bool:
-    """True when the Delta Lake Python package and its jars are usable."""
-    try:
-        import delta.tables  # noqa: F401
-        spark._jvm.io.delta.tables.DeltaTable  # noqa: B018  (raises when the jar is absent)
-        return True
-    except Exception:
-        return False
-
-
-def delta_merge_update(spark: SparkSession, path: str, source: DataFrame, key: str, columns: list[str]) -> None:
-    """Matched-update merge through Delta Lake (only when ``delta_available``)."""
-    from delta.tables import DeltaTable
-    (DeltaTable.forPath(spark, path).alias("old")
-     .merge(source.alias("new"), f"old.{key} = new.{key}")
-     .whenMatchedUpdate(set={c: f"new.{c}" for c in columns})
-     .execute())

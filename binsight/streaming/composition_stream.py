@@ -15,38 +15,24 @@ from binsight.operators.prepare import prepare
 from binsight.sources import table as tb
 
 
-# Upper bound of distinct keys per grouping (hour of day: 0-23 and NULL).
-KEY_CARDINALITY = {"hour": 25}
-
-
 def start_composition(items_stream: DataFrame, key: str, out_path: str, checkpoint: str,
-                      trigger: dict | None = None, state_partitions: int | None = None):
+                      trigger: dict | None = None, keep: int = 3):
     """``trigger`` defaults to availableNow; the dashboard cadence is
-    ``{"processingTime": "30 seconds"}``.
+    ``{"processingTime": "30 seconds"}``. The newest ``keep`` results stay.
 
-    The number of state-store partitions is fixed at the first start (it is
-    recorded in the checkpoint). For a key with a known small domain it is
-    capped at that domain; otherwise ``spark.sql.shuffle.partitions`` applies.
+    The number of state-store partitions is the session's
+    ``spark.sql.shuffle.partitions`` at the first start (it is recorded in the
+    checkpoint); a session for small keyed state sets it low.
     """
     spark = items_stream.sparkSession
-    if state_partitions is None and key in KEY_CARDINALITY:
-        state_partitions = min(KEY_CARDINALITY[key], spark.sparkContext.defaultParallelism)
     agg = composition(prepare(items_stream), key, order=False)
 
     def publish(batch, epoch_id):
-        tb.replace(spark, batch, out_path)
+        tb.replace(spark, batch, out_path, keep=keep)
 
     writer = (agg.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(**(trigger or {"availableNow": True}))
-    if state_partitions is None:
-        return writer.start()
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        return writer.start()  # the query keeps a copy of the session conf taken here
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_composition(spark, out_path: str) -> DataFrame:

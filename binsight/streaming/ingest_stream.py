@@ -6,8 +6,9 @@ Per micro-batch (``foreachBatch``):
 1. keep rows whose file name is not in the table yet (left anti join): a
    replayed batch appends nothing twice;
 2. ask the provider about them (``mapInPandas`` on the executors) and store
-   the answers in the shared folder before using them; a replayed epoch (same
-   files, same new rows) reuses the stored answers and never calls again;
+   the answers in the shared folder before using them, under the stream's own
+   id; a replayed epoch of this stream (same files, same new rows) reuses the
+   stored answers and never calls again, another stream never does;
 3. apply valid answers to the new rows (matched update) and append.
 
 Rows with invalid answers are appended pending; ``plans.jobs.enrich_pending``
@@ -17,6 +18,7 @@ checkpoint, so each arrival is handled once across restarts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,26 +42,31 @@ def arrivals_from_images(spark: SparkSession, image_dir: str, **kw) -> DataFrame
 def ingest_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, table_path: str, work_dir: str,
                  provider_factory: Callable | None, state: str = C.DEFAULT_STATE,
                  city: str = C.DEFAULT_CITY, partitioned: bool = False, **provider_kw) -> None:
+    """One micro-batch. Nothing is cached: the new rows are recomputed from the
+    batch's files, whose content is read only for the provider's calls, and the
+    table changes only at the final append."""
     has_content = "content" in batch.columns
     shaped = ing.with_ingest_defaults(batch, state, city, keep=["content"] if has_content else None)
     new = ing.new_only(shaped, tb.read_table(spark, table_path)) if tb.exists(spark, table_path) else shaped
-    # used twice below; recomputing it after a lost executor gives the same rows,
-    # because the table only changes at the final append
-    new = new.persist()
-    try:
-        items = new.drop("content") if has_content else new
-        if provider_factory is not None:
-            content = F.col("content") if has_content else F.col("filename").cast("binary")
-            ans_path = f"{work_dir}/answers/epoch={epoch_id}"
-            if not tb.committed(spark, ans_path):  # a replayed epoch reuses its stored answers
-                en.ask(new.select("filename", content.alias("content")), provider_factory,
-                       **provider_kw).write.mode("overwrite").parquet(ans_path)
-            ok, _bad = en.split_answers(spark.read.parquet(ans_path))
-            # one answer per file name by construction (``split_answers`` de-duplicates)
-            items = merge_update(items, ok, check_unique=False)
-        tb.append(spark, items, table_path, partitioned=partitioned)
-    finally:
-        new.unpersist()
+    items = new.drop("content")
+    if provider_factory is not None:
+        content = F.col("content") if has_content else F.col("filename").cast("binary")
+        ans_path = f"{work_dir}/answers/epoch={epoch_id}"
+        if not tb.committed(spark, ans_path):  # a replayed epoch reuses its stored answers
+            en.ask(new.select("filename", content.alias("content")), provider_factory,
+                   **provider_kw).write.mode("overwrite").parquet(ans_path)
+        ok, _bad = en.split_answers(spark.read.parquet(ans_path))
+        items = merge_update(items, ok)
+    tb.append(spark, items, table_path, partitioned=partitioned)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that names a stream's stored answers: made at its first start and
+    kept beside its checkpoint, so a restart finds it and a new checkpoint does not."""
+    path = f"{checkpoint.rstrip('/')}-id"
+    if not tb.committed(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["id"]
 
 
 def start_ingest(arrivals: DataFrame, table_path: str, checkpoint: str, work_dir: str,
@@ -71,9 +78,10 @@ def start_ingest(arrivals: DataFrame, table_path: str, checkpoint: str, work_dir
     and tests); pass ``{"processingTime": "30 seconds"}`` to run continuously.
     """
     spark = arrivals.sparkSession
+    own = f"{work_dir.rstrip('/')}/{stream_id(spark, checkpoint)}"
 
     def run(batch, epoch_id):
-        ingest_batch(spark, batch, epoch_id, table_path, work_dir, provider_factory, **kw)
+        ingest_batch(spark, batch, epoch_id, table_path, own, provider_factory, **kw)
 
     writer = arrivals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binsight.operators.ingest import new_only, shape_feed, union_by_name
-from binsight.operators.merge import DuplicateKeyError, merge_update
+from binsight.operators.merge import DUPLICATE, DuplicateKeyError, assert_unique_keys, merge_update
 from binsight.plans import jobs
 from binsight.sources import table as tb
 from binsight.sources.json_items import read_json_items
@@ -22,22 +22,40 @@ def test_anti_join_null_and_duplicates(spark):
     assert len(got) == 2
 
 
-def test_anti_join_shuffle_path_matches_broadcast_path(spark):
+def test_anti_join_without_broadcast(spark):
     inc = spark.range(0, 2000).select(F.col("id").cast("string").alias("filename"))
     ex = spark.range(500, 5000).select(F.col("id").cast("string").alias("filename"))
     small = {r.filename for r in new_only(inc, ex).collect()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    from binsight.operators import ingest
-    old = ingest.broadcast_limit
-    ingest.broadcast_limit = lambda df: 0
     try:
         big = {r.filename for r in new_only(inc, ex).collect()}
     finally:
-        ingest.broadcast_limit = old
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert small == big == {str(i) for i in range(500)}
 
 
+def test_anti_join_splits_a_hot_key_and_sets_null_keys_aside(spark):
+    hot = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60_000, 1, 12).select(
+            F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string"))
+            .alias("filename"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        known = spark.range(0, 5000).select(F.col("id").cast("string").alias("filename"))
+        out = new_only(rows, known)
+        assert out.count() == 60_000 - sum(1 for i in range(5000) if i % 3 == 2)
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in hot:
+            spark.conf.unset(k)
+
+
 def test_union_by_name_schema_evolution(spark):
     a = spark.createDataFrame([("x", 1)], KEYS)
     b = spark.createDataFrame([("y", "new")], "filename string, extra string")
@@ -58,8 +76,10 @@ def test_merge_semantics(spark):
     assert (out["c"].description, out["c"].is_metal) == ("old", False)
     assert all(r.city == "keep" for r in out.values())
     dup = source.unionByName(source.limit(1))
+    with pytest.raises(Exception, match=DUPLICATE):
+        merge_update(target, dup, columns=["description", "is_metal"]).collect()
     with pytest.raises(DuplicateKeyError):
-        merge_update(target, dup, columns=["description", "is_metal"])
+        assert_unique_keys(dup, "filename")
 
 
 def _write_images(d):
@@ -101,6 +121,7 @@ def test_json_feed_array_lines_and_bad_time(spark, tmp_dir):
     b = shape_feed(read_json_items(spark, lines, multiline=False)).collect()
     assert len(a) == len(b) == 2
     by = {r.filename: r for r in a}
+    assert by["0.jpg"].extra == 1 and by["1.jpg"].extra is None
     assert by["0.jpg"].time is not None and by["1.jpg"].time is None
     assert by["0.jpg"].state is None and by["1.jpg"].is_metal is True
     with pytest.raises(Exception):
@@ -123,7 +144,7 @@ def test_merge_null_target_keys_untouched(spark):
     target = spark.createDataFrame([(None, "x"), (None, "y"), ("a", "")], "filename string, description string")
     source = spark.createDataFrame([("a", "cup"), (None, "ghost")], "filename string, description string")
     out = sorted((r.filename or "", r.description) for r in
-                 merge_update(target, source, columns=["description"], check_unique=False).collect())
+                 merge_update(target, source, columns=["description"]).collect())
     assert out == [("", "x"), ("", "y"), ("a", "cup")]
 
 
@@ -141,10 +162,6 @@ def test_json_export_round_trip(spark, tmp_dir):
     assert a == b
 
 
-def test_delta_gate_is_false_without_jars(spark):
-    assert tb.delta_available(spark) in (True, False)
-
-
 def test_partition_scoped_merge_rewrites_touched_dates_only(spark, tmp_dir):
     import glob
     import json as _json
@@ -196,3 +213,129 @@ def test_read_table_with_known_schema(spark, tmp_dir):
     known = T.StructType([T.StructField("filename", T.StringType()), T.StructField("v", T.IntegerType())])
     got = sorted(tuple(r) for r in tb.read_table(spark, table, schema=known).collect())
     assert got == [("a", 1), ("b", 2)]
+
+
+def test_feed_adds_a_column_and_keeps_bad_records_apart(spark, tmp_dir):
+    feed, table = os.path.join(tmp_dir, "f.jsonl"), os.path.join(tmp_dir, "items")
+    with open(feed, "w") as f:
+        f.write('{"filename": "a.jpg", "time": "2024-01-01T00:00:00"}\n')
+    jobs.load_json_items(spark, feed, table, multiline=False)
+    with open(feed, "w") as f:
+        f.write('{"filename": "b.jpg", "weight": 2.5}\nnot json\n{"brand": "x"}\n')
+    for _ in range(2):
+        rejects = jobs.load_json_items(spark, feed, table, multiline=False)
+        assert {(r.record, r.reason) for r in rejects.collect()} == {("not json", "malformed"), ('{"brand":"x"}', "no filename")}
+    got = {r.filename: r.weight for r in tb.read_table(spark, table).collect()}
+    assert got == {"a.jpg": None, "b.jpg": 2.5}
+
+
+def test_unmarked_folder_is_refused_and_missing_table_raises(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "items")
+    with pytest.raises(tb.TableMissingError):
+        tb.read_table(spark, table)
+    df = spark.createDataFrame([("a", 1)], KEYS)
+    tb.append(spark, df, table)
+    os.remove(os.path.join(tb.snapshot_path(table, 0), "_SUCCESS"))
+    with pytest.raises(tb.UnmarkedTableError):
+        tb.append(spark, df, table)
+    assert os.path.isdir(tb.snapshot_path(table, 0))
+
+
+DATED = "filename string, time timestamp, description string, is_recyclable boolean, is_compostable boolean, is_metal boolean, brand string"
+
+
+def _dated(spark, *names):
+    rows = [(n, "2024-01-0%d 10:00:00" % (1 + i % 2), "", None, None, None, "") for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, DATED.replace("timestamp", "string")).withColumn("time", F.col("time").cast("timestamp"))
+
+
+def _answers(spark, *names):
+    return spark.createDataFrame([(n, f"thing {n}", True, False, False, "B") for n in names],
+                                 "filename string, description string, is_recyclable boolean, is_compostable boolean, "
+                                 "is_metal boolean, brand string")
+
+
+def test_interrupted_swap_is_finished_from_the_staged_copy(spark, tmp_dir, monkeypatch):
+    import shutil
+    table = os.path.join(tmp_dir, "items")
+    tb.append(spark, _dated(spark, "a", "b"), table, partitioned=True)
+
+    def broken(spark_, staging, path):  # the swap removes a partition and dies
+        shutil.rmtree(os.path.join(path, "capture_date=2024-01-01"))
+        raise RuntimeError("lost")
+
+    swap = tb._swap
+    monkeypatch.setattr(tb, "_swap", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.merge_answers(spark, table, _answers(spark, "a"))
+    monkeypatch.setattr(tb, "_swap", swap)
+    with pytest.raises(tb.MergePendingError):
+        tb.read_table(spark, table, wait_s=0.1)
+    with pytest.raises(tb.MergePendingError):
+        tb.append(spark, _dated(spark, "c"), table, wait_s=0.1)
+    assert tb.finish_merge(spark, table)
+    got = {r.filename: r.description for r in tb.read_table(spark, table).collect()}
+    assert got == {"a": "thing a", "b": ""}
+    assert not tb.finish_merge(spark, table)
+
+
+@pytest.mark.parametrize("partitioned", [True, False])
+def test_rows_appended_during_a_merge_are_never_lost(spark, tmp_dir, monkeypatch, partitioned):
+    table = os.path.join(tmp_dir, "items")
+    tb.append(spark, _dated(spark, "a", "b"), table, partitioned=partitioned)
+    if partitioned:
+        real = tb._clustered
+
+        def clustered(df):
+            out = real(df)
+            if "description" in df.columns and not clustered.done:
+                clustered.done = True
+                tb.append(spark, _dated(spark, "late"), table)
+            return out
+
+        clustered.done = False
+        monkeypatch.setattr(tb, "_clustered", clustered)
+    else:
+        record = tb._record
+
+        def recorded(spark_, path, schema):
+            record(spark_, path, schema)
+            if "_next-" in path:
+                tb.append(spark, _dated(spark, "late"), table)
+
+        monkeypatch.setattr(tb, "_record", recorded)
+    with pytest.raises(tb.MergeConflictError):
+        jobs.merge_answers(spark, table, _answers(spark, "a"))
+    monkeypatch.undo()
+    assert {r.filename for r in tb.read_table(spark, table).collect()} == {"a", "b", "late"}
+    jobs.merge_answers(spark, table, _answers(spark, "a"))
+    got = {r.filename: r.description for r in tb.read_table(spark, table).collect()}
+    assert got == {"a": "thing a", "b": "", "late": ""}
+
+
+def test_duplicate_answers_fail_the_public_merge(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "items")
+    tb.append(spark, _dated(spark, "a", "b"), table)
+    with pytest.raises(Exception, match=DUPLICATE):
+        jobs.merge_answers(spark, table, _answers(spark, "a", "a"))
+    assert tb.read_table(spark, table).count() == 2
+
+
+def test_replace_keeps_so_many_snapshots(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "t")
+    for i in range(4):
+        tb.replace(spark, spark.createDataFrame([("a", i)], KEYS), table, keep=2)
+    assert tb.snapshots(spark, table) == [2, 3] and tb.read_table(spark, table).first().v == 3
+
+
+def test_only_pending_images_are_opened(spark, tmp_dir):
+    img = os.path.join(tmp_dir, "images")
+    os.makedirs(img)
+    for i in range(12):
+        with open(os.path.join(img, f"{i}.jpg"), "wb") as f:
+            f.write(b"x")
+    names = spark.createDataFrame([("3.jpg",), ("7.jpg",), ("none.jpg",)], "filename string")
+    frames = list(jobs.pending_images(spark, names, img))
+    assert sorted(os.path.basename(f) for df in frames for f in df.inputFiles()) == ["3.jpg", "7.jpg"]
+    many = list(jobs.pending_images(spark, spark.createDataFrame([(f"{i}.jpg",) for i in range(12)], "filename string"), img, at_once=5))
+    assert len(many) > 1 and sorted(r.filename for df in many for r in df.collect()) == sorted(f"{i}.jpg" for i in range(12))

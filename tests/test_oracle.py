@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from binsight.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -37,9 +38,9 @@ def test_entry(spark):
     assert df.columns[:2] == ["hour", "total_count"]
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, key):
-    sdf = E.queries()[key](spark, SF)
+    sdf = QUERIES[key](spark, SF)
     sql = E.oracle_sql().get(key)
     assert sql is not None, f"{key} has no oracle"
     rel = con.sql(sql)

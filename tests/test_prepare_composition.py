@@ -78,10 +78,10 @@ def test_property_partition_of_rows(spark, rows):
 
 
 def test_dashboard_top_brands_equal_direct(spark):
-    from binsight.plans.jobs import dashboard
+    from binsight.plans.jobs import dashboard, dashboard_groups
     from binsight.sources.driver_tables import items
     it = items(spark, "/root/testdata/sf0.001")
-    d = dashboard(it)
+    d = dashboard(dashboard_groups(it))
     assert set(d) == {"composition_by_hour", "composition_by_hour_long", "composition_by_brand",
                       "composition_by_brand_long", "top_brands"}
     assert [tuple(r) for r in d["top_brands"].collect()] == [tuple(r) for r in top_brands(prepare(it)).collect()]
@@ -120,3 +120,7 @@ def test_publish_dashboard(spark, tmp_dir):
     publish_dashboard(spark, src, out)
     assert tb.read_table(spark, f"{out}/composition_by_hour").count() == 24
     assert tb.read_table(spark, f"{out}/top_brands").count() == 10
+    before = tb.read_table(spark, f"{out}/composition_by_hour").agg(F.sum("total_count")).first()[0]
+    tb.append(spark, items(spark, "/root/testdata/sf0.001"), src)  # another writer, between two publications
+    publish_dashboard(spark, src, out)
+    assert tb.read_table(spark, f"{out}/composition_by_hour").agg(F.sum("total_count")).first()[0] == 2 * before

@@ -20,7 +20,7 @@ def test_new_only_matches_model(spark, incoming, existing, dedupe):
     got = sorted(((r.filename or "~"), r.v) for r in new_only(inc, ex, dedupe=dedupe).collect())
     model = [(k or "~", v) for k, v in incoming if k is None or k not in seen]
     if dedupe:
-        assert len(got) == len({k for k, _ in model if k != "~"}) + (1 if any(k == "~" for k, _ in model) else 0)
+        assert len(got) == len({k for k, _ in model if k != "~"}) + sum(k == "~" for k, _ in model)
         assert {k for k, _ in got} == {k for k, _ in model}
     else:
         assert got == sorted(model)

@@ -34,6 +34,9 @@ def test_matlab_profile_and_bounds(spark):
     df = sy.synth_range(spark, 20000, end(), "matlab")
     freq = {r.brand: r["count"] / 20000 for r in df.groupBy("brand").count().collect()}
     assert abs(freq["Coca-Cola"] - 0.4 / 1.1) < 0.02
+    t = df.agg(F.min("time"), F.max("time"), F.countDistinct("time")).first()
+    assert (str(t[0]), str(t[1]), t[2]) == ("2024-11-02 12:00:00", "2024-11-09 12:00:00", 169)
+    assert sy.hour_spine(spark, end(), "matlab").count() == 169
 
 
 def test_hour_spine(spark):
@@ -41,7 +44,7 @@ def test_hour_spine(spark):
     assert len(rows) == 168 and str(rows[-1].hour_start) == "2024-11-09 11:00:00"
 
 
-def test_stream_equals_batch_and_restart(spark):
+def test_stream_equals_batch(spark):
     import __spark_entry__ as E
     d = "/root/testdata/sf0.001"
     qs = E.queries()
@@ -65,12 +68,18 @@ def test_ingest_stream_restart_adds_nothing(spark):
     assert tb.read_table(spark, table).count() == n == dt.table(spark, d, "events").count()
 
 
-def test_hash_sql_path_equals_column_path(spark):
+def test_seeds_salts_and_large_ids_are_independent(spark):
     from binsight.functions.random import uniform
-    df = spark.range(0, 5000).union(spark.range(2**31 - 3, 2**31 + 3)).union(spark.range(2**40, 2**40 + 3))
-    a = df.select(uniform("id", 3, 5).alias("u")).collect()
-    b = df.select(uniform(F.col("id"), 3, 5).alias("u")).collect()
-    assert a == b
+    df = spark.range(0, 4000).union(spark.range(2**31, 2**31 + 4000)).union(spark.range(2**62, 2**62 + 4000))
+    cols = [uniform("id", salt, seed).alias(f"u{salt}_{seed}") for salt in (1, 2) for seed in (0, 1)]
+    rows = df.select("id", *cols).toPandas()
+    for c in rows.columns[1:]:
+        assert rows[c].nunique() == 12_000 and abs(rows[c].mean() - 0.5) < 0.02
+    assert rows.iloc[:, 1:].corr().where(lambda x: x < 0.999).abs().max().max() < 0.05
+    for a in rows.columns[1:]:
+        for b in rows.columns[1:]:
+            if a != b:
+                assert not set(rows[a]) & set(rows[b])  # no shifted copy of another sequence
 
 
 def test_image_stream_ingest_enrich_restart_and_retry(spark, tmp_dir):
@@ -129,17 +138,73 @@ def test_processing_time_trigger_drain_and_stop(spark):
     assert tb.read_table(spark, table).count() == dt.table(spark, d, "events").count()
 
 
-def test_cluster_settings_apply(spark):
-    from binsight.session import CLUSTER_SETTINGS, shuffle_partitions_for
-    assert shuffle_partitions_for(100 * 2**40) == 409600 and shuffle_partitions_for(1) == 200
-    for k, v in CLUSTER_SETTINGS.items():  # every key is a valid SQL conf of this Spark
-        if k.startswith("spark.sql."):
-            old = spark.conf.get(k, None)
-            spark.conf.set(k, v)
-            if old is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, old)
+def test_a_new_checkpoint_asks_again_and_a_replay_does_not(spark, tmp_dir):
+    from binsight.sources import table as tb
+    from binsight.streaming import ingest_stream as st
+    calls = os.path.join(tmp_dir, "calls")
+    os.makedirs(calls)
+
+    def factory():
+        def call(name, request):
+            import uuid
+            open(os.path.join(calls, f"{name}-{uuid.uuid4().hex}"), "w").close()
+            return "not json"
+        return call
+
+    batch = spark.createDataFrame([("1.jpg", "2024-01-01 00:00:00")], "filename string, time string").withColumn(
+        "time", F.col("time").cast("timestamp"))
+    ckpt, work = scratch_path(spark, "sc"), scratch_path(spark, "sw")
+    for checkpoint, expected in ((ckpt, 1), (ckpt, 1), (scratch_path(spark, "sc2"), 2)):
+        table = scratch_path(spark, "st")  # the same epoch again, as after a crash before the append
+        st.ingest_batch(spark, batch, 0, table, f"{work}/{st.stream_id(spark, checkpoint)}", factory, backoff_s=0.0)
+        assert len(os.listdir(calls)) == expected and tb.read_table(spark, table).count() == 1
+
+
+def test_composition_stream_restarts_and_keeps_few_results(spark, tmp_dir):
+    from binsight.sources import table as tb
+    from binsight.sources.driver_tables import items
+    from binsight.streaming.composition_stream import read_composition, start_composition
+    src, out, ckpt = os.path.join(tmp_dir, "in"), scratch_path(spark, "rc"), scratch_path(spark, "rk")
+    rows = items(spark, "/root/testdata/sf0.001")
+    total = 0
+    for i in range(3):
+        rows.write.mode("append").parquet(src)
+        total += rows.count()
+        q = start_composition(spark.readStream.schema(rows.schema).parquet(src), "hour", out, ckpt, keep=2)
+        q.awaitTermination()
+        assert q.exception() is None
+        assert read_composition(spark, out).agg(F.sum("total_count")).first()[0] == total
+    assert len(tb.snapshots(spark, out)) == 2
+
+
+def test_cluster_settings_are_known(spark):
+    from binsight.session import CLUSTER_SETTINGS
+    for k in CLUSTER_SETTINGS:
+        assert spark.conf.get(k)  # raises for a setting that Spark does not know
+
+
+def test_no_driver_folder_on_a_cluster(monkeypatch):
+    from binsight import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return default
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = Context()
+
+    import pytest
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
 
 
 def test_shared_dir_when_checkpoint_dir_is_unset(tmp_dir):
