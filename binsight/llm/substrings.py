@@ -167,22 +167,27 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                      .alias("run"))
              .groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")))  # at most the runs of a text
     asked = stored(asked, "asked")
-    texts = keyed.join(asked.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
-        F.first("text").alias("text"))
-    hashed = stored(texts.join(asked, ["k1", "k2"]).mapInArrow(
+    hashed = stored(keyed.join(asked, ["k1", "k2"]).mapInArrow(
         _window_hashes(window), "k1 long, k2 long, group long, hash long, at long"), "windows")
-    twice = stored(hashed.groupBy("group", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("group", "hash"),
-                   "level-3")
+    # equal texts may have come in several tasks: the same place twice is no repetition
+    place = F.struct("k1", "k2", "at")
+    twice = stored(hashed.groupBy("group", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                   .filter("a <> b").select("group", "hash"), "level-3")
     single = hashed.join(twice, ["group", "hash"], "left_semi")
     return (equal.select("k1", "k2", F.expr("place div 64").alias("first"), F.expr("place % 64").alias("count"))
             .union(single.select("k1", "k2", F.col("at").alias("first"), F.lit(1).cast("long").alias("count"))).distinct())
 
 
 def _window_hashes(window: int):
+    """Partition function: the windows of each asked run, once for equal texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for k1, k2, text, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "runs"))):
-                t = Text(text)
+            for i, (k1, k2) in enumerate(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())):
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
+                t, runs = Text(batch.column("text")[i].as_py()), batch.column("runs")[i].as_py()
                 first = np.array([r["place"] // 64 for r in runs])
                 count = np.array([r["place"] % 64 for r in runs])
                 group = np.repeat(np.array([r["group"] for r in runs], np.int64), count)
