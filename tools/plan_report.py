@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical plan tree of every registered batch query,
+"""Write PLANS.md: the physical plan tree of every batch query of the catalogue,
 with each scan's ReadSchema and PushedFilters (``explain("formatted")``).
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STREAMS = {"stream_composition", "stream_ingest"}
+STREAMS = {"stream_composition", "stream_ingest", "stream_files"}
 
 
 def formatted(df) -> str:
@@ -45,18 +45,33 @@ def summarize(text: str) -> list[str]:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from binsight.plans.catalogue import QUERIES
     from binsight.session import get_session
     spark = get_session("local[8]", shuffle_partitions=8)
     print(f"# Physical plans ({os.path.basename(sf)}, before AQE re-planning)\n")
     print("Generated by `tools/plan_report.py`. Streaming queries are omitted (their "
           "micro-batch plans match the batch plans of the same operators).\n")
-    for name, fn in E.queries().items():
-        if name in STREAMS:
-            continue
-        print(f"## {name}\n\n```")
-        print("\n".join(summarize(formatted(fn(spark, sf)))))
-        print("```\n")
+    for name, fn in QUERIES.items():
+        if name not in STREAMS:
+            show(name, fn(spark, sf))
+    from binsight.operators import enrich as en
+    from binsight.operators.merge import merge_update
+    from binsight.session import scratch_path
+    from binsight.sources import driver_tables as dt
+    from binsight.sources import table as tb
+    path = scratch_path(spark, "plan")
+    tb.append(spark, dt.items(spark, sf), path, partitioned=True)
+    ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, sf)))
+    stored = scratch_path(spark, "answers")
+    ok.write.parquet(stored)
+    target = tb.read_table(spark, path, keep_partition=True).filter(f"{tb.PARTITION_COL} = date'2024-01-01'")
+    show("merge_in_place: the merge of one touched date", merge_update(target, spark.read.parquet(stored)))
+
+
+def show(name: str, df) -> None:
+    print(f"## {name}\n\n```")
+    print("\n".join(summarize(formatted(df))))
+    print("```\n")
 
 
 if __name__ == "__main__":
