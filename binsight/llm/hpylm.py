@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 CONTEXTS = 16  # classes of the previous word; 0: the start of a text
 DISCOUNT, STRENGTH = 0.6, 1.0  # of a context restaurant
@@ -35,6 +35,7 @@ SAMPLES = 3
 FREQUENT = 2e-6
 BASE_ADD = 0.1
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word holds a space
+_ALL = (1 << 64) - 1
 _BLOCK = 0.1  # beyond ten customers, so many more are seated at one time
 
 
@@ -42,17 +43,16 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, context classes) of a whole text, A-Z lower-cased, with one end."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     w = raw.split()
-    digest = xxhash.xxh3_64_digest
     h = np.empty(len(w) + 1, np.uint64)
-    h[:-1] = np.frombuffer(b"".join([digest(x) for x in w]), ">u8")
+    h[:-1] = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, w)), ">u8")
     h[-1] = _END
     ctx = np.zeros(len(w) + 1, np.int64)
     if w:
-        code = np.frombuffer(raw, np.uint8).astype(np.int64)
-        word = ~((code == 32) | ((code >= 9) & (code <= 13)))
-        last = np.flatnonzero(word & ~np.append(word[1:], False))
-        before = np.where((last > 0) & word[last - 1], code[last - 1], 0)
-        ctx[1:] = 1 + ((code[last] * 131 + before * 7) * 2654435761 >> 12) % (CONTEXTS - 1)
+        code = np.frombuffer(raw, np.uint8)
+        space = (code == 32) | ((code - np.uint8(9)) < 5)
+        last = np.flatnonzero(np.append(space[1:], True) & ~space)
+        before = np.where((last > 0) & ~space[last - 1], code[last - 1], 0).astype(np.int64)
+        ctx[1:] = 1 + ((code[last].astype(np.int64) * 131 + before * 7) * 2654435761 >> 12) % (CONTEXTS - 1)
     return h, ctx
 
 
@@ -110,7 +110,7 @@ def _seat(customers: np.ndarray, new: np.ndarray, discount: float, seed: np.ndar
         n, t, a = seated[live], tables[live], new[live]
         more = np.minimum(np.maximum(1, (n * _BLOCK).astype(np.int64)), customers[live] - n)
         step += 1
-        u = (_mix(seed[live] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0 ** -53
+        u = (_mix(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & _ALL)) >> np.uint64(11)) * 2.0 ** -53
         u = np.clip(u, 1e-15, 1 - 1e-15)
         p = a / (a + n - discount * t)
         tables[live] = t + np.where(more == 1, u < p, _binomial(more, p, u))
@@ -142,26 +142,36 @@ class Totals:
         return (c - DISCOUNT * t) / (STRENGTH + self.customers[ctx]) + self.back_off()[ctx] * p
 
 
+def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
 class _Rows:
-    """A batch of the word table as flat arrays."""
+    """A batch of the word table as flat arrays; a seat is customers * CONTEXTS + context."""
 
     def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
         self.w = batch.column("w").to_numpy()
         seats = batch.column("seats")
-        flat = seats.flatten()
-        self.ctx = flat.field("ctx").to_numpy().astype(np.int64)
-        self.c = flat.field("n").to_numpy()
-        size = np.diff(seats.offsets.to_numpy())
-        self.row = np.repeat(np.arange(len(self.w)), size)
+        packed = seats.flatten().to_numpy()
+        self.ctx, self.c = packed % CONTEXTS, packed // CONTEXTS
+        offsets = seats.offsets.to_numpy()
+        self.offsets = offsets - offsets[0]
+        self.row = np.repeat(np.arange(len(self.w)), np.diff(offsets))
         self.n = len(self.w)
 
+    def state(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tables by context, parent's tables by word) of the k-th kept round."""
+        return (self.batch.column(f"t{k}").flatten().to_numpy().astype(np.int64),
+                self.batch.column(f"p{k}").to_numpy().astype(np.int64))
+
     def sum(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, x, self.n)
 
     def round(self, totals: Totals, number: int, start: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         """(tables by context, parent's tables by word) after all customers sat down
         anew; the draws follow from the words and the round's number alone."""
-        seed = _mix(self.w.view(np.uint64) + np.uint64(number + 1) * np.uint64(0xD6E8FEB86659FD93))
+        seed = _mix(self.w.view(np.uint64) + np.uint64((number + 1) * 0xD6E8FEB86659FD93 & _ALL))
         t, t0 = start if start else (np.ones_like(self.c), np.ones(self.n, np.int64))
         c0 = self.sum(t)
         # the parent without the dish's customers of this restaurant
@@ -173,13 +183,6 @@ class _Rows:
         fresh = (STRENGTH_0 + DISCOUNT_0 * max(0.0, totals.parent_tables)) / (totals.vocabulary + 1)
         return t, _seat(c0, np.full(self.n, fresh), DISCOUNT_0, seed)
 
-    def rounds(self, history: list[Totals]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The seating after each round so far; the same rows draw the same seats."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for number, totals in enumerate(history):
-            out.append(self.round(totals, number, out[-1] if out else None))
-        return out
-
 
 def _word_table(train: DataFrame) -> DataFrame:
     """(w, c, seats): a word's count and its customers by context, from all texts."""
@@ -197,16 +200,42 @@ def _word_table(train: DataFrame) -> DataFrame:
                                              names=["w", "packed"])
 
     counted = train.select("text").mapInArrow(run, "w long, packed long").repartition("w")
-    by = (counted.groupBy("w", F.expr(f"cast(packed % {CONTEXTS} as int)").alias("ctx"))
-          .agg(F.sum(F.expr(f"packed div {CONTEXTS}")).alias("n")))
-    return stored(by.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.struct("ctx", "n")).alias("seats")), "words")
+    by = counted.groupBy("w", F.expr(f"packed % {CONTEXTS}").alias("ctx")).agg(
+        F.sum(F.expr(f"packed div {CONTEXTS}")).alias("n"))
+    return stored(by.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.col("n") * CONTEXTS + F.col("ctx")).alias("seats")),
+                  "words")
+
+
+def _seated(table: DataFrame, totals: Totals, number: int, kept: int, keep_more: bool) -> DataFrame:
+    """The word table after one more round. It keeps the seats of ``kept`` rounds;
+    the new ones are added, or replace the last. Each batch adds a row without a
+    word whose ``totals`` are the sums of its new seats."""
+    out = kept if keep_more or not kept else kept - 1  # the new round's number among those kept
+    names = ["w", "c", "seats"] + [f"{x}{k}" for k in range(out + 1) for x in "tp"] + ["totals"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = _Rows(batch)
+            if not r.n:
+                continue
+            t, t0 = r.round(totals, number, r.state(kept - 1) if kept else None)
+            sums = np.append(np.bincount(r.ctx, t, CONTEXTS), t0.sum())
+            columns = {c: batch.column(c) for c in ("w", "c", "seats")}
+            columns |= {f"{x}{k}": batch.column(f"{x}{k}") for k in range(out) for x in "tp"}
+            columns |= {f"t{out}": _lists(r.offsets, t.astype(np.int32)), f"p{out}": pa.array(t0)}
+            columns["totals"] = pa.nulls(r.n, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+            only = {c: pa.nulls(1, columns[c].type) for c in names[:-1]} | {"totals": pa.array([sums], pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_pydict(only)
+
+    kept_columns = "".join(f", t{k} array<int>, p{k} long" for k in range(out + 1))
+    return table.mapInArrow(run, f"w long, c long, seats array<long>{kept_columns}, totals array<double>")
 
 
 @dataclass
 class Model:
-    table: DataFrame  # (w, c, seats)
+    table: DataFrame  # (w, c, seats, t0, p0, t1, p1, ...): the seats of each sample
     samples: list[Totals]
-    history: list[Totals]
     tokens: int
     vocabulary: int
 
@@ -215,29 +244,27 @@ class Model:
         return self.tokens + BASE_ADD * (self.vocabulary + 1)
 
     def probabilities(self) -> DataFrame:
-        """(w, c, p, seen): parent probabilities by sample, and the averaged
-        predictive probability in every context that has seen the word."""
-        history, samples = self.history, self.samples
+        """(w, c, p, ctx, seen): parent probabilities by sample, and the contexts that
+        have seen the word with its averaged predictive probability in each."""
+        samples = self.samples
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 r = _Rows(batch)
                 if not r.n:
                     continue
-                seats = r.rounds(history)[-len(samples):]
                 p0, seen = [], np.zeros(len(r.c))
-                for totals, (t, t0) in zip(samples, seats):
+                for k, totals in enumerate(samples):
+                    t, t0 = r.state(k)
                     p = totals.parent(r.sum(t), t0)
                     p0.append(p)
                     seen += totals.context(r.ctx, r.c, t, p[r.row]) / len(samples)
-                flat = batch.column("seats")
-                pairs = pa.StructArray.from_arrays([flat.flatten().field("ctx"), pa.array(seen)], names=["ctx", "p"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("w"), batch.column("c"), pa.ListArray.from_arrays(
-                        pa.array(np.arange(r.n + 1, dtype=np.int32) * len(samples)), pa.array(np.stack(p0, 1).ravel())),
-                     pa.ListArray.from_arrays(flat.offsets, pairs)], names=["w", "c", "p", "seen"])
+                yield pa.RecordBatch.from_pydict({
+                    "w": batch.column("w"), "c": batch.column("c"),
+                    "p": _lists(np.arange(r.n + 1) * len(samples), np.stack(p0, 1).ravel()),
+                    "ctx": _lists(r.offsets, r.ctx.astype(np.int32)), "seen": _lists(r.offsets, seen)})
 
-        return self.table.mapInArrow(run, "w long, c long, p array<double>, seen array<struct<ctx:int,p:double>>")
+        return self.table.mapInArrow(run, "w long, c long, p array<double>, ctx array<int>, seen array<double>")
 
 
 def fit(train: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
@@ -246,32 +273,23 @@ def fit(train: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Mod
     table = _word_table(train)
     size = table.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     vocabulary, n = size["v"], size["n"] or 0
-    customers = np.zeros(CONTEXTS)
-    types = np.zeros(CONTEXTS)
-    for r in table.select(F.explode("seats").alias("s")).groupBy("s.ctx").agg(
-            F.sum("s.n").alias("n"), F.count("*").alias("t")).collect():
+    customers, types = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
+    for r in table.select(F.explode("seats").alias("s")).groupBy(F.expr(f"s % {CONTEXTS}").alias("ctx")).agg(
+            F.sum(F.expr(f"s div {CONTEXTS}")).alias("n"), F.count("*").alias("t")).collect():
         customers[r["ctx"]], types[r["ctx"]] = r["n"], r["t"]
     # at first every dish has one table in a context
     now = Totals(customers, types, float(types.sum()), float(vocabulary), vocabulary)
-    history = [now]
-    for _ in range(burn_in + samples):
-        seen = list(history)
-
-        def run(batches: Iterator[pa.RecordBatch], seen: list[Totals] = seen) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(CONTEXTS + 1)
-            for batch in batches:
-                r = _Rows(batch)
-                if r.n:
-                    t, t0 = r.rounds(seen)[-1]
-                    total += np.append(np.bincount(r.ctx, t, CONTEXTS), t0.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 1)), pa.array(total)], names=["at", "n"])
-
-        total = np.zeros(CONTEXTS + 1)
-        for r in table.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-            total[r["at"]] = r["n"]
-        history.append(Totals(customers, total[:-1], float(total[:-1].sum()), float(total[-1]), vocabulary))
-    # the seating that history[k] leads to has the totals history[k + 1]
-    return Model(table, history[-samples:], history[:-1], n, vocabulary)
+    kept: list[Totals] = []
+    for number in range(burn_in + samples):
+        after = stored(_seated(table, now, number, len(kept) or min(number, 1), number > burn_in), "seats")
+        discard(table)
+        sums = after.filter("w is null").select(*(F.sum(F.get("totals", F.lit(i))) for i in range(CONTEXTS + 1))).first()
+        total = np.array([x or 0.0 for x in sums])
+        now = Totals(customers, total[:-1], float(total[:-1].sum()), float(total[-1]), vocabulary)
+        if number >= burn_in:
+            kept.append(now)
+        table = after.filter("w is not null").drop("totals")
+    return Model(table, kept, n, vocabulary)
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -295,9 +313,9 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     p = np.array(top.column("p").combine_chunks().flatten().to_numpy() if len(h) else [], float).reshape(-1, len(model.samples))
     grid = (p @ back / len(model.samples)).astype(np.float32)
     if len(h):
-        seen = top.column("seen").combine_chunks()
-        at = np.repeat(np.arange(len(h)), np.diff(seen.offsets.to_numpy()))
-        grid[at, seen.flatten().field("ctx").to_numpy()] = seen.flatten().field("p").to_numpy()
+        ctx = top.column("ctx").combine_chunks()
+        at = np.repeat(np.arange(len(h)), np.diff(ctx.offsets.to_numpy()))
+        grid[at, ctx.flatten().to_numpy()] = top.column("seen").combine_chunks().flatten().to_numpy()
     base = np.log10((top.column("c").to_numpy() + BASE_ADD) / model.base_den) if len(h) else np.zeros(0)
     heads = spark.sparkContext.broadcast((h[order], base[order], np.log10(np.maximum(grid[order], 1e-300, dtype=np.float64)
                                                                             ).astype(np.float32)))
@@ -340,12 +358,13 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
 
     head = stored(rows.mapInArrow(near, f"doc_id {kind}, key long, n long, hit long, b double, s double"), "heads")
     tail = rows.select("key", "text").mapInArrow(far, "key long, w long, ctx int")
-    rare = stored(known.filter(F.col("c") < least), "rare")
+    rare = known.filter(F.col("c") < least).withColumnRenamed("ctx", "contexts")
     k = len(model.samples)
     fallback: Column = sum((F.element_at(F.array(*(F.lit(float(x)) for x in back[i])), F.col("ctx") + 1)
                             * F.coalesce(F.element_at("p", i + 1), F.lit(float(model.samples[i].parent(
                                 np.zeros(1), np.zeros(1))[0]))) / k for i in range(k)), F.lit(0.0))
-    own = F.get(F.filter("seen", lambda x: x["ctx"] == F.col("ctx")), F.lit(0))["p"]
+    place = F.array_position("contexts", F.col("ctx")).cast("int")  # 0: this context has not seen the word
+    own = F.when(place > 0, F.get("seen", place - 1))
     found = tail.join(rare, "w", "left").select(
         "key", F.log10(F.coalesce(own, fallback)).alias("s"), F.col("c").isNotNull().cast("long").alias("hit"),
         F.log10((F.coalesce("c", F.lit(0)) + BASE_ADD) / model.base_den).alias("b"))

@@ -62,8 +62,7 @@ class Text:
     def __init__(self, text: str | None):
         w = words(text)
         self.n = len(w)
-        digest = xxhash.xxh3_128_digest
-        each = np.frombuffer(b"".join([digest(x) for x in w]), "<u8").reshape(-1, 2)
+        each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, w)), "<u8").reshape(-1, 2)
         size = 1 << max(10, self.n.bit_length())
         self._down = [_powers(lane, size)[1] for lane in (0, 1)]
         self._sums = [np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(each[:, lane] * _powers(lane, size)[0][:self.n])])

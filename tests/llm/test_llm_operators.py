@@ -290,8 +290,8 @@ def test_language_model_probabilities_sum_to_one(spark):
     for ctx in range(hpylm.CONTEXTS):
         total = float((back[:, ctx] * unseen).mean())
         for r in rows:
-            own = [s["p"] for s in r["seen"] if s["ctx"] == ctx]
-            total += own[0] if own else float((back[:, ctx] * np.array(r["p"])).mean())
+            own = dict(zip(r["ctx"], r["seen"])).get(ctx)
+            total += float((back[:, ctx] * np.array(r["p"])).mean()) if own is None else own
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
