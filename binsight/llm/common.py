@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from binsight.session import scratch_path, ship_package
 
-#: Words of the contracts: runs of bytes that are neither a space nor \x09-\x0D.
-#: ``bytes.split()`` without an argument cuts at exactly these six bytes.
-WORD_RE = r"[^\x20\x09-\x0D]+"
-
 _NORMAL_WORD = re.compile(r"[^\W_]+")
 
 
@@ -48,7 +44,8 @@ def id_split(doc_id: str, mod: int) -> Column:
 
 
 def words(text: str | None) -> list[bytes]:
-    """Contract words of a text as UTF-8; null has none."""
+    """Runs of bytes that are neither a space nor \\x09-\\x0D, as UTF-8; null has none.
+    (``bytes.split()`` without an argument cuts at exactly these six bytes.)"""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 

@@ -70,7 +70,7 @@ class Text:
 
     def spans(self, start: np.ndarray, length: np.ndarray | int, lane: int) -> np.ndarray:
         s = self._sums[lane]
-        return _mix((s[start + length] - s[start]) * self._down[lane][start] + np.uint64(1) * np.uint64(lane + 1))
+        return _mix((s[start + length] - s[start]) * self._down[lane][start] + np.uint64(lane + 1))
 
     def runs(self, window: int) -> tuple[np.ndarray, ...] | None:
         """(first window, windows, side, 9-gram hash, 18-gram hash, run hash) of the runs, or None."""

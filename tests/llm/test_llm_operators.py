@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from binsight.llm import (chat, decontaminate, hpylm, langid, packing, pii, quality, simhash,
