@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from binsight import constants as C
 from binsight.functions.columns import basename, parse_time
+from binsight.operators.joins import spread_nulls
 from binsight.schema import ITEM, ITEM_COLUMNS
 
 
@@ -66,17 +67,15 @@ def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename",
              dedupe: bool = False) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``existing`` (left anti join).
 
-    NULL keys never match, so they are set aside before the join and always
-    kept: however many there are, they meet in no task. Duplicates inside the
-    batch are kept unless ``dedupe``. The join's sides are plain columns; Spark
-    broadcasts the table's keys if they turn out small, and else splits a hot
-    key of the batch (AQE skew join).
+    NULL keys never match and are always kept; they are spread over the join's
+    tasks. Duplicates inside the batch are kept unless ``dedupe``. The join's
+    sides are plain columns; Spark broadcasts the table's keys if they turn out
+    small, and else splits a hot key of the batch (AQE skew join).
     """
     if dedupe:
         incoming = dedupe_by_key(incoming, key)
-    keyed = incoming.filter(F.col(key).isNotNull())
-    table_keys = existing.select(key).filter(F.col(key).isNotNull())
-    return keyed.join(table_keys, key, "left_anti").unionByName(incoming.filter(F.col(key).isNull()))
+    known = existing.select(F.col(key).cast("string").alias("__own")).filter("__own is not null")
+    return incoming.withColumn("__own", spread_nulls(incoming, key)).join(known, "__own", "left_anti").drop("__own")
 
 
 def union_by_name(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binsight.operators.joins import spread_nulls
 from binsight.schema import METADATA_FIELDS
 
 
@@ -31,7 +32,7 @@ def merge_update(target: DataFrame, source: DataFrame, key: str = "filename",
     untouched. A NULL source value overwrites (``when(matched)``, not
     ``coalesce``). The source is grouped by key inside the plan, and a key with
     two rows fails the job (``raise_error``), so it can never multiply rows and
-    nothing runs while the plan is built. Target rows without a key skip the join.
+    nothing runs while the plan is built. Target rows without a key match nothing.
     """
     columns = list(columns or METADATA_FIELDS)
     message = F.concat(F.lit(f"{DUPLICATE} {key}: "), F.col(key).cast("string"))
@@ -40,8 +41,8 @@ def merge_update(target: DataFrame, source: DataFrame, key: str = "filename",
            .select(F.col(key).alias("__key"),
                    F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("__matched"),
                    "__new"))
-    keyed = target.filter(F.col(key).isNotNull())
-    joined = keyed.join(src, F.col(key) == F.col("__key"), "left")
+    joined = (target.withColumn("__own", spread_nulls(target, key))
+              .join(src.withColumn("__key", F.col("__key").cast("string")), F.col("__own") == F.col("__key"), "left"))
     out = [F.when(F.col("__matched"), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
            for c in target.columns]
-    return joined.select(*out).unionByName(target.filter(F.col(key).isNull()))
+    return joined.select(*out)
