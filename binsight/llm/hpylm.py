@@ -1,17 +1,20 @@
 """Hierarchical Pitman-Yor language model, its seating sampled by distributed Gibbs rounds.
 
-Restaurants: one for each class of the previous word (``CONTEXTS`` of them); all
-share a parent, the unigram restaurant, whose base is uniform over the
-vocabulary and one unseen word. All seats that concern a word (its customers and
-tables in every context, and in the parent) are one row, so a round is one pass
-over the word table: each row takes all its customers out and seats them again,
-one restaurant after the other, given the other words' totals of the round
-before. Rounds exchange these totals only. The last rounds are kept as samples;
-a word's probability is the average of the samples' predictive probabilities.
-
-Counting words and looking them up are keyed shuffles. Words that make up
+Restaurants: one for each previous word; those whose word has the same class
+(``CONTEXTS`` classes) share a parent, and all classes share the unigram
+restaurant, whose base is uniform over the vocabulary and one unseen word.
+
+A pair (previous word, word) is a row of the pair table. A pair seen once has one
+table for good; only the others are seated again. All seats that concern a word
+in the classes and the unigram restaurant are one row of the word table. A round
+seats all pairs, given the word table and the tables of each previous word of the
+round before, then all words, given the tables of the pairs. Totals by previous
+word are a Spark aggregate joined back to the pairs. The last rounds are kept as
+samples; a pair's probability is the average of the samples' predictive ones.
+
+Counting pairs and looking them up are keyed shuffles. Pairs that make up
 ``FREQUENT`` of all tokens or more are at most 1 / FREQUENT many; they are
-broadcast and scored where the text lies, and only the other words are shuffled.
+broadcast and scored where the text lies, and only the other pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
 
 CONTEXTS = 16  # classes of the previous word; 0: the start of a text
-DISCOUNT, STRENGTH = 0.6, 1.0  # of a context restaurant
+DISCOUNT_2, STRENGTH_2 = 0.8, 1.0  # of a previous word's restaurant
+DISCOUNT, STRENGTH = 0.6, 1.0  # of a class restaurant
 DISCOUNT_0, STRENGTH_0 = 0.4, 10.0  # of the unigram restaurant
 BURN_IN = 3  # rounds before the first sample
 SAMPLES = 3
@@ -40,7 +44,8 @@ _BLOCK = 0.1  # beyond ten customers, so many more are seated at one time
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, context classes) of a whole text, A-Z lower-cased, with one end."""
+    """(word hashes, previous words) of a whole text, A-Z lower-cased, with one end.
+    A previous word is its hash with its class in the last four bits; 0: the start."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     w = raw.split()
     h = np.empty(len(w) + 1, np.uint64)
@@ -53,7 +58,14 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         last = np.flatnonzero(np.append(space[1:], True) & ~space)
         before = np.where((last > 0) & ~space[last - 1], code[last - 1], 0).astype(np.int64)
         ctx[1:] = 1 + ((code[last].astype(np.int64) * 131 + before * 7) * 2654435761 >> 12) % (CONTEXTS - 1)
-    return h, ctx
+    u = np.zeros(len(w) + 1, np.uint64)
+    u[1:] = h[:-1] & np.uint64(_ALL - CONTEXTS + 1) | ctx[1:].astype(np.uint64)
+    return h, u
+
+
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash of previous words and words."""
+    return (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)).view(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -147,94 +159,145 @@ def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
 
 
 class _Rows:
-    """A batch of the word table as flat arrays; a seat is customers * CONTEXTS + context."""
+    """A batch of the word table as flat arrays, a seat for each class that has seen the word."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.batch = batch
         self.w = batch.column("w").to_numpy()
-        seats = batch.column("seats")
-        packed = seats.flatten().to_numpy()
-        self.ctx, self.c = packed % CONTEXTS, packed // CONTEXTS
-        offsets = seats.offsets.to_numpy()
+        ctx = batch.column("ctx")
+        self.ctx = ctx.flatten().to_numpy()
+        offsets = ctx.offsets.to_numpy()
         self.offsets = offsets - offsets[0]
-        self.row = np.repeat(np.arange(len(self.w)), np.diff(offsets))
         self.n = len(self.w)
-
-    def state(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tables by context, parent's tables by word) of the k-th kept round."""
-        return (self.batch.column(f"t{k}").flatten().to_numpy().astype(np.int64),
-                self.batch.column(f"p{k}").to_numpy().astype(np.int64))
+        self.row = np.repeat(np.arange(self.n), np.diff(offsets))
+
+    def state(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(customers and tables by class, parent's tables by word) of the k-th kept round."""
+        return (self.batch.column(f"c{k}").flatten().to_numpy(), self.batch.column(f"t{k}").flatten().to_numpy(),
+                self.batch.column(f"p{k}").to_numpy())
+
+    def customers(self) -> np.ndarray:
+        """Tables of the pairs by class: those seen once, and ``moved``, a list of tables * CONTEXTS + class."""
+        out = self.batch.column("fixed").flatten().to_numpy().copy()
+        moved = self.batch.column("moved")
+        packed = moved.flatten().to_numpy()
+        at = np.full((self.n, CONTEXTS), -1)
+        at[self.row, self.ctx] = np.arange(len(self.ctx))
+        np.add.at(out, at[np.repeat(np.arange(self.n), np.diff(moved.offsets.to_numpy())), packed % CONTEXTS], packed // CONTEXTS)
+        return out
 
     def sum(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, x, self.n)
 
-    def round(self, totals: Totals, number: int, start: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-        """(tables by context, parent's tables by word) after all customers sat down
+    def round(self, totals: Totals, number: int, c: np.ndarray, t: np.ndarray, t0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tables by class, parent's tables by word) after all customers ``c`` sat down
         anew; the draws follow from the words and the round's number alone."""
         seed = _mix(self.w.view(np.uint64) + np.uint64((number + 1) * 0xD6E8FEB86659FD93 & _ALL))
-        t, t0 = start if start else (np.ones_like(self.c), np.ones(self.n, np.int64))
         c0 = self.sum(t)
         # the parent without the dish's customers of this restaurant
         own = c0[self.row] - t
         share = np.where(own > 0, np.minimum(t0[self.row], own), 0)
         p = totals.parent(own, share)
-        t = _seat(self.c, (STRENGTH + DISCOUNT * (totals.tables[self.ctx] - t).clip(0)) * p, DISCOUNT, _mix(seed[self.row] + self.ctx.astype(np.uint64)))
+        t = _seat(c, (STRENGTH + DISCOUNT * (totals.tables[self.ctx] - t).clip(0)) * p, DISCOUNT, _mix(seed[self.row] + self.ctx.astype(np.uint64)))
         c0 = self.sum(t).astype(np.int64)
         fresh = (STRENGTH_0 + DISCOUNT_0 * max(0.0, totals.parent_tables)) / (totals.vocabulary + 1)
         return t, _seat(c0, np.full(self.n, fresh), DISCOUNT_0, seed)
 
 
-def _word_table(train: DataFrame) -> DataFrame:
-    """(w, c, seats): a word's count and its customers by context, from all texts."""
+_CLASS = f"cast(u & {CONTEXTS - 1} as int)"
+
+
+def _pair_table(train: DataFrame) -> DataFrame:
+    """(u, w, n): how often a word follows a previous word, from all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [tokens(t) for t in batch.column("text").to_pylist()]
             h = np.concatenate([x for x, _ in made])
-            ctx = np.concatenate([x for _, x in made])
-            order = np.lexsort((ctx, h))
-            h, ctx = h[order], ctx[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])]))
+            u = np.concatenate([x for _, x in made])
+            order = np.argsort(_pair(u, h))
+            h, u = h[order], u[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]))
             n = np.diff(np.append(new, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(n * CONTEXTS + ctx[new])],
-                                             names=["w", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(u[new].view(np.int64)), pa.array(h[new].view(np.int64)), pa.array(n)],
+                                             names=["u", "w", "n"])
+
+    counted = train.select("text").mapInArrow(run, "u long, w long, n long").repartition("u", "w")
+    return stored(counted.groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
 
-    counted = train.select("text").mapInArrow(run, "w long, packed long").repartition("w")
-    by = counted.groupBy("w", F.expr(f"packed % {CONTEXTS}").alias("ctx")).agg(
-        F.sum(F.expr(f"packed div {CONTEXTS}")).alias("n"))
-    return stored(by.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list(F.col("n") * CONTEXTS + F.col("ctx")).alias("seats")),
-                  "words")
 
+def _word_table(pairs: DataFrame) -> DataFrame:
+    """(w, c, ctx, fixed, c0, t0, p0): a word's count; its classes, and in each the
+    tables of pairs seen once and of all pairs, when every dish has one table."""
+    by = pairs.groupBy("w", F.expr(_CLASS).alias("ctx")).agg(
+        F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("fixed"), F.count("*").alias("c0"))
+    rows = by.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.struct("ctx", "fixed", "c0")).alias("s"))
+    return stored(rows.select("w", "c", "s.ctx", "s.fixed", "s.c0", F.transform("s", lambda x: F.lit(1).cast("long")).alias("t0"),
+                              F.lit(1).cast("long").alias("p0")), "words")
 
-def _seated(table: DataFrame, totals: Totals, number: int, kept: int, keep_more: bool) -> DataFrame:
-    """The word table after one more round. It keeps the seats of ``kept`` rounds;
-    the new ones are added, or replace the last. Each batch adds a row without a
-    word whose ``totals`` are the sums of its new seats."""
-    out = kept if keep_more or not kept else kept - 1  # the new round's number among those kept
-    names = ["w", "c", "seats"] + [f"{x}{k}" for k in range(out + 1) for x in "tp"] + ["totals"]
+
+def _pairs_seated(pairs: DataFrame, words: DataFrame, totals: Totals, number: int, kept: int, out: int) -> DataFrame:
+    """Pairs seen more than once (u, w, n, one, t0, t1, ...) after one more round,
+    whose tables are ``t{out}``; ``one`` is how many pairs of u are seen once."""
+    last = f"t{kept - 1}"
+    dishes = words.select("w", F.aggregate(last, F.lit(0).cast("long"), lambda a, x: a + x).alias("c0"), F.col(f"p{kept - 1}").alias("q0"),
+                          F.explode(F.arrays_zip("ctx", F.col(f"c{kept - 1}").alias("c"), F.col(last).alias("t"))).alias("x"))
+    dishes = dishes.select("w", F.col("x")["ctx"].alias("ctx"), F.col("x")["c"].alias("c1"), F.col("x")["t"].alias("q1"), "c0", "q0")
+    tables = pairs.groupBy("u").agg((F.sum(last) + F.first("one")).alias("tables"))
+    names = ["u", "w", "n", "one"] + [f"t{k}" for k in range(out + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, n, t, c1, q1, c0, q0, ctx, all_tables = (batch.column(c).to_numpy() for c in (
+                "u", "w", "n", last, "c1", "q1", "c0", "q0", "ctx", "tables"))
+            # the parents without the dish's customers of this restaurant
+            own = c1 - t
+            share = np.where(own > 0, np.minimum(q1, own), 0)
+            own0 = c0 - (q1 - share)
+            p = totals.context(ctx, own, share, totals.parent(own0, np.where(own0 > 0, np.minimum(q0, own0), 0)))
+            seed = _mix(_mix(w.view(np.uint64) + np.uint64((number + 1) * 0xA0761D6478BD642F & _ALL)) + u.view(np.uint64))
+            made = _seat(n, (STRENGTH_2 + DISCOUNT_2 * (all_tables - t).clip(0)) * p, DISCOUNT_2, seed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(made)], names=names)
+
+    joined = pairs.withColumn("ctx", F.expr(_CLASS)).join(dishes, ["w", "ctx"], "left").join(tables, "u", "left")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _words_seated(table: DataFrame, pairs: DataFrame, totals: Totals, number: int, kept: int, out: int) -> DataFrame:
+    """The word table after one more round over the tables ``t{out}`` of ``pairs``;
+    its seats are the ``out``-th of those kept. Each batch adds a row without a word
+    whose ``totals`` are the sums of its new seats."""
+    by = pairs.groupBy("w", F.expr(_CLASS).alias("class")).agg(F.sum(f"t{out}").alias("t"))
+    moved = by.groupBy("w").agg(F.collect_list(F.col("t") * CONTEXTS + F.col("class")).alias("moved"))
+    joined = table.join(moved, "w", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
+    fixed = ["w", "c", "ctx", "fixed"]
+    names = fixed + [f"{x}{k}" for k in range(out + 1) for x in "ctp"] + ["totals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = _Rows(batch)
             if not r.n:
                 continue
-            t, t0 = r.round(totals, number, r.state(kept - 1) if kept else None)
-            sums = np.append(np.bincount(r.ctx, t, CONTEXTS), t0.sum())
-            columns = {c: batch.column(c) for c in ("w", "c", "seats")}
-            columns |= {f"{x}{k}": batch.column(f"{x}{k}") for k in range(out) for x in "tp"}
-            columns |= {f"t{out}": _lists(r.offsets, t.astype(np.int32)), f"p{out}": pa.array(t0)}
+            c = r.customers()
+            t, t0 = r.round(totals, number, c, *r.state(kept - 1)[1:])
+            sums = np.concatenate([np.bincount(r.ctx, t, CONTEXTS), np.bincount(r.ctx, c, CONTEXTS), [t0.sum()]])
+            columns = {x: batch.column(x) for x in fixed + [f"{x}{k}" for k in range(out) for x in "ctp"]}
+            columns |= {f"c{out}": _lists(r.offsets, c), f"t{out}": _lists(r.offsets, t), f"p{out}": pa.array(t0)}
             columns["totals"] = pa.nulls(r.n, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
             only = {c: pa.nulls(1, columns[c].type) for c in names[:-1]} | {"totals": pa.array([sums], pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(only)
 
-    kept_columns = "".join(f", t{k} array<int>, p{k} long" for k in range(out + 1))
-    return table.mapInArrow(run, f"w long, c long, seats array<long>{kept_columns}, totals array<double>")
+    kept_columns = "".join(f", c{k} array<long>, t{k} array<long>, p{k} long" for k in range(out + 1))
+    return joined.mapInArrow(run, f"w long, c long, ctx array<int>, fixed array<long>{kept_columns}, totals array<double>")
 
 
 @dataclass
 class Model:
-    table: DataFrame  # (w, c, seats, t0, p0, t1, p1, ...): the seats of each sample
+    table: DataFrame  # (w, c, ctx, fixed, c0, t0, p0, c1, t1, p1, ...): the seats of each sample
+    once: DataFrame  # (u, w): pairs seen once
+    pairs: DataFrame  # (u, w, n, one, t0, t1, ...): the other pairs, their tables in each sample
+    contexts: DataFrame  # (u, m, one): how often a previous word was met, and its pairs seen once
     samples: list[Totals]
     tokens: int
     vocabulary: int
@@ -244,8 +307,9 @@ class Model:
         return self.tokens + BASE_ADD * (self.vocabulary + 1)
 
     def probabilities(self) -> DataFrame:
-        """(w, c, p, ctx, seen): parent probabilities by sample, and the contexts that
-        have seen the word with its averaged predictive probability in each."""
+        """(w, c, p, ctx, seen, each): parent probabilities by sample, and the classes
+        that have seen the word with its predictive probability in each, averaged and
+        by sample."""
         samples = self.samples
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,43 +317,80 @@ class Model:
                 r = _Rows(batch)
                 if not r.n:
                     continue
-                p0, seen = [], np.zeros(len(r.c))
+                p0, each = [], []
                 for k, totals in enumerate(samples):
-                    t, t0 = r.state(k)
+                    c, t, t0 = r.state(k)
                     p = totals.parent(r.sum(t), t0)
                     p0.append(p)
-                    seen += totals.context(r.ctx, r.c, t, p[r.row]) / len(samples)
+                    each.append(totals.context(r.ctx, c, t, p[r.row]))
+                one = len(samples)
                 yield pa.RecordBatch.from_pydict({
                     "w": batch.column("w"), "c": batch.column("c"),
-                    "p": _lists(np.arange(r.n + 1) * len(samples), np.stack(p0, 1).ravel()),
-                    "ctx": _lists(r.offsets, r.ctx.astype(np.int32)), "seen": _lists(r.offsets, seen)})
-
-        return self.table.mapInArrow(run, "w long, c long, p array<double>, ctx array<int>, seen array<double>")
+                    "p": _lists(np.arange(r.n + 1) * one, np.stack(p0, 1).ravel()),
+                    "ctx": _lists(r.offsets, r.ctx.astype(np.int32)), "seen": _lists(r.offsets, np.mean(each, 0)),
+                    "each": _lists(r.offsets, _lists(np.arange(len(r.ctx) + 1) * one, np.stack(each, 1).ravel()))})
+
+        return self.table.mapInArrow(run, "w long, c long, p array<double>, ctx array<int>, seen array<double>, each array<array<double>>")
+
+    def backing(self) -> DataFrame:
+        """(u, den, back): of each previous word the denominator of its predictive
+        probabilities, and by sample the share that its class gives out."""
+        ks = range(len(self.samples))
+        tables = self.pairs.groupBy("u").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in ks))
+        den = F.col("m") + STRENGTH_2
+        return self.contexts.join(tables, "u", "left").select("u", den.alias("den"), F.array(
+            *((STRENGTH_2 + DISCOUNT_2 * (F.col("one") + F.coalesce(f"t{k}", F.lit(0)))) / den for k in ks)).alias("back"))
+
+    def seen(self, words: DataFrame, backing: DataFrame) -> DataFrame:
+        """(u, w, n, c, s): every pair of the training texts, how often its word came,
+        and the log10 of its averaged predictive probability; from ``probabilities``
+        and ``backing``."""
+        ks = range(len(self.samples))
+        one = F.lit(1).cast("long")
+        pairs = self.once.select("u", "w", one.alias("n"), *(one.alias(f"t{k}") for k in ks)).unionByName(
+            self.pairs.select("u", "w", "n", *(f"t{k}" for k in ks)))
+        dishes = words.select("w", "c", F.explode(F.arrays_zip("ctx", "each")).alias("x")).select(
+            "w", "c", F.col("x")["ctx"].alias("ctx"), F.col("x")["each"].alias("each"))
+        p = sum(((F.col("n") - DISCOUNT_2 * F.col(f"t{k}")) / F.col("den") + F.get("back", F.lit(k)) * F.get("each", F.lit(k))
+                 for k in ks), F.lit(0.0)) / len(self.samples)
+        return pairs.withColumn("ctx", F.expr(_CLASS)).join(dishes, ["w", "ctx"]).join(backing, "u").select(
+            "u", "w", "n", "c", F.log10(p).cast("float").alias("s"))
 
 
 def fit(train: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Model of the texts of ``train`` (column ``text``). The draws depend on the
-    word table alone, so a rerun or a retried task seats alike."""
-    table = _word_table(train)
+    tables of pairs and words alone, so a rerun or a retried task seats alike."""
+    every = _pair_table(train)
+    contexts = stored(every.groupBy("u").agg(F.sum("n").alias("m"), F.count_if(F.col("n") == 1).alias("one")), "contexts")
+    table = _word_table(every)
     size = table.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     vocabulary, n = size["v"], size["n"] or 0
     customers, types = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for r in table.select(F.explode("seats").alias("s")).groupBy(F.expr(f"s % {CONTEXTS}").alias("ctx")).agg(
-            F.sum(F.expr(f"s div {CONTEXTS}")).alias("n"), F.count("*").alias("t")).collect():
+    for r in table.select(F.explode(F.arrays_zip("ctx", "c0")).alias("s")).groupBy(F.col("s")["ctx"].alias("ctx")).agg(
+            F.sum(F.col("s")["c0"]).alias("n"), F.count("*").alias("t")).collect():
         customers[r["ctx"]], types[r["ctx"]] = r["n"], r["t"]
-    # at first every dish has one table in a context
+    # at first every dish has one table in a restaurant
     now = Totals(customers, types, float(types.sum()), float(vocabulary), vocabulary)
+    pairs = every.filter("n > 1").join(contexts.select("u", "one"), "u", "left").select(
+        "u", "w", "n", "one", F.lit(1).cast("long").alias("t0"))
+    pairs = stored(pairs, "pair-seats")
     kept: list[Totals] = []
     for number in range(burn_in + samples):
-        after = stored(_seated(table, now, number, len(kept) or min(number, 1), number > burn_in), "seats")
+        last = max(1, len(kept))  # sets of seats so far; the new one replaces the last before the first sample
+        out = len(kept)
+        after = stored(_pairs_seated(pairs, table, now, number, last, out), "pair-seats")
+        discard(pairs)
+        pairs = after
+        after = stored(_words_seated(table, pairs, now, number, last, out), "seats")
         discard(table)
-        sums = after.filter("w is null").select(*(F.sum(F.get("totals", F.lit(i))) for i in range(CONTEXTS + 1))).first()
+        sums = after.filter("w is null").select(*(F.sum(F.get("totals", F.lit(i))) for i in range(2 * CONTEXTS + 1))).first()
         total = np.array([x or 0.0 for x in sums])
-        now = Totals(customers, total[:-1], float(total[:-1].sum()), float(total[-1]), vocabulary)
+        tables = total[:CONTEXTS]
+        now = Totals(total[CONTEXTS:-1], tables, float(tables.sum()), float(total[-1]), vocabulary)
         if number >= burn_in:
             kept.append(now)
         table = after.filter("w is not null").drop("totals")
-    return Model(table, kept, n, vocabulary)
+    return Model(table, every.filter("n = 1").select("u", "w"), pairs, contexts, kept, n, vocabulary)
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -304,71 +405,70 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     model = fit(train.select(text(text_col).alias("text")), burn_in, samples)
     known = stored(model.probabilities(), "probabilities")
+    backing = stored(model.backing(), "backing")
+    pairs = stored(model.seen(known, backing), "seen")
+    discard(model.table, model.pairs)
     spark = docs.sparkSession
     least = max(1.0, FREQUENT * model.tokens)
-    top = known.filter(F.col("c") >= least).toArrow()  # at most 1 / FREQUENT words
-    back = np.array([t.back_off() for t in model.samples])  # sample, context
-    h = top.column("w").to_numpy()
-    order = np.argsort(h)
-    p = np.array(top.column("p").combine_chunks().flatten().to_numpy() if len(h) else [], float).reshape(-1, len(model.samples))
-    grid = (p @ back / len(model.samples)).astype(np.float32)
-    if len(h):
-        ctx = top.column("ctx").combine_chunks()
-        at = np.repeat(np.arange(len(h)), np.diff(ctx.offsets.to_numpy()))
-        grid[at, ctx.flatten().to_numpy()] = top.column("seen").combine_chunks().flatten().to_numpy()
-    base = np.log10((top.column("c").to_numpy() + BASE_ADD) / model.base_den) if len(h) else np.zeros(0)
-    heads = spark.sparkContext.broadcast((h[order], base[order], np.log10(np.maximum(grid[order], 1e-300, dtype=np.float64)
-                                                                            ).astype(np.float32)))
+    top = pairs.filter(F.col("n") >= least).toArrow()  # at most 1 / FREQUENT pairs
+    key = _pair(top.column("u").to_numpy(), top.column("w").to_numpy())
+    order = np.argsort(key)
+    base = np.log10((top.column("c").to_numpy() + BASE_ADD) / model.base_den)
+    heads = spark.sparkContext.broadcast((key[order], base[order], top.column("s").to_numpy()[order]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def split(texts: list[str]):
-        """Of each text: hashes and contexts, place among the frequent words, is it one."""
-        words, _, _ = heads.value
+        """Of each text: words and previous words, place among the frequent pairs, is it one."""
+        frequent, _, _ = heads.value
         for t in texts:
-            w, ctx = tokens(t)
-            w = w.view(np.int64)
-            if not len(words):
-                yield w, ctx, np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+            w, u = (x.view(np.int64) for x in tokens(t))
+            if not len(frequent):
+                yield w, u, np.zeros(len(w), np.int64), np.zeros(len(w), bool)
                 continue
-            at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-            yield w, ctx, at, words[at] == w
+            pair = _pair(u, w)
+            at = np.minimum(np.searchsorted(frequent, pair), len(frequent) - 1)
+            yield w, u, at, frequent[at] == pair
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, base_log, log = heads.value
             n, hit, b, s = [], [], [], []
-            for w, ctx, at, in_top in split(batch.column("text").to_pylist()):
+            for w, _, at, in_top in split(batch.column("text").to_pylist()):
                 n.append(len(w))
                 hit.append(int(in_top.sum()))
                 b.append(float(base_log[at[in_top]].sum()))
-                s.append(float(log[at[in_top], ctx[in_top]].sum(dtype=np.float64)))
+                s.append(float(log[at[in_top]].sum(dtype=np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, (n, hit, b, s))],
                                              names=["doc_id", "key", "n", "hit", "b", "s"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("key").to_numpy()
-            made = [(w[~on], ctx[~on]) for w, ctx, _, on in split(batch.column("text").to_pylist())]
-            size = [len(w) for w, _ in made]
+            made = [(u[~on], w[~on]) for w, u, _, on in split(batch.column("text").to_pylist())]
+            size = [len(w) for _, w in made]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(key, size)), pa.array(np.concatenate([w for w, _ in made])),
-                 pa.array(np.concatenate([c for _, c in made]).astype(np.int32))], names=["key", "w", "ctx"])
+                [pa.array(np.repeat(key, size)), pa.array(np.concatenate([u for u, _ in made])),
+                 pa.array(np.concatenate([w for _, w in made]))], names=["key", "u", "w"])
 
     head = stored(rows.mapInArrow(near, f"doc_id {kind}, key long, n long, hit long, b double, s double"), "heads")
-    tail = rows.select("key", "text").mapInArrow(far, "key long, w long, ctx int")
-    rare = known.filter(F.col("c") < least).withColumnRenamed("ctx", "contexts")
-    k = len(model.samples)
-    fallback: Column = sum((F.element_at(F.array(*(F.lit(float(x)) for x in back[i])), F.col("ctx") + 1)
-                            * F.coalesce(F.element_at("p", i + 1), F.lit(float(model.samples[i].parent(
-                                np.zeros(1), np.zeros(1))[0]))) / k for i in range(k)), F.lit(0.0))
-    place = F.array_position("contexts", F.col("ctx")).cast("int")  # 0: this context has not seen the word
-    own = F.when(place > 0, F.get("seen", place - 1))
-    found = tail.join(rare, "w", "left").select(
-        "key", F.log10(F.coalesce(own, fallback)).alias("s"), F.col("c").isNotNull().cast("long").alias("hit"),
-        F.log10((F.coalesce("c", F.lit(0)) + BASE_ADD) / model.base_den).alias("b"))
-    sums = found.groupBy("key").agg(F.sum("s").alias("s2"), F.sum("hit").alias("hit2"), F.sum("b").alias("b2"))
+    tail = rows.select("key", "text").mapInArrow(far, "key long, u long, w long")
+    rare = pairs.filter(F.col("n") < least).select("u", "w", "c", "s")
+    log_base = F.log10((F.coalesce("c", F.lit(0)) + BASE_ADD) / model.base_den).alias("b")
+    met = tail.join(rare, ["u", "w"], "left")
+    met = stored(met.select("key", "s", "c", *(F.when(F.col("s").isNull(), F.col(x)).alias(x) for x in "uw")), "met")
+    direct = met.filter("s is not null").select("key", F.col("s").cast("double").alias("s"), F.lit(1).cast("long").alias("hit"), log_base)
+    # a pair that is not in the training texts: what the previous word gives out, and the word's class and unigram probabilities
+    at = F.array_position("ctx", F.expr(_CLASS)).cast("int")  # 0: this class has not seen the word
+    share = lambda i: F.element_at(F.array(*(F.lit(float(x)) for x in model.samples[i].back_off())), F.expr(_CLASS) + 1)
+    unseen = [float(t.parent(np.zeros(1), np.zeros(1))[0]) for t in model.samples]
+    p = sum((F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(
+        F.when(at > 0, F.get(F.get("each", at - 1), F.lit(i))), share(i) * F.coalesce(F.get("p", F.lit(i)), F.lit(unseen[i])))
+        for i in range(len(unseen))), F.lit(0.0)) / len(unseen)
+    fresh = met.filter("s is null").select("key", "u", "w").join(backing, "u", "left").join(known, "w", "left").select(
+        "key", F.log10(p).alias("s"), F.col("c").isNotNull().cast("long").alias("hit"), log_base)
+    sums = direct.unionByName(fresh).groupBy("key").agg(F.sum("s").alias("s2"), F.sum("hit").alias("hit2"), F.sum("b").alias("b2"))
     copies = head.groupBy("key").agg(F.count("*").alias("m"))  # equal rows brought their words each
     sums = stored(sums.join(copies, "key"), "tail-sums")
     part = lambda c: F.coalesce(F.col(c) / F.col("m"), F.lit(0.0))

@@ -1,6 +1,7 @@
 """Operators on small made-up tables: nulls, empty and long texts, ties, repeated
 rows, empty tables, extra columns, and their own inner rules."""
 
+import collections
 import random
 
 import numpy as np
@@ -294,6 +295,36 @@ def test_language_model_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_language_model_learns_each_previous_word(spark):
+    # both first words end alike, so their class is the same; only the word tells what follows
+    rows = [(i, f"{a}ing {b}") for i, (a, b) in enumerate([("sing", "loud"), ("bring", "home")] * 40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "singing loud"), (1, "singing home"), (2, "bringing home"), (3, "bringing loud")], train.schema)
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(asked, train).collect()}
+    assert got[0] > got[1] + 1 and got[2] > got[3] + 1
+
+
+def test_language_model_word_contexts_sum_to_one(spark):
+    df = spark.createDataFrame([(PROSE * 5,), ("the end of the day and the start of the night " * 9,), ("",)], "text string")
+    model = hpylm.fit(df)
+    words, backing = model.probabilities(), model.backing()
+    known = words.collect()
+    pairs = collections.defaultdict(dict)
+    for r in model.seen(words, backing).collect():
+        pairs[r["u"]][r["w"]] = 10 ** r["s"]
+    unseen = [float(t.parent(np.zeros(1), np.zeros(1))[0]) for t in model.samples]
+    contexts = backing.collect()
+    assert len(contexts) > hpylm.CONTEXTS and {r["u"] for r in contexts} == set(pairs)
+    for r in contexts:
+        ctx = r["u"] & hpylm.CONTEXTS - 1
+        share = [t.back_off()[ctx] for t in model.samples]
+        total = float(np.mean([b * s * p for b, s, p in zip(r["back"], share, unseen)]))
+        for w in known:
+            each = dict(zip(w["ctx"], w["each"])).get(ctx) or [s * p for s, p in zip(share, w["p"])]
+            total += pairs[r["u"]].get(w["w"], float(np.mean(np.multiply(r["back"], each))))
+        assert total == pytest.approx(1.0, abs=1e-6)
+
+
 def test_language_model_scores_alike_near_and_far(spark, odd, monkeypatch):
     near = sorted((str(r["doc_id"]), r["n_known"], round(r["score"], 3)) for r in hpylm.score(odd, odd).collect())
     monkeypatch.setattr(hpylm, "FREQUENT", 0.01)
