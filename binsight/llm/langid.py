@@ -26,6 +26,7 @@ CLUSTERS = 4  # centroids of a language
 SAMPLE = 600  # training rows of a language that its centroids are fitted on, at most
 LANGUAGES = 500  # languages a model may have; more raise ValueError
 UNKNOWN = "und"
+LEAST = 0.05  # cosine that any text needs
 REJECT_AT = 8.0  # robust deviations below the median cosine of like lengths
 _ROUNDS = 12
 _PIECE = 1 << 18  # characters hashed at once
@@ -158,7 +159,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     if len(sizes) > languages:
         raise ValueError(f"more than {languages} languages")
     if not sizes:
-        return Model(idf, [], np.zeros((0, BUCKETS)), np.zeros(_LENGTHS))
+        return Model(idf, [], np.zeros((0, BUCKETS)), np.full(_LENGTHS, LEAST))
     # a hash threshold keeps about twice the sample of each language before rows move
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample / n))))
     rank = F.xxhash64("text")
@@ -167,36 +168,62 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
              .filter(F.col("nr") <= sample).select("lang", "text"))
 
     def centres(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        count = [counts(t) for t in pdf["text"]]
-        v = np.array([_vector(c, idf) for c in count])
-        c = _spherical_kmeans(v, clusters).astype(np.float32)
-        cos = (v @ c.T).max(1)
-        blank = np.zeros(0, np.float32)
-        # a centroid in each of the first rows, cosines and lengths of the sample in the first
-        return pd.DataFrame({"lang": key[0], "nr": np.arange(len(c)), "centroid": list(c),
-                             "cosines": [cos.astype(np.float32)] + [blank] * (len(c) - 1),
-                             "lengths": [np.array([length_class(x) for x in count], np.float32)] + [blank] * (len(c) - 1)})
-
-    learned = drawn.groupBy("lang").applyInPandas(
-        centres, "lang string, nr int, centroid array<float>, cosines array<float>, lengths array<float>")
-    got = sorted(learned.collect(), key=lambda r: (r["lang"], r["nr"]))
-    cos = np.array([x for r in got for x in r["cosines"]])
-    length = np.array([x for r in got for x in r["lengths"]], int)
-    return Model(idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got]), _floors(cos, length))
+        c = _spherical_kmeans(np.array([_vector(counts(t), idf) for t in pdf["text"]]), clusters).astype(np.float32)
+        return pd.DataFrame({"lang": key[0], "nr": np.arange(len(c)), "centroid": list(c)})
 
+    learned = drawn.groupBy("lang").applyInPandas(centres, "lang string, nr int, centroid array<float>")
+    got = sorted(learned.collect(), key=lambda r: (r["lang"], r["nr"]))
+    model = Model(idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got]), np.zeros(_LENGTHS))
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
-def _floors(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Least accepted cosine by length class: far below what the sample's texts of
-    like length (the class and its neighbours) reach. Nothing seen accepts all, and
-    a text of a few words is only rejected if it has next to nothing in common."""
-    floor = np.zeros(_LENGTHS)
-    floor[:_SHORT] = 0.05
+    def nearness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([x for lang, t in zip(pdf["lang"], pdf["text"]) for x in _nearness(shared.value, lang, t)],
+                               columns=["length", "whole", "own", "other"])
+
+    near = drawn.mapInPandas(nearness, "length int, whole boolean, own double, other double").toPandas()
+    model.floor = _floors(*(near[c].to_numpy() for c in near))
+    return model
+
+
+def _nearness(model: Model, lang: str, text: str) -> Iterator[tuple[int, bool, float, float]]:
+    """(length class, is it whole, cosine to the own and to other languages, NaN
+    without others) of a text and of its beginnings, about one for each shorter class."""
+    names = np.array(model.names)
+    count = counts(text)
+    whole = length_class(count)
+    for k in range(min(whole, _SHORT), whole + 1):
+        if k < whole:  # a letter or boundary makes three n-grams
+            part = counts(text[:(1 << k) // 4])
+        else:
+            part = count
+        cos = model.centroids @ _vector(part, model.idf)
+        other = cos[names != lang]
+        yield length_class(part), k == whole, float(cos[names == lang].max()), float(other.max()) if len(other) else np.nan
+
+
+def _floors(length: np.ndarray, whole: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Least accepted cosine by length class. It is far below what the sample's texts
+    of like length (the class and its neighbours) reach, and where they spread
+    widely or are few, what texts reach in a language that is not theirs, but at
+    most half of what they reach in their own (two fifths, if there is one language).
+    Beginnings of longer texts speak for a class without texts, the longest class
+    seen for longer ones. A text of a few words is only rejected if it has next to
+    nothing in common."""
+    floor = np.full(_LENGTHS, LEAST)
     for k in range(_SHORT, _LENGTHS):
-        near = cos[np.abs(length - k) <= 1]
+        at = np.abs(length - k) <= 1
+        if at.any():
+            mid = np.median(own[at])
+            wrong = other[at & ~np.isnan(other)]
+            floor[k] = max(LEAST, min(np.median(wrong), mid / 2) if len(wrong) else 0.4 * mid)
+        else:
+            floor[k] = floor[k - 1]
+        near = own[at & whole]
         if len(near) >= 8:
             mid = np.median(near)
             spread = max(1.4826 * np.median(np.abs(near - mid)), 0.02)
-            floor[k] = max(0.0, mid - REJECT_AT * spread)
+            floor[k] = max(floor[k], mid - REJECT_AT * spread)
     return floor
 
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from binsight.llm import (chat, decontaminate, hpylm, langid, packing, pii, quality, simhash,
@@ -92,6 +93,29 @@ def test_language_rejects_no_letters(odd):
     assert langid.accepted(odd, odd).columns == odd.columns
 
 
+FOREIGN = "Съешь же ещё этих мягких французских булок да выпей чаю потому что вечером будет дождь. "
+
+
+@pytest.mark.parametrize("languages", [["en", "fr", "de", "es"], ["en"]])
+def test_foreign_and_random_texts_are_rejected_at_every_length(spark, languages):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(languages))
+    held = F.expr("crc32(cast(doc_id as string)) % 4 = 0")
+    model = langid.fit(docs.filter(~held))
+    rnd = random.Random(3)
+    for k in range(langid._SHORT, 22):
+        size = (1 << k) // 4  # characters: three n-grams each
+        noise = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(size // 8))
+        for text in (noise, (FOREIGN * (size // len(FOREIGN) + 1))[:size]):
+            assert abs(langid.length_class(langid.counts(text)) - k) <= 1
+            assert model.predict(text)[2], (k, text[:60])
+    texts = [r["text"] for r in docs.filter(held).collect()]
+    kept = [t for t in texts if not model.predict(t)[2]]
+    assert len(kept) > 0.95 * len(texts)
+    # beginnings of held-out texts stay as well
+    heads = [t[:n] for t in kept for n in (60, 120) if len(t) > 200]
+    assert sum(not model.predict(t)[2] for t in heads) > 0.97 * len(heads)
+
+
 def test_ngram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Über all, the 7 lights! 漢字 " * 30
     whole = langid.counts(text)
