@@ -23,7 +23,7 @@ from .common import free_name
 
 BUCKETS = 4096  # hashed n-grams
 CLUSTERS = 4  # centroids of a language
-SAMPLE = 600  # training rows of a language that its centroids are fitted on, at most
+SAMPLE = 600  # distinct training texts of a language that its centroids are fitted on, at most
 LANGUAGES = 500  # languages a model may have; more raise ValueError
 UNKNOWN = "und"
 LEAST = 0.05  # cosine that any text needs
@@ -136,7 +136,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     without a letter teach nothing.
 
     Document frequencies cover every training row. The centroids of a language
-    are fitted on at most ``sample`` rows, taken in the order of a text hash.
+    are fitted on at most ``sample`` distinct texts, taken in the order of a text hash.
     """
     rows = (train.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
             .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
@@ -155,15 +155,16 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
         df[r["bucket"] + 1] = r["n"]
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1.0
 
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    distinct = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in distinct.limit(languages + 1).collect()}
     if len(sizes) > languages:
         raise ValueError(f"more than {languages} languages")
     if not sizes:
         return Model(idf, [], np.zeros((0, BUCKETS)), np.full(_LENGTHS, LEAST))
     # a hash threshold keeps about twice the sample of each language before rows move
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample / n))))
-    rank = F.xxhash64("text")
-    drawn = (rows.withColumn("h", rank).filter((F.col("h") / (2.0 ** 64) + 0.5) <= share[F.col("lang")])
+    drawn = (hashed.filter((F.col("h") / (2.0 ** 64) + 0.5) <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
              .withColumn("nr", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
              .filter(F.col("nr") <= sample).select("lang", "text"))
 

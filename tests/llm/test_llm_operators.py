@@ -116,6 +116,16 @@ def test_foreign_and_random_texts_are_rejected_at_every_length(spark, languages)
     assert sum(not model.predict(t)[2] for t in heads) > 0.97 * len(heads)
 
 
+def test_a_language_of_many_copies_is_learned(spark):
+    # of 3,000 copies of one text, a draw by rows takes all or none; here the text's hash is the largest
+    made = spark.createDataFrame([(f"uno dos tres cuatro {'abcdefgh'[i % 8]} {'xyzuvw'[i % 6] * 3} {'k' * (i + 1)}",) for i in range(40)], "text string")
+    late = made.orderBy(F.xxhash64("text").desc()).first()["text"]
+    train = spark.range(3000).select(F.lit(late).alias("text"), F.lit("es").alias("lang")).unionByName(
+        spark.createDataFrame([(PROSE + "fox " * i, "en") for i in range(20)], "text string, lang string"))
+    model = langid.fit(train)
+    assert set(model.names) == {"en", "es"} and model.predict(late)[0] == "es"
+
+
 def test_ngram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Über all, the 7 lights! 漢字 " * 30
     whole = langid.counts(text)
