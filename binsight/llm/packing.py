@@ -49,16 +49,21 @@ def _encoders(name: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
     return fast, slow
 
 
+@lru_cache(maxsize=4)
+def _specials(name: str) -> tuple[str, ...]:
+    """Texts of the tokenizer's added tokens, which the fast encoder does not know."""
+    return tuple(t.content for t in _encoders(name)[1].get_added_tokens_decoder().values())
+
+
 def token_ids(text: str | None, tokenizer: str = TOKENIZER) -> np.ndarray:
-    """Ids of a whole text, without any special token; null is empty."""
+    """Ids of a whole text as the tokenizer's file gives them, with no token added; null is empty."""
     fast, slow = _encoders(tokenizer)
     if not text:
         return np.zeros(0, np.uint32)
-    if _LONG_SPACE.search(text):
+    if _LONG_SPACE.search(text) or any(x in text for x in _specials(tokenizer)):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     return fast.encode_to_numpy(text, disallowed_special=())
 

@@ -187,6 +187,15 @@ def test_token_ids_equal_the_tokenizers(text):
     assert list(packing.token_ids(text)) == slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|" + " " * 6000])
+def test_token_ids_equal_the_unaltered_tokenizers(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(f"{packing.TOKENIZER}.json"))
+    assert list(packing.token_ids(text)) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_covers_ranks_and_stays_near_the_bound():
     rng = np.random.default_rng(2)
     lengths, counts = np.unique(np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 1, 1024), return_counts=True)
