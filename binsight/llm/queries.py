@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hpylm, langid, packing, pii, quality, simhash, substrings, topk
+from . import chat, covertree, decontaminate, hpylm, langid, packing, periodic, pii, quality, simhash, substrings, topk
 from .common import id_split, read
 
 
@@ -72,7 +72,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = id_split("doc_id", 10) == 0
     found = hpylm.score(docs, docs.filter(~held))
-    return found.withColumn("held_out", held)
+    return found.withColumn("held_out", held).select(
+        "doc_id", "held_out", *(c for c in found.columns if c != "doc_id"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,37 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_split("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the texts made periodic that the id's checksum h names (h % 10 = 0):
+    word i from a on becomes word a + (i - a) % p of the original."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    found = docs.select("doc_id", "text", F.when(h % 10 == 0, w).alias("w"), F.floor(h / 10).alias("g"))
+    found = found.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    found = found.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    turns = F.expr("array_repeat(slice(w, a + 1, p), cast((n - a) div p + 1 as int))")
+    made = F.slice(F.concat(F.expr("slice(w, 1, a)"), F.flatten(turns)), F.lit(1), F.col("n"))
+    return found.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, the strongest run, and what collapsing them leaves."""
+    found = periodic.periodic_runs(with_planted_periods(read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding: cosine of at least 0.95."""
+    return covertree.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk,
-                                op7_pii, op8_chat_formatting, op9_lm_scoring, op10_quality_classifier)}
+                                op7_pii, op8_chat_formatting, op9_lm_scoring, op10_quality_classifier,
+                                op12_periodic_runs, op13_embedding_near_dedup)}
 SQL: dict[str, str] = {
     "op6_exact_topk": """
 WITH v AS (
