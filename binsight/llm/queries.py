@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, decontaminate, hpylm, langid, packing, periodic, pii, quality, simhash, substrings, topk
+from . import chat, covertree, decontaminate, hpylm, langid, packing, periodic, phrases, pii, quality, simhash, substrings, topk
 from .common import id_split, read
 
 
@@ -84,6 +84,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_split("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the texts made periodic that the id's checksum h names (h % 10 = 0):
     word i from a on becomes word a + (i - a) % p of the original."""
@@ -114,7 +119,7 @@ def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_exact_topk,
                                 op7_pii, op8_chat_formatting, op9_lm_scoring, op10_quality_classifier,
-                                op12_periodic_runs, op13_embedding_near_dedup)}
+                                op11_phrase_collocation, op12_periodic_runs, op13_embedding_near_dedup)}
 SQL: dict[str, str] = {
     "op6_exact_topk": """
 WITH v AS (
