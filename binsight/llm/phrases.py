@@ -7,18 +7,15 @@ least frequency: a phrase cannot occur more often than the phrases inside it, so
 a prefix and a next word are counted only where the level before found both
 (prefix, and its tail with the next word) frequent. That is looked up in a
 bitmap of a fixed size with one-sided errors: a wrong hit costs a few bytes,
-nothing frequent is ever missed. All other occurrences of a frequent prefix are
-added up under the empty next word, so that a stripe's sum is the frequency of
-its prefix.
+nothing frequent is ever missed.
 
 The merged stripes hold everything that a score needs: entries are the
-frequencies of phrases, sums those of first parts and rests, maxima (by prefix,
-and by the tail of the prefix with the next word) tell which longer phrases
-cover a phrase.
+frequencies of phrases, which are also the totals of the prefixes one level on,
+and so of first parts and rests; maxima (by prefix, and by the tail of the
+prefix with the next word) tell which longer phrases cover a phrase.
 
-Stripes of very frequent prefixes, at most ``HEAVY`` for each length, are split
-by a hash of the next word, and so is the stripe of the empty prefix: no task
-holds more than a share of them.
+Stripes are split by a hash of the next word: that of the empty prefix, and those
+of the prefixes, at most ``HEAVY`` for each length, that occur too often for one task.
 """
 
 from __future__ import annotations
@@ -41,9 +38,9 @@ WORDS = 4  # of the longest phrase
 COVERED = 80  # percent of a phrase's occurrences inside a longer one
 TOP = 2000
 BITS = 1 << 27  # of a level's bitmap: 16 MB
-HEAVY = 4096  # a prefix with this share of all words, or more, has its stripe split
-ROOT_PARTS = 4096  # of the empty prefix's stripe
-PARTS = 256  # of another split stripe
+HEAVY = 4096  # a stripe is only split if its prefix makes up this part of all words
+SHARE = 5_000_000  # occurrences of a split stripe's prefix for each part
+ROOT_PARTS = 1024  # of the empty prefix's stripe
 CHUNK = 1_500_000  # words counted at once
 SLICE = 1 << 20  # bytes of a long text taken at once
 _BUCKET = 4096 * 8  # bits in a row of Spark's bitmap aggregate
@@ -51,9 +48,10 @@ _BUCKET = 4096 * 8  # bits in a row of Spark's bitmap aggregate
 _BREAK = b"\xff"  # in no UTF-8 text
 _CLEAN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GAP = re.compile(rb"[ \t.,;:!?\n\x0b-\r]")
-_STRIPE = "lang string, prefix string, part int, next array<string>, count array<long>"
+# a stripe of a chunk: its next words joined by spaces, their counts as 64-bit integers in a row
+_STRIPE = "lang string, prefix string, part int, next string, count binary"
 _SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()),
-                     ("next", pa.list_(pa.string())), ("count", pa.list_(pa.int64()))])
+                     ("next", pa.string()), ("count", pa.binary())])
 
 
 def _slices(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
@@ -81,9 +79,10 @@ def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarray | None, goes_on: bool) -> pa.RecordBatch | None:
-    """Stripes of the prefixes of ``size`` words in one chunk; the last ``size``
-    words are left to the next chunk if the text goes on there."""
+def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: dict[int, int]) -> pa.RecordBatch | None:
+    """Stripes of the prefixes of ``size`` words in one chunk; prefixes within its last ``size``
+    words are left to the next chunk, which begins with these words if the text goes on.
+    ``heavy`` has the number of parts of split stripes by the prefix's hash."""
     coded = tokens.dictionary_encode()
     ids, vocab = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     v = len(vocab)
@@ -91,7 +90,6 @@ def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarra
     word = ids != pause
     hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in vocab.to_pylist()], np.uint64)
     texts = pc.if_else(pc.equal(pa.array(np.arange(v)), pause), pa.scalar(b"", vocab.type), vocab).cast(pa.string())
-    texts = pa.concat_arrays([texts, pa.array([""])])  # number v: no counted next word
     if size == 0:
         count = np.bincount(ids[word], minlength=v)
         nxt = np.flatnonzero(count)
@@ -102,7 +100,7 @@ def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarra
         names = pa.array([""], pa.string())
     else:
         n = len(ids) - size + 1
-        if n < 1:
+        if n < 2:
             return None
         h = np.full(n, xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42), np.uint64)
         whole = np.ones(n, bool)
@@ -110,9 +108,9 @@ def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarra
             h = _rotated(h) ^ hashed[ids[k:k + n]]
             whole &= word[k:k + n]
         at = np.flatnonzero(whole)
-        known = np.zeros(n + 1, bool)
+        known = np.zeros(n, bool)
         known[at[_in(bitmap, h[at])]] = True
-        start = np.flatnonzero(known[:n - 1 if goes_on else n])
+        start = np.flatnonzero(known[:-1] & known[1:])  # the prefix, and its tail with the next word
         if not len(start):
             return None
         code = ids[start]
@@ -120,12 +118,10 @@ def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarra
             code = code * v + ids[start + k]
         code, first, prefix = np.unique(code, return_index=True, return_inverse=True)
         first = start[first]
-        nxt = np.where(known[start + 1], ids[np.minimum(start + size, len(ids) - 1)], v)
-        key, count = np.unique(prefix * (v + 1) + nxt, return_counts=True)
-        prefix, nxt = key // (v + 1), key % (v + 1)
-        part = np.zeros(len(key), np.int64)
-        split = np.isin(h[first], heavy)[prefix] & (nxt < v)
-        part[split] = 1 + (hashed[nxt[split]] % np.uint64(PARTS)).astype(np.int64)
+        key, count = np.unique(prefix * v + ids[start + size], return_counts=True)
+        prefix, nxt = key // v, key % v
+        parts = np.array([heavy.get(x, 1) for x in h[first].tolist()] if heavy else [1] * len(first), np.uint64)
+        part = (hashed[nxt] % parts[prefix]).astype(np.int64)
         names = pc.binary_join_element_wise(*(texts.take(pa.array(ids[first + k])) for k in range(size)), " ")
     order = np.lexsort((part, prefix))
     prefix, part, nxt, count = prefix[order], part[order], nxt[order], count[order]
@@ -135,17 +131,24 @@ def _stripes_of(tokens: pa.Array, lang: str, size: int, bitmap, heavy: np.ndarra
 
 
 def _batch(lang, prefix, part, offsets, nxt, count) -> pa.RecordBatch:
-    offsets = pa.array(offsets, pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [lang, prefix, pa.array(part, pa.int32()), pa.ListArray.from_arrays(offsets, nxt),
-         pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))], schema=_SCHEMA)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nxt), " ")
+    packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [
+        None, pa.py_buffer((np.asarray(offsets) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(count, np.int64))])
+    return pa.RecordBatch.from_arrays([lang, prefix, pa.array(part, pa.int32()), joined, packed], schema=_SCHEMA)
+
+
+def _entries(rows: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(entries of each stripe, all next words, all counts)."""
+    words = pc.split_pattern(rows.column("next"), " ")
+    packed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("count")), b"")
+    return pc.list_value_length(words), words.flatten(), np.frombuffer(packed[0].as_buffer(), np.int64)
 
 
 def _counted(size: int, shared):
     """Partition function: (lang, text as bytes) -> stripes of prefixes of ``size`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, heavy = shared.value if shared else (None, None)
+        bitmap, heavy = shared.value if shared else (None, {})
         held: dict[str, list[pa.Array]] = {}
         total = 0
         for batch in batches:
@@ -159,14 +162,14 @@ def _counted(size: int, shared):
                         continue
                     for key in list(held):
                         tokens, goes_on = pa.concat_arrays(held.pop(key)), key == lang and not last
-                        out = _stripes_of(tokens, key, size, bitmap, heavy, goes_on)
+                        out = _stripes_of(tokens, key, size, bitmap, heavy)
                         if out is not None:
                             yield out
                         if goes_on and size:
                             held[key] = [tokens[max(0, len(tokens) - size):]]
                     total = sum(len(x) for parts in held.values() for x in parts)
         for key, parts in held.items():
-            out = _stripes_of(pa.concat_arrays(parts), key, size, bitmap, heavy, False)
+            out = _stripes_of(pa.concat_arrays(parts), key, size, bitmap, heavy)
             if out is not None:
                 yield out
 
@@ -181,13 +184,14 @@ def _merge_sorted(rows: pa.RecordBatch) -> pa.RecordBatch:
         c = rows.column(name)
         new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
     group = np.cumsum(new) - 1
-    coded = rows.column("next").flatten().dictionary_encode()
+    size, words, count = _entries(rows)
+    coded = words.dictionary_encode()
     v = len(coded.dictionary)
-    key = np.repeat(group, pc.list_value_length(rows.column("next")).to_numpy()) * v + coded.indices.to_numpy()
+    key = np.repeat(group, size.to_numpy()) * v + coded.indices.to_numpy()
     order = np.argsort(key, kind="stable")
     key = key[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.add.reduceat(rows.column("count").flatten().to_numpy()[order], start)
+    count = np.add.reduceat(count[order], start)
     key = key[start]
     first = pa.array(np.flatnonzero(new))
     offsets = np.searchsorted(key // v, np.arange(len(first) + 1))
@@ -199,10 +203,9 @@ def _merged(least: int):
     """Partition function: stripes sorted by key -> merged ones: their sum, and the entries of at least ``least``."""
 
     def final(rows: pa.RecordBatch) -> pa.RecordBatch:
-        nxt, count = rows.column("next").flatten(), rows.column("count").flatten().to_numpy()
-        offsets = rows.column("next").offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        keep = (count >= least) & pc.not_equal(nxt, "").to_numpy(zero_copy_only=False)
+        size, nxt, count = _entries(rows)
+        offsets = np.concatenate([[0], np.cumsum(size.to_numpy())])
+        keep = count >= least
         kept = pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets], pa.int32())
         pick = pa.array(np.flatnonzero(keep))
         return pa.RecordBatch.from_arrays(
@@ -249,7 +252,8 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
 def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
             words: int = WORDS) -> list[DataFrame]:
     """For each prefix length from 0 the merged stripes (lang, prefix, total, next, count):
-    ``next`` and ``count`` hold the entries of at least ``least``, ``total`` sums all of them.
+    ``next`` and ``count`` hold the entries of at least ``least``, ``total`` sums all
+    that were counted (for the empty prefix: all words).
 
     A split stripe has several rows. The list ends before the first length
     whose prefixes cannot be frequent.
@@ -270,10 +274,10 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
         found = entries(out[-1]).select(phrase_hash(F.col("lang"), F.split("phrase", " ")).alias("h"), "a")
         found = stored(found, "frequent")
         n = n or out[0].agg(F.sum("total")).first()[0] or 0
-        heavy = found.filter(F.col("a") * HEAVY >= n).select("h").collect()  # at most HEAVY
+        heavy = found.filter((F.col("a") >= n / HEAVY) & (F.col("a") > SHARE)).collect()  # at most HEAVY
         if found.isEmpty():
             break
-        shared = spark.sparkContext.broadcast((_bitmap(found), np.array([r["h"] for r in heavy], np.int64).view(np.uint64)))
+        shared = spark.sparkContext.broadcast((_bitmap(found), {r["h"] % 2 ** 64: -(-r["a"] // SHARE) for r in heavy}))
     return out
 
 
@@ -304,16 +308,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     levels = stripes(docs, lang_col, text_col, least, words)
     n = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
     phrases = None
-    totals = longer = None
+    longer = None
     for level in levels[1:]:
         found = entries(level)
         # one word more on either side: a longer phrase that covers one covers those between, too
         over = (level.select("lang", F.col("prefix").alias("phrase"), F.array_max("count").alias("over")).filter("over is not null")
                 .union(found.select("lang", F.expr("substr(phrase, locate(' ', phrase) + 1)").alias("phrase"), F.col("a").alias("over"))))
-        sums = level.groupBy("lang", "prefix").agg(F.sum("total").alias("f"))
         phrases = found if phrases is None else phrases.union(found)
         longer = over if longer is None else longer.union(over)
-        totals = sums if totals is None else totals.union(sums)
     if phrases is None:
         return docs.sparkSession.createDataFrame(
             [], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
@@ -326,9 +328,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cuts = (left.select("lang", "phrase", "a", parts.alias("w")).withColumn("k", F.explode(F.expr("sequence(1, size(w) - 1)")))
             .select("lang", "phrase", "a", "k", F.array_join(F.expr("slice(w, 1, k)"), " ").alias("first"),
                     F.array_join(F.expr("slice(w, k + 1, size(w))"), " ").alias("rest")))
-    totals = stored(totals, "totals")
-    cuts = (cuts.join(totals.select("lang", F.col("prefix").alias("first"), F.col("f").alias("l")), ["lang", "first"])
-            .join(totals.select("lang", F.col("prefix").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]))
+    # a prefix's total is its entry one level before
+    totals = stored(entries(levels[0]).unionByName(phrases).select("lang", "phrase", "a"), "totals")
+    cuts = (cuts.join(totals.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"])
+            .join(totals.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"]))
     score = F.expr("cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + r)")
     scored = (cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
               .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
