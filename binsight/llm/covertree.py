@@ -59,7 +59,11 @@ class CoverTree:
         n = len(units)
         self.order = np.empty(n, np.int64)
         self._filled = 0
-        self.root = self._grow(np.arange(n), float(_chord(units @ units[0]).max())) if n else None
+        self.root = None  # a node whose only child is the whole tree
+        if n:
+            radius = float(_chord(units @ units[0]).max()) if n > 1 else 0.0
+            one = np.ones(1, np.int64)
+            self.root = Node(units[:1], radius * np.ones(1), 0 * one, n * one, [self._grow(np.arange(n), radius)])
         self.units = units[self.order]
 
     def _net(self, rows: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:

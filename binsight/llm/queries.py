@@ -149,4 +149,81 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(3 + sum(CASE WHEN role = 'assistant' THEN 11 + text_chars + 4 + 1
                     ELSE 6 + role_chars + 3 + text_chars + 7 + 1 END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_phrase_collocation": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+sized AS (SELECT lang, unnest([1, 2, 3, 4]) AS k, w, i FROM placed),
+f AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
+  FROM sized WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+inner_parts AS (
+  SELECT lang, a AS b, w, unnest(range(2, k)) AS size, k FROM cand),
+covered AS (
+  SELECT DISTINCT c.lang, c.phrase
+  FROM (SELECT lang, b, size, w, unnest(range(1, k - size + 2)) AS i FROM inner_parts) p
+  JOIN cand c ON c.lang = p.lang AND c.phrase = array_to_string(list_slice(p.w, i, i + size - 1), ' ')
+  WHERE 100 * p.b >= 80 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS first, array_to_string(list_slice(w, j + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand ANTI JOIN covered USING (lang, phrase))),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, CAST(CAST(c.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_periodic_runs": r"""
+WITH bits AS (
+  SELECT doc_id, text, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], CAST(range(8) AS BIGINT[])),
+      lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, xor(crc, CAST(4294967295 AS BIGINT)) AS h FROM bits),
+counted AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM hashed),
+turned AS (
+  SELECT doc_id, n, w, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p, h % 10 = 0 AND n > 0 AS planted FROM counted),
+made AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+  FROM turned),
+word AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM made),
+coded AS (SELECT doc_id, n, i, x, dense_rank() OVER (ORDER BY x) AS c FROM word),
+lists AS (SELECT doc_id, any_value(n) AS n, list(c ORDER BY i) AS c FROM coded GROUP BY doc_id),
+shifted AS (SELECT doc_id, n, c, unnest(range(1, n // 4 + 1)) AS q FROM lists WHERE n >= 6),
+same AS (
+  SELECT doc_id, n, q, unnest(list_filter(range(n - q), lambda i: c[1 + i] = c[1 + i + q])) AS i FROM shifted),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+best AS (
+  SELECT * FROM runs a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listing FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM coded ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_embedding_near_dedup": r"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+v AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM unit WHERE usable),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w),
+lowest AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u),
+direct AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM lowest LEFT JOIN direct USING (vec_id)""",
 }
