@@ -24,7 +24,13 @@ def _measures():
     ]
 
 
-def _shares(agg: DataFrame, key: str) -> DataFrame:
+def counted(prepared: DataFrame, keys: list[str]) -> DataFrame:
+    """Row count and the three conditional counts per combination of ``keys``."""
+    return prepared.groupBy(*keys).agg(*_measures())
+
+
+def with_shares(agg: DataFrame, key: str) -> DataFrame:
+    """Counts per ``key`` with their shares in percent."""
     return agg.selectExpr(
         f"`{key}`", "total_count", "compostable_count", "recyclable_count", "trash_count",
         "compostable_count / total_count * 100 AS compostable_pct",
@@ -38,7 +44,7 @@ def composition(prepared: DataFrame, key: str, order: bool = True) -> DataFrame:
 
     ``prepared`` is the output of ``prepare``. Only keys that occur appear.
     """
-    out = _shares(prepared.groupBy(key).agg(*_measures()), key)
+    out = with_shares(counted(prepared, [key]), key)
     return out.orderBy(key) if order else out
 
 
@@ -65,7 +71,7 @@ def split_compositions(grouped: DataFrame, keys: list[str]) -> dict[str, DataFra
     n = len(keys)
     for i, k in enumerate(keys):
         gid = ((1 << n) - 1) ^ (1 << (n - 1 - i))  # every key but k aggregated away
-        out[k] = _shares(grouped.filter(F.col("__gid") == gid), k)
+        out[k] = with_shares(grouped.filter(F.col("__gid") == gid), k)
     return out
 
 

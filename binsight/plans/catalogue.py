@@ -168,6 +168,24 @@ def q_sql_filter_eq(spark, d):
     return spark.sql("SELECT * FROM items WHERE brand = 'Brand#19'")
 
 
+@register("sql_items_of_brand")
+def q_sql_items_of_brand(spark, d):
+    """The table function with the brand as an argument."""
+    from binsight.plans import item_sql
+    item_sql.register(spark, dt.items(spark, d))
+    return item_sql.of_brand(spark, "Brand#19")
+
+
+@register("sql_count_by_args")
+def q_sql_count_by_args(spark, d):
+    """Key column and start time as arguments."""
+    import datetime
+
+    from binsight.plans import item_sql
+    item_sql.register(spark, dt.items(spark, d))
+    return item_sql.count_by(spark, "is_recyclable", datetime.datetime(2024, 1, 10))
+
+
 @register("capture_name")
 def q_capture_name(spark, d):
     return dt.items(spark, d).select("filename", fc.capture_name("time").alias("image_path"))
@@ -261,6 +279,18 @@ def q_enrich_batch(spark, d):
     return ok
 
 
+@register("enrich_by_content")
+def q_enrich_by_content(spark, d):
+    """The documents as images, many of them copies: one question for each content."""
+    from binsight.operators import by_content as bc
+    from binsight.session import scratch_path
+    images = dt.payload(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("filename"),
+                                         F.coalesce("content", F.lit(b"")).alias("content"))
+    ok, _ = bc.describe(images.select("filename"), lambda names: images.join(names, "filename", "left_semi"),
+                        scratch_path(spark, "by-content"), bc.SizeProvider, backoff_s=0.0)
+    return ok
+
+
 @register("merge_update")
 def q_merge_update(spark, d):
     ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, d)))
@@ -282,6 +312,38 @@ def q_merge_in_place(spark, d):
     return tb.read_table(spark, table)
 
 
+@register("composition_live")
+def q_composition_live(spark, d):
+    """Composition by hour from stored counts: the table is counted once, then two
+    merges of answers carry only their signed changes over."""
+    from binsight.plans import live_counts as live
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    table, work = scratch_path(spark, "live"), scratch_path(spark, "live-work")
+    tb.append(spark, dt.items(spark, d), table, partitioned=True)
+    live.start(spark, table)
+    ok, _ = en.split_valid(en.parse_answers(dt.answers(spark, d)))
+    ok.write.parquet(f"{work}/answers")
+    ok = spark.read.schema(ok.schema).parquet(f"{work}/answers")
+    half = F.pmod(F.xxhash64("filename"), F.lit(2)) == 0
+    live.merge(spark, table, ok.filter(half), "merge-1", work)
+    live.merge(spark, table, ok.filter(~half), "merge-2", work)
+    return live.composition(spark, table, "hour")
+
+
+@register("ingest_by_keys")
+def q_ingest_by_keys(spark, d):
+    """The described items, then twice the whole folder, checked against the bucketed key table."""
+    from binsight.plans.jobs import append_new
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    table = scratch_path(spark, "keyed")
+    existing, listed = dt.known_and_listed(spark, d)
+    for rows in (existing, listed, listed):
+        append_new(spark, rows, table)
+    return tb.read_table(spark, table)
+
+
 # ---- synthetic data ---------------------------------------------------------
 
 def _end_hour(spark, d):
@@ -366,6 +428,51 @@ def q_feed_schema_evolution(spark, d):
     return tb.read_table(spark, path).select("filename", "description", "brand", "weight")
 
 
+def _array_feed(spark, d) -> str:
+    """One JSON array file of all items, with brackets, quotes and escapes in some
+    texts; its last element has no file name."""
+    from binsight.session import scratch_path
+    path = scratch_path(spark, "array")
+    items = dt.items(spark, d)
+    number = F.regexp_extract("filename", r"^(\d+)", 1).cast("long")
+    hostile = F.when(number % 3 == 0, F.concat("description", F.lit('"}],[{\\"'))).when(
+        number % 3 == 1, F.concat("description", F.lit("\\"))).otherwise(F.col("description"))
+    rows = items.withColumn("description", hostile).withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"))
+    text = rows.select(F.concat(F.to_json(F.struct(*rows.columns)), F.lit(",")).alias("value"))
+    ends = [spark.range(1).select(F.lit(x).alias("value")) for x in ("[", '{"brand": "end"}', "]")]
+    ends[0].union(text).union(ends[1]).union(ends[2]).coalesce(1).write.text(path)
+    return path
+
+
+@register("json_array_feed")
+def q_json_array_feed(spark, d):
+    """The array file read by many tasks: a range of 64 KB each here."""
+    from binsight.sources.json_array import read_array
+    path = _array_feed(spark, d)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        good, _ = read_array(spark, path)
+        return good.select("filename", fc.parse_time("time", zoned=False).alias("time"), "description", "brand", "is_recyclable")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@register("feed_type_evolution")
+def q_feed_type_evolution(spark, d):
+    """Weights of the items that come as int, then bigint, then double, by a third of the items each."""
+    from binsight.session import scratch_path
+    from binsight.sources import generations as gen
+    base = scratch_path(spark, "widened")
+    number = F.regexp_extract("filename", r"^(\d+)", 1).cast("int")
+    rows = dt.items(spark, d).select("filename", "brand", number.alias("weight"))
+    third = lambda i: rows.filter(F.col("weight") % 3 == i)
+    gen.append(spark, third(0), base)
+    gen.append(spark, third(1).withColumn("weight", F.col("weight").cast("bigint") * 4_000_000_000), base)
+    gen.append(spark, third(2).withColumn("weight", F.col("weight") / 4), base)
+    return gen.read(spark, base)
+
+
 @register("feed_rejects")
 def q_feed_rejects(spark, d):
     """Feed lines of which one in fifty is no JSON and one in fifty has no file name."""
@@ -439,6 +546,49 @@ def q_stream_composition(spark, d):
     return read_composition(spark, out)
 
 
+@register("stream_lifecycle")
+def q_stream_lifecycle(spark, d):
+    """Pending items through their life cycle: asked, one in five rejected, asked
+    again when its timer expires, merged."""
+    import time
+
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    from binsight.streaming.lifecycle import SecondTry, start_lifecycle
+    arrivals = dt.stream_events_parts(spark, d).filter("event_type = 'error'").select(
+        fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
+    table = scratch_path(spark, "cycle")
+    expected = en.pending(dt.items(spark, d)).count()
+    q = start_lifecycle(arrivals, table, scratch_path(spark, "cycle-ckpt"), scratch_path(spark, "cycle-work"), SecondTry,
+                        wait_s=1.0, trigger={"processingTime": "1 second"}, backoff_s=0.0)
+    until = time.monotonic() + 600
+    try:
+        while q.isActive and not (tb.exists(spark, table)
+                                  and tb.read_table(spark, table).filter("description <> ''").count() == expected):
+            if time.monotonic() > until:
+                raise TimeoutError("items not settled")
+            time.sleep(1)
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    finally:
+        q.stop()  # the stream itself would go on for ever
+    return tb.read_table(spark, table)
+
+
+@register("stream_top_brands")
+def q_stream_top_brands(spark, d):
+    """Top ten brands of the item stream: candidates from a sketch of fixed size, counted exactly."""
+    from binsight.session import scratch_path
+    from binsight.streaming.top_stream import start_top, top_values
+    out = scratch_path(spark, "top")
+    q = start_top(prepare(dt.items_from(dt.stream_events_parts(spark, d))), "brand", out, scratch_path(spark, "top-ckpt"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    top, _ = top_values(spark, out, prepare(dt.items(spark, d)), "brand")
+    return top.withColumnRenamed("count", "total_waste_count")
+
+
 @register("stream_ingest")
 def q_stream_ingest(spark, d):
     from binsight.session import scratch_path
@@ -453,3 +603,43 @@ def q_stream_ingest(spark, d):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return tb.read_table(spark, table_path)
+
+
+ARRIVAL_FILES = 6
+
+
+def _repeated_arrivals(spark, d) -> list[str]:
+    """Folders of one file each that together hold every event's arrival, most of
+    them twice or three times: again in the next file and in the last one."""
+    from binsight.session import scratch_path
+    ev = dt.table(spark, d, "events").select(fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
+    part = F.pmod(F.xxhash64("filename"), F.lit(ARRIVAL_FILES))
+    paths = []
+    for i in range(ARRIVAL_FILES):
+        paths.append(scratch_path(spark, "arrivals"))
+        again = (F.pmod(part + 1, F.lit(ARRIVAL_FILES)) == i) if i < ARRIVAL_FILES - 1 else part != i
+        ev.filter((part == i) | again).coalesce(1).write.parquet(paths[-1])
+    return paths
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, d):
+    """Repeated arrivals, a file a trigger, with a restart half way: repeats go in the
+    stream's state, those behind the watermark by the key table."""
+    from binsight.session import scratch_path
+    from binsight.sources import table as tb
+    from binsight.streaming.ingest_stream import start_ingest
+    files = _repeated_arrivals(spark, d)
+    folder, table = scratch_path(spark, "arriving"), scratch_path(spark, "distinct")
+    ckpt, work = scratch_path(spark, "distinct-ckpt"), scratch_path(spark, "distinct-work")
+    for i, path in enumerate(files):
+        spark.read.parquet(path).coalesce(1).write.mode("append").parquet(folder)
+        if i % 3 < 2:
+            continue
+        arrivals = (spark.readStream.schema("filename string, time timestamp_ntz")
+                    .option("maxFilesPerTrigger", 1).parquet(folder))
+        q = start_ingest(arrivals, table, ckpt, work, distinct_within="1 day")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return tb.read_table(spark, table).select("filename", "time")

@@ -16,19 +16,33 @@ from binsight.operators.merge import merge_update
 from binsight.operators.prepare import prepare
 from binsight.operators.ranking import top_from_counts
 from binsight.schema import METADATA_FIELDS
+from binsight.session import scratch_path
+from binsight.sources import keys
 from binsight.sources import table as tb
 from binsight.sources.images import read_images
 from binsight.sources.json_items import read_feed
 
 
+def unseen(spark: SparkSession, rows: DataFrame, table_path: str, dedupe: bool = False) -> DataFrame:
+    """The rows whose key the table does not hold; ``dedupe`` keeps one row a key."""
+    if tb.exists(spark, table_path):
+        return ing.new_only(rows, keys.known(spark, table_path), dedupe=dedupe)
+    return ing.dedupe_by_key(rows) if dedupe else rows
+
+
 def append_new(spark: SparkSession, rows: DataFrame, table_path: str, dedupe: bool = False,
                partitioned: bool = False) -> DataFrame:
-    """Append the rows whose key is not in the table yet; returns what was appended (lazy)."""
-    if tb.exists(spark, table_path):
-        rows = ing.new_only(rows, tb.read_table(spark, table_path), dedupe=dedupe)
-    elif dedupe:
-        rows = ing.dedupe_by_key(rows)
+    """Append the rows whose key is not in the table yet; returns what was appended.
+
+    The check reads the bucketed key table. The new rows are stored first: they
+    are appended and named in the key table from there.
+    """
+    rows = unseen(spark, rows, table_path, dedupe)
+    path = scratch_path(spark, "new-rows")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     tb.append(spark, rows, table_path, partitioned=partitioned)
+    keys.add(spark, rows, table_path)
     return rows
 
 
@@ -59,7 +73,6 @@ def pending_images(spark: SparkSession, names: DataFrame, image_dir: str, at_onc
     The folder is listed without content and joined to the names; then each
     block of at most about ``at_once`` paths is read as a list of files.
     """
-    from binsight.session import scratch_path
     found = scratch_path(spark, "pending-paths")
     listed = read_images(spark, image_dir).select(basename("path").alias("filename"), "path")
     listed.join(names.select("filename"), "filename", "left_semi").select("path").write.parquet(found)
@@ -82,7 +95,6 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     ``strict`` raises on the first failing call or invalid answer, before
     anything is merged. Returns (snapshot number or -1, rejects).
     """
-    from binsight.session import scratch_path
     tb.finish_merge(spark, table_path)
     waiting = en.pending(tb.read_table(spark, table_path)).select("filename").filter(F.col("filename").isNotNull())
     if waiting.isEmpty():
@@ -98,6 +110,17 @@ def enrich_pending(spark: SparkSession, table_path: str, image_dir: str, provide
     return merge_answers(spark, table_path, ok), bad
 
 
+def touched_dates(spark: SparkSession, table_path: str, answers: DataFrame, key: str = "filename") -> list | None:
+    """The capture dates that hold answered rows, at most the table's partitions;
+    None for a table without partitions."""
+    if not tb.is_partitioned(spark, table_path):
+        return None
+    items = tb.read_table(spark, table_path, keep_partition=True)
+    touched = (items.select(key, tb.PARTITION_COL).join(answers.select(key), key, "left_semi")
+               .select(tb.PARTITION_COL).distinct())
+    return [r[0] for r in touched.collect()]
+
+
 def merge_answers(spark: SparkSession, table_path: str, answers: DataFrame, key: str = "filename") -> int:
     """Merge stored answers into the item table; returns the snapshot.
 
@@ -108,15 +131,11 @@ def merge_answers(spark: SparkSession, table_path: str, answers: DataFrame, key:
     """
     tb.finish_merge(spark, table_path)
     fields = [c for c in METADATA_FIELDS if c in answers.columns]
-    if tb.is_partitioned(spark, table_path):
-        items = tb.read_table(spark, table_path, keep_partition=True)
-        touched = (items.select(key, tb.PARTITION_COL).join(answers.select(key), key, "left_semi")
-                   .select(tb.PARTITION_COL).distinct())
-        dates = [r[0] for r in touched.collect()]
+    dates = touched_dates(spark, table_path, answers, key)
+    if dates is not None:
         return tb.merge_partitions(spark, table_path, answers, key, fields, dates)
-    before = tb.files(spark, table_path)
     items = tb.read_table(spark, table_path)
-    return tb.replace(spark, merge_update(items, answers, key, fields), table_path, unchanged=before)
+    return tb.replace(spark, merge_update(items, answers, key, fields), table_path, same_rows=True)
 
 
 DASHBOARD_KEYS = ["hour", "brand"]
@@ -147,7 +166,6 @@ def publish_dashboard(spark: SparkSession, table_path: str, out_base: str, top_n
     ``keep`` of which stay (readers use ``sources.table.read_table``). Run it on
     a timer (the dashboard refreshed every 30 s): enrichment merges change flags
     of existing rows, which only a re-read of the table sees."""
-    from binsight.session import scratch_path
     path = scratch_path(spark, "dashboard")
     groups = dashboard_groups(tb.read_table(spark, table_path))
     groups.write.parquet(path)

@@ -126,6 +126,8 @@ SELECT filename, time, state, CAST(NULL AS VARCHAR) AS city, description, is_rec
 SQL["new_items_anti"] = f"""WITH {CUTS}
 SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.filename = i.filename)"""
 
+SQL["ingest_by_keys"] = f"WITH {ITEMS} SELECT * FROM items"
+
 SQL["dedupe_by_key"] = f"""WITH {CUTS}
 SELECT DISTINCT filename FROM (SELECT filename FROM existing UNION ALL SELECT filename FROM incoming)"""
 
@@ -158,6 +160,11 @@ SQL["sql_count_by"] = f"WITH {ITEMS} SELECT brand, COUNT(*) AS count FROM items
 
 SQL["sql_filter_eq"] = f"WITH {ITEMS} SELECT * FROM items WHERE brand = 'Brand#19'"
 
+SQL["sql_items_of_brand"] = f"WITH {ITEMS} SELECT * FROM items WHERE brand = 'Brand#19'"
+
+SQL["sql_count_by_args"] = f"""WITH {ITEMS}
+SELECT is_recyclable AS key, COUNT(*) AS count FROM items WHERE time >= TIMESTAMP '2024-01-10' GROUP BY is_recyclable"""
+
 SQL["capture_name"] = f"""WITH {ITEMS}
 SELECT filename, 'images/capture_' || strftime(time, '%Y%m%d-%H%M%S') || '.jpg' AS image_path FROM items"""
 
@@ -325,6 +332,12 @@ SELECT filename, n % 2 = 0 AS is_recyclable, n % 3 = 0 AS is_compostable, n % 5
        'item ' || CAST(n AS VARCHAR) AS description
 FROM p WHERE n % 50 <> 0"""
 
+SQL["enrich_by_content"] = """WITH sized AS (
+  SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS filename, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT filename, n % 2 = 0 AS is_recyclable, n % 3 = 0 AS is_compostable, n % 5 = 0 AS is_metal, '' AS brand,
+       CAST(n AS VARCHAR) || ' bytes' AS description
+FROM sized"""
+
 SQL["merge_update"] = f"""WITH {ANSWERS}, items AS ({items_from('ep')}),
 ok AS (SELECT * FROM metadata WHERE is_valid)
 SELECT i.filename, i.time, i.state, i.city,
@@ -455,6 +468,17 @@ SQL["synth_items_matlab"] = synth_sql("matlab", seed=11)
 SQL["stream_composition"] = f"""WITH {PREPARED}, {composition('hour')}
 SELECT * FROM share_hour"""
 
+SQL["stream_lifecycle"] = f"""WITH {EP}
+SELECT CAST(event_id AS VARCHAR) || '.jpg' AS filename, ts AS time, 'NJ' AS state, 'Princeton' AS city,
+       'item ' || event_id || ', try ' || CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS description,
+       event_id % 2 = 0 AS is_recyclable, event_id % 3 = 0 AS is_compostable, event_id % 7 = 0 AS is_metal,
+       'Brand#' || (event_id % 25 + 1) AS brand
+FROM ep WHERE event_type = 'error'"""
+
+SQL["stream_top_brands"] = SQL["top_brands"]
+
+SQL["stream_dedupe"] = """SELECT DISTINCT CAST(event_id AS VARCHAR) || '.jpg' AS filename, ts AS time FROM events"""
+
 SQL["stream_ingest"] = """SELECT CAST(event_id AS VARCHAR) || '.jpg' AS filename, e.ts AS time,
        'NJ' AS state, 'Princeton' AS city,
        CASE WHEN event_id % 50 = 0 THEN '' ELSE 'item ' || CAST(event_id AS VARCHAR) END AS description,
@@ -468,6 +492,20 @@ JOIN part p ON CAST(json_extract_string(e.props, '$.k') AS INTEGER) = p.p_partke
 
 SQL["merge_in_place"] = SQL["merge_update"]
 
+SQL["feed_type_evolution"] = rf"""WITH {ITEMS},
+numbered AS (SELECT filename, brand, CAST(regexp_extract(filename, '^(\d+)', 1) AS BIGINT) AS n FROM items)
+SELECT filename, brand, CASE n % 3 WHEN 0 THEN CAST(n AS DOUBLE) WHEN 1 THEN CAST(n * 4000000000 AS DOUBLE) ELSE n / 4 END AS weight
+FROM numbered"""
+
+SQL["json_array_feed"] = rf"""WITH {ITEMS}
+SELECT filename, date_trunc('second', time) AS time, description || CASE CAST(regexp_extract(filename, '^(\d+)', 1) AS BIGINT) % 3
+         WHEN 0 THEN '"}}],[{{\"' WHEN 1 THEN '\' ELSE '' END AS description, brand, is_recyclable
+FROM items"""
+
+SQL["composition_live"] = f"""WITH items AS ({SQL["merge_update"]}),
+{PREPARED[PREPARED.index("prepared AS"):]}, {composition('hour')}
+SELECT * FROM share_hour"""
+
 
 # FIXED VALUES: the taxonomies' labels in the order of their slots
 _TRASH1 = "Paper RECYCLE 0,Other TRASH 2,Plastic RECYCLE 0,G_M RECYCLE 0,Organic COMPOST 1"

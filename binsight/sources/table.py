@@ -1,40 +1,37 @@
-"""The item table on plain parquet: append with additive schema evolution,
-replace-by-snapshot, and partition-scoped merges.
-
-Layout: ``<base>/snapshot=<n>/[capture_date=<d>/]part-*.parquet``, with the
-table's schema in ``<snapshot>/_columns.json`` so that no operation reads file
-footers to learn it. Readers take the newest snapshot with a ``_SUCCESS``
-marker.
-
-* A folder that holds files but no committed snapshot is never written to
-  (``UnmarkedTableError``), and a missing table is never read as an empty one
-  (``TableMissingError``).
-* ``replace`` writes a whole new snapshot beside the old one and renames it
-  into place; ``keep`` bounds how many snapshots stay.
-* ``merge_partitions`` rewrites only the date partitions that received answers.
-  The merged rows are staged in ``<base>/_merge``. Just before the swap the
-  files of the touched partitions are listed again; any change raises
-  ``MergeConflictError`` and leaves the table as it was. Once the swap has
-  begun, readers and appends raise ``MergePendingError`` until
-  ``finish_merge`` has completed it from the staged copy, so a crash inside
-  the swap loses nothing.
-
-This is no transaction log: two merges must not run at the same time.
+"""Item tables: parquet tables of Spark's catalog, written by Spark's own writers.
+
+A table is named by the folder that it lives in (or by a plain name, then below
+the shared folder) and is registered in the session's catalog. A catalog that
+outlives the session (a metastore) keeps the registration; otherwise the next
+session registers the folder again on first use.
+
+* ``append`` creates the table or inserts by column name; new columns are added
+  to the table.
+* ``replace`` writes the next version of the table into a folder of its own and
+  points the catalog to it, so readers never see half of it.
+* ``merge_partitions`` stores the merged rows of the touched capture dates
+  beside the table, checks that nothing was appended to these dates meanwhile,
+  and lets a dynamic partition overwrite insert the stored rows. If that breaks
+  off, readers and appends raise ``MergePendingError`` until ``finish_merge``
+  (called by the next merge) has repeated it from the stored rows.
+
+Two merges of one table must not run at the same time.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import time
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from binsight.session import shared_dir
+
 PARTITION_COL = "capture_date"
-_COLUMNS = "_columns.json"
-_STAGING = "_merge"
+_VERSION = "v"  # folders of the versions
 
 
 class SchemaConflictError(ValueError):
@@ -57,120 +54,111 @@ class MergePendingError(RuntimeError):
     pass
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    fs.delete(p, True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p, jvm = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
-
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when a Spark write to ``path`` finished (``_SUCCESS`` present)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, p, _ = _fs(spark, path)
-    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
 
+def base_of(spark: SparkSession, table: str) -> str:
+    return table.rstrip("/") if "/" in table else f"{shared_dir(spark)}/tables/{table}"
 
-def snapshots(spark: SparkSession, base: str) -> list[int]:
-    """Committed snapshot numbers, oldest first; none for a missing or empty folder.
 
-    A folder with content but no committed snapshot raises: it may be a table
-    whose writer left no marker, and treating it as absent would overwrite it.
-    """
-    names = _names(spark, base)
-    out = sorted(int(n.split("=", 1)[1]) for n in names
-                 if n.startswith("snapshot=") and _exists(spark, f"{base}/{n}/_SUCCESS"))
-    if not out and any(not n.startswith(("_", ".")) for n in names):
-        raise UnmarkedTableError(f"{base} holds files but no committed snapshot; refusing to use it")
-    return out
+def name_of(table: str) -> str:
+    """The table's name in the catalog."""
+    table = table.rstrip("/")
+    return f"binsight_{hashlib.md5(table.encode()).hexdigest()}" if "/" in table else table
 
 
-def committed(spark: SparkSession, path: str) -> bool:
-    """True when a Spark write to ``path`` finished (``_SUCCESS`` present)."""
-    return _exists(spark, f"{path}/_SUCCESS")
+def _columns(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def exists(spark: SparkSession, base: str) -> bool:
-    return bool(snapshots(spark, base))
+def _register(spark: SparkSession, table: str, schema: T.StructType, location: str, partitioned: bool) -> None:
+    by = f"PARTITIONED BY ({PARTITION_COL})" if partitioned else ""
+    where = location.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name_of(table)} ({_columns(schema)}) USING parquet "
+              f"OPTIONS (partitionOverwriteMode 'dynamic') {by} LOCATION '{where}'")
 
 
-def snapshot_path(base: str, n: int) -> str:
-    return f"{base.rstrip('/')}/snapshot={n:08d}"
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the versions in the table's folder, oldest first."""
+    base = base_of(spark, table)
+    try:
+        found = spark.read.option("basePath", base).parquet(f"{base}/{_VERSION}=*")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return []
+        raise
+    return sorted(r[0] for r in found.select(_VERSION).distinct().collect())
+
+
+def location(spark: SparkSession, table: str) -> str:
+    """Folder of the current version."""
+    rows = spark.sql(f"DESCRIBE EXTENDED {name_of(table)}").filter("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
+def exists(spark: SparkSession, table: str) -> bool:
+    """The table is in the catalog, or its folder holds a version, which is registered
+    then. A version that no finished write marked is refused, not taken for absent."""
+    if spark.catalog.tableExists(name_of(table)):
+        return True
+    found = versions(spark, table)
+    if not found:
+        return False
+    where = f"{base_of(spark, table)}/{_VERSION}={found[-1]}"
+    if not committed(spark, where):
+        raise UnmarkedTableError(f"{where} holds files of an unfinished write; refusing to use it")
+    schema = spark.read.option("mergeSchema", "true").parquet(where).schema
+    partitioned = PARTITION_COL in schema.names
+    _register(spark, table, schema, where, partitioned)
+    if partitioned:
+        spark.catalog.recoverPartitions(name_of(table))
+    return True
 
 
-def _newest(spark: SparkSession, base: str, wait_s: float = 60.0) -> str:
-    """Path of the newest snapshot; waits a while for a swap that is going on."""
-    snaps = snapshots(spark, base)
-    if not snaps:
-        raise TableMissingError(f"no table at {base}")
+def _require(spark: SparkSession, table: str, wait_s: float = 60.0) -> str:
+    """Name of an existing table; waits a while for an overwrite that is going on."""
+    if not exists(spark, table):
+        raise TableMissingError(f"no table {table}")
     until = time.monotonic() + wait_s
-    while _exists(spark, f"{base}/{_STAGING}/swapping"):
+    while committed(spark, _swapping(spark, table)):
         if time.monotonic() > until:
-            raise MergePendingError(f"a merge of {base} stopped inside its swap; call finish_merge")
+            raise MergePendingError(f"a merge of {table} broke off inside its overwrite; call finish_merge")
         time.sleep(0.5)
-    return snapshot_path(base, snaps[-1])
+    return name_of(table)
 
 
-def is_partitioned(spark: SparkSession, base: str) -> bool:
-    snaps = snapshots(spark, base)
-    return bool(snaps) and any(n.startswith(PARTITION_COL + "=") for n in _names(spark, snapshot_path(base, snaps[-1])))
+def is_partitioned(spark: SparkSession, table: str) -> bool:
+    return exists(spark, table) and PARTITION_COL in spark.table(name_of(table)).columns
 
 
 def with_partition(df: DataFrame, time_col: str = "time") -> DataFrame:
     return df if PARTITION_COL in df.columns else df.withColumn(PARTITION_COL, F.to_date(time_col))
 
 
-def schema_of(spark: SparkSession, base: str) -> T.StructType:
-    """Schema recorded beside the newest snapshot, without the partition column.
-    A table written elsewhere, without the record, is learned from its footers."""
-    path = snapshot_path(base, snapshots(spark, base)[-1])
-    if _exists(spark, f"{path}/{_COLUMNS}"):
-        return T.StructType.fromJson(json.loads(_read_text(spark, f"{path}/{_COLUMNS}")))
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return T.StructType([f for f in df.schema.fields if f.name != PARTITION_COL])
-
+def schema_of(spark: SparkSession, table: str) -> T.StructType:
+    """The table's columns without the partition column."""
+    return T.StructType([f for f in spark.table(_require(spark, table)).schema.fields if f.name != PARTITION_COL])
 
-def _record(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    fields = [T.StructField(f.name, f.dataType) for f in schema.fields if f.name != PARTITION_COL]
-    _write_text(spark, f"{path}/{_COLUMNS}", T.StructType(fields).json())
 
-
-def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None,
+def read_table(spark: SparkSession, table: str, schema: T.StructType | None = None,
                keep_partition: bool = False, wait_s: float = 60.0) -> DataFrame:
-    """Newest committed snapshot; columns added by later appends read as NULL.
-    The partition column is dropped unless ``keep_partition``. A missing table
-    raises ``TableMissingError``."""
-    path = _newest(spark, base, wait_s)
-    schema = schema or schema_of(spark, base)
-    if is_partitioned(spark, base):
-        schema = T.StructType([*schema.fields, T.StructField(PARTITION_COL, T.DateType())])
-    df = spark.read.schema(schema).parquet(path)
-    return df.drop(PARTITION_COL) if PARTITION_COL in df.columns and not keep_partition else df
+    """The table; columns added by later appends read as NULL in older rows. The
+    partition column is dropped unless ``keep_partition``; ``schema`` picks columns.
+    A missing table raises ``TableMissingError``."""
+    name = _require(spark, table, wait_s)
+    spark.catalog.refreshTable(name)
+    df = spark.table(name)
+    if PARTITION_COL in df.columns and not keep_partition:
+        df = df.drop(PARTITION_COL)
+    return df.select(*schema.names) if schema else df
 
 
 def check_appendable(existing: T.StructType, incoming: T.StructType) -> None:
@@ -189,128 +177,134 @@ def _clustered(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", PARTITION_COL)
 
 
-def _write(df: DataFrame, partitioned: bool):
-    return _clustered(with_partition(df)).write.partitionBy(PARTITION_COL) if partitioned else df.write
-
+def _ordered(df: DataFrame, partitioned: bool) -> DataFrame:
+    """Ready for a partitioned write: the partition column last, rows clustered by it."""
+    if not partitioned:
+        return df
+    df = with_partition(df)
+    return _clustered(df.select(*(c for c in df.columns if c != PARTITION_COL), PARTITION_COL))
 
-def append(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False, wait_s: float = 60.0) -> None:
-    """Append by column name; creates snapshot 0 when there is no table yet
-    (partitioned by capture date when ``partitioned``; an existing table keeps
-    its own layout). Columns that are new become part of the table's schema.
 
-    A failing append raises and never replaces the table with just the new
-    rows; a non-empty folder without a committed snapshot is refused.
-    """
-    base = base.rstrip("/")
-    if not snapshots(spark, base):
-        replace(spark, df, base, partitioned)
+def append(spark: SparkSession, df: DataFrame, table: str, partitioned: bool = False, wait_s: float = 60.0) -> None:
+    """Insert by column name; creates the table if there is none (partitioned by
+    capture date when ``partitioned``; an existing table keeps its own layout).
+    New columns become part of the table, missing ones are NULL. A failing
+    append raises and leaves the table as it was."""
+    if not exists(spark, table):
+        replace(spark, df, table, partitioned)
         return
-    path = _newest(spark, base, wait_s)
-    known = schema_of(spark, base)
+    name = _require(spark, table, wait_s)
+    known = schema_of(spark, table)
     check_appendable(known, df.schema)
-    names = {f.name for f in known.fields}
-    more = [f for f in df.schema.fields if f.name not in names and f.name != PARTITION_COL]
-    if more or not _exists(spark, f"{path}/{_COLUMNS}"):
-        _record(spark, path, T.StructType([*known.fields, *more]))
-    _write(df, is_partitioned(spark, base)).mode("append").parquet(path)
-
-
-def _files(spark: SparkSession, path: str, partitions: list[str] | None = None) -> list[str]:
-    """Data files below a snapshot, or below the named partitions of it."""
-    fs, _, jvm = _fs(spark, path)
-    out = []
-    for at in [path] if partitions is None else [f"{path}/{p}" for p in partitions]:
-        p = jvm.org.apache.hadoop.fs.Path(at)
-        if not fs.exists(p):
-            continue
-        it = fs.listFiles(p, True)
-        while it.hasNext():
-            st = it.next()
-            if not st.getPath().getName().startswith(("_", ".")):
-                out.append(f"{st.getPath().toString()}:{st.getLen()}")
-    return sorted(out)
-
-
-def files(spark: SparkSession, base: str) -> list[str]:
-    """Data files of the newest snapshot, with their sizes."""
-    return _files(spark, _newest(spark, base.rstrip("/")))
-
-
-def replace(spark: SparkSession, df: DataFrame, base: str, partitioned: bool = False, keep: int | None = None,
-            unchanged: list[str] | None = None) -> int:
-    """Write ``df`` as the next snapshot (create-or-replace); returns its number.
-
-    The snapshot is written under a hidden name and renamed when complete.
-    ``unchanged`` is a listing (``files``) of the snapshot ``df`` was computed
-    from: if it differs before the rename, rows would get lost, and
-    ``MergeConflictError`` is raised instead. ``keep`` removes all but so many
-    of the newest snapshots.
+    more = [f for f in df.schema.fields if f.name not in known.names and f.name != PARTITION_COL]
+    if more:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_columns(T.StructType(more))})")
+    if is_partitioned(spark, table):
+        df = with_partition(df)
+    have = {c.lower() for c in df.columns}
+    rows = df.select(*(F.col(f"`{f.name}`") if f.name.lower() in have else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in spark.table(name).schema.fields))
+    (_clustered(rows) if PARTITION_COL in rows.columns else rows).write.insertInto(name)
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """Rows for each capture date (in one group if the table is not partitioned)."""
+    at = F.col(PARTITION_COL) if PARTITION_COL in rows.columns else F.lit(None).cast("date")
+    return rows.groupBy(at.alias("day")).agg(F.count("*").alias("n"))
+
+
+def _grown(now: DataFrame, before: DataFrame) -> bool:
+    """Some capture date has more rows now than before."""
+    now, before = _counts(now), _counts(before).withColumnRenamed("n", "m").withColumnRenamed("day", "old")
+    more = now.join(before, F.col("day").eqNullSafe(F.col("old")), "left").filter("n > coalesce(m, 0)")
+    return not more.limit(1).isEmpty()
+
+
+def replace(spark: SparkSession, df: DataFrame, table: str, partitioned: bool = False, keep: int = 2,
+            same_rows: bool = False) -> int:
+    """Create or replace: write ``df`` as the next version, then switch to it; returns its number.
+
+    ``df`` may read the table itself. ``same_rows`` says that it has a row for each
+    row of the table: if the table has more when ``df`` is written, rows were
+    appended meanwhile, ``MergeConflictError`` is raised and the table stays. The
+    newest ``keep`` versions stay, so that readers of the one before can finish.
     """
-    base = base.rstrip("/")
-    snaps = snapshots(spark, base)
-    n = snaps[-1] + 1 if snaps else 0
-    hidden = f"{base}/_next-{uuid.uuid4().hex}"
-    _write(df, partitioned).parquet(hidden)
-    _record(spark, hidden, df.schema)
-    if unchanged is not None and _files(spark, snapshot_path(base, snaps[-1])) != unchanged:
-        delete(spark, hidden)
-        raise MergeConflictError(f"{base} changed while its next snapshot was written")
-    fs, src, jvm = _fs(spark, hidden)
-    if not fs.rename(src, jvm.org.apache.hadoop.fs.Path(snapshot_path(base, n))):
-        raise MergeConflictError(f"another writer made snapshot {n} of {base}")
-    for old in (snaps if keep is None else (snaps + [n])[:-keep]):
-        if keep is not None:
-            delete(spark, snapshot_path(base, old))
+    name, base = name_of(table), base_of(spark, table)
+    known = exists(spark, table)
+    n = int(location(spark, table).rsplit("=", 1)[1]) + 1 if known else 0
+    where = f"{base}/{_VERSION}={n}"
+    rows = _ordered(df, partitioned)
+    writer = rows.write.mode("overwrite")  # a version that was broken off is written anew
+    (writer.partitionBy(PARTITION_COL) if partitioned else writer).parquet(where)
+    if same_rows and known and _grown(read_table(spark, table, keep_partition=True), spark.read.schema(rows.schema).parquet(where)):
+        delete(spark, where)
+        raise MergeConflictError(f"{table} changed while its next version was written")
+    if known:
+        spark.sql(f"DROP TABLE {name}")  # the files stay: their folder is named by the table
+    _register(spark, table, rows.schema, where, partitioned)
+    if partitioned:
+        spark.catalog.recoverPartitions(name)
+    if n >= keep:
+        delete(spark, f"{base}/{_VERSION}={n - keep}")
     return n
 
 
-def finish_merge(spark: SparkSession, base: str) -> bool:
-    """Complete a merge that stopped inside its swap from its staged copy; one
-    that stopped before the swap is forgotten. True if there was one to complete."""
-    base = base.rstrip("/")
-    staging = f"{base}/{_STAGING}"
-    if not _exists(spark, f"{staging}/swapping"):
-        if _exists(spark, staging):
-            delete(spark, staging)
+def _stored_merge(spark: SparkSession, table: str) -> str:
+    return f"{base_of(spark, table)}/_merge"
+
+
+def _swapping(spark: SparkSession, table: str) -> str:
+    """Written when an overwrite from the stored rows begins, removed when it is done."""
+    return f"{base_of(spark, table)}/_swapping"
+
+
+def finish_merge(spark: SparkSession, table: str) -> bool:
+    """Repeat the overwrite of a merge that broke off inside it; a merge that broke
+    off before is forgotten. True if there was one to repeat."""
+    if not exists(spark, table) or not committed(spark, _swapping(spark, table)):
         return False
-    _swap(spark, staging, _read_text(spark, f"{staging}/swapping"))
-    delete(spark, staging)
+    _overwrite(spark, table)
     return True
 
 
-def _swap(spark: SparkSession, staging: str, path: str) -> None:
-    (spark.read.parquet(f"{staging}/rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(PARTITION_COL).parquet(path))
+def _overwrite(spark: SparkSession, table: str) -> None:
+    """Insert the stored rows over their capture dates, then forget them."""
+    name, path = name_of(table), _stored_merge(spark, table)
+    schema = spark.table(name).schema
+    rows = spark.read.schema(schema).parquet(path).select(*schema.names)
+    _clustered(rows).write.mode("overwrite").insertInto(name)
+    delete(spark, _swapping(spark, table))
+    delete(spark, path)
+
+
+def on_dates(dates: list) -> Column:
+    """The row is in one of these partitions (a filter that prunes the others)."""
+    known = [d for d in dates if d is not None]
+    cond = F.col(PARTITION_COL).isin(known) if known else F.lit(False)
+    return cond | F.col(PARTITION_COL).isNull() if len(known) < len(dates) else cond
 
 
-def merge_partitions(spark: SparkSession, base: str, source: DataFrame, key: str, columns: list[str],
+def merge_partitions(spark: SparkSession, table: str, source: DataFrame, key: str, columns: list[str],
                      dates: list) -> int:
     """Matched-update merge that rewrites only the ``dates`` partitions.
 
-    ``dates`` (touched capture dates) is bounded by the table's partition
-    count. Only these partitions are listed and scanned (``PartitionFilters``).
-    Finishes an interrupted merge first. Returns the snapshot number.
+    ``dates`` (touched capture dates) is bounded by the table's partition count;
+    only these partitions are scanned (``PartitionFilters``). Returns the
+    number of the table's version.
     """
     from binsight.operators.merge import merge_update
-    base = base.rstrip("/")
-    finish_merge(spark, base)
-    snaps = snapshots(spark, base)
-    path = _newest(spark, base)
+    finish_merge(spark, table)
+    n = int(location(spark, table).rsplit("=", 1)[1])
     if not dates:
-        return snaps[-1]
-    known = [d for d in dates if d is not None]
-    cond = F.col(PARTITION_COL).isin(known) if known else F.lit(False)
-    if len(known) < len(dates):
-        cond = cond | F.col(PARTITION_COL).isNull()
-    folders = [f"{PARTITION_COL}={'__HIVE_DEFAULT_PARTITION__' if d is None else d}" for d in dates]
-    before = _files(spark, path, folders)
-    target = read_table(spark, base, keep_partition=True).filter(cond)
-    staging = f"{base}/{_STAGING}"
-    _clustered(merge_update(target, source, key, columns)).write.partitionBy(PARTITION_COL).parquet(f"{staging}/rows")
-    if _files(spark, path, folders) != before:
-        delete(spark, staging)
-        raise MergeConflictError(f"partitions of {base} changed while they were merged")
-    _write_text(spark, f"{staging}/swapping", path)  # from here on readers and appends wait
-    _swap(spark, staging, path)
-    delete(spark, staging)
-    return snaps[-1]
+        return n
+    cond = on_dates(dates)
+    path = _stored_merge(spark, table)
+    merged = _clustered(merge_update(read_table(spark, table, keep_partition=True).filter(cond), source, key, columns))
+    merged.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(path)
+    stored = spark.read.schema(merged.schema).parquet(path)
+    if _grown(read_table(spark, table, keep_partition=True).filter(cond), stored):
+        delete(spark, path)
+        raise MergeConflictError(f"partitions of {table} changed while they were merged")
+    spark.range(1).write.parquet(_swapping(spark, table))  # from here on readers and appends wait
+    _overwrite(spark, table)
+    return n

@@ -217,7 +217,7 @@ def test_strict_enrichment_raises_and_merges_nothing(spark, tmp_dir):
     jobs.ingest_images(spark, img, table)
     with pytest.raises(en.InvalidAnswerError, match="a.jpg: not JSON"):
         jobs.enrich_pending(spark, table, img, lambda: lambda name, request: "malformed", strict=True)
-    assert tb.snapshots(spark, table) == [0]
+    assert tb.versions(spark, table) == [0]
 
     def outage():
         def call(name, request):

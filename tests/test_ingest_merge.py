@@ -174,7 +174,7 @@ def test_partition_scoped_merge_rewrites_touched_dates_only(spark, tmp_dir):
         os.utime(path, (ts, ts))
     jobs.ingest_images(spark, img, table, partitioned=True)
     assert tb.is_partitioned(spark, table)
-    snap = tb.snapshot_path(table, 0)
+    snap = tb.location(spark, table).removeprefix("file:")
     dirs = sorted(os.path.basename(d) for d in glob.glob(f"{snap}/capture_date=*"))
     assert dirs == ["capture_date=2020-09-13", "capture_date=2023-11-14"]
     # enrich the old day first, by hand: mark the new image as already described
@@ -235,10 +235,15 @@ def test_unmarked_folder_is_refused_and_missing_table_raises(spark, tmp_dir):
         tb.read_table(spark, table)
     df = spark.createDataFrame([("a", 1)], KEYS)
     tb.append(spark, df, table)
-    os.remove(os.path.join(tb.snapshot_path(table, 0), "_SUCCESS"))
+    where = tb.location(spark, table).removeprefix("file:")
+    spark.sql(f"DROP TABLE {tb.name_of(table)}")  # as in a session whose catalog does not know it
+    tb.append(spark, df, table)
+    assert tb.read_table(spark, table).count() == 2
+    spark.sql(f"DROP TABLE {tb.name_of(table)}")
+    os.remove(os.path.join(where, "_SUCCESS"))
     with pytest.raises(tb.UnmarkedTableError):
         tb.append(spark, df, table)
-    assert os.path.isdir(tb.snapshot_path(table, 0))
+    assert os.path.isdir(where)
 
 
 DATED = "filename string, time timestamp, description string, is_recyclable boolean, is_compostable boolean, is_metal boolean, brand string"
@@ -260,15 +265,15 @@ def test_interrupted_swap_is_finished_from_the_staged_copy(spark, tmp_dir, monke
     table = os.path.join(tmp_dir, "items")
     tb.append(spark, _dated(spark, "a", "b"), table, partitioned=True)
 
-    def broken(spark_, staging, path):  # the swap removes a partition and dies
-        shutil.rmtree(os.path.join(path, "capture_date=2024-01-01"))
+    def broken(spark_, table_):  # the overwrite removes a partition and dies
+        shutil.rmtree(os.path.join(tb.location(spark, table_).removeprefix("file:"), "capture_date=2024-01-01"))
         raise RuntimeError("lost")
 
-    swap = tb._swap
-    monkeypatch.setattr(tb, "_swap", broken)
+    overwrite = tb._overwrite
+    monkeypatch.setattr(tb, "_overwrite", broken)
     with pytest.raises(RuntimeError, match="lost"):
         jobs.merge_answers(spark, table, _answers(spark, "a"))
-    monkeypatch.setattr(tb, "_swap", swap)
+    monkeypatch.setattr(tb, "_overwrite", overwrite)
     with pytest.raises(tb.MergePendingError):
         tb.read_table(spark, table, wait_s=0.1)
     with pytest.raises(tb.MergePendingError):
@@ -283,27 +288,17 @@ def test_interrupted_swap_is_finished_from_the_staged_copy(spark, tmp_dir, monke
 def test_rows_appended_during_a_merge_are_never_lost(spark, tmp_dir, monkeypatch, partitioned):
     table = os.path.join(tmp_dir, "items")
     tb.append(spark, _dated(spark, "a", "b"), table, partitioned=partitioned)
-    if partitioned:
-        real = tb._clustered
-
-        def clustered(df):
-            out = real(df)
-            if "description" in df.columns and not clustered.done:
-                clustered.done = True
-                tb.append(spark, _dated(spark, "late"), table)
-            return out
-
-        clustered.done = False
-        monkeypatch.setattr(tb, "_clustered", clustered)
-    else:
-        record = tb._record
-
-        def recorded(spark_, path, schema):
-            record(spark_, path, schema)
-            if "_next-" in path:
-                tb.append(spark, _dated(spark, "late"), table)
-
-        monkeypatch.setattr(tb, "_record", recorded)
+    grown = tb._grown
+
+    def late(now, before):  # another writer, between the merged rows and the check
+        if not late.done:
+            late.done = True
+            tb.append(spark, _dated(spark, "late"), table)
+            now = tb.read_table(spark, table, keep_partition=True)
+        return grown(now, before)
+
+    late.done = False
+    monkeypatch.setattr(tb, "_grown", late)
     with pytest.raises(tb.MergeConflictError):
         jobs.merge_answers(spark, table, _answers(spark, "a"))
     monkeypatch.undo()
@@ -325,7 +320,7 @@ def test_replace_keeps_so_many_snapshots(spark, tmp_dir):
     table = os.path.join(tmp_dir, "t")
     for i in range(4):
         tb.replace(spark, spark.createDataFrame([("a", i)], KEYS), table, keep=2)
-    assert tb.snapshots(spark, table) == [2, 3] and tb.read_table(spark, table).first().v == 3
+    assert tb.versions(spark, table) == [2, 3] and tb.read_table(spark, table).first().v == 3
 
 
 def test_only_pending_images_are_opened(spark, tmp_dir):

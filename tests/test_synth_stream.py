@@ -174,7 +174,7 @@ def test_composition_stream_restarts_and_keeps_few_results(spark, tmp_dir):
         q.awaitTermination()
         assert q.exception() is None
         assert read_composition(spark, out).agg(F.sum("total_count")).first()[0] == total
-    assert len(tb.snapshots(spark, out)) == 2
+    assert len(tb.versions(spark, out)) == 2
 
 
 def test_cluster_settings_are_known(spark):
