@@ -4,7 +4,8 @@ Documents are tokenised where they lie and cut into pieces; only the histogram
 of piece lengths (at most ``capacity`` rows) reaches the driver. There a
 covering program over configurations (multisets of lengths that fit into one
 sequence) is solved by multiplicative weights, priced by a knapsack dynamic
-program; its solution is rounded down and what is left is placed best-fit. The
+program; about half of the sequences are rounded from its solution and what is
+left is placed best-fit. The
 outcome is a short list of segments (length, range of ranks -> sequence,
 offset); every piece finds its place from its rank among the pieces of its
 length, so no task holds all pieces of a length.
@@ -29,9 +30,10 @@ from .common import stored
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
-EPSILON = 0.1  # a step covers half of this share of a demand
-RESERVE = 0.1  # share of the program's solution left to best fit, which closes its gap
-SLACK = 0.01  # a configuration may be worth this share less than the best
+EPSILON = 0.3  # a step covers half of this share of a demand
+SLACK = 0.03  # a configuration may be worth this share less than the best
+ROUNDED = (0.52, 0.4, 0.25, 0.1)  # shares of the sequences of shared pieces that are tried to come from the program
+TOLERANCE = 0.0005  # a larger share may cost this many more sequences
 RANK_ROWS = 100_000  # pieces that one task ranks at most, about
 
 # the fast encoder recurses on white space; such texts take the slower one
@@ -79,10 +81,11 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     """Fractional cover of ``demand`` by configurations ((index, count), ...).
 
     Multiplicative weights: a length's price starts at its share of a sequence and
-    falls exponentially with how much of its demand is covered. Each round solves the knapsack over all capacities
+    falls exponentially with how much of its demand is covered. Each round solves the knapsack for all sizes
     once and applies the configurations, one for each length, whose value is
-    within ``SLACK`` of the best; each covers ``epsilon / 2`` of the demand of
-    the length it exhausts first. Lengths leave once covered.
+    within ``SLACK`` of the best, those that fill the capacity if they are; each
+    covers ``epsilon / 2`` of the demand of the length it exhausts first. Lengths
+    leave once covered.
     """
     m = len(lengths)
     covered = np.zeros(m)
@@ -94,22 +97,26 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
             return found
         size = lengths[live]
         price = np.exp(-rate * (covered[live] - covered[live].min())) * size / capacity
-        best = np.zeros(capacity + 1)
+        best = np.full(capacity + 1, -np.inf)  # value of the best configuration of exactly that size
+        best[0] = 0
         take = np.full(capacity + 1, -1)
         fits = np.searchsorted(size, np.arange(capacity + 1), "right")
         for w in range(int(size[0]), capacity + 1):
             gain = best[w - size[:fits[w]]] + price[:fits[w]]
             k = int(gain.argmax())
-            best[w], take[w] = gain[k], k
-        value = price + best[capacity - size]
+            if gain[k] > -np.inf:
+                best[w], take[w] = gain[k], k
+        top = int(best.argmax())
+        end = capacity if best[capacity] >= (1 - SLACK) * best[top] else top
+        value = np.where(size <= end, price + best[np.maximum(end - size, 0)], -np.inf)
         seen = np.zeros(len(live), bool)
         for k in np.argsort(-value, kind="stable"):
-            if value[k] < (1 - SLACK) * best[capacity]:
+            if value[k] < (1 - SLACK) * best[top]:
                 break
             if seen[k]:
                 continue
             count: dict[int, int] = {int(k): 1}
-            w = capacity - int(size[k])
+            w = end - int(size[k])
             while take[w] >= 0:
                 count[int(take[w])] = count.get(int(take[w]), 0) + 1
                 w -= int(size[take[w]])
@@ -126,14 +133,36 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
 
 
 def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY,
-         epsilon: float = EPSILON) -> np.ndarray:
+         epsilon: float = EPSILON, report: dict | None = None) -> np.ndarray:
     """Segments (length, first rank, end rank, pieces a sequence, first sequence, offset).
 
-    Rows are sorted by (length, first rank) and cover every rank once.
+    Rows are sorted by (length, first rank) and cover every rank once. The program's
+    solution is rounded to several shares of the sequences; the largest share
+    stays whose total is within ``TOLERANCE`` of the fewest sequences. ``report``,
+    if given, gets the numbers of sequences: of single full pieces, from the
+    program, by best fit.
     """
     order = np.argsort(lengths)
-    size, left = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order].copy()
-    used = np.zeros(len(size), np.int64)
+    size, count = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
+    rest = np.flatnonzero((count > 0) & (size < capacity))
+    full: dict[tuple[tuple[int, int], ...], float] = {}
+    if len(rest):
+        chosen = configurations(size[rest], count[rest].astype(float), capacity, epsilon)
+        # one that leaves room would waste it in each of its sequences; its pieces go to best fit
+        full = {tuple((int(rest[j]), c) for j, c in config): x for config, x in chosen.items()
+                if sum(c * int(size[rest[j]]) for j, c in config) == capacity}
+    made = [_layout(size, count, full, capacity, share) for share in ROUNDED]
+    fewest = min(sum(r.values()) for _, r in made)
+    rows, found = next((rows, r) for rows, r in made if sum(r.values()) <= fewest * (1 + TOLERANCE))
+    if report is not None:
+        report.update(found)
+    return rows
+
+
+def _layout(size: np.ndarray, count: np.ndarray, full: dict[tuple[tuple[int, int], ...], float], capacity: int,
+            share: float) -> tuple[np.ndarray, dict[str, int]]:
+    """(segments, report) with ``share`` of the sequences rounded from the solution ``full``."""
+    left, used = count.copy(), np.zeros(len(size), np.int64)
     rows: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
 
@@ -159,17 +188,18 @@ def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY,
     for j in np.flatnonzero(size >= capacity):
         place(((int(j), 1),), int(left[j]))
         left[j] = 0
-    rest = np.flatnonzero(left > 0)
-    if len(rest):
-        chosen = configurations(size[rest], left[rest].astype(float), capacity, epsilon)
-        for config, x in sorted(chosen.items(), key=lambda kv: (-kv[1], kv[0])):
-            items = [(int(rest[j]), c) for j, c in config]
-            times = min(int(x * (1 - RESERVE)), *(int(left[j]) // c for j, c in items))
-            # a configuration with room to spare would waste it in each of its sequences
-            if times > 0 and sum(c * int(size[j]) for j, c in items) == capacity:
-                place(tuple(items), times)
+    report = {"single": sequences}
+    # rounded: the whole part of each configuration, then each once more, as far as pieces are left; those
+    # of few, long pieces first, so that best fit keeps short ones to fill gaps with
+    target = sequences + -int(-share * int((size * left).sum()) // capacity)
+    for whole in (True, False):
+        for items, x in sorted(full.items(), key=lambda kv: (sum(c for _, c in kv[0]), -kv[1], kv[0])):
+            times = min(int(x) if whole else 1, target - sequences, *(int(left[j]) // c for j, c in items))
+            if times > 0:
+                place(items, times)
                 for j, c in items:
                     left[j] -= c * times
+    report["program"] = sequences - report["single"]
     # best fit, longest first, of what rounding left
     for j in np.flatnonzero(left > 0)[::-1]:
         s, n = int(size[j]), int(left[j])
@@ -191,8 +221,9 @@ def plan(lengths: list[int], counts: list[int], capacity: int = CAPACITY,
     for same in groups.values():
         for items, times in same:
             place(items, times)
+    report["best_fit"] = sequences - report["single"] - report["program"]
     rows.sort()
-    return np.array(rows, np.int64).reshape(-1, 6)
+    return np.array(rows, np.int64).reshape(-1, 6), report
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
