@@ -14,10 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import stored
 
 PASSAGE_WORDS = 64
 TRAIN_ROWS = 4000  # labelled documents the network is trained on, at most
-TRAIN_PASSAGES = 100_000  # their passages, at most; a document that would pass this is left out
+TRAIN_PASSAGES = 100_000  # their passages, at most: the sample ends, in hash order, where they are reached
+TRAIN_LONGEST = 5_000  # passages of a document to learn from, at most; longer ones are only scored
 HIDDEN = 32
 GATE = 16
 EPOCHS = 30
@@ -184,8 +188,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Model:
     """Network trained on at most ``rows`` labels, taken in the order of an id
-    hash, and ``passages`` passages of their documents. Null ids and labels
-    teach nothing; a label of 1 or more is 1; repeated documents count once."""
+    hash, until their documents have ``passages`` passages; a document of more than
+    ``TRAIN_LONGEST`` passages teaches nothing. The sample depends on the rows alone.
+    Null ids and labels teach nothing; a label of 1 or more is 1; repeated
+    documents count once."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) >= 1).cast("int").alias("label"))
     known = known.dropna().distinct().orderBy(F.xxhash64("id", "label")).limit(rows)
 
@@ -194,18 +200,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         made = [encode(t) for t in texts]
         return pd.DataFrame({"n": [len(x) for x in made], "x": [x.ravel() for x in made]})
 
+    @F.pandas_udf("int")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: -(-len((t or "").split()) // PASSAGE_WORDS))
+
     found = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .join(F.broadcast(known), "id")  # at most ``rows`` pairs
              .withColumn("key", F.xxhash64("id", "text")).dropDuplicates(["key", "label"]))
+    found = found.withColumn("size", F.greatest(size("text"), F.lit(1))).filter(F.col("size") <= TRAIN_LONGEST)
+    found = stored(found.select("key", "label", "size", "text"), "labelled")
+    # one task adds up the sizes of at most ``rows`` documents, without their texts
+    total = F.sum("size").over(Window.orderBy("key", "label").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = found.select("key", "label", total.alias("total")).filter(F.col("total") <= passages).drop("total")
+    sample = found.join(F.broadcast(chosen), ["key", "label"]).select("label", encoded("text").alias("e")).select("label", "e.n", "e.x")
     bags: list[np.ndarray] = []
     y: list[int] = []
-    held = 0
-    sample = found.select("key", "label", encoded("text").alias("e")).select("key", "label", "e.n", "e.x")
     for r in sample.toLocalIterator():
-        if held + r["n"] <= passages:
-            bags.append(np.array(r["x"], np.float32).reshape(r["n"], DIMS))
-            y.append(r["label"])
-            held += r["n"]
+        bags.append(np.array(r["x"], np.float32).reshape(r["n"], DIMS))
+        y.append(r["label"])
     order = sorted(range(len(bags)), key=lambda i: (bags[i].shape[0], bags[i].tobytes()))
     return train([bags[i] for i in order], np.array([y[i] for i in order], float))
 
