@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from binsight.session import scratch_path, ship_package
 
 _NORMAL_WORD = re.compile(r"[^\W_]+")
+# Thai, Lao, Myanmar, Khmer, kana, Chinese characters
+_RANGES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_RANGES}]")
+_CHARACTER_WORD = re.compile(f"(?!_)(?=\\w)[{_RANGES}]|[^\\W_{_RANGES}]+")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,8 +54,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def normal_words(text: str | None) -> list[str]:
-    """Lower-cased letter and digit runs, for matching across punctuation."""
-    return _NORMAL_WORD.findall(text.lower()) if text else []
+    """Lower-cased letter and digit runs, for matching across punctuation; scripts
+    written without spaces between words are cut into their characters."""
+    if not text:
+        return []
+    return (_CHARACTER_WORD if _UNSPACED.search(text) else _NORMAL_WORD).findall(text.lower())
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -3,20 +3,23 @@
 The index holds the test items and the training passages are the queries. Impacts
 are BM25 weights divided by the score an item gives itself, so one threshold
 holds for all items. Spark computes the statistics and impacts; the index is cut
-into shards of a bounded number of words, each broadcast on its own, and
-documents are matched where they lie, without a shuffle.
+into shards of a bounded number of words (an item that is longer is a shard of
+its own), each broadcast on its own, and documents are matched where they lie,
+without a shuffle. One shard at a time is in memory.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import free_name, normal_words, stored
 
@@ -25,7 +28,7 @@ THRESHOLD = 0.6  # of the item's score for itself
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK_ITEMS = 4  # items under one block maximum
-SHARD_WORDS = 100_000  # words of the items in one broadcast shard, at most
+SHARD_WORDS = 100_000  # words of the items in one broadcast shard, at most, but for a longer item
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _ANSWER = re.compile(r"(?i)(?:^|\n|\s)(?:answer|a)\s*:\s*")
@@ -47,6 +50,12 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return w[:-k], w[-k:]
 
 
+def holds(part: list[str], passage: list[str]) -> bool:
+    """The words of ``part`` follow each other somewhere in the passage."""
+    n = len(part)
+    return any(passage[i:i + n] == part for i in range(len(passage) - n + 1))
+
+
 def _grams(w: list[str], n: int) -> set[tuple[str, ...]]:
     n = max(1, min(n, len(w)))
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if w else set()
@@ -67,6 +76,8 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], postings: list[tuple[int, str, float]]):
         self.ids = [i for i, _ in items]
         self.parts = [question_answer(t) for _, t in items]
+        # too few words for question and answer: the whole sequence has to be there
+        self.short = {i: w for i, (_, t) in enumerate(items) if len(w := normal_words(t)) < SHINGLE}
         self.longest = max((len(q) + len(a) for q, a in self.parts), default=1)
         by_term: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for row, term, impact in postings:
@@ -161,6 +172,8 @@ class Index:
             for item, score in self.search(terms.tolist(), threshold):
                 q, ans = self.parts[item]
                 passage = w[max(0, a - half):b + half]
+                if item in self.short and not holds(self.short[item], passage):
+                    continue
                 qo = overlap(q, passage)
                 ao = overlap(ans, passage) if qo >= least else 0.0
                 if qo >= least and ao >= least and (item not in best or score > best[item][1]):
@@ -168,51 +181,57 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-def indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", least_words: int = SHINGLE,
-            shard_words: int = SHARD_WORDS) -> list[Broadcast]:
-    """The broadcast shards of the index of all items of ``least_words`` words or more.
+def _items(bench: DataFrame, id_col: str, text_col: str, shard_words: int) -> DataFrame:
+    """(row, item, text, n, shard) of the distinct items with words, stored. Shards are cut
+    from running totals of words within hashed buckets, so none exceeds ``shard_words``
+    but by its last item; a longer item has a shard of its own."""
 
-    An item of fewer words is no evidence and is left out; repeated items are
-    indexed once. An item of more than ``shard_words`` words raises ValueError.
-    """
+    @F.pandas_udf("int")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(normal_words(t)))
+
+    items = (bench.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+             .distinct().withColumn("n", size("text")).filter("n > 0"))
+    items = stored(items.withColumn("row", F.monotonically_increasing_id()), "benchmark")
+    words = items.agg(F.sum("n")).first()[0] or 0
+    small = F.col("n") <= shard_words // 2
+    bucket = F.expr(f"pmod(xxhash64(row), {max(1, -(-words // (10 * shard_words)))})")
+    before = F.sum("n").over(Window.partitionBy(bucket, small).orderBy("row")) - F.col("n")
+    own = F.concat(F.lit("row "), F.col("row").cast("string"))
+    part = F.concat_ws(" ", bucket.cast("string"), F.floor(before / (shard_words // 2 + 1)).cast("string"))
+    return stored(items.withColumn("shard", F.when(small, part).otherwise(own)), "benchmark-shards")
+
+
+def indexes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text",
+            shard_words: int = SHARD_WORDS) -> Iterator[Broadcast]:
+    """The broadcast shards of the index, one after the other: a shard is made when
+    it is asked for, so the driver holds two at most. All items with words are indexed,
+    repeated ones once."""
     spark = bench.sparkSession
 
     @F.pandas_udf("array<string>")
     def terms(texts: pd.Series) -> pd.Series:
         return texts.map(normal_words)
 
-    items = (bench.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .distinct().withColumn("terms", terms("text")).withColumn("n", F.size("terms"))
-             .filter(F.col("n") >= least_words))
-    items = stored(items.withColumn("row", F.monotonically_increasing_id()), "benchmark")
-    size = items.agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    items = _items(bench, id_col, text_col, shard_words)
+    size = items.agg(F.count("*").alias("items"), F.sum("n").alias("words")).first()
     if not size["items"]:
-        return []
-    if size["longest"] > shard_words:
-        raise ValueError(f"an item has {size['longest']} words; a shard holds {shard_words}")
-    shards = -(-2 * size["words"] // shard_words) if size["words"] > shard_words else 1
-    each = items.select("row", "n", F.explode("terms").alias("term")).groupBy("row", "n", "term").agg(
+        return
+    each = items.select("row", "n", "shard", F.explode(terms("text")).alias("term")).groupBy("row", "n", "shard", "term").agg(
         F.count("*").alias("tf"))
     df = each.groupBy("term").agg(F.count("*").alias("df"))
     mean = size["words"] / size["items"]
     impact = (F.log1p((size["items"] - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1)
               / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean)))
-    weights = each.join(df, "term").select("row", "term", impact.alias("w"))
+    weights = each.join(df, "term").select("row", "shard", "term", impact.alias("w"))
     own = weights.groupBy("row").agg(F.sum("w").alias("own"))
-    weights = stored(weights.join(own, "row").select("row", "term", (F.col("w") / F.col("own")).alias("impact")),
-                     "impacts")
-    out = []
-    for s in range(shards):
-        in_shard = F.expr(f"pmod(xxhash64(row), {shards}) = {s}")
-        held = items.filter(in_shard)
-        if shards > 1 and (held.agg(F.sum("n")).first()[0] or 0) > shard_words:
-            raise ValueError(f"shard {s} of {shards} has more than {shard_words} words")
-        rows = held.select("row", "item", "text").orderBy("row").collect()
+    weights = stored(weights.join(own, "row").select("row", "shard", "term", (F.col("w") / F.col("own")).alias("impact")), "impacts")
+    for shard in sorted(r[0] for r in items.select("shard").distinct().collect()):
+        rows = items.filter(F.col("shard") == shard).select("row", "item", "text").orderBy("row").collect()
         place = {r["row"]: i for i, r in enumerate(rows)}
-        out.append(spark.sparkContext.broadcast(Index(
+        yield spark.sparkContext.broadcast(Index(
             [(r["item"], r["text"]) for r in rows],
-            [(place[r["row"]], r["term"], r["impact"]) for r in weights.filter(in_shard).collect()])))
-    return out
+            [(place[r["row"]], r["term"], r["impact"]) for r in weights.filter(F.col("shard") == shard).collect()]))
 
 
 def matched(index: Broadcast, text: Column, item_type: str, threshold: float = THRESHOLD,
@@ -236,7 +255,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     An item counts if some passage scores ``threshold`` or more of the item's
     own score and holds ``least`` or more of the word five-grams of its question
-    and of its answer. Null and empty texts, and items without five words, match
+    and of its answer; an item of fewer than five words, if all of them follow each
+    other there. A word is a run of letters or digits, or one character of a
+    script without spaces. Null and empty texts and items without words match
     nothing; repeated documents are reported each; ids may be null; other
     columns are not looked at. Without items or documents there are no rows.
     """
@@ -244,7 +265,12 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = docs.sparkSession.createDataFrame(
         [], f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, "
             "first_word int")
+    before = None
     for index in indexes(bench, item_col, item_text_col):
+        if before is not None:
+            found = stored(found, "contamination")
+            before.destroy()
+        before = index
         found = found.union(docs.select(F.col(id_col).alias("doc_id"), F.explode(
             matched(index, F.col(text_col), item_kind, threshold, least)).alias("m")).select("doc_id", "m.*"))
     return found
@@ -252,13 +278,19 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
                    item_text_col: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
-    """``docs`` without the rows that hold a test item, all columns as they were."""
+    """``docs`` without the rows that hold a test item, all columns as they were.
+
+    What holds an item is told by ``contamination``: null and empty texts stay, every
+    copy of a row that holds one goes; ids may be null; columns of any name stay.
+    """
     kind = bench.schema[item_col].dataType.simpleString()
-    shards = indexes(bench, item_col, item_text_col)
     hit = free_name(docs, "hits")
-    for n, index in enumerate(shards):
-        if n:
-            docs = stored(docs, "decontaminated")  # one shard at a time in the executors' memory
+    before = None
+    for index in indexes(bench, item_col, item_text_col):
+        if before is not None:
+            docs = stored(docs, "decontaminated")  # one shard at a time in memory
+            before.destroy()
+        before = index
         docs = docs.withColumn(hit, matched(index, F.col(text_col), kind, threshold, least)).filter(
             F.size(hit) == 0).drop(hit)
     return docs
