@@ -431,3 +431,43 @@ def test_pipeline_against_plain_stages(spark):
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
     assert _re.sub(r"\D", "", str(packed.count()))
+
+
+def test_every_benchmark_item_is_looked_for(spark):
+    """Short items, unsegmented scripts, items beyond a shard, and many shards."""
+    rnd = random.Random(9)
+    long_item = " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(150_000))
+    chinese = "敏捷的棕色狐狸跳过了懒狗然后它又回到山上看着其他七只动物吃草"
+    others = [(10 + i, " ".join(f"t{rnd.randrange(5000)}" for _ in range(40))) for i in range(60)]
+    items = [(1, "whoami"), (2, "open the pod bay"), (3, chinese), (4, long_item), *others]
+    docs = [(1, "Just type whoami now."), (2, "He said: Open the pod-bay doors"), (3, "open the bay pod the"), (4, f"前言 {chinese}。后记"),
+            (5, "x " * 100 + long_item + " y" * 50), (6, others[7][1] + ". " + others[40][1]), (7, None), (8, "nothing here"),
+            (9, chinese[:12] + "别的" + chinese[14:15])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(i, t, 1, "h") for i, t in docs], "doc_id long, text string, shard int, hits string")
+    want = {(1, 1), (2, 2), (4, 3), (5, 4), (6, 17), (6, 50)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(table, bench).collect()}
+    assert got == want
+    assert len(list(decontaminate.indexes(bench, shard_words=800))) > 3
+    left = decontaminate.decontaminated(table, bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 7, 8, 9] and left.columns == table.columns
+
+
+def test_training_sample_depends_on_the_rows_alone(spark):
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{j % 7}" for j in range(64 * (1 + i % 5)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    models = [quality.fit(docs.repartition(n), labels.repartition(7 - n), passages=70) for n in (1, 3, 6)]
+    for m in models[1:]:
+        assert all(np.array_equal(m.weights[k], models[0].weights[k]) for k in m.weights)
+    assert not np.array_equal(quality.fit(docs, labels).weights["out"], models[0].weights["out"])
+
+
+def test_most_shared_sequences_come_from_the_program(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = packing.pieces(docs).groupBy("length").agg(F.count("*").alias("n")).collect()
+    report = {}
+    packing.plan([r["length"] for r in found], [r["n"] for r in found], report=report)
+    assert report["program"] > report["best_fit"]
+    tokens = sum(r["length"] * r["n"] for r in found)
+    assert sum(report.values()) <= -(-tokens // 1024) + 3

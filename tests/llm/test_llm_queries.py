@@ -94,7 +94,6 @@ def test_simhash_against_all_pairs(spark, docs):
 def test_packing_round_trip(spark, docs):
     got = run(spark, "op4_best_fit_packing", by=["doc_id", "piece"])
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for d, text in zip(docs.doc_id, docs.text):
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         mine = got[got.doc_id == d]
