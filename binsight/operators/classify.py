@@ -69,10 +69,10 @@ def mapped(scores: DataFrame, model: str | None) -> DataFrame:
     """``scores`` with ``known``: the labels that the taxonomy maps, best first
     (score descending, then label)."""
     look = _lookup(model)
-    all_ = F.transform("scores", lambda s: F.struct(
-        s["label"].alias("label"), look(s["label"])["category"].alias("category"),
-        look(s["label"])["ordinal"].alias("ordinal"), s["score"].alias("score")))
-    known = F.filter(all_, lambda s: s["category"].isNotNull())
+    # one lookup a label: the result is named before its fields are used
+    found = F.transform("scores", lambda s: F.struct(s["label"].alias("label"), look(s["label"]).alias("to"), s["score"].alias("score")))
+    known = F.transform(F.filter(found, lambda s: s["to"].isNotNull()), lambda s: F.struct(
+        s["label"].alias("label"), s["to"]["category"].alias("category"), s["to"]["ordinal"].alias("ordinal"), s["score"].alias("score")))
     return scores.withColumn("known", F.coalesce(F.array_sort(known, _better), F.array().cast(_KNOWN)))
 
 
