@@ -48,6 +48,7 @@ AGAINST_WORDS = r"version|release|section|chapter|page|isbn|issn|doi|figure|tabl
 
 ADD_AT = 0.9  # probability at which the classifier adds a span
 _CONTEXT = 24
+_FOLD = 256  # rows folded at once
 _VOTES = ("strict", "gazetteer", "context", "around", "variety")
 _FEATURES = ("pattern", "ok", "gazetteer", "context", "before_class", "after_class", "digits", "length")
 
@@ -70,8 +71,21 @@ def _found(text: Column, pattern: str) -> Column:
                        F.left(x["next"], F.lit(1)).alias("after")).cast(span)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    matched = F.filter(rows, lambda x: x["hit"].isNotNull())
-    return F.aggregate(matched, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return _in_blocks(F.filter(rows, lambda x: x["hit"].isNotNull()), none, step)["out"]
+
+
+def _in_blocks(rows: Column, none: Column, step) -> Column:
+    """Fold ``rows`` with ``step`` into struct(at, out), where each step appends to the array
+    ``out``. Blocks of rows are folded into short arrays of their own, which are then
+    appended as a whole: no step copies all that was found before."""
+    begin = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(_FOLD))
+    blocks = F.transform(begin, lambda i: F.slice(rows, i, _FOLD))
+
+    def block(acc: Column, some: Column) -> Column:
+        one = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(one), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))[0]
+
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block)
 
 
 def _digits(hit: Column) -> Column:
@@ -296,9 +310,9 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"),
                         F.when(fresh, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    parts = F.array(_in_blocks(ordered, F.array().cast("array<string>"), step))
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    clean = F.when(F.size(s) > 0, F.aggregate(ordered, start, step, rest)).otherwise(text)
+    clean = F.when(F.size(s) > 0, F.transform(parts, rest)[0]).otherwise(text)
     new = free_name(df, "clean")
     df = df.withColumn(new, clean)
     put = {c: F.col(f"`{c}`") for c in docs.columns}
