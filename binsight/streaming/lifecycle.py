@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from binsight import constants as C
 from binsight.operators import enrich as en
 from binsight.operators import ingest as ing
 from binsight.plans import jobs

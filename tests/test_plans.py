@@ -8,7 +8,7 @@ from binsight.plans.catalogue import QUERIES
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 PYTHON_OK = {"classify_batch", "enrich_batch", "stream_ingest"}
-STREAMS = {"stream_composition", "stream_ingest", "stream_files"}
+STREAMS = {"stream_composition", "stream_ingest", "stream_files", "stream_dedupe", "stream_lifecycle", "stream_top_brands"}
 
 
 def plan_text(df):

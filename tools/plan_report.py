@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STREAMS = {"stream_composition", "stream_ingest", "stream_files"}
+STREAMS = {"stream_composition", "stream_ingest", "stream_files", "stream_dedupe", "stream_lifecycle", "stream_top_brands"}
 
 
 def formatted(df) -> str:
