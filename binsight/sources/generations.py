@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,10 @@ _INTEGERS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}  # decimal di
 #: Types in which each value of the type in front stays what it is.
 _WIDER = {"float": {"double"}, "date": {"timestamp_ntz"}, "tinyint": {"float", "double"}, "smallint": {"float", "double"},
           "int": {"double"}}
-_EXACT = 2 ** 53  # integers up to here are doubles
 
 
 def widens(old: T.DataType, new: T.DataType) -> bool:
-    """``new`` holds every value of ``old``; bigint to double only up to 2^53, see ``append``."""
+    """``new`` holds every value of ``old``; bigint to double only if each value is a double, see ``append``."""
     a, b = old.simpleString(), new.simpleString()
     if b in _WIDER.get(a, ()) or (a, b) == ("bigint", "double"):
         return True
@@ -40,6 +39,13 @@ def widens(old: T.DataType, new: T.DataType) -> bool:
     return False
 
 
+def _no_double(name: str) -> Column:
+    """The bigint of this column changes its value as a double. Beyond 2^53 only multiples of
+    powers of two are doubles; those next to 2^63 round up to it, which no bigint is."""
+    as_double = F.col(name).cast("double")
+    return (as_double >= F.lit(2.0 ** 63)) | (as_double.try_cast("bigint") != F.col(name))
+
+
 def _generation(base: str, n: int) -> str:
     return f"{base.rstrip('/')}/g{n}"
 
@@ -55,8 +61,8 @@ def generations(spark: SparkSession, base: str) -> list[str]:
 def append(spark: SparkSession, df: DataFrame, base: str) -> int:
     """Append by column name; returns the number of the generation that got the rows.
 
-    A bigint column becomes double only while all its values are within 2^53
-    (checked by a query over that column).
+    A bigint column becomes double only while all its values are doubles (checked
+    by a query over that column).
     """
     gens = generations(spark, base)
     if not gens:
@@ -73,7 +79,7 @@ def append(spark: SparkSession, df: DataFrame, base: str) -> int:
         return len(gens) - 1
     for f in wider:
         if f.dataType == T.DoubleType() and newest[f.name] == T.LongType():
-            if not read(spark, base).filter((F.col(f.name) > _EXACT) | (F.col(f.name) < -_EXACT)).limit(1).isEmpty():
+            if not read(spark, base).filter(_no_double(f.name)).limit(1).isEmpty():
                 raise tb.SchemaConflictError(f"column {f.name}: the table has integers that are no doubles")
     have = set(df.columns)
     rows = df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in newest.items() if c not in have))

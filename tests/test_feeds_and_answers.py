@@ -45,6 +45,20 @@ def test_integers_that_are_no_doubles_keep_the_type(spark):
         gen.read(spark, scratch_path(spark, "none"))
 
 
+def test_integers_beyond_2_53_widen_if_they_are_doubles(spark):
+    base = scratch_path(spark, "wide")
+    exact = [2 ** 53 + 2, 6_000_001 * 4_000_000_000, -(2 ** 60), 2 ** 63 - 1024, -(2 ** 63), None]
+    gen.append(spark, frame(spark, "bigint", *((str(v), v) for v in exact)), base)
+    assert gen.append(spark, frame(spark, "double", ("x", 0.5)), base) == 1
+    got = {r.filename: r.v for r in gen.read(spark, base).collect()}
+    assert got == {"x": 0.5} | {str(v): v if v is None else float(v) for v in exact}
+    for v in (2 ** 53 + 1, -(2 ** 53) - 1, 2 ** 60 + 1, 2 ** 63 - 1, 2 ** 63 - 511, -(2 ** 63) + 1):
+        base = scratch_path(spark, "wide")
+        gen.append(spark, frame(spark, "bigint", ("a", 1), ("b", v)), base)
+        with pytest.raises(tb.SchemaConflictError):
+            gen.append(spark, frame(spark, "double", ("x", 0.5)), base)
+
+
 def test_equal_images_are_asked_once_also_by_a_failed_task(spark, tmp_dir):
     calls = os.path.join(tmp_dir, "calls")
     os.makedirs(calls)
