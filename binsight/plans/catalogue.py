@@ -554,20 +554,22 @@ def q_stream_lifecycle(spark, d):
 
     from binsight.session import scratch_path
     from binsight.sources import table as tb
-    from binsight.streaming.lifecycle import SecondTry, start_lifecycle
+    from binsight.streaming.lifecycle import SecondTry, described, start_lifecycle
     arrivals = dt.stream_events_parts(spark, d).filter("event_type = 'error'").select(
         fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
-    table = scratch_path(spark, "cycle")
-    expected = en.pending(dt.items(spark, d)).count()
-    q = start_lifecycle(arrivals, table, scratch_path(spark, "cycle-ckpt"), scratch_path(spark, "cycle-work"), SecondTry,
+    table, work = scratch_path(spark, "cycle"), scratch_path(spark, "cycle-work")
+    expected = en.pending(dt.items(spark, d)).select("filename").dropna().distinct().count()
+    q = start_lifecycle(arrivals, table, scratch_path(spark, "cycle-ckpt"), work, SecondTry,
                         wait_s=1.0, trigger={"processingTime": "1 second"}, backoff_s=0.0)
-    until = time.monotonic() + 600
+    done, since = -1, time.monotonic()
     try:
-        while q.isActive and not (tb.exists(spark, table)
-                                  and tb.read_table(spark, table).filter("description <> ''").count() == expected):
-            if time.monotonic() > until:
-                raise TimeoutError("items not settled")
+        while q.isActive and done < expected:
             time.sleep(1)
+            before, done = done, described(spark, work).count()
+            if done > before:
+                since = time.monotonic()
+            elif time.monotonic() - since > 600:
+                raise TimeoutError(f"no more items settled for 600 s: {done} of {expected}")
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
     finally:

@@ -8,7 +8,8 @@ session registers the folder again on first use.
 * ``append`` creates the table or inserts by column name; new columns are added
   to the table.
 * ``replace`` writes the next version of the table into a folder of its own and
-  points the catalog to it, so readers never see half of it.
+  points the catalog to it, so readers never see half of it. Threads of one
+  process may read, and ask whether there is a table, while another one does so.
 * ``merge_partitions`` stores the merged rows of the touched capture dates
   beside the table, checks that nothing was appended to these dates meanwhile,
   and lets a dynamic partition overwrite insert the stored rows. If that breaks
@@ -21,6 +22,7 @@ Two merges of one table must not run at the same time.
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 
 from pyspark.errors import AnalysisException
@@ -32,6 +34,10 @@ from binsight.session import shared_dir
 
 PARTITION_COL = "capture_date"
 _VERSION = "v"  # folders of the versions
+#: Held while a table leaves the catalog and comes back with its next version, and by whatever
+#: looks a table up, so that a reader in another thread neither misses it nor registers it itself.
+_SWITCHING = threading.RLock()
+_UNFINISHED: set[str] = set()  # versions that this process is writing: not there yet for its other threads
 
 
 class SchemaConflictError(ValueError):
@@ -107,20 +113,22 @@ def location(spark: SparkSession, table: str) -> str:
 def exists(spark: SparkSession, table: str) -> bool:
     """The table is in the catalog, or its folder holds a version, which is registered
     then. A version that no finished write marked is refused, not taken for absent."""
-    if spark.catalog.tableExists(name_of(table)):
+    with _SWITCHING:
+        if spark.catalog.tableExists(name_of(table)):
+            return True
+        base = base_of(spark, table)
+        found = [w for w in (f"{base}/{_VERSION}={n}" for n in versions(spark, table)) if w not in _UNFINISHED]
+        if not found:
+            return False
+        where = found[-1]
+        if not committed(spark, where):
+            raise UnmarkedTableError(f"{where} holds files of an unfinished write; refusing to use it")
+        schema = spark.read.option("mergeSchema", "true").parquet(where).schema
+        partitioned = PARTITION_COL in schema.names
+        _register(spark, table, schema, where, partitioned)
+        if partitioned:
+            spark.catalog.recoverPartitions(name_of(table))
         return True
-    found = versions(spark, table)
-    if not found:
-        return False
-    where = f"{base_of(spark, table)}/{_VERSION}={found[-1]}"
-    if not committed(spark, where):
-        raise UnmarkedTableError(f"{where} holds files of an unfinished write; refusing to use it")
-    schema = spark.read.option("mergeSchema", "true").parquet(where).schema
-    partitioned = PARTITION_COL in schema.names
-    _register(spark, table, schema, where, partitioned)
-    if partitioned:
-        spark.catalog.recoverPartitions(name_of(table))
-    return True
 
 
 def _require(spark: SparkSession, table: str, wait_s: float = 60.0) -> str:
@@ -136,16 +144,23 @@ def _require(spark: SparkSession, table: str, wait_s: float = 60.0) -> str:
 
 
 def is_partitioned(spark: SparkSession, table: str) -> bool:
-    return exists(spark, table) and PARTITION_COL in spark.table(name_of(table)).columns
+    return exists(spark, table) and PARTITION_COL in _found(spark, name_of(table)).columns
 
 
 def with_partition(df: DataFrame, time_col: str = "time") -> DataFrame:
     return df if PARTITION_COL in df.columns else df.withColumn(PARTITION_COL, F.to_date(time_col))
 
 
+def _found(spark: SparkSession, name: str) -> DataFrame:
+    """The current version of a table of the catalog."""
+    with _SWITCHING:
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
+
+
 def schema_of(spark: SparkSession, table: str) -> T.StructType:
     """The table's columns without the partition column."""
-    return T.StructType([f for f in spark.table(_require(spark, table)).schema.fields if f.name != PARTITION_COL])
+    return T.StructType([f for f in _found(spark, _require(spark, table)).schema.fields if f.name != PARTITION_COL])
 
 
 def read_table(spark: SparkSession, table: str, schema: T.StructType | None = None,
@@ -153,9 +168,7 @@ def read_table(spark: SparkSession, table: str, schema: T.StructType | None = No
     """The table; columns added by later appends read as NULL in older rows. The
     partition column is dropped unless ``keep_partition``; ``schema`` picks columns.
     A missing table raises ``TableMissingError``."""
-    name = _require(spark, table, wait_s)
-    spark.catalog.refreshTable(name)
-    df = spark.table(name)
+    df = _found(spark, _require(spark, table, wait_s))
     if PARTITION_COL in df.columns and not keep_partition:
         df = df.drop(PARTITION_COL)
     return df.select(*schema.names) if schema else df
@@ -234,16 +247,21 @@ def replace(spark: SparkSession, df: DataFrame, table: str, partitioned: bool =
     n = int(location(spark, table).rsplit("=", 1)[1]) + 1 if known else 0
     where = f"{base}/{_VERSION}={n}"
     rows = _ordered(df, partitioned)
-    writer = rows.write.mode("overwrite")  # a version that was broken off is written anew
-    (writer.partitionBy(PARTITION_COL) if partitioned else writer).parquet(where)
-    if same_rows and known and _grown(read_table(spark, table, keep_partition=True), spark.read.schema(rows.schema).parquet(where)):
-        delete(spark, where)
-        raise MergeConflictError(f"{table} changed while its next version was written")
-    if known:
-        spark.sql(f"DROP TABLE {name}")  # the files stay: their folder is named by the table
-    _register(spark, table, rows.schema, where, partitioned)
-    if partitioned:
-        spark.catalog.recoverPartitions(name)
+    _UNFINISHED.add(where)
+    try:
+        writer = rows.write.mode("overwrite")  # a version that was broken off is written anew
+        (writer.partitionBy(PARTITION_COL) if partitioned else writer).parquet(where)
+        if same_rows and known and _grown(read_table(spark, table, keep_partition=True), spark.read.schema(rows.schema).parquet(where)):
+            delete(spark, where)
+            raise MergeConflictError(f"{table} changed while its next version was written")
+        with _SWITCHING:
+            if known:
+                spark.sql(f"DROP TABLE {name}")  # the files stay: their folder is named by the table
+            _register(spark, table, rows.schema, where, partitioned)
+            if partitioned:
+                spark.catalog.recoverPartitions(name)
+    finally:
+        _UNFINISHED.discard(where)
     if n >= keep:
         delete(spark, f"{base}/{_VERSION}={n - keep}")
     return n

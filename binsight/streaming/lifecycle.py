@@ -19,7 +19,7 @@ import base64
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,50 +50,47 @@ class ItemCycle(StatefulProcessor):
         self.cycle = handle.getValueState("cycle", "status string, attempt int, time timestamp_ntz")
 
     def _set_timer(self, at_ms: int) -> None:
+        self._drop_timers()
+        self.handle.registerTimer(at_ms)
+
+    def _drop_timers(self) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_ms)
 
-    def _frame(self, rows: list) -> Iterator:
-        import pandas as pd
-        if rows:
-            yield pd.DataFrame(rows, columns=["filename", "time", "action", "attempt"])
-
-    def _ask(self, name, time, attempt: int, now: int) -> tuple:
-        self.cycle.update((_ASKED, attempt, time))
-        self._set_timer(now + self.lost_ms)
-        return name, time, ASK, attempt
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        now, out = timerValues.getCurrentProcessingTimeInMs(), []
-        for pdf in rows:
-            for time, event, attempt in zip(pdf["time"], pdf["event"], pdf["attempt"]):
-                state = self.cycle.get() if self.cycle.exists() else None
-                if event == ARRIVED:
-                    if state is None:  # a repeated arrival changes nothing
-                        out.append(self._ask(key[0], time.to_pydatetime() if time == time else None, 1, now))
-                elif state is not None and state[0] == _ASKED and state[1] == attempt:
-                    if event == REJECTED and attempt < self.most:
-                        self.cycle.update((_WAITING, attempt, state[2]))
-                        self._set_timer(now + self.wait_ms * 2 ** (int(attempt) - 1))
-                        continue
-                    if event == REJECTED:
-                        out.append((key[0], state[2], GIVEN_UP, int(attempt)))
-                    self.cycle.update((_DONE, int(attempt), state[2]))
-                    for old in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(old)
-        yield from self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        state = self.cycle.get()
+        for row in rows:
+            time, event, attempt = row.time, row.event, row.attempt
+            if event == ARRIVED:
+                if state is None:  # a repeated arrival changes nothing
+                    state = (_ASKED, 1, time)
+                    self.cycle.update(state)
+                    self.handle.registerTimer(now + self.lost_ms)
+                    yield Row(filename=key[0], time=time, action=ASK, attempt=1)
+            elif state is not None and state[0] == _ASKED and state[1] == attempt:
+                if event == REJECTED and attempt < self.most:
+                    state = (_WAITING, attempt, state[2])
+                    self.cycle.update(state)
+                    self._set_timer(now + self.wait_ms * 2 ** (attempt - 1))
+                    continue
+                if event == REJECTED:
+                    yield Row(filename=key[0], time=state[2], action=GIVEN_UP, attempt=attempt)
+                state = (_DONE, attempt, state[2])
+                self.cycle.update(state)
+                self._drop_timers()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, attempt, time = self.cycle.get()
         if status == _DONE:
             return
-        now = timerValues.getCurrentProcessingTimeInMs()
         if attempt < self.most:
-            yield from self._frame([self._ask(key[0], time, attempt + 1, now)])
+            self.cycle.update((_ASKED, attempt + 1, time))
+            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.lost_ms)
+            yield Row(filename=key[0], time=time, action=ASK, attempt=attempt + 1)
         else:  # the last answer never came
             self.cycle.update((_DONE, attempt, time))
-            yield from self._frame([(key[0], time, GIVEN_UP, attempt)])
+            yield Row(filename=key[0], time=time, action=GIVEN_UP, attempt=attempt)
 
     def close(self) -> None:
         pass
@@ -107,7 +104,7 @@ def due_items(events: DataFrame, wait_s: float = 60.0, lost_s: float = 3600.0, m
     ship_package(events.sparkSession)
     cycle = ItemCycle(int(wait_s * 1000), int(lost_s * 1000), most)
     return (events.filter(F.col("filename").isNotNull()).groupBy("filename")
-            .transformWithStateInPandas(cycle, _DUE, "Append", "ProcessingTime"))
+            .transformWithState(cycle, _DUE, "Append", "ProcessingTime"))
 
 
 def _by_name(due: DataFrame) -> DataFrame:
@@ -180,6 +177,13 @@ class SecondTry:
                            "brand": f"Brand#{n % 25 + 1}", "description": f"item {n}, try {attempt}"})
 
 
+def described(spark: SparkSession, work_dir: str) -> DataFrame:
+    """Names of the items whose answer has been merged. An outcome is written after its
+    batch's merge, so this never touches a table that a batch is about to replace."""
+    told = spark.read.schema(EVENT).option("basePath", f"{work_dir}/outcomes").parquet(f"{work_dir}/outcomes/epoch=*")
+    return told.filter(F.col("event") == DESCRIBED).select("filename").distinct()
+
+
 def unsettled(spark: SparkSession, work_dir: str) -> DataFrame:
     """Items asked so far whose last known outcome is a rejection."""
     told = spark.read.schema(EVENT).option("basePath", f"{work_dir}/outcomes").parquet(f"{work_dir}/outcomes/epoch=*")

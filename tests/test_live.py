@@ -244,6 +244,31 @@ def test_rejected_items_are_asked_again_across_a_restart(spark, tmp_dir):
     assert described() == {"one-a": "try 1", "one-b": "try 1", "two-a": "try 2", "three-b": "try 3"}
 
 
+def test_a_table_may_be_looked_up_while_another_thread_replaces_it(spark):
+    import threading
+    table, seen, failed, stop = scratch_path(spark, "watched"), set(), [], threading.Event()
+
+    def look():
+        while not stop.is_set():
+            try:
+                if tb.exists(spark, table):
+                    seen.add(len(tb.schema_of(spark, table)))
+                    tb.read_table(spark, table)
+            except Exception as e:
+                failed.append(e)
+                return
+
+    watcher = threading.Thread(target=look)
+    watcher.start()
+    try:
+        for n in range(8):
+            tb.replace(spark, spark.range(n + 1), table, keep=100)
+    finally:
+        stop.set()
+        watcher.join()
+    assert failed == [] and seen == {1} and tb.read_table(spark, table).count() == 8
+
+
 # --- array feeds -----------------------------------------------------------------------------
 
 def whole_array(spark, path):
