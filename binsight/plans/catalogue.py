@@ -428,9 +428,12 @@ def q_feed_schema_evolution(spark, d):
     return tb.read_table(spark, path).select("filename", "description", "brand", "weight")
 
 
+FEED_ROWS = 100_000  # items of one array file
+
+
 def _array_feed(spark, d) -> str:
-    """One JSON array file of all items, with brackets, quotes and escapes in some
-    texts; its last element has no file name."""
+    """JSON array files of all items, with brackets, quotes and escapes in some texts;
+    the last element of each has no file name. A file holds about ``FEED_ROWS`` items."""
     from binsight.session import scratch_path
     path = scratch_path(spark, "array")
     items = dt.items(spark, d)
@@ -438,19 +441,34 @@ def _array_feed(spark, d) -> str:
     hostile = F.when(number % 3 == 0, F.concat("description", F.lit('"}],[{\\"'))).when(
         number % 3 == 1, F.concat("description", F.lit("\\"))).otherwise(F.col("description"))
     rows = items.withColumn("description", hostile).withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"))
-    text = rows.select(F.concat(F.to_json(F.struct(*rows.columns)), F.lit(",")).alias("value"))
-    ends = [spark.range(1).select(F.lit(x).alias("value")) for x in ("[", '{"brand": "end"}', "]")]
-    ends[0].union(text).union(ends[1]).union(ends[2]).coalesce(1).write.text(path)
+    text = F.concat(F.to_json(F.struct(*rows.columns)), F.lit(","))
+    files = max(1, -(-dt.table(spark, d, "events").count() // FEED_ROWS))
+    file = F.pmod(F.xxhash64("filename", "time"), F.lit(files))
+    ends = spark.range(files).select(F.col("id").alias("file"), F.inline(F.array(*(
+        F.struct(F.lit(place).alias("place"), F.lit(x).alias("value")) for place, x in ((0, "["), (2, '{"brand": "end"}'), (3, "]"))))))
+    lines = rows.select(file.alias("file"), F.lit(1).alias("place"), text.alias("value")).union(ends)
+    (lines.repartition(files, "file").sortWithinPartitions("file", "place").select("value", "file")
+     .write.partitionBy("file").option("maxRecordsPerFile", 0).text(path))
     return path
 
 
+FEED_RANGES = 256  # that a feed of 16 MB or more is read in at least
+
+
+def _range_size(spark, path: str) -> int:
+    """Bytes of a range: 64 KB for a small feed, the session's size for a large one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(64 << 10, min(size // FEED_RANGES, 128 << 20))
+
+
 @register("json_array_feed")
 def q_json_array_feed(spark, d):
-    """The array file read by many tasks: a range of 64 KB each here."""
+    """The array files read by many tasks: each in ranges, of 64 KB for a small feed."""
     from binsight.sources.json_array import read_array
     path = _array_feed(spark, d)
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(_range_size(spark, path)))
     try:
         good, _ = read_array(spark, path)
         return good.select("filename", fc.parse_time("time", zoned=False).alias("time"), "description", "brand", "is_recyclable")

@@ -144,3 +144,23 @@ def test_sql_arguments_are_values(spark):
             item_sql.count_by(spark, key)
     item_sql.register(spark, items(spark, SF).filter("brand = 'Brand#19'"))  # again, over other items
     assert item_sql.of_brand(spark, "Brand#18").count() == 0
+
+
+def test_a_larger_feed_has_more_array_files_and_larger_ranges(spark, tmp_dir, monkeypatch):
+    import glob
+    import json
+    from binsight.plans import catalogue
+    spark.range(900).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "'view' AS event_type",
+                                "concat('{\"k\": ', id % 3, '}') AS props").write.parquet(f"{tmp_dir}/events.parquet")
+    spark.range(3).selectExpr("id AS p_partkey", "concat('red anvil ', id) AS p_name", "'Brand#1' AS p_brand").write.parquet(
+        f"{tmp_dir}/part.parquet")
+    monkeypatch.setattr(catalogue, "FEED_ROWS", 100)
+    path = catalogue._array_feed(spark, tmp_dir)
+    arrays = [json.load(open(f)) for f in glob.glob(f"{path}/file=*/part-*")]
+    assert len(arrays) == 9 and all(a[-1] == {"brand": "end"} for a in arrays)
+    assert sorted(int(x["filename"][:-4]) for a in arrays for x in a[:-1]) == list(range(900))
+    assert catalogue._range_size(spark, path) == 64 << 10
+    monkeypatch.setattr(catalogue, "FEED_RANGES", 1)
+    assert catalogue._range_size(spark, path) > 64 << 10
+    rows = catalogue.QUERIES["json_array_feed"](spark, tmp_dir).collect()
+    assert sorted(int(r.filename[:-4]) for r in rows) == list(range(900))
