@@ -4,15 +4,20 @@ The answer table holds one row for each SHA-256 of an image's bytes. Names are
 resolved to hashes, hashes without an answer are asked through one image each, and
 every name takes the answer of its hash.
 
-An answer is written in two phases: the task notes it in a journal, one small file
-for each hash, as soon as the provider has replied; when all are in, Spark writes the
-answer table. A task that is run again (retried, or a second time because it was
-slow) finds the journal and does not ask again, and so does a job that is repeated
-before the answer table was written.
+An answer is written in two phases: the task notes it in a journal as soon as the
+provider has replied; when all are in, Spark writes the answer table. A task that is
+run again (retried, or a second time because it was slow) finds the journal and does
+not ask again, and so does a job that is repeated before the answer table was written.
+
+The journal is made of segments, files of a line for each answer, in a folder for each
+run and in it for each task's partition. A task looks into its own folder alone; what
+earlier runs have noted is joined by Spark.
 """
 
 from __future__ import annotations
 
+import base64
+import time
 import uuid
 from collections.abc import Callable
 
@@ -26,33 +31,92 @@ from binsight.sources import table as tb
 from binsight.sources.named_files import open_system
 
 
+SEGMENT_S = 1.0  # after so many seconds a segment is closed
+
+
 class Journaled:
-    """A provider that notes each answer under the hash it was asked about."""
+    """A provider that notes each answer under the hash it was asked about.
+
+    A line (hash, base64 of the answer, a dot) is handed to the file system as soon as
+    the provider has replied. Where files are seen only when they are whole (object
+    stores), that is when the segment is closed: by the first answer that is a second
+    or more behind the last closing, so at once if the provider is slow, and when the
+    task ends or fails. The files grow with the seconds spent asking, not with the answers.
+    """
 
     def __init__(self, provider: Callable[[str, str], str], folder: str):
         self.provider = provider
         self.system, self.folder = open_system(folder)
-        self.system.create_dir(self.folder, recursive=True)
+        self.task = self.segment = None
 
-    def _noted(self, path: str) -> str | None:
+    def _begin(self, task: int, partition: int) -> None:
+        """Read what other attempts of this task have noted; a line that broke off is passed over."""
         from pyarrow import fs
-        if self.system.get_file_info(path).type == fs.FileType.NotFound:
-            return None
-        with self.system.open_input_stream(path) as f:
-            return f.read().decode()
+        self.end_task()
+        self.at = f"{self.folder}/{partition}"
+        self.system.create_dir(self.at, recursive=True)
+        self.noted = {}
+        for info in self.system.get_file_info(fs.FileSelector(self.at)):
+            with self.system.open_input_stream(info.path) as f:
+                for line in f.read().split(b"\n"):
+                    parts = line.split(b" ")
+                    if len(parts) == 3 and parts[2] == b".":
+                        self.noted[parts[0].decode()] = base64.b64decode(parts[1]).decode()
+        self.task, self.closed = task, time.monotonic()
+
+    def _note(self, sha: str, answer: str) -> None:
+        line = f"{sha} {base64.b64encode(answer.encode()).decode()} .\n".encode()
+        try:
+            if self.segment is None:
+                self.segment = self.system.open_output_stream(f"{self.at}/{uuid.uuid4().hex}")
+            self.segment.write(line)
+            self.segment.flush()
+        except Exception:
+            self._close()  # the next line goes into a segment of its own, not behind half a line
+            raise
+        if time.monotonic() - self.closed >= SEGMENT_S:
+            self._close()
+
+    def _close(self) -> None:
+        segment, self.segment = self.segment, None
+        if segment is not None:
+            segment.close()
+        self.closed = time.monotonic()
+
+    def end_task(self) -> None:
+        self._close()
+        self.task, self.noted = None, {}
 
     def __call__(self, sha: str, request: str) -> str:
-        path = f"{self.folder}/{sha}"
-        answer = self._noted(path)
+        from pyspark import TaskContext
+        of = TaskContext.get()
+        if self.task != of.taskAttemptId():
+            self._begin(of.taskAttemptId(), of.partitionId())
+        answer = self.noted.get(str(sha))
         if answer is None:
             answer = self.provider(sha, request)
-            hidden = f"{self.folder}/.{sha}-{uuid.uuid4().hex}"
-            with self.system.open_output_stream(hidden) as f:
-                f.write(answer.encode())
-            self.system.move(hidden, path)  # whole or not there
+            self._note(sha, answer)
         return answer
 
 
+def noted_before(need: DataFrame, journal: str) -> DataFrame | None:
+    """(filename: the hash, answer, error: null) of the hashes of ``need`` that earlier runs have noted, stored;
+    None if there is no journal."""
+    spark = need.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    line = F.split("value", " ")
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(journal).filter(
+        (F.size(line) == 3) & (F.get(line, F.lit(2)) == "."))
+    answers = lines.groupBy(line[0].alias("noted")).agg(F.min(line[1]).alias("answer"))
+    path = scratch_path(spark, "noted")
+    need.join(answers, F.coalesce("sha", F.lit("None")) == F.col("noted")).select(
+        F.col("sha").alias("filename"), F.unbase64("answer").cast("string").alias("answer"),
+        F.lit(None).cast("string").alias("error")).write.parquet(path)
+    return spark.read.schema(en.ANSWERS).parquet(path)
+
+
 def hashes(images: DataFrame) -> DataFrame:
     """(filename, sha) of (filename, content), stored: the contents are read once for it."""
     path = scratch_path(images.sparkSession, "hashes")
@@ -80,9 +144,15 @@ def describe(names: DataFrame, contents: Callable[[DataFrame], DataFrame], answe
     journal = f"{tb.base_of(spark, answers)}-journal"
     rejects = spark.createDataFrame([], "sha string, reason string, answer string, error string")
     if not need.isEmpty():
+        noted = noted_before(need, journal)
+        if noted is not None:
+            need = need.join(noted, need["sha"].eqNullSafe(noted["filename"]), "left_anti")
         images = contents(need.select("filename")).join(need, "filename").select(F.col("sha").alias("filename"), "content")
-        asked = scratch_path(spark, "asked")
-        en.ask(images, lambda: Journaled(provider_factory(), journal), **kw).write.parquet(asked)
+        asked, run = scratch_path(spark, "asked"), f"{journal}/{uuid.uuid4().hex}"
+        found = en.ask(images, lambda: Journaled(provider_factory(), run), **kw)
+        if noted is not None:
+            found = found.unionByName(en.parse_answers(noted))
+        found.write.parquet(asked)
         ok, bad = en.split_answers(spark.read.parquet(asked), dedupe=False)
         tb.append(spark, ok.withColumnRenamed("filename", "sha"), answers)
         rejects = bad.withColumnRenamed("filename", "sha")

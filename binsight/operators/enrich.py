@@ -44,15 +44,15 @@ def call_provider(requests: DataFrame, provider_factory: Callable, retries: int
 
     A call that fails ``retries`` times gives a NULL answer and the last error's
     text (rejected later), or raises when ``strict``. ``batch_rows`` bounds how
-    many answers are held at a time.
+    many answers are held at a time. A provider's ``end_task()``, if it has one, is
+    called when a task ends or fails.
     """
     from binsight.session import ship_package
     ship_package(requests.sparkSession)
     instance = job_factory(provider_factory)
 
-    def run(batches):
+    def answered(provider, batches):
         import pandas as pd
-        provider = instance()
         for pdf in batches:
             out = []
             for fn, req in zip(pdf["filename"], pdf["request"]):
@@ -73,6 +73,13 @@ def call_provider(requests: DataFrame, provider_factory: Callable, retries: int
                     out = []
             yield pd.DataFrame(out, columns=["filename", "answer", "error"])
 
+    def run(batches):
+        provider = instance()
+        try:
+            yield from answered(provider, batches)
+        finally:
+            getattr(provider, "end_task", lambda: None)()
+
     return requests.select("filename", "request").mapInPandas(run, ANSWERS)
 
 

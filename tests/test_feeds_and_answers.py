@@ -88,6 +88,42 @@ def test_equal_images_are_asked_once_also_by_a_failed_task(spark, tmp_dir):
     assert len(os.listdir(calls)) == 6
 
 
+def test_the_journal_has_few_files_and_a_repeated_job_asks_for_the_rest_only(spark, tmp_dir, monkeypatch):
+    calls = os.path.join(tmp_dir, "calls")
+
+    def factory():
+        def call(sha, request):
+            with open(calls, "a") as f:
+                f.write(f"{sha}\n")
+            if os.path.getsize(calls) == 65 * 800:
+                raise ConnectionError("once")
+            return bc.SizeProvider()(sha, request)
+        return call
+
+    def segments(folder):
+        return [os.path.join(at, x) for at, _, found in os.walk(folder.removeprefix("file:")) for x in found]
+
+    images = spark.createDataFrame([(f"{i}.jpg", b"%d" % i) for i in range(1000)], "filename string, content binary")
+    names, contents = images.select("filename"), lambda n: images.join(n, "filename", "left_semi")
+    answers, seen = scratch_path(spark, "answers"), []
+    with pytest.raises(Exception, match="once"):
+        bc.describe(names, contents, answers, factory, retries=1, strict=True, backoff_s=0.0)
+    kept = segments(f"{answers}-journal")
+    noted = sum(open(f).read().count("\n") for f in kept)
+    assert noted >= 799 > len(kept)
+    with open(kept[0]) as f:
+        whole = f.readline()
+    with open(kept[0], "a") as f:  # a task that broke off inside a line
+        f.write(f"{'0' * 64} {whole.split(' ')[1][:-8]}")
+    monkeypatch.setattr(bc.tb, "delete", lambda spark, path: seen.append(segments(path)))
+    ok, bad = bc.describe(names, contents, answers, factory, retries=1, strict=True, backoff_s=0.0)
+    assert {r.filename: r.description for r in ok.collect()} == {f"{i}.jpg": f"{len(str(i))} bytes" for i in range(1000)}
+    assert bad.count() == 0 and len(seen) == 1 and len(seen[0]) < 200
+    with open(calls) as f:
+        asked = f.read().split()
+    assert len(asked) == 1001 and len(set(asked)) == 1000  # one call failed
+
+
 def test_invalid_answers_are_not_kept(spark):
     images = spark.createDataFrame([("1.jpg", b"x"), ("2.jpg", b"x")], "filename string, content binary")
     args = (images.select("filename"), lambda n: images.join(n, "filename", "left_semi"), scratch_path(spark, "answers"))
