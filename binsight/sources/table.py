@@ -85,10 +85,11 @@ def _columns(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def _register(spark: SparkSession, table: str, schema: T.StructType, location: str, partitioned: bool) -> None:
+def _register(spark: SparkSession, table: str, schema: T.StructType, location: str, partitioned: bool,
+              absent: str = "") -> None:
     by = f"PARTITIONED BY ({PARTITION_COL})" if partitioned else ""
     where = location.replace("'", "\\'")
-    spark.sql(f"CREATE TABLE {name_of(table)} ({_columns(schema)}) USING parquet "
+    spark.sql(f"CREATE TABLE {absent} {name_of(table)} ({_columns(schema)}) USING parquet "
               f"OPTIONS (partitionOverwriteMode 'dynamic') {by} LOCATION '{where}'")
 
 
@@ -125,7 +126,8 @@ def exists(spark: SparkSession, table: str) -> bool:
             raise UnmarkedTableError(f"{where} holds files of an unfinished write; refusing to use it")
         schema = spark.read.option("mergeSchema", "true").parquet(where).schema
         partitioned = PARTITION_COL in schema.names
-        _register(spark, table, schema, where, partitioned)
+        # a thread that was stopped inside a switch may still be registering it
+        _register(spark, table, schema, where, partitioned, absent="IF NOT EXISTS")
         if partitioned:
             spark.catalog.recoverPartitions(name_of(table))
         return True

@@ -244,6 +244,20 @@ def test_rejected_items_are_asked_again_across_a_restart(spark, tmp_dir):
     assert described() == {"one-a": "try 1", "one-b": "try 1", "two-a": "try 2", "three-b": "try 3"}
 
 
+def test_a_table_registered_while_it_is_looked_up_is_found(spark, monkeypatch):
+    table = scratch_path(spark, "late")
+    tb.replace(spark, spark.range(3), table)
+    where, real = tb.location(spark, table), tb.versions
+    spark.sql(f"DROP TABLE {tb.name_of(table)}")
+
+    def registered_meanwhile(spark, table):
+        tb._register(spark, table, spark.range(1).schema, where, False)
+        return real(spark, table)
+
+    monkeypatch.setattr(tb, "versions", registered_meanwhile)
+    assert tb.exists(spark, table) and tb.read_table(spark, table).count() == 3
+
+
 def test_a_table_may_be_looked_up_while_another_thread_replaces_it(spark):
     import threading
     table, seen, failed, stop = scratch_path(spark, "watched"), set(), [], threading.Event()
