@@ -407,7 +407,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     known = stored(model.probabilities(), "probabilities")
     backing = stored(model.backing(), "backing")
     pairs = stored(model.seen(known, backing), "seen")
-    discard(model.table, model.pairs)
+    discard(model.table, model.pairs, model.once, model.contexts)
     spark = docs.sparkSession
     least = max(1.0, FREQUENT * model.tokens)
     top = pairs.filter(F.col("n") >= least).toArrow()  # at most 1 / FREQUENT pairs
@@ -458,6 +458,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     log_base = F.log10((F.coalesce("c", F.lit(0)) + BASE_ADD) / model.base_den).alias("b")
     met = tail.join(rare, ["u", "w"], "left")
     met = stored(met.select("key", "s", "c", *(F.when(F.col("s").isNull(), F.col(x)).alias(x) for x in "uw")), "met")
+    discard(pairs)
     direct = met.filter("s is not null").select("key", F.col("s").cast("double").alias("s"), F.lit(1).cast("long").alias("hit"), log_base)
     # a pair that is not in the training texts: what the previous word gives out, and the word's class and unigram probabilities
     at = F.array_position("ctx", F.expr(_CLASS)).cast("int")  # 0: this class has not seen the word
@@ -471,6 +472,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     sums = direct.unionByName(fresh).groupBy("key").agg(F.sum("s").alias("s2"), F.sum("hit").alias("hit2"), F.sum("b").alias("b2"))
     copies = head.groupBy("key").agg(F.count("*").alias("m"))  # equal rows brought their words each
     sums = stored(sums.join(copies, "key"), "tail-sums")
+    discard(met, backing, known)
     part = lambda c: F.coalesce(F.col(c) / F.col("m"), F.lit(0.0))
     return head.join(sums, "key", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("hit") + part("hit2").cast("long")).alias("n_known"),

@@ -376,6 +376,14 @@ def test_language_model_scores_alike_near_and_far(spark, odd, monkeypatch):
     assert all(abs(a[2] - b[2]) <= 2e-3 + 1e-6 * abs(a[2]) for a, b in zip(near, far))
 
 
+def test_language_model_keeps_no_table_that_its_result_does_not_read(spark, odd, monkeypatch, tmp_path):
+    from binsight.llm import common
+    monkeypatch.setattr(common, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{np.random.rand()}")
+    got = hpylm.score(odd, odd)
+    assert sorted(x.name.rsplit("-", 2)[0] for x in tmp_path.iterdir()) == ["heads", "tail-sums"]
+    assert got.count() == odd.count()
+
+
 def test_attention_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     bags = [rng.normal(0, 1, (rng.integers(1, 6), quality.DIMS)).astype(np.float32) for _ in range(80)]
