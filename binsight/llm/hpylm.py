@@ -4,28 +4,31 @@ Restaurants: one for each previous word; those whose word has the same class
 (``CONTEXTS`` classes) share a parent, and all classes share the unigram
 restaurant, whose base is uniform over the vocabulary and one unseen word.
 
-A pair (previous word, word) is a row of the pair table. A pair seen once has one
-table for good; only the others are seated again. All seats that concern a word
-in the classes and the unigram restaurant are one row of the word table. A round
-seats all pairs, given the word table and the tables of each previous word of the
-round before, then all words, given the tables of the pairs. Totals by previous
-word are a Spark aggregate joined back to the pairs. The last rounds are kept as
-samples; a pair's probability is the average of the samples' predictive ones.
-
-Counting pairs and looking them up are keyed shuffles. Pairs that make up
-``FREQUENT`` of all tokens or more are at most 1 / FREQUENT many; they are
-broadcast and scored where the text lies, and only the other pairs are shuffled.
+A word with all pairs (previous word, word) that end in it lies in one of a number of
+buckets that grows with the texts; a bucket is a row of packed arrays (a stripe), so that
+its seats are kept and seated by numpy in one group. A pair seen once has one table for
+good; only the others are seated again. A round seats the pairs, given the seats of the
+words and the tables of each previous word of the round before, then the words, given
+the tables of the pairs. Only the tables by previous word leave a bucket: they are dealt
+to buckets of previous words, summed there, and told to the buckets that asked. The last
+rounds are kept as samples; a pair's probability is the average of the samples' predictive
+ones. A bucket is as large as what its words were met after; a word's pairs are not split.
+
+Pairs that make up ``FREQUENT`` of all tokens or more are at most 1 / FREQUENT many; they
+are broadcast and scored where the text lies. The other tokens are dealt to their words'
+buckets, a slice of the documents at a time, and come back as sums by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -38,6 +41,11 @@ BURN_IN = 3  # rounds before the first sample
 SAMPLES = 3
 FREQUENT = 2e-6
 BASE_ADD = 0.1
+BUCKET_BYTES = 16 << 20  # of training text to a bucket
+LEAST_BUCKETS = 64
+BLOCK_TOKENS = 2_000_000  # tokens that a task gathers before it deals them out
+SLICES = 2  # of the documents, from SLICE_TOKENS training tokens on
+SLICE_TOKENS = 4_000_000
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word holds a space
 _ALL = (1 << 64) - 1
 _BLOCK = 0.1  # beyond ten customers, so many more are seated at one time
@@ -158,41 +166,206 @@ def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-class _Rows:
-    """A batch of the word table as flat arrays, a seat for each class that has seen the word."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.batch = batch
-        self.w = batch.column("w").to_numpy()
-        ctx = batch.column("ctx")
-        self.ctx = ctx.flatten().to_numpy()
-        offsets = ctx.offsets.to_numpy()
-        self.offsets = offsets - offsets[0]
-        self.n = len(self.w)
-        self.row = np.repeat(np.arange(self.n), np.diff(offsets))
-
-    def state(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(customers and tables by class, parent's tables by word) of the k-th kept round."""
-        return (self.batch.column(f"c{k}").flatten().to_numpy(), self.batch.column(f"t{k}").flatten().to_numpy(),
-                self.batch.column(f"p{k}").to_numpy())
-
-    def customers(self) -> np.ndarray:
-        """Tables of the pairs by class: those seen once, and ``moved``, a list of tables * CONTEXTS + class."""
-        out = self.batch.column("fixed").flatten().to_numpy().copy()
-        moved = self.batch.column("moved")
-        packed = moved.flatten().to_numpy()
-        at = np.full((self.n, CONTEXTS), -1)
-        at[self.row, self.ctx] = np.arange(len(self.ctx))
-        np.add.at(out, at[np.repeat(np.arange(self.n), np.diff(moved.offsets.to_numpy())), packed % CONTEXTS], packed // CONTEXTS)
-        return out
+# A stripe: its bucket, what its parts are, the bucket it came from, packed arrays, numbers to be summed.
+_STRIPES = "bucket int, kind int, other int, parts array<binary>, sums array<double>"
+_FIELDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("other", pa.int32()), ("parts", pa.list_(pa.binary())),
+                     ("sums", pa.list_(pa.float64()))])
+_PAIRS, _SEATS, _ASKED, _TOLD, _BACK, _TOKENS, _SUMS, _REST = range(8)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """An array with its type; numbers that are small, or mostly so, take fewer bytes."""
+    if x.dtype != np.int64 or not len(x) or x.min() < 0:
+        return x.dtype.str.encode() + x.tobytes()
+    large = x[x >= 255]
+    if 8 * len(large) < len(x):
+        return b"few" + len(large).to_bytes(8, "little") + large.tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
+    if x.max() < 1 << 32:
+        x = x.astype(np.min_scalar_type(int(x.max())))
+    return x.dtype.str.encode() + x.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    if raw[:3] == b"few":
+        large = np.frombuffer(raw, np.int64, int.from_bytes(raw[3:11], "little"), 11)
+        x = np.frombuffer(raw, np.uint8, offset=11 + large.nbytes).astype(np.int64)
+        if len(large):
+            x[x == 255] = large
+        return x
+    x = np.frombuffer(raw, raw[:3].decode(), offset=3)
+    return x.astype(x.dtype if raw[:3] in (b"<u8", b"<f8") else np.int64)
+
+
+def _stripes(rows: list[tuple[int, int, int, list[np.ndarray], list[float] | None]]) -> pa.RecordBatch:
+    bucket, kind, other, parts, sums = zip(*rows) if rows else [()] * 5
+    columns = (bucket, kind, other, [[_pack(x) for x in p] for p in parts], sums)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FIELDS)], schema=_FIELDS)
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    """(bucket, kind, other, arrays) of each stripe."""
+    bucket, kind, other = (batch.column(c).to_pylist() for c in ("bucket", "kind", "other"))
+    for i in range(len(bucket)):
+        yield bucket[i], kind[i], other[i], [_unpack(x) for x in batch.column("parts")[i].as_py()]
+
+
+def _each(stripes: DataFrame, make: Callable, schema: str = _STRIPES) -> DataFrame:
+    """What ``make`` gives for each stripe (bucket, kind, other, arrays): a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                yield make(*row)
+
+    return stripes.mapInArrow(run, schema)
+
+
+def _by_bucket(stripes: DataFrame, make: Callable, schema: str = _STRIPES) -> DataFrame:
+    """What ``make`` gives for all stripes of each bucket: a batch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([make(list(_rows(table)))])
+
+    return stripes.groupBy("bucket").applyInArrow(run, schema)
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes; they rise with the hash."""
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def sum(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, x, self.n)
 
-    def round(self, totals: Totals, number: int, c: np.ndarray, t: np.ndarray, t0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(x: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the buckets that the sorted hashes ``x`` fall in."""
+    edge = np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)).tolist()
+    return ((i, a, b) for i, (a, b) in enumerate(zip(edge, edge[1:])) if a < b)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return np.flatnonzero(new)
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _total(index: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.rint(np.bincount(index, x, n)).astype(np.int64)
+
+
+def _counted(w: np.ndarray, u: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs by word, with the sums of ``n`` (none: how many there are)."""
+    key = _pair(u, w)
+    order = np.argsort(key)
+    key, w, u = key[order], w[order], u[order]
+    new = _starts(w, u)
+    if len(new) > len(_starts(key)):  # two pairs with one hash
+        order = order[np.lexsort((u, w))]
+        w, u = np.sort(w), u[np.lexsort((u, w))]
+        new = _starts(w, u)
+    n = _sizes(new, len(w)) if n is None else np.add.reduceat(n[order], new)
+    w, u = w[new], u[new]
+    order = np.argsort(w)
+    return w[order], u[order], n[order]
+
+
+def _blocks(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, previous words, places of their texts, the texts' keys) of many texts (key, text) at a time."""
+    held, size = [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        key, w, u = zip(*held)
+        return np.concatenate(w), np.concatenate(u), np.repeat(np.arange(len(key)), list(map(len, w))), np.array(key, np.int64)
+
+    for key, text in texts:
+        held.append((key, *tokens(text)))
+        size += len(held[-1][1])
+        if size >= BLOCK_TOKENS:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def _pair_table(train: DataFrame, buckets: int) -> DataFrame:
+    """The pairs of each bucket, how often a word follows a previous word, from all
+    texts: words, how many pairs end in each, their previous words, counts."""
+
+    def parts(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        new = _starts(w)
+        return [w[new], _sizes(new, len(w)), u, n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, u, _, _ in _blocks((0, t) for batch in batches for t in batch.column("text").to_pylist()):
+            w, u, n = _counted(w, u)
+            yield _stripes([(i, _PAIRS, 0, parts(w[a:b], u[a:b], n[a:b]), None) for i, a, b in _cuts(w, buckets)])
+
+    def merge(rows: list) -> pa.RecordBatch:
+        w, u, n = (np.concatenate(x) for x in zip(*((np.repeat(p[0], p[1]), p[2], p[3]) for *_, p in rows)))
+        return _stripes([(rows[0][0], _PAIRS, 0, parts(*_counted(w, u, n)), None)])
+
+    return stored(_by_bucket(train.select("text").mapInArrow(run, _STRIPES), merge), "pairs")
+
+
+class _Seats:
+    """The seats of a bucket: of its words, of the classes that have seen each word, and
+    of its pairs seen more than once. Words are in order, and the classes of each."""
+
+    FIXED = ("w", "count", "classes", "ctx", "fixed", "pairs", "u", "n", "one")
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        for name, x in zip(self.FIXED, parts):
+            setattr(self, name, x)
+        self.w, self.u = self.w.view(np.uint64), self.u.view(np.uint64)
+        kept = parts[len(self.FIXED):]
+        #: of each kept round: tables of the pairs, customers and tables by class, the parent's tables by word
+        self.kept = [kept[i:i + 4] for i in range(0, len(kept), 4)]
+        self.row = np.repeat(np.arange(len(self.w)), self.classes)
+        self.key = self.row * CONTEXTS + self.ctx
+        self.word = np.repeat(np.arange(len(self.w)), self.pairs)
+        self.pair_ctx = (self.u & np.uint64(CONTEXTS - 1)).astype(np.int64)
+        self.seat = np.searchsorted(self.key, self.word * CONTEXTS + self.pair_ctx)
+
+    @classmethod
+    def first(cls, w: np.ndarray, size: np.ndarray, u: np.ndarray, n: np.ndarray, told: np.ndarray) -> _Seats:
+        """Every dish has one table; ``told``: how many pairs of each previous word are seen once."""
+        word = np.repeat(np.arange(len(w)), size)
+        key, at = np.unique(word * CONTEXTS + (u & np.uint64(CONTEXTS - 1)).astype(np.int64), return_inverse=True)
+        more = n > 1
+        _, place = np.unique(u[more], return_inverse=True)
+        ones = np.ones(len(key), np.int64)
+        return cls([w, _total(word, n, len(w)), np.bincount(key // CONTEXTS, minlength=len(w)), key % CONTEXTS, _total(at, ~more, len(key)),
+                    np.bincount(word[more], minlength=len(w)), u[more], n[more], told[place],
+                    np.ones(more.sum(), np.int64), np.bincount(at, minlength=len(key)), ones, np.ones(len(w), np.int64)])
+
+    def sum(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x, len(self.w))
+
+    def by_previous(self) -> tuple[np.ndarray, np.ndarray]:
+        """Previous words of the pairs in order, and the place of each pair's."""
+        return np.unique(self.u, return_inverse=True)
+
+    def pairs_round(self, totals: Totals, number: int, k: int, tables: np.ndarray) -> np.ndarray:
+        """Tables of the pairs after their customers sat down anew; ``tables``: of each previous word."""
+        t, c, by_class, parent = self.kept[k]
+        # the parents without the dish's customers of this restaurant
+        own = c[self.seat] - t
+        q = by_class[self.seat]
+        share = np.where(own > 0, np.minimum(q, own), 0)
+        own0 = self.sum(by_class).astype(np.int64)[self.word] - (q - share)
+        p = totals.context(self.pair_ctx, own, share, totals.parent(own0, np.where(own0 > 0, np.minimum(parent[self.word], own0), 0)))
+        seed = _mix(_mix(self.w + np.uint64((number + 1) * 0xA0761D6478BD642F & _ALL))[self.word] + self.u)
+        all_tables = tables[self.by_previous()[1]] + self.one
+        return _seat(self.n, (STRENGTH_2 + DISCOUNT_2 * (all_tables - t).clip(0)) * p, DISCOUNT_2, seed)
+
+    def words_round(self, totals: Totals, number: int, k: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables by class, parent's tables by word) after all customers ``c`` sat down
         anew; the draws follow from the words and the round's number alone."""
-        seed = _mix(self.w.view(np.uint64) + np.uint64((number + 1) * 0xD6E8FEB86659FD93 & _ALL))
+        _, _, t, t0 = self.kept[k]
+        seed = _mix(self.w + np.uint64((number + 1) * 0xD6E8FEB86659FD93 & _ALL))
         c0 = self.sum(t)
         # the parent without the dish's customers of this restaurant
         own = c0[self.row] - t
@@ -201,106 +374,117 @@ class _Rows:
         t = _seat(c, (STRENGTH + DISCOUNT * (totals.tables[self.ctx] - t).clip(0)) * p, DISCOUNT, _mix(seed[self.row] + self.ctx.astype(np.uint64)))
         c0 = self.sum(t).astype(np.int64)
         fresh = (STRENGTH_0 + DISCOUNT_0 * max(0.0, totals.parent_tables)) / (totals.vocabulary + 1)
-        return t, _seat(c0, np.full(self.n, fresh), DISCOUNT_0, seed)
+        return t, _seat(c0, np.full(len(self.w), fresh), DISCOUNT_0, seed)
 
+    def round(self, totals: Totals, number: int, k: int, out: int, tables: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+        """The parts after one more round, whose seats are the ``out``-th of those kept, and its sums."""
+        pairs = self.pairs_round(totals, number, k, tables)
+        c = self.fixed + _total(self.seat, pairs, len(self.fixed))
+        t, t0 = self.words_round(totals, number, k, c)
+        size = len(self.FIXED) + 4 * out
+        return [*self.parts[:size], pairs, c, t, t0], self.sums(t, c, t0)
 
-_CLASS = f"cast(u & {CONTEXTS - 1} as int)"
+    def sums(self, t: np.ndarray, c: np.ndarray, t0: np.ndarray) -> list[float]:
+        return [*np.bincount(self.ctx, t, CONTEXTS), *np.bincount(self.ctx, c, CONTEXTS), float(t0.sum()), float(len(self.w)),
+                float(self.count.sum())]
 
+    def predictive(self, samples: list[Totals]) -> tuple[np.ndarray, np.ndarray]:
+        """Parent probabilities by sample and word, predictive ones by sample and class of each word."""
+        p0, each = [], []
+        for totals, (_, c, t, t0) in zip(samples, self.kept):
+            p0.append(totals.parent(self.sum(t), t0))
+            each.append(totals.context(self.ctx, c, t, p0[-1][self.row]))
+        return np.array(p0), np.array(each)
 
-def _pair_table(train: DataFrame) -> DataFrame:
-    """(u, w, n): how often a word follows a previous word, from all texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [tokens(t) for t in batch.column("text").to_pylist()]
-            h = np.concatenate([x for x, _ in made])
-            u = np.concatenate([x for _, x in made])
-            order = np.argsort(_pair(u, h))
-            h, u = h[order], u[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]))
-            n = np.diff(np.append(new, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(u[new].view(np.int64)), pa.array(h[new].view(np.int64)), pa.array(n)],
-                                             names=["u", "w", "n"])
-
-    counted = train.select("text").mapInArrow(run, "u long, w long, n long").repartition("u", "w")
-    return stored(counted.groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
-
-
-def _word_table(pairs: DataFrame) -> DataFrame:
-    """(w, c, ctx, fixed, c0, t0, p0): a word's count; its classes, and in each the
-    tables of pairs seen once and of all pairs, when every dish has one table."""
-    by = pairs.groupBy("w", F.expr(_CLASS).alias("ctx")).agg(
-        F.sum("n").alias("c"), F.count_if(F.col("n") == 1).alias("fixed"), F.count("*").alias("c0"))
-    rows = by.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.struct("ctx", "fixed", "c0")).alias("s"))
-    return stored(rows.select("w", "c", "s.ctx", "s.fixed", "s.c0", F.transform("s", lambda x: F.lit(1).cast("long")).alias("t0"),
-                              F.lit(1).cast("long").alias("p0")), "words")
-
-
-def _pairs_seated(pairs: DataFrame, words: DataFrame, totals: Totals, number: int, kept: int, out: int) -> DataFrame:
-    """Pairs seen more than once (u, w, n, one, t0, t1, ...) after one more round,
-    whose tables are ``t{out}``; ``one`` is how many pairs of u are seen once."""
-    last = f"t{kept - 1}"
-    dishes = words.select("w", F.aggregate(last, F.lit(0).cast("long"), lambda a, x: a + x).alias("c0"), F.col(f"p{kept - 1}").alias("q0"),
-                          F.explode(F.arrays_zip("ctx", F.col(f"c{kept - 1}").alias("c"), F.col(last).alias("t"))).alias("x"))
-    dishes = dishes.select("w", F.col("x")["ctx"].alias("ctx"), F.col("x")["c"].alias("c1"), F.col("x")["t"].alias("q1"), "c0", "q0")
-    tables = pairs.groupBy("u").agg((F.sum(last) + F.first("one")).alias("tables"))
-    names = ["u", "w", "n", "one"] + [f"t{k}" for k in range(out + 1)]
+def _asked(bucket: int, u: np.ndarray, wants: np.ndarray, values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """What a bucket knows of previous words in order, dealt to their buckets; it wants to be told the sums of those marked."""
+    return _stripes([(i, _ASKED, bucket, [x[a:b] for x in (u, wants, *values)], None) for i, a, b in _cuts(u, buckets)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w, n, t, c1, q1, c0, q0, ctx, all_tables = (batch.column(c).to_numpy() for c in (
-                "u", "w", "n", last, "c1", "q1", "c0", "q0", "ctx", "tables"))
-            # the parents without the dish's customers of this restaurant
-            own = c1 - t
-            share = np.where(own > 0, np.minimum(q1, own), 0)
-            own0 = c0 - (q1 - share)
-            p = totals.context(ctx, own, share, totals.parent(own0, np.where(own0 > 0, np.minimum(q0, own0), 0)))
-            seed = _mix(_mix(w.view(np.uint64) + np.uint64((number + 1) * 0xA0761D6478BD642F & _ALL)) + u.view(np.uint64))
-            made = _seat(n, (STRENGTH_2 + DISCOUNT_2 * (all_tables - t).clip(0)) * p, DISCOUNT_2, seed)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(made)], names=names)
-
-    joined = pairs.withColumn("ctx", F.expr(_CLASS)).join(dishes, ["w", "ctx"], "left").join(tables, "u", "left")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _words_seated(table: DataFrame, pairs: DataFrame, totals: Totals, number: int, kept: int, out: int) -> DataFrame:
-    """The word table after one more round over the tables ``t{out}`` of ``pairs``;
-    its seats are the ``out``-th of those kept. Each batch adds a row without a word
-    whose ``totals`` are the sums of its new seats."""
-    by = pairs.groupBy("w", F.expr(_CLASS).alias("class")).agg(F.sum(f"t{out}").alias("t"))
-    moved = by.groupBy("w").agg(F.collect_list(F.col("t") * CONTEXTS + F.col("class")).alias("moved"))
-    joined = table.join(moved, "w", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
-    fixed = ["w", "c", "ctx", "fixed"]
-    names = fixed + [f"{x}{k}" for k in range(out + 1) for x in "ctp"] + ["totals"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = _Rows(batch)
-            if not r.n:
-                continue
-            c = r.customers()
-            t, t0 = r.round(totals, number, c, *r.state(kept - 1)[1:])
-            sums = np.concatenate([np.bincount(r.ctx, t, CONTEXTS), np.bincount(r.ctx, c, CONTEXTS), [t0.sum()]])
-            columns = {x: batch.column(x) for x in fixed + [f"{x}{k}" for k in range(out) for x in "ctp"]}
-            columns |= {f"c{out}": _lists(r.offsets, c), f"t{out}": _lists(r.offsets, t), f"p{out}": pa.array(t0)}
-            columns["totals"] = pa.nulls(r.n, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
-            only = {c: pa.nulls(1, columns[c].type) for c in names[:-1]} | {"totals": pa.array([sums], pa.list_(pa.float64()))}
-            yield pa.RecordBatch.from_pydict(only)
-
-    kept_columns = "".join(f", c{k} array<long>, t{k} array<long>, p{k} long" for k in range(out + 1))
-    return joined.mapInArrow(run, f"w long, c long, ctx array<int>, fixed array<long>{kept_columns}, totals array<double>")
+def _told(asked: DataFrame, back: bool = False) -> DataFrame:
+    """The sums over all buckets, in the order in which they were asked for, and with
+    ``back`` those of every previous word."""
+
+    def tell(rows: list) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*(p for *_, p in rows))]
+        u, at = np.unique(columns[0].view(np.uint64), return_inverse=True)
+        sums = [_total(at, x, len(u)) for x in columns[2:]]
+        edge, out = np.cumsum([0] + [len(p[0]) for *_, p in rows]), []
+        for (bucket, _, other, p), a in zip(rows, edge):
+            place = at[a:a + len(p[0])][p[1] > 0]
+            if len(place):
+                out.append((other, _TOLD, bucket, [x[place] for x in sums], None))
+        return _stripes(out + [(rows[0][0], _BACK, 0, [u, *sums], None)] * back)
+
+    return _by_bucket(asked, tell)
+
+
+def _heard(rows: list) -> list[np.ndarray]:
+    """The sums told to a bucket, in the order of the previous words it asked for."""
+    found = sorted((other, i) for i, (_, kind, other, _) in enumerate(rows) if kind == _TOLD)
+    return [np.concatenate(x) for x in zip(*(rows[i][3] for _, i in found))] or [np.zeros(0, np.int64)]
+
+
+def _part(rows: list, kind: int) -> list[np.ndarray]:
+    return next(p for _, k, _, p in rows if k == kind)
+
+
+def _tidy(spark: SparkSession, *frames: DataFrame) -> None:
+    """Discard ``frames``, and let Spark delete the shuffle files that nothing refers to,
+    which it does when the driver's JVM collects its garbage."""
+    discard(*frames)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _begun(pairs: DataFrame, buckets: int) -> DataFrame:
+    """The seats of each bucket at first."""
+
+    def ask(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
+        u, at = np.unique(p[2].view(np.uint64), return_inverse=True)
+        return _asked(bucket, u, np.minimum(_total(at, p[3] > 1, len(u)), 1), [_total(at, p[3] == 1, len(u))], buckets)
+
+    def begin(rows: list) -> pa.RecordBatch:
+        w, size, u, n = _part(rows, _PAIRS)
+        seats = _Seats.first(w.view(np.uint64), size, u.view(np.uint64), n, _heard(rows)[0])
+        return _stripes([(rows[0][0], _SEATS, 0, seats.parts, seats.sums(*(seats.kept[0][i] for i in (2, 1, 3))))])
+
+    return _by_bucket(pairs.unionByName(_told(_each(pairs, ask))), begin)
+
+
+def _seated(seats: DataFrame, totals: Totals, number: int, kept: int, out: int, buckets: int) -> DataFrame:
+    """The seats of each bucket after one more round, the ``out``-th of those kept."""
+
+    def ask(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
+        s = _Seats(p)
+        u, at = s.by_previous()
+        return _asked(bucket, u, np.ones(len(u), np.int64), [_total(at, s.kept[kept - 1][0], len(u))], buckets)
+
+    def seat(rows: list) -> pa.RecordBatch:
+        parts, sums = _Seats(_part(rows, _SEATS)).round(totals, number, kept - 1, out, _heard(rows)[0])
+        return _stripes([(rows[0][0], _SEATS, 0, parts, sums)])
+
+    return _by_bucket(seats.unionByName(_told(_each(seats, ask))), seat)
+
+
+def _sums(seats: DataFrame) -> np.ndarray:
+    row = seats.select(*(F.sum(F.get("sums", F.lit(i))) for i in range(2 * CONTEXTS + 3))).first()
+    return np.array([x or 0.0 for x in row])
+
+
+_CLASS = f"cast(u & {CONTEXTS - 1} as int)"
 
 
 @dataclass
 class Model:
-    table: DataFrame  # (w, c, ctx, fixed, c0, t0, p0, c1, t1, p1, ...): the seats of each sample
-    once: DataFrame  # (u, w): pairs seen once
-    pairs: DataFrame  # (u, w, n, one, t0, t1, ...): the other pairs, their tables in each sample
-    contexts: DataFrame  # (u, m, one): how often a previous word was met, and its pairs seen once
+    pairs: DataFrame  # stripes of all pairs and their counts
+    seats: DataFrame  # stripes of the seats of each sample
+    backs: DataFrame  # stripes of the sums by previous word, and what was told of them to each bucket
     samples: list[Totals]
     tokens: int
     vocabulary: int
+    buckets: int
 
     @property
     def base_den(self) -> float:
@@ -311,86 +495,223 @@ class Model:
         that have seen the word with its predictive probability in each, averaged and
         by sample."""
         samples = self.samples
+        one = len(samples)
+
+        def make(bucket: int, kind: int, other: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            s = _Seats(parts)
+            p0, each = s.predictive(samples)
+            offsets = np.concatenate([[0], np.cumsum(s.classes)])
+            return pa.RecordBatch.from_pydict({
+                "w": s.w.view(np.int64), "c": s.count,
+                "p": _lists(np.arange(len(s.w) + 1) * one, p0.T.ravel()),
+                "ctx": _lists(offsets, s.ctx.astype(np.int32)), "seen": _lists(offsets, each.mean(0)),
+                "each": _lists(offsets, _lists(np.arange(len(s.ctx) + 1) * one, each.T.ravel()))})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                r = _Rows(batch)
-                if not r.n:
-                    continue
-                p0, each = [], []
-                for k, totals in enumerate(samples):
-                    c, t, t0 = r.state(k)
-                    p = totals.parent(r.sum(t), t0)
-                    p0.append(p)
-                    each.append(totals.context(r.ctx, c, t, p[r.row]))
-                one = len(samples)
-                yield pa.RecordBatch.from_pydict({
-                    "w": batch.column("w"), "c": batch.column("c"),
-                    "p": _lists(np.arange(r.n + 1) * one, np.stack(p0, 1).ravel()),
-                    "ctx": _lists(r.offsets, r.ctx.astype(np.int32)), "seen": _lists(r.offsets, np.mean(each, 0)),
-                    "each": _lists(r.offsets, _lists(np.arange(len(r.ctx) + 1) * one, np.stack(each, 1).ravel()))})
-
-        return self.table.mapInArrow(run, "w long, c long, p array<double>, ctx array<int>, seen array<double>, each array<array<double>>")
+        return _each(self.seats, make, "w long, c long, p array<double>, ctx array<int>, seen array<double>, each array<array<double>>")
 
     def backing(self) -> DataFrame:
         """(u, den, back): of each previous word the denominator of its predictive
         probabilities, and by sample the share that its class gives out."""
+        one = len(self.samples)
+
+        def make(bucket: int, kind: int, other: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            den, back = _backing(parts[1:])
+            return pa.RecordBatch.from_pydict({"u": parts[0].view(np.int64), "den": den,
+                                               "back": _lists(np.arange(len(den) + 1) * one, back.T.ravel())})
+
+        return _each(self.backs.filter(F.col("kind") == _BACK), make, "u long, den double, back array<double>")
+
+    def counted(self, least: float) -> DataFrame:
+        """(u, w, n, t0, t1, ...): the pairs seen ``least`` times or more, with their tables in each sample."""
         ks = range(len(self.samples))
-        tables = self.pairs.groupBy("u").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in ks))
-        den = F.col("m") + STRENGTH_2
-        return self.contexts.join(tables, "u", "left").select("u", den.alias("den"), F.array(
-            *((STRENGTH_2 + DISCOUNT_2 * (F.col("one") + F.coalesce(f"t{k}", F.lit(0)))) / den for k in ks)).alias("back"))
-
-    def seen(self, words: DataFrame, backing: DataFrame) -> DataFrame:
-        """(u, w, n, c, s): every pair of the training texts, how often its word came,
-        and the log10 of its averaged predictive probability; from ``probabilities``
-        and ``backing``."""
+
+        def more(bucket: int, kind: int, other: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            s = _Seats(parts)
+            on = s.n >= least
+            return pa.RecordBatch.from_pydict({"u": s.u.view(np.int64)[on], "w": s.w.view(np.int64)[s.word[on]], "n": s.n[on],
+                                               **{f"t{k}": s.kept[k][0][on] for k in ks}})
+
+        def once(bucket: int, kind: int, other: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            w, size, u, n = parts
+            on = n == 1
+            return pa.RecordBatch.from_pydict({"u": u.view(np.int64)[on], "w": np.repeat(w.view(np.int64), size)[on], "n": n[on],
+                                               **{f"t{k}": n[on] for k in ks}})
+
+        schema = "u long, w long, n long" + "".join(f", t{k} long" for k in ks)
+        found = _each(self.seats, more, schema)
+        return found if least > 1 else found.unionByName(_each(self.pairs, once, schema))
+
+    def seen(self, words: DataFrame, backing: DataFrame, least: float = 1) -> DataFrame:
+        """(u, w, n, c, s): the pairs seen ``least`` times or more in the training texts,
+        how often the word came, and the log10 of the pair's averaged predictive
+        probability; from ``probabilities`` and ``backing``."""
         ks = range(len(self.samples))
-        one = F.lit(1).cast("long")
-        pairs = self.once.select("u", "w", one.alias("n"), *(one.alias(f"t{k}") for k in ks)).unionByName(
-            self.pairs.select("u", "w", "n", *(f"t{k}" for k in ks)))
+        pairs = self.counted(least)
         dishes = words.select("w", "c", F.explode(F.arrays_zip("ctx", "each")).alias("x")).select(
             "w", "c", F.col("x")["ctx"].alias("ctx"), F.col("x")["each"].alias("each"))
         p = sum(((F.col("n") - DISCOUNT_2 * F.col(f"t{k}")) / F.col("den") + F.get("back", F.lit(k)) * F.get("each", F.lit(k))
                  for k in ks), F.lit(0.0)) / len(self.samples)
-        return pairs.withColumn("ctx", F.expr(_CLASS)).join(dishes, ["w", "ctx"]).join(backing, "u").select(
+        pairs = pairs.withColumn("ctx", F.expr(_CLASS))
+        if least > 1:
+            pairs = F.broadcast(pairs)
+        return pairs.join(dishes, ["w", "ctx"]).join(backing, "u").select(
             "u", "w", "n", "c", F.log10(p).cast("float").alias("s"))
 
 
+def _backing(sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Denominators of previous words and, by sample, the shares that their classes give out."""
+    m, one, *tables = sums
+    den = m + STRENGTH_2
+    return den, (STRENGTH_2 + DISCOUNT_2 * (one + np.array(tables))) / den
+
+
 def fit(train: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Model:
     """Model of the texts of ``train`` (column ``text``). The draws depend on the
-    tables of pairs and words alone, so a rerun or a retried task seats alike."""
-    every = _pair_table(train)
-    contexts = stored(every.groupBy("u").agg(F.sum("n").alias("m"), F.count_if(F.col("n") == 1).alias("one")), "contexts")
-    table = _word_table(every)
-    size = table.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    vocabulary, n = size["v"], size["n"] or 0
-    customers, types = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for r in table.select(F.explode(F.arrays_zip("ctx", "c0")).alias("s")).groupBy(F.col("s")["ctx"].alias("ctx")).agg(
-            F.sum(F.col("s")["c0"]).alias("n"), F.count("*").alias("t")).collect():
-        customers[r["ctx"]], types[r["ctx"]] = r["n"], r["t"]
+    pairs and words alone, so a rerun or a retried task seats alike."""
+    spark = train.sparkSession
+    size = train.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    pairs = _pair_table(train, buckets)
+    _tidy(spark)
+    seats = stored(_begun(pairs, buckets), "seats")
+    _tidy(spark)
+    sums = _sums(seats)
+    tables, customers, (_, vocabulary, n) = sums[:CONTEXTS], sums[CONTEXTS:2 * CONTEXTS], sums[2 * CONTEXTS:]
     # at first every dish has one table in a restaurant
-    now = Totals(customers, types, float(types.sum()), float(vocabulary), vocabulary)
-    pairs = every.filter("n > 1").join(contexts.select("u", "one"), "u", "left").select(
-        "u", "w", "n", "one", F.lit(1).cast("long").alias("t0"))
-    pairs = stored(pairs, "pair-seats")
+    now = Totals(customers, tables, float(tables.sum()), float(vocabulary), int(vocabulary))
     kept: list[Totals] = []
     for number in range(burn_in + samples):
         last = max(1, len(kept))  # sets of seats so far; the new one replaces the last before the first sample
-        out = len(kept)
-        after = stored(_pairs_seated(pairs, table, now, number, last, out), "pair-seats")
-        discard(pairs)
-        pairs = after
-        after = stored(_words_seated(table, pairs, now, number, last, out), "seats")
-        discard(table)
-        sums = after.filter("w is null").select(*(F.sum(F.get("totals", F.lit(i))) for i in range(2 * CONTEXTS + 1))).first()
-        total = np.array([x or 0.0 for x in sums])
-        tables = total[:CONTEXTS]
-        now = Totals(total[CONTEXTS:-1], tables, float(tables.sum()), float(total[-1]), vocabulary)
+        after = stored(_seated(seats, now, number, last, len(kept), buckets), "seats")
+        _tidy(spark, seats)
+        seats = after
+        sums = _sums(seats)
+        tables = sums[:CONTEXTS]
+        now = Totals(sums[CONTEXTS:2 * CONTEXTS], tables, float(tables.sum()), float(sums[2 * CONTEXTS]), int(vocabulary))
         if number >= burn_in:
             kept.append(now)
-        table = after.filter("w is not null").drop("totals")
-    return Model(table, every.filter("n = 1").select("u", "w"), pairs, contexts, kept, n, vocabulary)
+    backs = stored(_told(_by_previous(pairs, seats, samples, buckets), back=True), "backs")
+    _tidy(spark)
+    return Model(pairs, seats, backs, kept, int(n), int(vocabulary), buckets)
+
+
+def _by_previous(pairs: DataFrame, seats: DataFrame, samples: int, buckets: int) -> DataFrame:
+    """What each bucket knows of all its previous words: how often they were met, their
+    pairs seen once, and the tables of the others in each sample."""
+
+    def met(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
+        u, at = np.unique(p[2].view(np.uint64), return_inverse=True)
+        none = np.zeros(len(u), np.int64)
+        return _asked(bucket, u, none + 1, [_total(at, p[3], len(u)), _total(at, p[3] == 1, len(u)), *[none] * samples], buckets)
+
+    def seated(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
+        s = _Seats(p)
+        u, at = s.by_previous()
+        none = np.zeros(len(u), np.int64)
+        return _asked(bucket, u, none, [none, none, *(_total(at, s.kept[k][0], len(u)) for k in range(samples))], buckets)
+
+    return _each(pairs, met).unionByName(_each(seats, seated))
+
+
+def _find(key: np.ndarray, asked: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Places in the sorted hashes ``key`` of those asked for that are ``same`` (places, numbers asked); -1: none."""
+    found = np.full(len(asked), -1)
+    live, at = np.arange(len(asked)), np.searchsorted(key, asked)
+    while len(live):
+        on = at < len(key)
+        on[on] = key[at[on]] == asked[live[on]]
+        live, at = live[on], at[on]
+        hit = same(at, live)
+        found[live[hit]] = at[hit]
+        live, at = live[~hit], at[~hit] + 1  # another pair with this hash
+    return found
+
+
+def _sums_of(key: np.ndarray, buckets: int, *columns: np.ndarray) -> list:
+    """Stripes of sums by document, dealt by key: tokens, known ones, base scores, scores."""
+    keys, at = np.unique(key.view(np.uint64), return_inverse=True)
+    sums = [np.bincount(at, x, len(keys)) for x in columns]
+    sums[:2] = (np.rint(x).astype(np.int64) for x in sums[:2])
+    return [(i, _SUMS, 0, [x[a:b] for x in (keys, *sums)], None) for i, a, b in _cuts(keys, buckets)]
+
+
+def _met(rows: list, samples: list[Totals], base_den: float, buckets: int) -> pa.RecordBatch:
+    """Log10 probabilities of the tokens that were dealt to a bucket, summed by document;
+    and the tokens whose previous word this bucket has not met, dealt by previous word,
+    with what their class makes of the word in each sample."""
+    passed = [(*r, None) for r in rows if r[1] == _SUMS]
+    dealt = [p for _, kind, _, p in rows if kind == _TOKENS]
+    if not dealt:
+        return _stripes(passed)
+    w, u, key = (np.concatenate(x) for x in zip(*((np.repeat(p[0], p[1]), p[2], p[4][p[3]]) for p in dealt)))
+    ctx = (u & np.uint64(CONTEXTS - 1)).astype(np.int64)
+    back_off = np.array([t.back_off() for t in samples])
+    unseen = np.array([t.parent(np.zeros(1), np.zeros(1))[0] for t in samples])
+    each = back_off[:, ctx] * unseen[:, None]
+    c, p = np.zeros(len(w), np.int64), np.zeros(len(w))
+    seen, told = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    if any(kind == _PAIRS for _, kind, _, _ in rows):
+        s = _Seats(_part(rows, _SEATS))
+        word = np.minimum(np.searchsorted(s.w, w), len(s.w) - 1)
+        known = s.w[word] == w
+        p0, by_class = s.predictive(samples)
+        each = np.where(known, back_off[:, ctx] * p0[:, word], each)
+        at = np.minimum(np.searchsorted(s.key, word * CONTEXTS + ctx), len(s.key) - 1)
+        each = np.where(known & (s.key[at] == word * CONTEXTS + ctx), by_class[:, at], each)
+        c = np.where(known, s.count[word], 0)
+        pw, size, pu, n = _part(rows, _PAIRS)
+        pw = np.repeat(pw, size)
+        hashes = _pair(pu, pw)
+        order = np.argsort(hashes)
+        found = _find(hashes[order], _pair(u, w), lambda at, i: (pw[order[at]] == w[i]) & (pu[order[at]] == u[i]))
+        seen = found >= 0
+        pair = order[found]
+        den, back = _backing(_heard(rows))
+        previous, place = np.unique(pu, return_inverse=True)
+        at = np.minimum(np.searchsorted(previous, u[~seen]), len(previous) - 1)
+        told = seen.copy()
+        told[~seen] = previous[at] == u[~seen]
+        where = place[pair]
+        where[~seen] = at
+        more = n > 1
+        for k in range(len(samples)):
+            t = np.ones(len(n), np.int64)
+            t[more] = s.kept[k][0]
+            p += np.where(seen, (n[pair] - DISCOUNT_2 * t[pair]) / den[where], 0.0) + back[k][where] * each[k]
+        p /= len(samples)
+    base = np.log10((c + BASE_ADD) / base_den)
+    log = np.log10(np.where(told, p, 1.0))
+    log = np.where(seen, log.astype(np.float32).astype(np.float64), log)
+    out = _sums_of(key[told], buckets, np.zeros(told.sum()), c[told] > 0, base[told], log[told])
+    rest = np.flatnonzero(~told)
+    rest = rest[np.argsort(u[rest])]
+    columns = (u[rest], key[rest], (c[rest] > 0).astype(np.int64), base[rest], *each[:, rest])
+    out += [(i, _REST, 0, [x[a:b] for x in columns], None) for i, a, b in _cuts(u[rest], buckets)]
+    return _stripes(passed + out)
+
+
+def _late(rows: list, buckets: int) -> pa.RecordBatch:
+    """Sums by document of the tokens that were dealt by previous word; one that no
+    training text holds gives all to its class."""
+    dealt = [p for _, kind, _, p in rows if kind == _REST]
+    if not dealt:
+        return _stripes([])
+    u, key, hit, base, *each = (np.concatenate(x) for x in zip(*dealt))
+    share = np.ones((len(each), len(u)))
+    if any(kind == _BACK for _, kind, _, _ in rows):
+        previous, *sums = _part(rows, _BACK)
+        _, back = _backing(sums)
+        at = np.minimum(np.searchsorted(previous, u), len(previous) - 1)
+        share = np.where(previous[at] == u, back[:, at], share)
+    return _stripes(_sums_of(key, buckets, np.zeros(len(u)), hit, base, np.log10(np.mean(share * np.array(each), 0))))
+
+
+def _by_document(rows: list) -> pa.RecordBatch:
+    """(key, n, hit, b, s): the sums of each document."""
+    keys, at = np.unique(np.concatenate([p[0] for *_, p in rows]), return_inverse=True)
+    n, hit, b, s = (np.bincount(at, np.concatenate([p[k] for *_, p in rows]), len(keys)) for k in range(1, 5))
+    return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": np.rint(n).astype(np.int64), "hit": np.rint(hit).astype(np.int64),
+                                       "b": b, "s": s})
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -404,77 +725,64 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     model = fit(train.select(text(text_col).alias("text")), burn_in, samples)
-    known = stored(model.probabilities(), "probabilities")
-    backing = stored(model.backing(), "backing")
-    pairs = stored(model.seen(known, backing), "seen")
-    discard(model.table, model.pairs, model.once, model.contexts)
     spark = docs.sparkSession
     least = max(1.0, FREQUENT * model.tokens)
-    top = pairs.filter(F.col("n") >= least).toArrow()  # at most 1 / FREQUENT pairs
+    top = model.seen(model.probabilities(), model.backing(), least).toArrow()  # at most 1 / FREQUENT pairs
     key = _pair(top.column("u").to_numpy(), top.column("w").to_numpy())
     order = np.argsort(key)
     base = np.log10((top.column("c").to_numpy() + BASE_ADD) / model.base_den)
-    heads = spark.sparkContext.broadcast((key[order], base[order], top.column("s").to_numpy()[order]))
+    maybe = np.zeros(1 << 20, bool)
+    maybe[key.view(np.uint64) >> np.uint64(44)] = True
+    heads = spark.sparkContext.broadcast((key[order], base[order], top.column("s").to_numpy()[order].astype(np.float64), maybe))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    buckets, totals, base_den = model.buckets, model.samples, model.base_den
 
-    def split(texts: list[str]):
-        """Of each text: words and previous words, place among the frequent pairs, is it one."""
-        frequent, _, _ = heads.value
-        for t in texts:
-            w, u = (x.view(np.int64) for x in tokens(t))
-            if not len(frequent):
-                yield w, u, np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-                continue
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, base_log, log, maybe = heads.value
+        for w, u, doc, keys in _blocks(x for batch in batches for x in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())):
             pair = _pair(u, w)
-            at = np.minimum(np.searchsorted(frequent, pair), len(frequent) - 1)
-            yield w, u, at, frequent[at] == pair
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, base_log, log = heads.value
-            n, hit, b, s = [], [], [], []
-            for w, _, at, in_top in split(batch.column("text").to_pylist()):
-                n.append(len(w))
-                hit.append(int(in_top.sum()))
-                b.append(float(base_log[at[in_top]].sum()))
-                s.append(float(log[at[in_top]].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, (n, hit, b, s))],
-                                             names=["doc_id", "key", "n", "hit", "b", "s"])
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            made = [(u[~on], w[~on]) for w, u, _, on in split(batch.column("text").to_pylist())]
-            size = [len(w) for _, w in made]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(key, size)), pa.array(np.concatenate([u for u, _ in made])),
-                 pa.array(np.concatenate([w for _, w in made]))], names=["key", "u", "w"])
-
-    head = stored(rows.mapInArrow(near, f"doc_id {kind}, key long, n long, hit long, b double, s double"), "heads")
-    tail = rows.select("key", "text").mapInArrow(far, "key long, u long, w long")
-    rare = pairs.filter(F.col("n") < least).select("u", "w", "c", "s")
-    log_base = F.log10((F.coalesce("c", F.lit(0)) + BASE_ADD) / model.base_den).alias("b")
-    met = tail.join(rare, ["u", "w"], "left")
-    met = stored(met.select("key", "s", "c", *(F.when(F.col("s").isNull(), F.col(x)).alias(x) for x in "uw")), "met")
-    discard(pairs)
-    direct = met.filter("s is not null").select("key", F.col("s").cast("double").alias("s"), F.lit(1).cast("long").alias("hit"), log_base)
-    # a pair that is not in the training texts: what the previous word gives out, and the word's class and unigram probabilities
-    at = F.array_position("ctx", F.expr(_CLASS)).cast("int")  # 0: this class has not seen the word
-    share = lambda i: F.element_at(F.array(*(F.lit(float(x)) for x in model.samples[i].back_off())), F.expr(_CLASS) + 1)
-    unseen = [float(t.parent(np.zeros(1), np.zeros(1))[0]) for t in model.samples]
-    p = sum((F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(
-        F.when(at > 0, F.get(F.get("each", at - 1), F.lit(i))), share(i) * F.coalesce(F.get("p", F.lit(i)), F.lit(unseen[i])))
-        for i in range(len(unseen))), F.lit(0.0)) / len(unseen)
-    fresh = met.filter("s is null").select("key", "u", "w").join(backing, "u", "left").join(known, "w", "left").select(
-        "key", F.log10(p).alias("s"), F.col("c").isNotNull().cast("long").alias("hit"), log_base)
-    sums = direct.unionByName(fresh).groupBy("key").agg(F.sum("s").alias("s2"), F.sum("hit").alias("hit2"), F.sum("b").alias("b2"))
+            near = np.flatnonzero(maybe[pair.view(np.uint64) >> np.uint64(44)])
+            at = np.searchsorted(frequent, pair[near])
+            on = at < len(frequent)
+            on[on] = frequent[at[on]] == pair[near[on]]
+            near, at = near[on], at[on]
+            by = lambda x: np.bincount(doc[near], x, len(keys))  # noqa: B023, E731
+            out = _sums_of(keys, buckets, np.bincount(doc, minlength=len(keys)), by(None), by(base_log[at]), by(log[at]))
+            far = np.ones(len(w), bool)
+            far[near] = False
+            far = np.flatnonzero(far)
+            far = far[np.argsort(w[far])]
+            w, u, doc = w[far], u[far], doc[far]
+            for i, a, b in _cuts(w, buckets):
+                new = _starts(w[a:b])
+                place = np.zeros(len(keys), np.int64)
+                place[doc[a:b]] = 1
+                here = np.flatnonzero(place)
+                place[here] = np.arange(len(here))
+                out.append((i, _TOKENS, 0, [w[a:b][new], _sizes(new, b - a), u[a:b], place[doc[a:b]], keys[here].view(np.uint64)], None))
+            yield _stripes(out)
+
+    head = stored(rows.select("doc_id", "key"), "heads")
     copies = head.groupBy("key").agg(F.count("*").alias("m"))  # equal rows brought their words each
+    known = model.pairs.unionByName(model.seats).unionByName(model.backs.filter(F.col("kind") == _TOLD))
+    slices, parts = SLICES if model.tokens >= SLICE_TOKENS else 1, []
+    for i in range(slices):
+        tail = rows.filter(F.pmod("key", F.lit(slices)) == i).select("key", "text").mapInArrow(deal, _STRIPES)
+        met = stored(_by_bucket(known.unionByName(tail), lambda group: _met(group, totals, base_den, buckets)), "met")
+        rest = met.filter(F.col("kind") == _REST).unionByName(model.backs.filter(F.col("kind") == _BACK))
+        late = _by_bucket(rest, lambda group: _late(group, buckets))
+        sums = _by_bucket(met.filter(F.col("kind") == _SUMS).unionByName(late), _by_document, "key long, n long, hit long, b double, s double")
+        parts.append(stored(sums, "slice-sums"))  # a key is in one slice
+        del tail, rest, late, sums
+        _tidy(spark, met)
+    sums = parts[0]
+    for x in parts[1:]:
+        sums = sums.unionByName(x)
     sums = stored(sums.join(copies, "key"), "tail-sums")
-    discard(met, backing, known)
-    part = lambda c: F.coalesce(F.col(c) / F.col("m"), F.lit(0.0))
+    _tidy(spark, *parts, model.pairs, model.seats, model.backs)
+    each = lambda c: F.col(c) / F.col("m")
     return head.join(sums, "key", "left").select(
-        "doc_id", F.col("n").alias("n_tokens"), (F.col("hit") + part("hit2").cast("long")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("b") + part("b2")).alias("base_score"),
-        (F.col("s") + part("s2")).alias("score"))
+        "doc_id", each("n").cast("long").alias("n_tokens"), each("hit").cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), each("b").alias("base_score"), each("s").alias("score"))
