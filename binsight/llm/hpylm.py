@@ -174,7 +174,10 @@ _PAIRS, _SEATS, _ASKED, _TOLD, _BACK, _TOKENS, _SUMS, _REST = range(8)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """An array with its type; numbers that are small, or mostly so, take fewer bytes."""
+    """An array with its type, so that small numbers and sorted hashes take fewer bytes."""
+    if x.dtype == np.uint64 and len(x) > 1 and (x[1:] >= x[:-1]).all():
+        # steps between sorted hashes, their highest bytes, mostly zero, together
+        return b"up:" + np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
     if x.dtype != np.int64 or not len(x) or x.min() < 0:
         return x.dtype.str.encode() + x.tobytes()
     large = x[x >= 255]
@@ -186,6 +189,8 @@ def _pack(x: np.ndarray) -> bytes:
 
 
 def _unpack(raw: bytes) -> np.ndarray:
+    if raw[:3] == b"up:":
+        return np.cumsum(np.frombuffer(raw, np.uint8, offset=3).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
     if raw[:3] == b"few":
         large = np.frombuffer(raw, np.int64, int.from_bytes(raw[3:11], "little"), 11)
         x = np.frombuffer(raw, np.uint8, offset=11 + large.nbytes).astype(np.int64)
@@ -291,12 +296,21 @@ def _blocks(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.n
 
 def _pair_table(train: DataFrame, buckets: int) -> DataFrame:
     """The pairs of each bucket, how often a word follows a previous word, from all
-    texts: words, how many pairs end in each, their previous words, counts."""
+    texts: words, previous words, how many pairs each of them begins, the places of the
+    pairs' words, counts."""
 
     def parts(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         new = _starts(w)
         return [w[new], _sizes(new, len(w)), u, n]
 
+    def by_previous(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        new = _starts(w)
+        word = np.repeat(np.arange(len(new)), _sizes(new, len(w)))
+        order = np.argsort(u)
+        u = u[order]
+        first = _starts(u)
+        return [w[new], u[first], _sizes(first, len(u)), word[order], n[order]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, u, _, _ in _blocks((0, t) for batch in batches for t in batch.column("text").to_pylist()):
             w, u, n = _counted(w, u)
@@ -304,11 +318,17 @@ def _pair_table(train: DataFrame, buckets: int) -> DataFrame:
 
     def merge(rows: list) -> pa.RecordBatch:
         w, u, n = (np.concatenate(x) for x in zip(*((np.repeat(p[0], p[1]), p[2], p[3]) for *_, p in rows)))
-        return _stripes([(rows[0][0], _PAIRS, 0, parts(*_counted(w, u, n)), None)])
+        return _stripes([(rows[0][0], _PAIRS, 0, by_previous(*_counted(w, u, n)), None)])
 
     return stored(_by_bucket(train.select("text").mapInArrow(run, _STRIPES), merge), "pairs")
 
 
+def _more(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the pairs seen more than once, by word: the order of their seats."""
+    more = np.flatnonzero(n > 1)
+    return more[np.argsort(word[more], kind="stable")]
+
+
 class _Seats:
     """The seats of a bucket: of its words, of the classes that have seen each word, and
     of its pairs seen more than once. Words are in order, and the classes of each."""
@@ -330,16 +350,17 @@ class _Seats:
         self.seat = np.searchsorted(self.key, self.word * CONTEXTS + self.pair_ctx)
 
     @classmethod
-    def first(cls, w: np.ndarray, size: np.ndarray, u: np.ndarray, n: np.ndarray, told: np.ndarray) -> _Seats:
-        """Every dish has one table; ``told``: how many pairs of each previous word are seen once."""
-        word = np.repeat(np.arange(len(w)), size)
-        key, at = np.unique(word * CONTEXTS + (u & np.uint64(CONTEXTS - 1)).astype(np.int64), return_inverse=True)
-        more = n > 1
-        _, place = np.unique(u[more], return_inverse=True)
+    def first(cls, w: np.ndarray, u: np.ndarray, size: np.ndarray, word: np.ndarray, n: np.ndarray, told: np.ndarray) -> _Seats:
+        """Every dish has one table; ``told``: how many pairs are seen once of each previous word that has others."""
+        place = np.repeat(np.arange(len(u)), size)
+        ctx = (u & np.uint64(CONTEXTS - 1)).astype(np.int64)
+        key, at = np.unique(word * CONTEXTS + ctx[place], return_inverse=True)
+        more = _more(word, n)
         ones = np.ones(len(key), np.int64)
-        return cls([w, _total(word, n, len(w)), np.bincount(key // CONTEXTS, minlength=len(w)), key % CONTEXTS, _total(at, ~more, len(key)),
-                    np.bincount(word[more], minlength=len(w)), u[more], n[more], told[place],
-                    np.ones(more.sum(), np.int64), np.bincount(at, minlength=len(key)), ones, np.ones(len(w), np.int64)])
+        rank = np.cumsum(_total(place, n > 1, len(u)) > 0) - 1
+        return cls([w, _total(word, n, len(w)), np.bincount(key // CONTEXTS, minlength=len(w)), key % CONTEXTS, _total(at, n == 1, len(key)),
+                    np.bincount(word[more], minlength=len(w)), u[place[more]], n[more], told[rank[place[more]]],
+                    np.ones(len(more), np.int64), np.bincount(at, minlength=len(key)), ones, np.ones(len(w), np.int64)])
 
     def sum(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, x, len(self.w))
@@ -442,12 +463,12 @@ def _begun(pairs: DataFrame, buckets: int) -> DataFrame:
     """The seats of each bucket at first."""
 
     def ask(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
-        u, at = np.unique(p[2].view(np.uint64), return_inverse=True)
-        return _asked(bucket, u, np.minimum(_total(at, p[3] > 1, len(u)), 1), [_total(at, p[3] == 1, len(u))], buckets)
+        _, u, size, _, n = p
+        at = np.repeat(np.arange(len(u)), size)
+        return _asked(bucket, u, np.minimum(_total(at, n > 1, len(u)), 1), [_total(at, n == 1, len(u))], buckets)
 
     def begin(rows: list) -> pa.RecordBatch:
-        w, size, u, n = _part(rows, _PAIRS)
-        seats = _Seats.first(w.view(np.uint64), size, u.view(np.uint64), n, _heard(rows)[0])
+        seats = _Seats.first(*_part(rows, _PAIRS), _heard(rows)[0])
         return _stripes([(rows[0][0], _SEATS, 0, seats.parts, seats.sums(*(seats.kept[0][i] for i in (2, 1, 3))))])
 
     return _by_bucket(pairs.unionByName(_told(_each(pairs, ask))), begin)
@@ -532,9 +553,9 @@ class Model:
                                                **{f"t{k}": s.kept[k][0][on] for k in ks}})
 
         def once(bucket: int, kind: int, other: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            w, size, u, n = parts
+            w, u, size, word, n = parts
             on = n == 1
-            return pa.RecordBatch.from_pydict({"u": u.view(np.int64)[on], "w": np.repeat(w.view(np.int64), size)[on], "n": n[on],
+            return pa.RecordBatch.from_pydict({"u": np.repeat(u.view(np.int64), size)[on], "w": w.view(np.int64)[word[on]], "n": n[on],
                                                **{f"t{k}": n[on] for k in ks}})
 
         schema = "u long, w long, n long" + "".join(f", t{k} long" for k in ks)
@@ -600,9 +621,10 @@ def _by_previous(pairs: DataFrame, seats: DataFrame, samples: int, buckets: int)
     pairs seen once, and the tables of the others in each sample."""
 
     def met(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
-        u, at = np.unique(p[2].view(np.uint64), return_inverse=True)
+        _, u, size, _, n = p
+        at = np.repeat(np.arange(len(u)), size)
         none = np.zeros(len(u), np.int64)
-        return _asked(bucket, u, none + 1, [_total(at, p[3], len(u)), _total(at, p[3] == 1, len(u)), *[none] * samples], buckets)
+        return _asked(bucket, u, none + 1, [_total(at, n, len(u)), _total(at, n == 1, len(u)), *[none] * samples], buckets)
 
     def seated(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
         s = _Seats(p)
@@ -616,7 +638,8 @@ def _by_previous(pairs: DataFrame, seats: DataFrame, samples: int, buckets: int)
 def _find(key: np.ndarray, asked: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Places in the sorted hashes ``key`` of those asked for that are ``same`` (places, numbers asked); -1: none."""
     found = np.full(len(asked), -1)
-    live, at = np.arange(len(asked)), np.searchsorted(key, asked)
+    live = np.argsort(asked)
+    at = np.searchsorted(key, asked[live])
     while len(live):
         on = at < len(key)
         on[on] = key[at[on]] == asked[live[on]]
@@ -659,21 +682,21 @@ def _met(rows: list, samples: list[Totals], base_den: float, buckets: int) -> pa
         at = np.minimum(np.searchsorted(s.key, word * CONTEXTS + ctx), len(s.key) - 1)
         each = np.where(known & (s.key[at] == word * CONTEXTS + ctx), by_class[:, at], each)
         c = np.where(known, s.count[word], 0)
-        pw, size, pu, n = _part(rows, _PAIRS)
-        pw = np.repeat(pw, size)
+        pw, previous, size, of, n = _part(rows, _PAIRS)
+        place = np.repeat(np.arange(len(previous)), size)
+        pw, pu = pw[of], previous[place]
         hashes = _pair(pu, pw)
         order = np.argsort(hashes)
         found = _find(hashes[order], _pair(u, w), lambda at, i: (pw[order[at]] == w[i]) & (pu[order[at]] == u[i]))
         seen = found >= 0
         pair = order[found]
         den, back = _backing(_heard(rows))
-        previous, place = np.unique(pu, return_inverse=True)
         at = np.minimum(np.searchsorted(previous, u[~seen]), len(previous) - 1)
         told = seen.copy()
         told[~seen] = previous[at] == u[~seen]
         where = place[pair]
         where[~seen] = at
-        more = n > 1
+        more = _more(of, n)
         for k in range(len(samples)):
             t = np.ones(len(n), np.int64)
             t[more] = s.kept[k][0]
