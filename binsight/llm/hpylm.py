@@ -24,6 +24,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -248,7 +249,9 @@ def _cuts(x: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where rows begin that differ from the one before."""
     new = np.ones(len(columns[0]), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    new[1:] = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
 
 
@@ -333,21 +336,39 @@ class _Seats:
     """The seats of a bucket: of its words, of the classes that have seen each word, and
     of its pairs seen more than once. Words are in order, and the classes of each."""
 
-    FIXED = ("w", "count", "classes", "ctx", "fixed", "pairs", "u", "n", "one")
+    FIXED = ("w", "count", "classes", "ctx", "fixed", "pairs", "previous", "place", "n", "one")
 
     def __init__(self, parts: list[np.ndarray]):
         self.parts = parts
         for name, x in zip(self.FIXED, parts):
             setattr(self, name, x)
-        self.w, self.u = self.w.view(np.uint64), self.u.view(np.uint64)
         kept = parts[len(self.FIXED):]
         #: of each kept round: tables of the pairs, customers and tables by class, the parent's tables by word
         self.kept = [kept[i:i + 4] for i in range(0, len(kept), 4)]
-        self.row = np.repeat(np.arange(len(self.w)), self.classes)
-        self.key = self.row * CONTEXTS + self.ctx
-        self.word = np.repeat(np.arange(len(self.w)), self.pairs)
-        self.pair_ctx = (self.u & np.uint64(CONTEXTS - 1)).astype(np.int64)
-        self.seat = np.searchsorted(self.key, self.word * CONTEXTS + self.pair_ctx)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.w)), self.classes)
+
+    @cached_property
+    def key(self) -> np.ndarray:
+        return self.row * CONTEXTS + self.ctx
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.w)), self.pairs)
+
+    @cached_property
+    def u(self) -> np.ndarray:
+        return self.previous[self.place]
+
+    @cached_property
+    def pair_ctx(self) -> np.ndarray:
+        return (self.u & np.uint64(CONTEXTS - 1)).astype(np.int64)
+
+    @cached_property
+    def seat(self) -> np.ndarray:
+        return np.searchsorted(self.key, self.word * CONTEXTS + self.pair_ctx)
 
     @classmethod
     def first(cls, w: np.ndarray, u: np.ndarray, size: np.ndarray, word: np.ndarray, n: np.ndarray, told: np.ndarray) -> _Seats:
@@ -357,17 +378,18 @@ class _Seats:
         key, at = np.unique(word * CONTEXTS + ctx[place], return_inverse=True)
         more = _more(word, n)
         ones = np.ones(len(key), np.int64)
-        rank = np.cumsum(_total(place, n > 1, len(u)) > 0) - 1
+        others = np.bincount(place[more], minlength=len(u)) > 0
+        rank = np.cumsum(others) - 1
         return cls([w, _total(word, n, len(w)), np.bincount(key // CONTEXTS, minlength=len(w)), key % CONTEXTS, _total(at, n == 1, len(key)),
-                    np.bincount(word[more], minlength=len(w)), u[place[more]], n[more], told[rank[place[more]]],
+                    np.bincount(word[more], minlength=len(w)), u[others], rank[place[more]], n[more], told,
                     np.ones(len(more), np.int64), np.bincount(at, minlength=len(key)), ones, np.ones(len(w), np.int64)])
 
     def sum(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, x, len(self.w))
 
-    def by_previous(self) -> tuple[np.ndarray, np.ndarray]:
-        """Previous words of the pairs in order, and the place of each pair's."""
-        return np.unique(self.u, return_inverse=True)
+    def tables(self, k: int) -> np.ndarray:
+        """Tables of the pairs by previous word in the k-th kept round."""
+        return _total(self.place, self.kept[k][0], len(self.previous))
 
     def pairs_round(self, totals: Totals, number: int, k: int, tables: np.ndarray) -> np.ndarray:
         """Tables of the pairs after their customers sat down anew; ``tables``: of each previous word."""
@@ -379,7 +401,7 @@ class _Seats:
         own0 = self.sum(by_class).astype(np.int64)[self.word] - (q - share)
         p = totals.context(self.pair_ctx, own, share, totals.parent(own0, np.where(own0 > 0, np.minimum(parent[self.word], own0), 0)))
         seed = _mix(_mix(self.w + np.uint64((number + 1) * 0xA0761D6478BD642F & _ALL))[self.word] + self.u)
-        all_tables = tables[self.by_previous()[1]] + self.one
+        all_tables = (tables + self.one)[self.place]
         return _seat(self.n, (STRENGTH_2 + DISCOUNT_2 * (all_tables - t).clip(0)) * p, DISCOUNT_2, seed)
 
     def words_round(self, totals: Totals, number: int, k: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -479,8 +501,7 @@ def _seated(seats: DataFrame, totals: Totals, number: int, kept: int, out: int,
 
     def ask(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
         s = _Seats(p)
-        u, at = s.by_previous()
-        return _asked(bucket, u, np.ones(len(u), np.int64), [_total(at, s.kept[kept - 1][0], len(u))], buckets)
+        return _asked(bucket, s.previous, np.ones(len(s.previous), np.int64), [s.tables(kept - 1)], buckets)
 
     def seat(rows: list) -> pa.RecordBatch:
         parts, sums = _Seats(_part(rows, _SEATS)).round(totals, number, kept - 1, out, _heard(rows)[0])
@@ -628,9 +649,8 @@ def _by_previous(pairs: DataFrame, seats: DataFrame, samples: int, buckets: int)
 
     def seated(bucket: int, kind: int, other: int, p: list[np.ndarray]) -> pa.RecordBatch:
         s = _Seats(p)
-        u, at = s.by_previous()
-        none = np.zeros(len(u), np.int64)
-        return _asked(bucket, u, none, [none, none, *(_total(at, s.kept[k][0], len(u)) for k in range(samples))], buckets)
+        none = np.zeros(len(s.previous), np.int64)
+        return _asked(bucket, s.previous, none, [none, none, *map(s.tables, range(samples))], buckets)
 
     return _each(pairs, met).unionByName(_each(seats, seated))
 
@@ -650,9 +670,8 @@ def _find(key: np.ndarray, asked: np.ndarray, same: Callable[[np.ndarray, np.nda
     return found
 
 
-def _sums_of(key: np.ndarray, buckets: int, *columns: np.ndarray) -> list:
-    """Stripes of sums by document, dealt by key: tokens, known ones, base scores, scores."""
-    keys, at = np.unique(key.view(np.uint64), return_inverse=True)
+def _sums_of(keys: np.ndarray, at: np.ndarray, buckets: int, *columns: np.ndarray) -> list:
+    """Stripes of sums by document, dealt by their sorted ``keys``: tokens, known ones, base scores, scores."""
     sums = [np.bincount(at, x, len(keys)) for x in columns]
     sums[:2] = (np.rint(x).astype(np.int64) for x in sums[:2])
     return [(i, _SUMS, 0, [x[a:b] for x in (keys, *sums)], None) for i, a, b in _cuts(keys, buckets)]
@@ -666,7 +685,9 @@ def _met(rows: list, samples: list[Totals], base_den: float, buckets: int) -> pa
     dealt = [p for _, kind, _, p in rows if kind == _TOKENS]
     if not dealt:
         return _stripes(passed)
-    w, u, key = (np.concatenate(x) for x in zip(*((np.repeat(p[0], p[1]), p[2], p[4][p[3]]) for p in dealt)))
+    keys, place = np.unique(np.concatenate([p[4] for p in dealt]), return_inverse=True)
+    edge = np.cumsum([0] + [len(p[4]) for p in dealt])
+    w, u, doc = (np.concatenate(x) for x in zip(*((np.repeat(p[0], p[1]), p[2], place[p[3] + a]) for p, a in zip(dealt, edge))))
     ctx = (u & np.uint64(CONTEXTS - 1)).astype(np.int64)
     back_off = np.array([t.back_off() for t in samples])
     unseen = np.array([t.parent(np.zeros(1), np.zeros(1))[0] for t in samples])
@@ -705,10 +726,10 @@ def _met(rows: list, samples: list[Totals], base_den: float, buckets: int) -> pa
     base = np.log10((c + BASE_ADD) / base_den)
     log = np.log10(np.where(told, p, 1.0))
     log = np.where(seen, log.astype(np.float32).astype(np.float64), log)
-    out = _sums_of(key[told], buckets, np.zeros(told.sum()), c[told] > 0, base[told], log[told])
+    out = _sums_of(keys, doc[told], buckets, np.zeros(told.sum()), c[told] > 0, base[told], log[told])
     rest = np.flatnonzero(~told)
     rest = rest[np.argsort(u[rest])]
-    columns = (u[rest], key[rest], (c[rest] > 0).astype(np.int64), base[rest], *each[:, rest])
+    columns = (u[rest], keys[doc[rest]], (c[rest] > 0).astype(np.int64), base[rest], *each[:, rest])
     out += [(i, _REST, 0, [x[a:b] for x in columns], None) for i, a, b in _cuts(u[rest], buckets)]
     return _stripes(passed + out)
 
@@ -726,7 +747,7 @@ def _late(rows: list, buckets: int) -> pa.RecordBatch:
         _, back = _backing(sums)
         at = np.minimum(np.searchsorted(previous, u), len(previous) - 1)
         share = np.where(previous[at] == u, back[:, at], share)
-    return _stripes(_sums_of(key, buckets, np.zeros(len(u)), hit, base, np.log10(np.mean(share * np.array(each), 0))))
+    return _stripes(_sums_of(*np.unique(key, return_inverse=True), buckets, np.zeros(len(u)), hit, base, np.log10(np.mean(share * np.array(each), 0))))
 
 
 def _by_document(rows: list) -> pa.RecordBatch:
@@ -772,7 +793,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             on[on] = frequent[at[on]] == pair[near[on]]
             near, at = near[on], at[on]
             by = lambda x: np.bincount(doc[near], x, len(keys))  # noqa: B023, E731
-            out = _sums_of(keys, buckets, np.bincount(doc, minlength=len(keys)), by(None), by(base_log[at]), by(log[at]))
+            out = _sums_of(*np.unique(keys.view(np.uint64), return_inverse=True), buckets, np.bincount(doc, minlength=len(keys)), by(None), by(base_log[at]), by(log[at]))
             far = np.ones(len(w), bool)
             far[near] = False
             far = np.flatnonzero(far)

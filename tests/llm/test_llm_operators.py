@@ -384,6 +384,33 @@ def test_language_model_keeps_no_table_that_its_result_does_not_read(spark, odd,
     assert got.count() == odd.count()
 
 
+def test_language_model_packs_arrays_reversibly():
+    rng = np.random.default_rng(0)
+    hashes = rng.integers(0, 1 << 64, 1000, np.uint64)
+    for x in (hashes, np.sort(hashes), hashes[:1], hashes[:0], np.arange(1000), np.where(np.arange(1000) % 50, 3, 1 << 40),
+              np.arange(9) << 40, np.array([-1, 5]), np.zeros(0, np.int64), rng.normal(size=9), np.full(9, 255)):
+        got = hpylm._unpack(hpylm._pack(x))
+        assert got.dtype == x.dtype and (got == x).all()
+    assert len(hpylm._pack(np.ones(1000, np.int64))) < 1100
+
+
+def test_language_model_scores_alike_in_any_buckets_and_slices(spark, odd, monkeypatch):
+    rows = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
+                          for r in hpylm.score(odd, odd.filter("doc_id % 2 = 0")).collect())
+    monkeypatch.setattr(hpylm, "FREQUENT", 0.01)
+    whole = rows()
+    monkeypatch.setattr(hpylm, "LEAST_BUCKETS", 3)
+    monkeypatch.setattr(hpylm, "SLICE_TOKENS", 1)
+    monkeypatch.setattr(hpylm, "BLOCK_TOKENS", 50)
+    assert rows() == whole
+
+
+def test_language_model_round_moves_no_pairs_by_row(spark, odd):
+    model = hpylm.fit(odd.select(F.coalesce("text", F.lit("")).alias("text")), 0, 1)
+    plan = hpylm._seated(model.seats, model.samples[0], 1, 1, 1, model.buckets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_attention_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     bags = [rng.normal(0, 1, (rng.integers(1, 6), quality.DIMS)).astype(np.float32) for _ in range(80)]
