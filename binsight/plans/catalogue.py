@@ -568,28 +568,17 @@ def q_stream_composition(spark, d):
 def q_stream_lifecycle(spark, d):
     """Pending items through their life cycle: asked, one in five rejected, asked
     again when its timer expires, merged."""
-    import time
-
     from binsight.session import scratch_path
     from binsight.sources import table as tb
-    from binsight.streaming.lifecycle import SecondTry, described, start_lifecycle
+    from binsight.streaming.lifecycle import SecondTry, start_lifecycle, wait_described
     arrivals = dt.stream_events_parts(spark, d).filter("event_type = 'error'").select(
         fc.indexed_name("event_id").alias("filename"), F.col("ts").alias("time"))
     table, work = scratch_path(spark, "cycle"), scratch_path(spark, "cycle-work")
     expected = en.pending(dt.items(spark, d)).select("filename").dropna().distinct().count()
     q = start_lifecycle(arrivals, table, scratch_path(spark, "cycle-ckpt"), work, SecondTry,
                         wait_s=1.0, trigger={"processingTime": "1 second"}, backoff_s=0.0)
-    done, since = -1, time.monotonic()
     try:
-        while q.isActive and done < expected:
-            time.sleep(1)
-            before, done = done, described(spark, work).count()
-            if done > before:
-                since = time.monotonic()
-            elif time.monotonic() - since > 600:
-                raise TimeoutError(f"no more items settled for 600 s: {done} of {expected}")
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+        wait_described(q, spark, work, expected)
     finally:
         q.stop()  # the stream itself would go on for ever
     return tb.read_table(spark, table)

@@ -155,14 +155,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events_parts(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """``events`` as an unbounded file source joined to the static ``part``
-    (stream-static join)."""
+    """``events``, one file or a folder of files, as an unbounded file source joined
+    to the static ``part`` (stream-static join)."""
     schema = table(spark, sf_dir, "events").schema
-    reader = (spark.readStream.format("parquet").schema(schema)
-              .option("pathGlobFilter", "events.parquet"))
+    reader = spark.readStream.format("parquet").schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    ev = reader.load(sf_dir).select(
+    ev = reader.load(f"{sf_dir.rstrip('/')}/{{events}}.parquet").select(  # a pattern: a plain path has to be a folder
         "event_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     joined = ev.join(part, ev.k == part.p_partkey, "inner")

@@ -5,6 +5,11 @@ The state of an item (``transformWithState``, RocksDB) is its status and how oft
 it was asked. A rejected answer, or one that never came, sets a timer; when it
 expires the item is asked again, the waiting time doubling each time.
 
+Each call of the state takes a round trip between Python and the JVM, so the state is
+kept for buckets of names: a batch reads and writes a bucket's open items at once, and
+a bucket has one timer, for the first of its items that is due. Of the items that are
+done only the names stay, read when something arrives.
+
 The stream reads two folders: arrivals, and the outcomes that its own batches
 write. A batch appends the items that arrived, asks the provider about the items
 that are due, stores the answers, merges the valid ones, and writes an outcome for
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import json
+import time as _time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -36,74 +42,98 @@ ARRIVED, DESCRIBED, REJECTED = "arrived", "described", "rejected"
 #: What a batch has to do: ``ask`` (``attempt`` counts from 1) or note ``given up``.
 _DUE = "filename string, time timestamp_ntz, action string, attempt int"
 ASK, GIVEN_UP = "ask", "given up"
-_ASKED, _WAITING, _DONE = "asked", "waiting", "done"
+_ASKED, _WAITING = "asked", "waiting"
+#: Of names; a stream's checkpoint holds for one number of buckets.
+BUCKETS = 1 << 16
 
 
 class ItemCycle(StatefulProcessor):
-    """State machine of one item; see the module's text."""
+    """State machine of the items of one bucket; see the module's text."""
 
     def __init__(self, wait_ms: int, lost_ms: int, most: int):
-        self.wait_ms, self.lost_ms, self.most = wait_ms, lost_ms, most
+        self.wait_ms, self.lost_ms, self.most = wait_ms, max(lost_ms, 1), most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cycle = handle.getValueState("cycle", "status string, attempt int, time timestamp_ntz")
-
-    def _set_timer(self, at_ms: int) -> None:
-        self._drop_timers()
-        self.handle.registerTimer(at_ms)
-
-    def _drop_timers(self) -> None:
-        for old in list(self.handle.listTimers()):
+        self.open = handle.getValueState("open", "filename array<string>, status array<string>, attempt array<int>, "
+                                                 "time array<timestamp_ntz>, due array<bigint>")
+        self.done = handle.getListState("done", "filenames array<string>")
+
+    def _items(self) -> dict:
+        """(status, attempt, time, due) of each open item."""
+        names, *columns = self.open.get() or [[]]
+        return dict(zip(names, zip(*columns)))
+
+    def _store(self, items: dict, settled: list, fired: int | None = None) -> None:
+        """``fired``: the timer that is being handled, which Spark removes."""
+        if items:
+            self.open.update((list(items), *map(list, zip(*items.values()))))
+        else:
+            self.open.clear()
+        if settled:
+            self.done.appendValue((settled,))
+        first = min((due for *_, due in items.values()), default=None)
+        timers = set(self.handle.listTimers())
+        for old in timers - {first, fired}:
             self.handle.deleteTimer(old)
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        state = self.cycle.get()
+        items, done, settled, changed = self._items(), None, {}, False
         for row in rows:
-            time, event, attempt = row.time, row.event, row.attempt
+            name, time, event, attempt = row.filename, row.time, row.event, row.attempt
+            item = items.get(name)
             if event == ARRIVED:
-                if state is None:  # a repeated arrival changes nothing
-                    state = (_ASKED, 1, time)
-                    self.cycle.update(state)
-                    self.handle.registerTimer(now + self.lost_ms)
-                    yield Row(filename=key[0], time=time, action=ASK, attempt=1)
-            elif state is not None and state[0] == _ASKED and state[1] == attempt:
+                if item is None and name not in settled:  # a repeated arrival changes nothing
+                    if done is None:
+                        done = {n for names, in self.done.get() for n in names}
+                    if name not in done:
+                        items[name] = (_ASKED, 1, time, now + self.lost_ms)
+                        changed = True
+                        yield Row(filename=name, time=time, action=ASK, attempt=1)
+            elif item is not None and item[0] == _ASKED and item[1] == attempt:
+                changed = True
                 if event == REJECTED and attempt < self.most:
-                    state = (_WAITING, attempt, state[2])
-                    self.cycle.update(state)
-                    self._set_timer(now + self.wait_ms * 2 ** (attempt - 1))
+                    items[name] = (_WAITING, attempt, item[2], now + self.wait_ms * 2 ** (attempt - 1))
                     continue
                 if event == REJECTED:
-                    yield Row(filename=key[0], time=state[2], action=GIVEN_UP, attempt=attempt)
-                state = (_DONE, attempt, state[2])
-                self.cycle.update(state)
-                self._drop_timers()
+                    yield Row(filename=name, time=item[2], action=GIVEN_UP, attempt=attempt)
+                del items[name]
+                settled[name] = True
+        if changed:
+            self._store(items, list(settled))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        status, attempt, time = self.cycle.get()
-        if status == _DONE:
-            return
-        if attempt < self.most:
-            self.cycle.update((_ASKED, attempt + 1, time))
-            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.lost_ms)
-            yield Row(filename=key[0], time=time, action=ASK, attempt=attempt + 1)
-        else:  # the last answer never came
-            self.cycle.update((_DONE, attempt, time))
-            yield Row(filename=key[0], time=time, action=GIVEN_UP, attempt=attempt)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        items, settled = self._items(), []
+        for name, (_status, attempt, time, due) in list(items.items()):
+            if due > now:
+                continue
+            if attempt < self.most:
+                items[name] = (_ASKED, attempt + 1, time, now + self.lost_ms)
+                yield Row(filename=name, time=time, action=ASK, attempt=attempt + 1)
+            else:  # the last answer never came
+                del items[name]
+                settled.append(name)
+                yield Row(filename=name, time=time, action=GIVEN_UP, attempt=attempt)
+        self._store(items, settled, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def due_items(events: DataFrame, wait_s: float = 60.0, lost_s: float = 3600.0, most: int = 5) -> DataFrame:
+def due_items(events: DataFrame, wait_s: float = 60.0, lost_s: float = 3600.0, most: int = 5,
+              buckets: int = BUCKETS) -> DataFrame:
     """Stream of (filename, time, action, attempt) from a stream of ``EVENT`` rows: what is
     to be asked now, and what is given up after ``most`` tries. ``wait_s`` is
     the time until the second try, ``lost_s`` the time after which an answer
-    that did not come counts as rejected."""
+    that did not come counts as rejected. The state is kept for ``buckets`` of names."""
     ship_package(events.sparkSession)
     cycle = ItemCycle(int(wait_s * 1000), int(lost_s * 1000), most)
-    return (events.filter(F.col("filename").isNotNull()).groupBy("filename")
+    bucket = F.pmod(F.xxhash64("filename"), F.lit(buckets)).alias("bucket")
+    return (events.filter(F.col("filename").isNotNull()).select("*", bucket).groupBy("bucket")
             .transformWithState(cycle, _DUE, "Append", "ProcessingTime"))
 
 
@@ -141,7 +171,8 @@ def run_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, table: str,
 
 
 def start_lifecycle(arrivals: DataFrame, table: str, checkpoint: str, work_dir: str, provider_factory: Callable,
-                    wait_s: float = 60.0, lost_s: float = 3600.0, most: int = 5, trigger: dict | None = None, **kw):
+                    wait_s: float = 60.0, lost_s: float = 3600.0, most: int = 5, trigger: dict | None = None,
+                    buckets: int = BUCKETS, **kw):
     """Start the stream over ``arrivals`` (``filename, time``); it runs until it is stopped
     (``streaming.drain_and_stop``), by default with a batch every ten seconds."""
     spark = arrivals.sparkSession
@@ -157,7 +188,7 @@ def start_lifecycle(arrivals: DataFrame, table: str, checkpoint: str, work_dir:
     def run(batch, epoch_id):
         run_batch(spark, batch, epoch_id, table, outcomes, work_dir.rstrip("/"), provider_factory, **kw)
 
-    due = due_items(arrived.union(told), wait_s, lost_s, most)
+    due = due_items(arrived.union(told), wait_s, lost_s, most, buckets)
     writer = due.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
     with rocksdb_state(spark):
         return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
@@ -184,6 +215,33 @@ def described(spark: SparkSession, work_dir: str) -> DataFrame:
     return told.filter(F.col("event") == DESCRIBED).select("filename").distinct()
 
 
+def wait_described(query, spark: SparkSession, work_dir: str, expected: int, stuck_s: float = 600.0,
+                   stuck_batches: int = 60) -> None:
+    """Wait until ``expected`` items of a running stream are described. Raises if the stream
+    ends before, or if nothing more was described for ``stuck_s`` and in ``stuck_batches``
+    batches: one batch takes as long as what arrived needs, however much that is. Outcomes
+    are counted whenever a batch has written some."""
+    told = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir}/outcomes/epoch=*/_SUCCESS")
+    files = told.getFileSystem(spark._jsc.hadoopConfiguration())
+    written, done, since, first = -1, -1, _time.monotonic(), -1
+    while True:
+        active = query.isActive  # asked before the outcomes are counted: an ended stream writes no more
+        progress = query.lastProgress
+        batch = progress["batchId"] if progress else -1
+        before, written = written, len(files.globStatus(told))
+        if written != before:
+            before, done = done, described(spark, work_dir).count()
+            if done > before:
+                since, first = _time.monotonic(), batch
+        if done >= expected:
+            return
+        if not active:
+            raise RuntimeError(str(query.exception() or f"the stream ended with {done} of {expected} items described"))
+        if _time.monotonic() - since > stuck_s and batch - first >= stuck_batches:
+            raise TimeoutError(f"no more items described for {stuck_s:.0f} s and {batch - first} batches: {done} of {expected}")
+        _time.sleep(1)
+
+
 def unsettled(spark: SparkSession, work_dir: str) -> DataFrame:
     """Items asked so far whose last known outcome is a rejection."""
     told = spark.read.schema(EVENT).option("basePath", f"{work_dir}/outcomes").parquet(f"{work_dir}/outcomes/epoch=*")

@@ -244,6 +244,177 @@ def test_rejected_items_are_asked_again_across_a_restart(spark, tmp_dir):
     assert described() == {"one-a": "try 1", "one-b": "try 1", "two-a": "try 2", "three-b": "try 3"}
 
 
+class KeptState:
+    """Stands for Spark's handle and state of one bucket, and counts the calls."""
+
+    def __init__(self):
+        self.timers, self.calls, self.values = set(), 0, {}
+
+    def getValueState(self, name, schema):
+        kept = self
+
+        class Value:
+            def get(self):
+                kept.calls += 1
+                return kept.values.get(name)
+
+            def update(self, value):
+                kept.calls += 1
+                kept.values[name] = value
+
+            def clear(self):
+                kept.calls += 1
+                kept.values.pop(name, None)
+
+        return Value()
+
+    def getListState(self, name, schema):
+        kept = self
+
+        class Values:
+            def get(self):
+                kept.calls += 1
+                return iter(kept.values.get(name, []))
+
+            def appendValue(self, value):
+                kept.calls += 1
+                kept.values.setdefault(name, []).append(value)
+
+        return Values()
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def test_items_of_one_bucket_go_their_own_ways():
+    import datetime
+
+    from pyspark.sql import Row
+
+    from binsight.streaming.lifecycle import ItemCycle
+    kept, cycle, day = KeptState(), ItemCycle(wait_ms=100, lost_ms=5000, most=2), datetime.datetime(2024, 1, 1)
+    cycle.init(kept)
+
+    def told(at, *events):
+        rows = iter([Row(filename=n, time=t, event=e, attempt=a) for n, t, e, a in events])
+        return [tuple(r) for r in cycle.handleInputRows((7,), rows, Now(at))]
+
+    def expired(at):
+        out = []
+        for timer in sorted(t for t in kept.timers if t <= at):
+            out += [tuple(r) for r in cycle.handleExpiredTimer((7,), Now(at), Now(timer))]
+            kept.timers.discard(timer)  # as Spark does
+        return out
+
+    arrive = lambda n, t=day: (n, t, "arrived", 0)
+    assert told(1000, arrive("a"), arrive("b"), arrive("a"), arrive("c", None)) == [
+        ("a", day, "ask", 1), ("b", day, "ask", 1), ("c", None, "ask", 1)]
+    assert kept.timers == {6000}
+    assert told(2000, ("a", day, "described", 1), ("b", day, "rejected", 1), ("b", day, "rejected", 1), ("x", day, "rejected", 1), arrive("a")) == []
+    assert kept.timers == {2100} and expired(2099) == []
+    assert told(2050, arrive("d"), arrive("a"), arrive("b"), ("a", day, "rejected", 1)) == [("d", day, "ask", 1)]
+    assert expired(2150) == [("b", day, "ask", 2)] and kept.timers == {6000}
+    assert told(2200, ("b", day, "rejected", 1), ("b", day, "rejected", 2), arrive("b")) == [("b", day, "given up", 2)]
+    assert sorted(expired(7050)) == [("c", None, "ask", 2), ("d", day, "ask", 2)] and kept.timers == {12050}
+    assert told(7100, ("d", day, "described", 2)) == [] and expired(12050) == [("c", None, "given up", 2)]
+    assert kept.timers == set() and "open" not in kept.values
+    assert told(13000, *(arrive(n) for n in "abcd")) == []
+
+
+def test_state_is_called_for_buckets_not_for_items():
+    from pyspark.sql import Row
+
+    from binsight.streaming.lifecycle import ItemCycle
+    kept, cycle = KeptState(), ItemCycle(100, 5000, 2)
+    cycle.init(kept)
+    for event, attempt in (("arrived", 0), ("rejected", 1)):
+        rows = iter([Row(filename=f"{i}", time=None, event=event, attempt=attempt) for i in range(1000)])
+        list(cycle.handleInputRows((7,), rows, Now(1000)))
+    assert kept.calls < 20
+    assert len(list(cycle.handleExpiredTimer((7,), Now(1100), Now(1100)))) == 1000
+
+
+def event_tables(folder, n=40):
+    """``events`` and ``part`` as single files; every second event is a pending item."""
+    import pandas as pd
+    ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(range(n), unit="min")
+    pd.DataFrame({"event_id": range(n), "ts": ts.astype("datetime64[us]"), "event_type": ["error", "view"] * (n // 2),
+                  "props": [f'{{"k": {i % 5}}}' for i in range(n)]}).to_parquet(os.path.join(folder, "events.parquet"))
+    pd.DataFrame({"p_partkey": range(5), "p_name": "ring", "p_brand": "B"}).to_parquet(os.path.join(folder, "part.parquet"))
+    return folder
+
+
+def test_a_long_batch_is_not_taken_for_a_stuck_stream(spark, tmp_dir, monkeypatch):
+    import time
+
+    from binsight.plans.catalogue import QUERIES
+    now = iter(range(0, 10 ** 9, 700))
+    monkeypatch.setattr(time, "monotonic", lambda: next(now))  # 700 s from one look to the next
+    rows = QUERIES["stream_lifecycle"](spark, event_tables(tmp_dir)).collect()
+    assert sorted(int(r.filename.split(".")[0]) for r in rows) == list(range(0, 40, 2))
+    assert all(r.description == f"item {n}, try {2 if n % 5 == 0 else 1}" for r in rows for n in [int(r.filename.split(".")[0])])
+
+
+def test_a_stream_that_ends_or_goes_on_for_nothing_raises(spark):
+    from binsight.streaming.lifecycle import EVENT, wait_described
+    work = scratch_path(spark, "cycle-work")
+    spark.createDataFrame([("a", None, "described", 1)], EVENT).write.parquet(f"{work}/outcomes/epoch=0")
+
+    class Query:
+        isActive, batch = True, 0
+
+        @property
+        def lastProgress(self):
+            self.batch += 10
+            return {"batchId": self.batch}
+
+        def exception(self):
+            return None
+
+    wait_described(Query(), spark, work, 1)
+    with pytest.raises(TimeoutError, match="1 of 2"):
+        wait_described(Query(), spark, work, 2, stuck_s=0.0, stuck_batches=20)
+    ended = Query()
+    ended.isActive = False
+    with pytest.raises(RuntimeError, match="1 of 2"):
+        wait_described(ended, spark, work, 2)
+
+
+def test_events_are_streamed_from_a_file_or_a_folder(spark, tmp_dir):
+    from binsight.sources import driver_tables as dt
+    os.makedirs(single := os.path.join(tmp_dir, "single"))
+    event_tables(single)
+    os.makedirs(several := os.path.join(tmp_dir, "several"))
+    for name in ("events", "part"):
+        spark.read.parquet(f"{single}/{name}.parquet").repartition(3).write.parquet(f"{several}/{name}.parquet")
+    for folder in (single, several, f"{several}/"):
+        out = scratch_path(spark, "streamed")
+        q = (dt.stream_events_parts(spark, folder).writeStream.format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", scratch_path(spark, "streamed-ckpt")).start(out))
+        q.awaitTermination()
+        assert q.exception() is None
+        assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
 def test_a_table_registered_while_it_is_looked_up_is_found(spark, monkeypatch):
     table = scratch_path(spark, "late")
     tb.replace(spark, spark.range(3), table)
